@@ -2,21 +2,61 @@
 
 from __future__ import annotations
 
-from quarry.llm import op1_mix, op2_secrets
-from quarry.llm.common import table
+import os
 
+from pyspark.sql import DataFrame
 
-def op1_mix_sources(spark, sf_dir):
+from quarry.llm import op1_mix, op2_secrets, op3_topk, op4_bpe, op5_media, op6_repair, op9_chat, op10_langid
+from quarry.llm.common import cut, table
+
+#: Where the public tokenizer files lie.
+TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer_path(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
+def op1_mix_sources(spark, sf_dir) -> DataFrame:
     return op1_mix.mix(table(spark, sf_dir, "documents"))
 
 
-def op2_secret_scan(spark, sf_dir):
+def op2_secret_scan(spark, sf_dir) -> DataFrame:
     return op2_secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_topk(spark, sf_dir) -> DataFrame:
+    return op3_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_bpe_transducer(spark, sf_dir) -> DataFrame:
+    return op4_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op5_media_columns(spark, sf_dir) -> DataFrame:
+    return op5_media.inspect(op5_media.store(table(spark, sf_dir, "documents")))
+
+
+def op6_repair_shards(spark, sf_dir) -> DataFrame:
+    shards = op6_repair.write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return op6_repair.read_shards(cut(shards, "shards"))
+
+
+def op9_chat_format(spark, sf_dir) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], conversations.schema)
+    return op9_chat.read_back(op9_chat.format_log(op9_chat.as_events(conversations.unionByName(extra))))
+
+
+def op10_language_id(spark, sf_dir) -> DataFrame:
+    return op10_langid.languages_of(spark, table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op1_mix_sources": op1_mix_sources, "op2_secret_scan": op2_secret_scan}
+    found = (op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_bpe_transducer, op5_media_columns, op6_repair_shards, op9_chat_format, op10_language_id)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {}
+    return {"op3_exact_topk": op3_topk.ORACLE, "op9_chat_format": op9_chat.ORACLE}

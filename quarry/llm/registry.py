@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame
 
-from quarry.llm import op1_mix, op2_secrets, op3_topk, op4_bpe, op5_media, op6_repair, op8_html, op9_chat, op10_langid
+from quarry.llm import op1_mix, op2_secrets, op3_topk, op4_bpe, op5_media, op6_repair, op7_ngram_join, op8_html, op9_chat, op10_langid
 from quarry.llm.common import cut, table
 
 #: Where the public tokenizer files lie.
@@ -42,6 +42,10 @@ def op6_repair_shards(spark, sf_dir) -> DataFrame:
     return op6_repair.read_shards(cut(shards, "shards"))
 
 
+def op7_ngram_jaccard(spark, sf_dir) -> DataFrame:
+    return op7_ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_html_main_text(spark, sf_dir) -> DataFrame:
     return op8_html.extract(table(spark, sf_dir, "pages"))
 
@@ -58,7 +62,7 @@ def op10_language_id(spark, sf_dir) -> DataFrame:
 
 
 def queries():
-    found = (op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_bpe_transducer, op5_media_columns, op6_repair_shards, op8_html_main_text, op9_chat_format, op10_language_id)
+    found = (op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_bpe_transducer, op5_media_columns, op6_repair_shards, op7_ngram_jaccard, op8_html_main_text, op9_chat_format, op10_language_id)
     return {f.__name__: f for f in found}
 
 

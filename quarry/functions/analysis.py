@@ -317,7 +317,6 @@ def compound_words(words: Sequence[str], keep: bool = True) -> Stage:
     """Splits terms into dictionary words where they cover the whole term, longest first."""
     listed = frozenset(words)
 
-    @functools.lru_cache(maxsize=100_000)
     def split(t: str) -> tuple[str, ...]:
         if t in listed:
             return (t,)

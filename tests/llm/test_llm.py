@@ -1,0 +1,354 @@
+"""The operators for training data against brute force, round trips and edge cases."""
+
+import base64
+import collections
+import hashlib
+import html
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import common, op1_mix, op2_secrets, op3_topk, op4_bpe, op5_media, op6_repair, op7_ngram_join, op8_html, op9_chat, op10_langid, registry
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string, __size long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def texts(n=60, seed=1):
+    rnd = random.Random(seed)
+    base = [" ".join(rnd.choice(WORDS) + str(rnd.randrange(40)) for _ in range(rnd.choice([0, 1, 2, 5, 40, 80]))) for _ in range(n)]
+    out = []
+    for k, t in enumerate(base):
+        out.append(t)
+        w = t.split()
+        if len(w) >= 40 and k % 3 == 0:
+            w[rnd.randrange(len(w))] = "changed"
+            out += [" ".join(w), t.upper(), t]
+    return [None, "", "  \n ", *out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", [None, "a", "b", "a", "ä"][i % 5], len(t or ""), "x", 7) for i, t in enumerate(texts())]
+    rows += [(3, rows[3][1], "en", rows[3][3], rows[3][4], "x", 7), (None, "no id " * 9, None, "a", 54, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def sizes(rows):
+    return {i: len(re.findall(op1_mix.WORD, r["text"] or "")) for i, r in enumerate(rows)}
+
+
+def test_mix(docs, empty):
+    rows = docs.collect()
+    out = op1_mix.mix(docs).collect()
+    assert len(out) == len(rows)
+    total, per = 0, collections.defaultdict(lambda: [0, 0, set(), set()])
+    for r in out:
+        p = per[r["source"]]
+        p[0] += r["size"]
+        p[1] += r["taken"]
+        p[2].add(round(r["target"], 6))
+        p[3].add(r["source_size"])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        total += r["size"]
+    assert sum(sizes(rows).values()) == total
+    weight = dict(zip(sorted(per, key=lambda s: (s is None, s or "")), [1, 2, 3] * 9))
+    target, open_, left = {}, dict(weight), float(total)
+    while True:  # share, cap, share the excess again
+        level = left / sum(open_.values())
+        over = [s for s in open_ if level * weight[s] > 3 * per[s][0]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * per[s][0]
+            left -= target[s]
+            del open_[s]
+    target |= {s: level * weight[s] for s in open_}
+    for s, (size, taken, targets, sized) in per.items():
+        assert sized == {size} and len(targets) == 1 and abs(targets.pop() - target[s]) < 1e-3 and abs(taken - target[s]) <= 2
+    assert sorted(map(str, out)) == sorted(map(str, op1_mix.mix(docs.repartition(3)).collect()))
+    assert op1_mix.mix(empty).count() == 0 and op1_mix.mixed_rows(empty).count() == 0
+    mixed = op1_mix.mixed_rows(docs)
+    assert mixed.columns == docs.columns
+    words = collections.Counter()
+    for r in mixed.collect():
+        words[r["source"]] += len((r["text"] or "").split())
+    assert words == {s: p[1] for s, p in per.items() if p[1]}
+
+
+def _brute_base(text):
+    out = []
+    for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[1]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_secrets(spark):
+    b64 = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+    jwt = f"{b64(json.dumps({'alg': 'HS256', 'typ': 'JWT'}).encode())}.{b64(json.dumps({'sub': 'x'}).encode())}.{b64(b'sig' * 10)}"
+    der = bytes([0x30, 0x22, 0x02, 0x01, 0x00, 0x04, 0x1D]) + bytes(range(29))
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+    pem = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(der).decode() + "-----END PRIVATE KEY-----"
+    rows = ["", None, "password = 'Abcdefgh12345' ok", "password=secret: abcdefghijklmnop", "ſecret=abcdefghijklmnop toKEN:abcdefghijkl", "AKIAABCDEFGHIJKLMN and AKIASHORT", "é deadbeefdeadbeef01 " * 3, f"x {jwt} y", pem, f"k {base64.b64encode(der).decode()} {der.hex()}", base64.b64encode(ssh).decode(), base64.b64encode(b"password=hunter2hunter2 and more text here").decode(), "g" * 200 + " " + "G" * 300, "b" * 100_000 + ":" * 1000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in op2_secrets.scan(df).collect()}
+    for i, t in enumerate(rows):
+        base = _brute_base(t or "")
+        assert [out[i][n] for n in ("n_assign", "n_access", "n_hex")] == [sum(k == j for _, k, _ in base) for j in range(3)]
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
+        assert out[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) - {""} <= set(out[i]["spans"].split(","))
+    kinds = {i: {s.split(":")[0] for s in out[i]["spans"].split(",")} - {"", "assign", "access", "hex"} for i in out}
+    assert kinds[7] == {"jwt"} and kinds[8] >= {"pem"} and kinds[9] == {"key"} and kinds[10] == {"key"} and kinds[11] == {"inner"} and kinds[12] == set()
+    assert op2_secrets.scan(df.limit(0)).count() == 0
+    red = {r["doc_id"]: r["text"] for r in op2_secrets.redacted(df).collect()}
+    assert red[2] == "[SECRET:assign]' ok" and red[1] is None and red[12] == rows[12]
+    assert not op2_secrets.der_fills(b"\x30\x05\x02\x01") and op2_secrets.b64("ab-d+/==") is None
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 8]) for i in range(130)]
+    rows += [(130, None), (131, [1.0, None]), (132, [float("nan")] * 6), (133, [float("inf")] * 6), (None, [1.0] * 6), (134, []), (50, rows[50][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in op3_topk.top_k(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    fine = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for q, v in {i: v for i, v in fine if i % 50 == 0}.items():
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q)[:5]
+        assert got.pop(q) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert not got and op3_topk.top_k(df.limit(0)).count() == 0
+
+
+TEXTS = ["", None, "  ", "Straße ΑΣ <|startoftext|>hi<|endoftext|> x", "a\x1cb\x85c d é ½²³ ٣ 中文 🙂", "it's we'll I'D", "a" * 700, "!?" * 300, "<|endoftext|>", "don’t—stop… 3.14", "\n\n x\t\ty ", "the quick brown fox " * 50]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_equals_the_library(spark, name):
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path(name)
+    library, own = Tokenizer.from_file(path), op4_bpe.transducer(path)
+    rnd = random.Random(3)
+    cases = [t or "" for t in TEXTS] + ["".join(rnd.choice("theraniong é") for _ in range(400)) for _ in range(20)]
+    for t in cases:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    word = "".join(rnd.choice("theraniong") for _ in range(3000))
+    whole = [own.vocab[x] for x in own.merge(own.symbols(word))]
+    wide, own.window = own.window, own.lookahead + 7
+    long = "".join(rnd.choice("ab") for _ in range(2 * own.lookahead))
+    assert own.symbols_to_ids(own.symbols(long)) == [own.vocab[x] for x in own.merge(own.symbols(long))]
+    own.window = wide
+    assert own.symbols_to_ids(own.symbols(word)) == whole
+    short = own.symbols("anthethrining")
+    assert own.merge_long(short) == own.merge(short)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for r in op4_bpe.encode_decode(df, path, with_ids=True).collect():
+        ids = library.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_media(spark):
+    rows = ["", None, "x", "é" * 96, "y" * 192, "z" * 100_000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    files = op5_media.store(df)
+    for r in op5_media.inspect(files).collect():
+        data = (rows[r["doc_id"]] or "").encode()
+        payload = data.ljust(max(192, -(-len(data) // 192) * 192))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    held = {r["doc_id"]: bytes(r["media"]) for r in files.collect()}
+    assert held[0] == held[1]
+    (track,) = op5_media.probe(held[5])
+    assert track.codec == "raw " and track.n_samples == 521 and len(track.keyframes) == 33 and track.duration == 521 * 192
+    for bad in (held[2][:60], held[2][:-1], b"\0\0\0\7moov"):
+        with pytest.raises(ValueError):
+            [op5_media.payload(bad, t) for t in op5_media.probe(bad)] or (_ for _ in ()).throw(ValueError)
+
+
+def test_repair(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(registry.tokenizer_path("byte_bpe_50k.json"))
+    rows = [(i, t) for i, t in enumerate([*TEXTS, "aa aa aa aa " * 400])] + [(None, "first"), (5, TEXTS[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shards = common.cut(op6_repair.write_shards(df, registry.tokenizer_path("byte_bpe_50k.json")), "t")
+    out = sorted(op6_repair.read_shards(shards).collect(), key=lambda r: r["start"])
+    start = 0
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert len(out) == len(order)
+    for (d, t), r in zip(order, out):
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, start, len(ids), zlib.crc32(ids))
+        start += len(ids)
+    assert op6_repair.write_shards(df.limit(0), registry.tokenizer_path("byte_bpe_50k.json")).count() == 0
+    rng = np.random.default_rng(4)
+    parts = [(k, np.append(rng.integers(1, 5, n), 0).astype(np.uint32)) for k, n in enumerate([0, 1, 5000, 3000])]
+    shard = op6_repair.Shard(op6_repair.pack(parts, 10))
+    assert len(shard.rules) and shard.symbols.size < 6000
+    for k, (_, ids) in enumerate(parts):
+        assert (shard.document(k) == ids).all()
+    whole = np.concatenate([x for _, x in parts])
+    assert (shard.ids(17, 4000) == whole[17:4000]).all() and (shard.ids(0, len(whole)) == whole).all()
+
+
+def brute_components(rows, k, num):
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    head = {d: d for d in sets}
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            n = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * n >= num * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((find(a), find(b)))
+                head[y] = x
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+@pytest.mark.parametrize("k, num", [(3, 90), (2, 60)])
+def test_ngram_join(spark, docs, k, num):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(400)}" for _ in range(60)]
+    for i in range(40):  # a group of near copies that differ pairwise
+        w = list(base)
+        for _ in range(1 + i % 2):
+            w[rnd.randrange(60)] = f"v{i}"
+        rows.append((1000 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_components([r for r in rows if r[0] is not None], k, num)
+    got = op7_ngram_join.join(df, k, num).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None
+        else:
+            assert (r["n_shingles"], r["component_id"]) == expected[r["doc_id"]]
+
+
+def test_ngram_join_edges(spark, docs, empty):
+    assert op7_ngram_join.join(empty).count() == 0
+    kept = op7_ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    expected = brute_components([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None], 5, 80)
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for _, c in expected.values()})
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101)], "a long, b long")
+    got = {r["node"]: r["component"] for r in op7_ngram_join.components(edges).collect()}
+    assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_html(spark):
+    pages = [
+        (1, "http://h.example/a", '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a>menu</a></nav><div class="ad">buy</div><article><h1>Ti &amp; tle</h1><p><b>One<br>two &lt;3&gt;\n x<p>th<i>re</i>e<aside>no</aside><div class="comments"><p>c</p></div><form>f</form></article><footer>&copy;</footer>'),
+        (2, None, None),
+        (3, "", ""),
+        (4, "http://h.example/b", "plain a < b text"),
+        (5, "http://h.example/c", "<div class='cookie-notice'>ok?<article>the &eacute;nd</article>"),
+        (6, "http://h.example/d", "<main><p>a</p><!-- <p>x</p> --><p>   </p>b<p>c</main><p>out"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r["page_id"]: r for r in op8_html.extract(df).collect()}
+    assert out[1]["text"] == "Ti & tle\n\nOne two <3> x\n\nthree" and out[2]["text"] == "" and out[3]["text"] == "" and out[4]["text"] == "plain a < b text"
+    assert out[5]["text"] == "the énd" and out[6]["text"] == "a\n\nb\n\nc" and all(r["n_chars"] == len(r["text"]) for r in out.values())
+    assert op8_html.extract(df.limit(0)).count() == 0
+    page = "<body><div>Home About us and our many other very important pages</div><div><p>Unique %d words &amp; more<p>second par %d</div><div>Copyright 2020 the great company of the example all rights reserved</div>"
+    assert op8_html.extract_shard([page % (i, i) for i in range(6)])[3] == "Unique 3 words & more\n\nsecond par 3"
+    tokens = np.array([1, 2, 3, 1, 2, 3, 9])
+    order, _ = op8_html.suffix_order(tokens, 8)
+    assert order.tolist() == sorted(range(7), key=lambda i: tokens[i:].tolist())
+
+
+def test_html_of_the_smallest_pages():
+    import duckdb
+
+    rows = duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall()
+    for (page,), text in zip(rows, op8_html.extract_shard([r[0] for r in rows])):
+        inner = re.search("<article>(.*)</article>", page, re.S)[1]
+        parts = re.split("</?(?:p|h1)>", inner.replace("<br>", " "))
+        assert text == "\n\n".join(x for x in (" ".join(html.unescape(re.sub("<[^>]*>", "", p)).split()) for p in parts) if x)
+
+
+def test_chat(spark):
+    probe = "</s>[INST] ok [/INST] \\ <<SYS>>\\<s> [\\INST] <</SYS>><<s>"
+    for role in ("user", "assistant", "system", "", "to\nol\\<s>"):
+        for text in ("", probe, "\n", "\\", "[/INST", " x "):
+            assert op9_chat.parse(op9_chat.render(role, text)[0]) == (role, text)
+    body = op9_chat.escape(probe)
+    assert not any(c in body for c in op9_chat.CONTROL)
+    log = [(1, 0, 0, "message", "user", "hi"), (1, 1, 1, "message", "assistant", ""), (1, 1, 2, "delta", None, "Hel"), (1, 1, 3, "delta", None, "lo"), (1, 2, 4, "message", "user", "bad"), (1, 1, 5, "regenerate", None, None), (1, 1, 6, "delta", None, "Bye"), (1, 2, 7, "message", "user", "q"), (1, 0, 8, "edit", None, "hey"), (2, None, None, "message", None, None), (None, 0, 0, "message", "assistant", probe)]
+    df = spark.createDataFrame(log, "conv_id long, turn int, seq int, kind string, role string, text string")
+    pieces = op9_chat.format_log(df)
+    said = [op9_chat.parse(r["piece"]) for r in pieces.where("conv_id = 1").orderBy("n").collect()]
+    assert said == [("user", "hey"), ("assistant", "Bye"), ("user", "q")]
+    out = {r["conv_id"]: r for r in op9_chat.read_back(pieces).collect()}
+    assert out[1]["n_turns"] == 3 and out[1]["loss_chars"] == 3 and out[1]["loss_sha256"] == hashlib.sha256(b"Bye").hexdigest()
+    assert out[1]["turns_sha256"] == hashlib.sha256(b"user\nhey\nassistant\nBye\nuser\nq\n").hexdigest()
+    assert out[2]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest() and out[None]["loss_chars"] == len(probe)
+    assert op9_chat.read_back(op9_chat.format_log(df.limit(0))).count() == 0
+
+
+def test_language_id(spark, empty):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op10_langid.fit(df.where("doc_id % 2 = 0"), per_language=60)
+    held = df.where("doc_id % 2 = 1").join(op10_langid.identify(df.where("doc_id % 2 = 1"), model), "doc_id")
+    facts = held.agg(F.avg((F.col("language") == F.col("lang")).cast("int")).alias("right"), F.count_if(~F.col("accepted")).alias("rejected")).first()
+    assert facts["right"] > 0.985 and facts["rejected"] == 0
+    odd = spark.createDataFrame([(1, None, None), (2, "", "s"), (3, "12345 !!! 999", "s"), (4, "qzxj vkqx zzqj xqvk jjqz wxqk zqjx kkqz" * 5, None)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["accepted"] for r in op10_langid.identify(odd, model).collect()} == {1: False, 2: False, 3: False, 4: False}
+    assert op10_langid.identify(odd.withColumns({"lang": F.lit("en"), "n": F.lit(1)}), model, keep=True).count() == 0
+    assert op10_langid.identify(empty, op10_langid.fit(empty)).count() == 0
+    no_label = op10_langid.identify(odd, op10_langid.fit(odd.withColumn("lang", F.lit(None).cast("string"))))
+    assert {r["accepted"] for r in no_label.collect()} == {False}
+    tie = ["re"] * 3
+    p, _, _ = op10_langid.posterior(model, tie, declared=["fr-CA", "de", None], address=None)
+    names = model.languages
+    assert p[0, names.index("fr")] > p[2, names.index("fr")] and p[1, names.index("de")] > p[2, names.index("de")]
+    q, _, _ = op10_langid.posterior(model, tie, address=["http://x.example.es/a", "http://x.org/de/1", None])
+    assert q[0, names.index("es")] > q[2, names.index("es")] and q[1, names.index("de")] > q[2, names.index("de")]
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_join", "secret_scan", "mix", "bpe"]
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).withColumn("text", F.concat("text", F.when(F.col("doc_id") == 4, " password=abcdefgh12345678").otherwise(""))).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.cut(stage(spark, docs, str(tmp_path)), name)
+        assert out.columns == docs.columns
+        rows = {r["doc_id"]: r["text"] for r in out.collect()}
+        if name == "language_id":
+            assert rows == first
+        if name == "ngram_join":
+            expected = brute_components(list(first.items()), 5, 80)
+            assert set(rows) == {c for _, c in expected.values()}
+        if name == "secret_scan":
+            assert 4 not in rows or rows[4].endswith("[SECRET:assign]")
+        docs = out
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert tokens.count() == docs.count() and tokens.where("n_tokens <> size(ids)").count() == 0

@@ -36,7 +36,9 @@ def postings_of(docs: DataFrame, specs: dict[str, tuple[Field, str]], boost: Col
         else:
             kept, first = spec.analyzer.terms(values.cast("string")), spec.analyzer.first_position(values.cast("string")) if spec.positions else F.lit(0)
         rows = docs.where(values.isNotNull()).select("doc_id", *([boost.alias("boost")] if boost is not None else []), kept.alias("kept"), first.alias("first"))
-        rows = rows.select("doc_id", *(["boost"] if boost is not None else []), F.size("kept").alias("dl"), "first", F.posexplode_outer("kept").alias("i", "term")).where("term is not null").withColumn("pos", F.col("first") + F.col("i"))
+        # the length comes first, so that the explode does not carry the whole array along with each term
+        rows = rows.withColumn("dl", F.size("kept"))
+        rows = rows.select("doc_id", *(["boost"] if boost is not None else []), "dl", "first", F.posexplode_outer("kept").alias("i", "term")).where("term is not null").withColumn("pos", F.col("first") + F.col("i"))
         weight = F.count(F.lit(1)).cast("double") * spec.boost
         if boost is not None:
             weight = weight * F.first("boost")

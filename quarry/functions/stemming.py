@@ -691,3 +691,40 @@ def with_overrides(stem: Callable[[str], str], words: dict[str, str]) -> Callabl
 def compare(a: Callable[[str], str], b: Callable[[str], str], words: Iterable[str]) -> dict[str, tuple[str, str]]:
     """Words on which two stemmers differ."""
     return {w: (a(w), b(w)) for w in words if a(w) != b(w)}
+
+
+# Paice-Husk: an engine for rule tables
+
+
+class PaiceHusk:
+    """Applies rules of the form ending-backwards [*] count [append] (> or .), one per line.
+
+    A rule fits if the word ends so (with *, only an unchanged word); it removes ``count`` letters, appends, and goes on (>) or
+    stops (.). A result must keep a vowel and two letters, or, starting with a consonant, three letters and a vowel or y.
+    """
+
+    def __init__(self, rules: str):
+        self.rules: dict[str, list[tuple[str, bool, int, str, bool]]] = {}
+        for m in re.finditer(r"^\s*([a-z]+)(\*?)(\d)([a-z]*)([>.])", rules, re.M):
+            ending = m[1][::-1]
+            self.rules.setdefault(ending[-1], []).append((ending, bool(m[2]), int(m[3]), m[4], m[5] == ">"))
+
+    @staticmethod
+    def _keeps(word: str) -> bool:
+        if word[:1] in tuple("aeiou"):
+            return len(word) >= 2
+        return len(word) >= 3 and bool(re.search("[aeiouy]", word))
+
+    def __call__(self, word: str) -> str:
+        w, changed, more = word.lower(), False, True
+        while more and w:
+            more = False
+            for ending, intact, count, append, again in self.rules.get(w[-1], ()):
+                if not w.endswith(ending) or intact and changed:
+                    continue
+                new = (w[: len(w) - count] if count else w) + append
+                if self._keeps(new):
+                    more = again and (new != w or count > 0)
+                    w, changed = new, True
+                    break
+        return w

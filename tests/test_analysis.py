@@ -102,3 +102,8 @@ def test_languages(spark):
 def test_variations():
     assert {"render", "renders", "rendered", "rendering"} <= morphology.variations("render")
     assert {"stopped", "stopping"} <= morphology.variations("stop") and "children" in morphology.variations("child")
+
+
+def test_paice_husk():
+    stem = stemming.PaiceHusk("gni3>\nde2>\nsei3y>\ns*1>\nylb1>\n e1>\nnoi3j>\n")
+    assert stem("maximising") == "maximis" and stem("parties") == "party" and stem("cats") == "cat" and stem("ring") == "ring"

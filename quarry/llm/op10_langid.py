@@ -34,8 +34,9 @@ TEMPER = 0.5
 TRUST_MARKUP, TRUST_SUFFIX = 0.85, 0.6
 #: Pseudo-counts that a host takes from its domain, and a domain from all documents.
 KAPPA = 8.0
-#: Mean log likelihood per trigram below which a text counts as none of the languages: so far under the training texts' lowest.
-MARGIN = 1.5
+#: Mean log likelihood per trigram below which a text counts as none of the languages: so far under the training texts'
+#: lowest, and for a text of n trigrams SLACK / sqrt(n) further, as a key or an address weighs much in a short text.
+MARGIN, SLACK = 1.5, 15.0
 #: Address suffixes and the language they speak for.
 SUFFIXES = {"de": "de", "at": "de", "ch": "de", "fr": "fr", "be": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 
@@ -140,7 +141,7 @@ def posterior(model: Model, texts, declared=None, address=None, prior=None) -> t
         p /= p.sum(1, keepdims=True)
     else:
         p = log
-    return p, n, (n > 0) & (mean >= model.floor)
+    return p, n, (n > 0) & (mean >= model.floor - SLACK / np.sqrt(np.maximum(n, 1)))
 
 
 def _domain(host):

@@ -10,9 +10,9 @@ first n - ceil(t * n) + EXTRA elements (fewer for tiny sets), so only those pref
 3. A proposal is verified on the whole texts: partners' sets are stored in a trie in global order, and the
    other set traverses it, sharing the overlap of common beginnings and pruning subtrees whose
    remaining length cannot reach the threshold.
-4. Verified links give components. Pairs that share enough prefix elements but lie in different
-   components are then verified too, so no component is left unmerged; pairs within one component need
-   no test, which is what keeps a group of near copies from costing its square.
+4. Verified links give components. Pairs in different components that share as many prefix elements as a
+   link of sets of their sizes needs are then verified too, so no component is left unmerged; pairs within
+   one component need no test, which keeps a group of near copies from costing its square.
 
 Nothing of all documents reaches the driver but the table of counts, 2**BITS_MOST bytes at most, whose size is
 fixed by construction (about 64 counters a document below that). Id lists are broadcast only up to
@@ -278,6 +278,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def shared_least(n, m, num: int, den: int):
+    """Prefix elements that sets of n and m elements share at least if they link.
+
+    Of the two prefixes one ends first in the global order; common elements up to there lie in both, and behind
+    it that set has need - EXTRA elements. So the overlap is at most the shared prefix elements plus that rest.
+    """
+    behind = lambda x: F.greatest(F.ceil(x * num / F.lit(float(den))) - EXTRA, F.lit(0))
+    overlap = F.ceil((n + m) * num / F.lit(float(num + den)) - 1e-9)
+    return F.greatest(overlap - F.greatest(behind(n), behind(m)), F.lit(1))
+
+
 def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); threshold num / den."""
     spark: SparkSession = docs.sparkSession
@@ -302,13 +313,15 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> Data
     by_gram = Window.partitionBy("gram")
     held = held.withColumns({"lo": F.min("component").over(by_gram), "hi": F.max("component").over(by_gram)}).where("lo <> hi")
     held = held.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("gram", "component")))
-    held = held.withColumn("major", F.max(F.struct("c", "component")).over(by_gram)["component"]).select("gram", "rep", "n", "component", "major")
+    held = held.withColumn("major", F.max(F.struct("c", "component")).over(by_gram)["component"])
+    # all that a document can share with another component lies in its rows here
+    held = held.withColumn("s", F.count(F.lit(1)).over(Window.partitionBy("rep"))).select("gram", "rep", "n", "component", "major", "s")
     held = cut(held, "held")
-    left = held.where("component <> major").select("gram", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-    right = held.select("gram", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("component").alias("qc"), (F.col("component") == F.col("major")).alias("q_major"))
-    close = (F.least("pn", "qn") * den >= F.greatest("pn", "qn") * num) & (F.col("pc") != F.col("qc")) & (F.col("q_major") | (F.col("p") < F.col("q")))
-    more = left.join(right, "gram").where(close).groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first(F.least("pn", "qn")).alias("n"))
-    more = more.where(F.col("c") >= least_n(F.col("n"))).select("a", "b")
+    left = held.where("component <> major").select("gram", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("s").alias("ps"))
+    right = held.select("gram", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("component").alias("qc"), (F.col("component") == F.col("major")).alias("q_major"), F.col("s").alias("qs"))
+    close = (F.least("ps", "qs") >= shared_least(F.col("pn"), F.col("qn"), num, den)) & (F.least("pn", "qn") * den >= F.greatest("pn", "qn") * num) & (F.col("pc") != F.col("qc")) & (F.col("q_major") | (F.col("p") < F.col("q")))
+    more = left.join(right, "gram").where(close).groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("pn").alias("pn"), F.first("qn").alias("qn"))
+    more = more.where(F.col("c") >= shared_least(F.col("pn"), F.col("qn"), num, den)).select("a", "b")
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(more.join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():

@@ -261,7 +261,7 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int, co
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) of every node of an edge list (a, b): alternating stars."""
+    """node, component (smallest node reachable) of the nodes of an edge list (a, b), but for those that are the smallest: alternating stars."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:

@@ -12,7 +12,9 @@ first n - ceil(t * n) + EXTRA elements (fewer for tiny sets), so only those pref
    remaining length cannot reach the threshold.
 4. Verified links give components. Pairs in different components that share as many prefix elements as a
    link of sets of their sizes needs are then verified too, so no component is left unmerged; pairs within
-   one component need no test, which keeps a group of near copies from costing its square.
+   one component need no test, which keeps a group of near copies from costing its square. Before a pair
+   becomes a row, parity bitmaps of the whole sets bound its overlap from above (each bit that differs is an
+   element of only one set), so pairs below the threshold are not made.
 
 Nothing of all documents reaches the driver but the table of counts, 2**BITS_MOST bytes at most, whose size is
 fixed by construction (about 64 counters a document below that). Id lists are broadcast only up to
@@ -39,6 +41,7 @@ EXTRA = 4
 BITS_LEAST, BITS_MOST, CHUNK = 16, 24, 1 << 16
 FEW = 1_000_000
 GROUP = 256
+PARITY = 8  # 64-bit words of a set's parity bitmap
 
 _rng = np.random.default_rng(20240229)
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -114,6 +117,12 @@ def in_order(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return grams[np.argsort(counts[grams >> shift], kind="stable")]
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """The set's bitmap of PARITY words: bit k tells whether an odd number of elements ends in k."""
+    odd = np.bincount((grams & np.uint64(PARITY * 64 - 1)).astype(np.int64), minlength=PARITY * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def need(n: int, num: int, den: int) -> int:
     """Least overlap of a set of n elements with any partner: ceil(n * num / den)."""
     return -(-n * num // den)
@@ -214,8 +223,9 @@ def count_table(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, num: int, den: int, counts) -> DataFrame:
-    """doc_id, n, fp (of the whole set) and the prefix of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    """doc_id, n, fp and parity bitmap (of the whole set) and the prefix of every document."""
+    odd = [f"odd{k}" for k in range(PARITY)]
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("prefix", pa.list_(pa.int64()))] + [(k, pa.int64()) for k in odd])
 
     def run(batches):
         table = counts.value
@@ -227,9 +237,9 @@ def _sets(docs: DataFrame, words: int, num: int, den: int, counts) -> DataFrame:
                 heads = [in_order(s, table)[: len(s) - need(len(s), num, den) + min(EXTRA, need(len(s), num, den))].view(np.int64) for s in sets]
                 offsets = np.r_[0, np.cumsum([len(h) for h in heads])].astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), flat], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), flat] + [pa.array(k) for k in np.array([parity(x) for x in sets]).T], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, prefix array<long>" + "".join(f", {k} long" for k in odd))
 
 
 def few(df: DataFrame, limit: int = FEW) -> DataFrame:
@@ -278,6 +288,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def overlap_least(n, m, num: int, den: int):
+    """Least overlap of linked sets of n and m elements."""
+    return F.ceil((n + m) * num / F.lit(float(num + den)) - 1e-9)
+
+
 def shared_least(n, m, num: int, den: int):
     """Prefix elements that sets of n and m elements share at least if they link.
 
@@ -285,8 +300,7 @@ def shared_least(n, m, num: int, den: int):
     it that set has need - EXTRA elements. So the overlap is at most the shared prefix elements plus that rest.
     """
     behind = lambda x: F.greatest(F.ceil(x * num / F.lit(float(den))) - EXTRA, F.lit(0))
-    overlap = F.ceil((n + m) * num / F.lit(float(num + den)) - 1e-9)
-    return F.greatest(overlap - F.greatest(behind(n), behind(m)), F.lit(1))
+    return F.greatest(overlap_least(n, m, num, den) - F.greatest(behind(n), behind(m)), F.lit(1))
 
 
 def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -316,10 +330,13 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> Data
     held = held.withColumn("major", F.max(F.struct("c", "component")).over(by_gram)["component"])
     # all that a document can share with another component lies in its rows here
     held = held.withColumn("s", F.count(F.lit(1)).over(Window.partitionBy("rep"))).select("gram", "rep", "n", "component", "major", "s")
-    held = cut(held, "held")
-    left = held.where("component <> major").select("gram", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("s").alias("ps"))
-    right = held.select("gram", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("component").alias("qc"), (F.col("component") == F.col("major")).alias("q_major"), F.col("s").alias("qs"))
+    odd = [f"odd{k}" for k in range(PARITY)]
+    held = cut(held.join(live.select(F.col("doc_id").alias("rep"), *odd).dropDuplicates(["rep"]), "rep"), "held")
+    left = held.where("component <> major").select("gram", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("s").alias("ps"), *[F.col(k).alias("p" + k) for k in odd])
+    right = held.select("gram", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("component").alias("qc"), (F.col("component") == F.col("major")).alias("q_major"), F.col("s").alias("qs"), *[F.col(k).alias("q" + k) for k in odd])
     close = (F.least("ps", "qs") >= shared_least(F.col("pn"), F.col("qn"), num, den)) & (F.least("pn", "qn") * den >= F.greatest("pn", "qn") * num) & (F.col("pc") != F.col("qc")) & (F.col("q_major") | (F.col("p") < F.col("q")))
+    apart = sum((F.bit_count(F.col("p" + k).bitwiseXOR(F.col("q" + k))) for k in odd), F.lit(0))
+    close = close & (apart <= F.col("pn") + F.col("qn") - 2 * overlap_least(F.col("pn"), F.col("qn"), num, den))
     more = left.join(right, "gram").where(close).groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("pn").alias("pn"), F.first("qn").alias("qn"))
     more = more.where(F.col("c") >= shared_least(F.col("pn"), F.col("qn"), num, den)).select("a", "b")
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -250,6 +250,17 @@ def test_ngram_join(spark, docs, k, num):
             assert (r["n_shingles"], r["component_id"]) == expected[r["doc_id"]]
 
 
+def test_parity_bound():
+    rng = np.random.default_rng(7)
+    for size in (0, 1, 20, 150, 3000):
+        one = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        other = np.unique(np.r_[one[: size // 2], rng.integers(0, 2**63, size // 3).astype(np.uint64)])
+        differ = int(np.bitwise_count(op7_ngram_join.parity(one) ^ op7_ngram_join.parity(other)).sum())
+        apart = len(np.setxor1d(one, other))
+        assert differ <= apart and (apart - differ) % 2 == 0
+        assert differ >= 0.8 * apart or apart > 150
+
+
 def test_ngram_join_edges(spark, docs, empty):
     assert op7_ngram_join.join(empty).count() == 0
     kept = op7_ngram_join.one_of_each(docs)

@@ -10,7 +10,8 @@ first n - ceil(t * n) + EXTRA elements (fewer for tiny sets), so only those pref
 3. A proposal is verified on the whole texts: partners' sets are stored in a trie in global order, and the
    other set traverses it, sharing the overlap of common beginnings and pruning subtrees whose
    remaining length cannot reach the threshold.
-4. Verified links give components. Pairs in different components that share as many prefix elements as a
+4. Verified links give components. Where a group spans components, its member with the fewest unshared prefix
+   elements is proposed to the others, which joins what first proposals left apart. Pairs in different components that share as many prefix elements as a
    link of sets of their sizes needs are then verified too, so no component is left unmerged; pairs within
    one component need no test, which keeps a group of near copies from costing its square. Before a pair
    becomes a row, parity bitmaps of the whole sets bound its overlap from above (each bit that differs is an
@@ -303,6 +304,27 @@ def shared_least(n, m, num: int, den: int):
     return F.greatest(overlap_least(n, m, num, den) - F.greatest(behind(n), behind(m)), F.lit(1))
 
 
+def apart(bits: list, other: list):
+    """Elements that two sets surely do not share, from their parity bitmaps."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits, other)), F.lit(0))
+
+
+def apart_most(n, m, num: int, den: int):
+    """Elements that linked sets of n and m elements do not share at most."""
+    return n + m - 2 * overlap_least(n, m, num, den)
+
+
+def contested(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """The rows (gram, rep, ...) of groups that span components, with each document's component and its number s of such rows.
+
+    All prefix elements that a document can share with another component lie in these rows.
+    """
+    named = rows.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    by_gram = Window.partitionBy("gram")
+    named = named.withColumns({"lo": F.min("component").over(by_gram), "hi": F.max("component").over(by_gram)}).where("lo <> hi").drop("lo", "hi")
+    return named.withColumn("s", F.count(F.lit(1)).over(Window.partitionBy("rep")))
+
+
 def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); threshold num / den."""
     spark: SparkSession = docs.sparkSession
@@ -322,24 +344,31 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> Data
     first_pairs = cut(offers.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b"), "offers")
     found = cut(verify(docs, first_pairs, words, num, den, counts), "links")
     part = cut(components(found), "components")
-    # pairs of different components that share enough prefix elements; in a group, members of its most frequent component meet only the others
-    held = groups.select("gram", "rep", "n").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    by_gram = Window.partitionBy("gram")
-    held = held.withColumns({"lo": F.min("component").over(by_gram), "hi": F.max("component").over(by_gram)}).where("lo <> hi")
-    held = held.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("gram", "component")))
-    held = held.withColumn("major", F.max(F.struct("c", "component")).over(by_gram)["component"])
-    # all that a document can share with another component lies in its rows here
-    held = held.withColumn("s", F.count(F.lit(1)).over(Window.partitionBy("rep"))).select("gram", "rep", "n", "component", "major", "s")
+    # a second round: in each group that spans components, its member with the fewest unshared prefix elements is offered to the others
     odd = [f"odd{k}" for k in range(PARITY)]
+    held = contested(groups.select("gram", "rep", "n"), part)
     held = cut(held.join(live.select(F.col("doc_id").alias("rep"), *odd).dropDuplicates(["rep"]), "rep"), "held")
+    by_gram = Window.partitionBy("gram")
+    unshared = F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den))) - F.col("s")
+    hubs = held.withColumn("hub", F.min(F.struct(unshared.alias("unshared"), "rep", "n", "component", *odd)).over(by_gram)).where("hub.component <> component")
+    hubs = hubs.withColumn("apart", apart([F.col(k) for k in odd], [F.col("hub")[k] for k in odd])).where(F.col("apart") <= apart_most(F.col("n"), F.col("hub.n"), num, den))
+    hubs = hubs.groupBy(F.col("rep").alias("b")).agg(F.min(F.struct("apart", F.col("hub.rep").alias("a")))["a"].alias("a")).select("a", "b")
+    tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hubs = cut(hubs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "b").join(tried.toDF("low", "high"), ["low", "high"], "left_anti").select("a", "b"), "hubs")
+    if not hubs.isEmpty():
+        found = cut(found.unionByName(verify(docs, hubs, words, num, den, counts)), "links")
+        part = cut(components(found), "components")
+        tried = tried.unionByName(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    # pairs of different components that share enough prefix elements; in a group, members of its most frequent component meet only the others
+    held = contested(held.drop("component", "s"), part)
+    held = held.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("gram", "component")))
+    held = cut(held.withColumn("major", F.max(F.struct("c", "component")).over(by_gram)["component"]).drop("c"), "held")
     left = held.where("component <> major").select("gram", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("s").alias("ps"), *[F.col(k).alias("p" + k) for k in odd])
     right = held.select("gram", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("component").alias("qc"), (F.col("component") == F.col("major")).alias("q_major"), F.col("s").alias("qs"), *[F.col(k).alias("q" + k) for k in odd])
     close = (F.least("ps", "qs") >= shared_least(F.col("pn"), F.col("qn"), num, den)) & (F.least("pn", "qn") * den >= F.greatest("pn", "qn") * num) & (F.col("pc") != F.col("qc")) & (F.col("q_major") | (F.col("p") < F.col("q")))
-    apart = sum((F.bit_count(F.col("p" + k).bitwiseXOR(F.col("q" + k))) for k in odd), F.lit(0))
-    close = close & (apart <= F.col("pn") + F.col("qn") - 2 * overlap_least(F.col("pn"), F.col("qn"), num, den))
+    close = close & (apart([F.col("p" + k) for k in odd], [F.col("q" + k) for k in odd]) <= apart_most(F.col("pn"), F.col("qn"), num, den))
     more = left.join(right, "gram").where(close).groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("pn").alias("pn"), F.first("qn").alias("qn"))
     more = more.where(F.col("c") >= shared_least(F.col("pn"), F.col("qn"), num, den)).select("a", "b")
-    tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(more.join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         found = found.unionByName(verify(docs, more, words, num, den, counts))

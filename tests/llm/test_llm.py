@@ -255,10 +255,10 @@ def test_parity_bound():
     for size in (0, 1, 20, 150, 3000):
         one = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
         other = np.unique(np.r_[one[: size // 2], rng.integers(0, 2**63, size // 3).astype(np.uint64)])
-        differ = int(np.bitwise_count(op7_ngram_join.parity(one) ^ op7_ngram_join.parity(other)).sum())
+        differ = int(np.bitwise_count((op7_ngram_join.parity(one) ^ op7_ngram_join.parity(other)).view(np.uint64)).sum())
         apart = len(np.setxor1d(one, other))
         assert differ <= apart and (apart - differ) % 2 == 0
-        assert differ >= 0.8 * apart or apart > 150
+        assert differ >= 0.7 * apart or apart > 150  # 125 elements differ in 99 of 512 bits on average
 
 
 def test_ngram_join_edges(spark, docs, empty):

@@ -42,6 +42,7 @@ EXTRA = 4
 BITS_LEAST, BITS_MOST, CHUNK = 16, 24, 1 << 16
 FEW = 1_000_000
 GROUP = 256
+BATCH = 1000  # rows of an Arrow batch: whole texts, some very long
 PARITY = 8  # 64-bit words of a set's parity bitmap
 
 _rng = np.random.default_rng(20240229)
@@ -327,6 +328,16 @@ def contested(rows: DataFrame, part: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); threshold num / den."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, BATCH)
+    try:  # all stages in Python end in here
+        return _join(docs, words, num, den)
+    finally:
+        conf.set(key, before)
+
+
+def _join(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counts = spark.sparkContext.broadcast(count_table(docs, words))

@@ -293,6 +293,19 @@ def test_html(spark):
     assert order.tolist() == sorted(range(7), key=lambda i: tokens[i:].tolist())
 
 
+def test_html_repeats_of_a_host_are_summed_over_its_shards(spark):
+    page = "<body><p>Unique %d words of page %d and nothing else here<div>%s</div>"
+    common = "Copyright 2020 the great company of the example all rights reserved"
+    # 30 of 600 pages (5 percent) hold the passage, so few shards hold it on 5 percent of their own; 29 do not count as frequent.
+    rows = [(i, f"http://big.example/{i}", page % (i, i, common if i % 20 == 0 else "own" if i % 20 != 1 or i < 20 else common.replace("example", "rare"))) for i in range(600)]
+    rows += [(1000 + i, f"http://small.example/{i}", page % (i, i, common)) for i in range(3)]
+    out = {r["page_id"]: r["text"] for r in op8_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    for i, _, html_ in rows:
+        tail = "" if i % 20 == 0 or i >= 1000 else "\n\nown" if "own" in html_ else "\n\n" + common.replace("example", "rare")
+        assert out[i] == f"Unique {i % 1000} words of page {i % 1000} and nothing else here{tail}"
+
+
 def test_html_of_the_smallest_pages():
     import duckdb
 

@@ -1,12 +1,14 @@
 """Secret scans with structural confirmation.
 
-Base kinds are patterns. Further candidates are long runs of base64, base64url or hex: they are
-decoded and reported only if the bytes parse as what they claim to be (a signed token's header and
-payload, nested DER lengths that fill the value exactly, length-prefixed key fields, an armoured key
-body, or text that holds a base secret again).
+Base kinds are patterns. Further candidates are runs of base64, base64url or hex that are long enough
+for the shortest base secret, on one line or wrapped over several: they are decoded and reported only if
+the bytes parse as what they claim to be (a signed token's header and payload, nested DER lengths that fill
+the value exactly, length-prefixed key fields, an armoured key body, or text that holds a base secret again).
+A run that is no candidate as a whole is decoded at each alignment; in it, text with a base secret counts
+anywhere, a DER value from one boundary (a / - _ + or a line's end) to another, key fields to a boundary.
 
 Defined cases: a null text is empty and has no spans; spans are code points, end exclusive; overlaps
-between kinds are all kept; texts of any length are scanned whole, in time linear in their length.
+between kinds are all kept; texts of any length are scanned whole, and decoded once for each alignment.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,11 +32,23 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key", "inner")
 
-_LONG = re.compile(r"[^\x20\x09-\x0D]{40,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: The shortest token: 14 characters of header, {"alg":""}, 3 of body and two dots.
+_LONG = re.compile(r"[^\x20\x09-\x0D]{19,}")
+#: 24 characters hold 18 bytes: an access key, or token= and 12 characters.
+LEAST = 24
+_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
+_BREAK = r"(?:\r\n?|\n|\\r\\n|\\n)[\x20\t]*"
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{2,}}+(?:{_BREAK}[A-Za-z0-9+/_-]++)+={{0,2}}")
+_LINE = re.compile(_BREAK)
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----([^-]*)-----END \1-----")
 _HEXRUN = re.compile(r"[0-9a-fA-F]{32,}")
+#: Text of UTF-8 that is long enough for a base secret.
+_UTF8 = re.compile(rb"(?:[\0-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}){18,}+")
+_SPLIT = re.compile(r"[+/_-]")
+_DER_HEAD = re.compile(r"M[A-P]")
+_SSH_HEAD = re.compile(r"AAAA(?:[BC]3NzaC1|E2VjZHNhLXNoYTIt)|b3BlbnNzaC1rZXktdjEA")
+_STANDARD = str.maketrans("-_", "+/")
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 
 
@@ -105,19 +120,24 @@ def _one_value(data: bytes) -> bool:
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """The wire form of a key (length-prefixed fields, the first an algorithm) or an OpenSSH private key."""
+    """The wire form of a key (length-prefixed fields, an algorithm and at least one more) or an OpenSSH private key."""
     if data.startswith(b"openssh-key-v1\0"):
         return True
-    at, first = 0, True
+    at = fields = 0
     while at < len(data):
         if at + 4 > len(data):
             return False
         n = int.from_bytes(data[at : at + 4], "big")
         field = data[at + 4 : at + 4 + n]
-        if len(field) != n or first and not field.startswith(_SSH):
+        if len(field) != n or not fields and not field.startswith(_SSH):
             return False
-        at, first = at + 4 + n, False
-    return not first
+        at, fields = at + 4 + n, fields + 1
+    return fields > 1
+
+
+def _inner_secrets(inner: str) -> list[tuple[int, int]]:
+    """Where a decoded text holds secrets of its own."""
+    return [(start, end) for start, end, kind in base_spans(inner) if kind != "hex"] + [m.span() for m in _PEM.finditer(inner)]
 
 
 def confirmed(data: bytes) -> str | None:
@@ -127,9 +147,116 @@ def confirmed(data: bytes) -> str | None:
         inner = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    if any(kind != "hex" for *_, kind in base_spans(inner)) or _PEM.search(inner):
-        return "inner"
-    return None
+    return "inner" if _inner_secrets(inner) else None
+
+
+def _bounds(body: str, lines: list[int]) -> tuple[list[int], list[int]]:
+    """Where parts of a run may start and end, in order; ``lines`` are starts of further lines."""
+    marks = [m.start() for m in _SPLIT.finditer(body)]
+    return sorted({0, *lines, *(k + 1 for k in marks)}), sorted({*marks, *lines, len(body)})
+
+
+def _text_parts(data: bytes, shift: int, chars: int, octets: int, size: int, bounds) -> list[tuple[int, int, str]]:
+    """Parts of a run whose bytes from ``shift`` on, ``octets`` in each ``chars`` characters, are text that holds a secret."""
+    parts = []
+    for m in _UTF8.finditer(data):
+        inner = m[0].decode()
+        if not (held := _inner_secrets(inner)):
+            continue
+        first = m.start() + len(inner[: min(x for x, _ in held)].encode())
+        last = m.start() + len(inner[: max(x for _, x in held)].encode())
+        starts, ends = bounds()
+        at = shift + -(-m.start() // octets) * chars
+        at = min(at, shift + first // octets * chars)
+        inside = bisect_left(starts, at), bisect_right(starts, shift + first // octets * chars)
+        at = next((p for p in starts[slice(*inside)] if (p - shift) % chars == 0), at)
+        least, most = shift - (-last * chars // octets), shift - (-m.end() * chars // octets)
+        k = bisect_right(ends, most)
+        end = ends[k - 1] if k and ends[k - 1] >= least else min(most, size)
+        parts.append((at, end, "inner"))
+    return parts
+
+
+def base64_parts(body: str, lines: list[int]) -> list[tuple[int, int, str]]:
+    """Confirmed parts (start, end, kind) of an unpadded run that is not confirmed as a whole."""
+    plain, held = body.translate(_STANDARD), []
+    bounds = lambda: held[0] if held else held.append(_bounds(body, lines)) or held[0]
+    parts, streams = [], []
+    for shift in range(4):
+        size = len(plain) - shift - ((len(plain) - shift) % 4 == 1)
+        streams.append(base64.b64decode(plain[shift : shift + size] + "=" * (-size % 4)) if size > 0 else b"")
+        parts += _text_parts(streams[-1], shift, 4, 3, len(body), bounds)
+    stops = set(bounds()[1]) if _DER_HEAD.search(body) or _SSH_HEAD.search(body) else set()
+    if _DER_HEAD.search(body):
+        starts, _ = bounds()
+        for p in starts:
+            if not _DER_HEAD.match(body, p):
+                continue
+            data = memoryview(streams[p % 4])[p // 4 * 3 :]
+            if len(data) < 24 or data[1] & 0x80 and not 1 <= data[1] & 0x7F <= 4:
+                continue
+            n = sum(_head(data))
+            if n <= len(data) and (q := p - (-n * 4 // 3)) in stops and is_der_key(data[:n]) and b64(body[p:q]) is not None:
+                parts.append((p, q, "key"))
+    for m in _SSH_HEAD.finditer(body):
+        p = m.start()
+        if m[0][0] == "b":
+            parts.append((p, len(body), "key"))
+            continue
+        data = memoryview(streams[p % 4])[p // 4 * 3 :]
+        if not bytes(data[4:23]).startswith(_SSH):
+            continue
+        at, end = 4 + int.from_bytes(data[:4], "big"), 0
+        while at + 4 <= len(data) and (at := at + 4 + int.from_bytes(data[at : at + 4], "big")) <= len(data):
+            q = p - (-at * 4 // 3)
+            end = q if q in stops else end
+        if end and b64(body[p:end]) is not None:
+            parts.append((p, end, "key"))
+    return parts
+
+
+def run_parts(run: str, lines: list[int]) -> list[tuple[int, int, str]]:
+    """Confirmed parts of a run of base64: the whole, or else those within it. A part that ends the run has its padding."""
+    data = b64(run)
+    if data and (kind := confirmed(data)):
+        return [(0, len(run), kind)]
+    body = run.rstrip("=")
+    return [(a, len(run) if b == len(body) else b, kind) for a, b, kind in base64_parts(body, lines)]
+
+
+def hex_parts(run: str, lines: list[int]) -> list[tuple[int, int, str]]:
+    """The same of hex digits, which hold a key only as a whole but for one digit at either end."""
+    n = len(run)
+    for a, b in [(0, n)] if n % 2 == 0 else [(0, n - 1), (1, n)]:
+        if kind := confirmed(bytes.fromhex(run[a:b])):
+            return [(a, b, kind)]
+    bounds = lambda: _bounds(run, lines)
+    return [x for shift in (0, 1) for x in _text_parts(bytes.fromhex(run[shift : n - (n - shift) % 2]), shift, 2, 1, n, bounds)]
+
+
+def wrapped_spans(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Confirmed parts of base64 or hex that goes on over line ends, except where a line alone has been ``found``."""
+    spans = []
+    for m in _WRAPPED.finditer(text):
+        places, joined, lines, at = [], [], [], m.start()
+        for br in [*_LINE.finditer(text, m.start(), m.end()), None]:
+            end = br.start() if br else m.end()
+            places.extend(range(at, end))
+            joined.append(text[at:end])
+            if br:
+                lines.append(len(places))
+                at = br.end()
+        run = "".join(joined)
+        if len(run.rstrip("=")) < LEAST:
+            continue
+        parts = run_parts(run, lines)
+        if _HEXRUN.fullmatch(run):
+            parts += hex_parts(run, lines)
+        for a, b, kind in parts:
+            start, end = places[a], places[b - 1] + 1
+            if any(a < x < b for x in lines) and not any(start <= s and e <= end and k == kind for s, e, k in found):
+                spans.append((start, end, kind))
+    return spans
 
 
 def added_spans(text: str) -> list[tuple[int, int, str]]:
@@ -149,14 +276,9 @@ def added_spans(text: str) -> list[tuple[int, int, str]]:
                 continue
             if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict):
                 spans.append((base + m.start(), base + m.end(), "jwt"))
-        for m in _RUN.finditer(part):
-            data = b64(m[0])
-            if data and (kind := confirmed(data)):
-                spans.append((base + m.start(), base + m.end(), kind))
-        for m in _HEXRUN.finditer(part):
-            if len(m[0]) % 2 == 0 and (kind := confirmed(bytes.fromhex(m[0]))):
-                spans.append((base + m.start(), base + m.end(), kind))
-    return spans
+    decoded = [(m.start() + a, m.start() + b, kind) for m in _RUN.finditer(text) for a, b, kind in run_parts(m[0], [])]
+    decoded += [(m.start() + a, m.start() + b, kind) for m in _HEXRUN.finditer(text) for a, b, kind in hex_parts(m[0], [])]
+    return spans + decoded + wrapped_spans(text, decoded)
 
 
 def find_secrets(text: str | None) -> list[tuple[int, int, str]]:

@@ -7,9 +7,8 @@ registered domain, then all documents) from soft counts that one grouped aggrega
 documents collects. Documents without letters, or whose text is far less likely under every model than
 the training texts were under their own, are rejected.
 
-The trigram models are fitted on a bounded sample: for each language the ``per_language`` labelled
-rows with the smallest hash of their id, among the ``max_languages`` most frequent labels. Everything
-else covers all rows.
+The trigram models are fitted on a bounded sample: for every label the ``per_language`` rows with the
+smallest hash of their id. Everything else covers all rows.
 
 Defined cases: a null or empty text, or one without letters, has no text evidence, is rejected and gets
 language null; null hosts, declarations or suffixes add no evidence; ties go to the language first in
@@ -78,17 +77,15 @@ class Model:
         return out, n
 
 
-def fit(docs: DataFrame, label: str = "lang", per_language: int = 300, max_languages: int = 32) -> Model:
-    """Models from at most per_language * max_languages labelled rows of ``docs`` (doc_id, text, label)."""
+def fit(docs: DataFrame, label: str = "lang", per_language: int = 300) -> Model:
+    """A model of every label, each from at most per_language labelled rows of ``docs`` (doc_id, text, label)."""
     rows = docs.select(F.col("text").alias("__t"), F.col(label).alias("__l"), F.xxhash64("doc_id").alias("__h")).where("__l is not null and __t is not null")
-    sizes = rows.groupBy("__l").count().orderBy(F.desc("count"), "__l").limit(max_languages).collect()
+    sizes = rows.groupBy("__l").count().collect()
     languages = sorted(r["__l"] for r in sizes)
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32), 0.0)
     # the hash below which about twice the wanted rows lie; of those the smallest hashes are taken
-    edge = F.lit(None).cast("double")
-    for r in sizes:
-        edge = F.when(F.col("__l") == r["__l"], F.lit(min(1.0, 2.0 * per_language / r["count"]))).otherwise(edge)
+    edge = F.create_map(*[F.lit(x) for r in sizes for x in (r["__l"], min(1.0, 2.0 * per_language / r["count"]))])[F.col("__l")]
     unit = F.shiftrightunsigned("__h", 11).cast("double") / F.lit(float(2**53))
     near = rows.where(unit <= edge)
     near = near.withColumn("__n", F.row_number().over(Window.partitionBy("__l").orderBy("__h", "__t"))).where(F.col("__n") <= per_language)

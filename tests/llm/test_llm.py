@@ -392,6 +392,19 @@ def test_language_id(spark, empty):
     assert q[0, names.index("es")] > q[2, names.index("es")] and q[1, names.index("de")] > q[2, names.index("de")]
 
 
+def test_every_label_is_modelled(spark):
+    rnd = random.Random(11)
+    rows = []
+    for k in range(40):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)]
+        rows += [(len(rows) + j, " ".join(rnd.choice(words) for _ in range(60)), f"l{k:02}", "s") for j in range(9 if k < 32 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = op10_langid.fit(df)
+    assert model.languages == [f"l{k:02}" for k in range(40)]
+    got = {r["doc_id"]: r["language"] for r in op10_langid.identify(df, model).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

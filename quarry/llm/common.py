@@ -42,11 +42,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage ends there, statistics begin."""
+def cut(df: DataFrame, tag: str, **options) -> DataFrame:
+    """Write ``df`` as a table in the shared folder (with the writer's ``options``) and read it again: lineage ends there, statistics begin."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     schema = df.schema
     del df
     release(spark)

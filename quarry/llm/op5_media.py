@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_rows
 
@@ -176,10 +177,10 @@ def payload(file: bytes, track: Track) -> bytes:
     return b"".join(file[a : a + n] for a, n in track.samples)
 
 
-def feature(track: Track) -> str:
-    """codec, duration in media time, samples, keyframes and a digest of their byte ranges."""
-    ranges = ",".join(f"{a}+{n}" for a, n in track.keyframes)
-    return f"codec={track.codec.strip()};duration={track.duration}/{track.timescale};samples={track.n_samples};keyframes={len(track.keyframes)};ranges={hashlib.sha256(ranges.encode()).hexdigest()[:16]}"
+def feature():
+    """codec, duration in media time, samples, keyframes and a digest of their byte ranges, from the columns of inspect()."""
+    ranges = F.array_join(F.transform("keyframes", lambda x: F.concat(x["offset"].cast("string"), F.lit("+"), x["bytes"].cast("string"))), ",")
+    return F.format_string("codec=%s;duration=%d/%d;samples=%d;keyframes=%d;ranges=%s", F.trim("codec"), "duration", "timescale", "samples", F.size("keyframes"), F.substring(F.sha2(ranges, 256), 1, 16))
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -194,16 +195,18 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def inspect(files: DataFrame) -> DataFrame:
-    """Digests and features of stored files (doc_id, n_bytes, media), their payload read back by byte ranges."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    """Digests of stored files (doc_id, n_bytes, media), their payload read back by byte ranges; codec, timescale, duration, samples and keyframes; the feature."""
+    keys = pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", keys)])
 
     def rows(batch: pa.RecordBatch) -> list:
-        out: list[list] = [batch.column("doc_id"), batch.column("n_bytes"), [], [], [], [], [], []]
+        out: list[list] = [batch.column("doc_id"), batch.column("n_bytes"), *([] for _ in range(10))]
         for file in batch.column("media").to_pylist():
             (track,) = probe(file)
             data = payload(file, track)
-            for column, value in zip(out[2:], (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature(track))):
+            for column, value in zip(out[2:], (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(file), hashlib.sha256(file).hexdigest(), track.codec, track.timescale, track.duration, track.n_samples, [{"offset": a, "bytes": n} for a, n in track.keyframes])):
                 column.append(value)
         return out
 
-    return files.mapInArrow(arrow_rows(schema, rows, 512), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = files.mapInArrow(arrow_rows(schema, rows, 512), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, timescale long, duration long, samples long, keyframes array<struct<offset:long,bytes:long>>")
+    return found.withColumn("feature", feature())

@@ -34,7 +34,8 @@ def op4_bpe_transducer(spark, sf_dir) -> DataFrame:
 
 
 def op5_media_columns(spark, sf_dir) -> DataFrame:
-    return op5_media.inspect(op5_media.store(table(spark, sf_dir, "documents")))
+    files = op5_media.store(table(spark, sf_dir, "documents"))
+    return op5_media.inspect(cut(files, "media", **{"parquet.block.size": 8 << 20}))  # small row groups: a task holds one of whole files
 
 
 def op6_repair_shards(spark, sf_dir) -> DataFrame:

@@ -216,6 +216,20 @@ def test_media(spark):
             [op5_media.payload(bad, t) for t in op5_media.probe(bad)] or (_ for _ in ()).throw(ValueError)
 
 
+def test_media_columns_of_the_registered_query(spark, tmp_path):
+    rows = [(1, "z" * 100_000), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.op5_media_columns(spark, str(tmp_path))
+    (source,) = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+    assert source == "media"  # stored, and read again
+    for r in df.collect():
+        (track,) = op5_media.probe(op5_media.encode(op5_media.padded((dict(rows)[r["doc_id"]] or "").encode())))
+        assert (r["codec"], r["timescale"], r["duration"], r["samples"]) == (track.codec, track.timescale, track.duration, track.n_samples)
+        assert [tuple(k) for k in r["keyframes"]] == [tuple(k) for k in track.keyframes]
+        ranges = hashlib.sha256(",".join(f"{a}+{n}" for a, n in track.keyframes).encode()).hexdigest()[:16]
+        assert r["feature"] == f"codec={track.codec.strip()};duration={track.duration}/{track.timescale};samples={track.n_samples};keyframes={len(track.keyframes)};ranges={ranges}"
+
+
 def test_repair(spark):
     from tokenizers import Tokenizer
 

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame
 from quarry.llm import op1_mix, op2_secrets, op3_topk, op4_bpe, op5_media, op6_repair, op7_ngram_join, op8_html, op9_chat, op10_langid
 from quarry.llm.common import cut, table
 
-#: Where the public tokenizer files lie.
-TOKENIZERS = os.environ.get("QUARRY_TOKENIZERS", "/opt/tokenizers")
 
 
 def tokenizer_path(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """A public tokenizer file: in the folder QUARRY_TOKENIZERS where that is set, else where its package keeps it."""
+    folder = os.environ.get("QUARRY_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark, sf_dir) -> DataFrame:

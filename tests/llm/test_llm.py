@@ -342,17 +342,52 @@ def test_html(spark):
     assert order.tolist() == sorted(range(7), key=lambda i: tokens[i:].tolist())
 
 
-def test_html_repeats_of_a_host_are_summed_over_its_shards(spark):
-    page = "<body><p>Unique %d words of page %d and nothing else here<div>%s</div>"
-    common = "Copyright 2020 the great company of the example all rights reserved"
-    # 30 of 600 pages (5 percent) hold the passage, so few shards hold it on 5 percent of their own; 29 do not count as frequent.
-    rows = [(i, f"http://big.example/{i}", page % (i, i, common if i % 20 == 0 else "own" if i % 20 != 1 or i < 20 else common.replace("example", "rare"))) for i in range(600)]
-    rows += [(1000 + i, f"http://small.example/{i}", page % (i, i, common)) for i in range(3)]
+def brute_main_text(pages):
+    """Main texts of the pages of one host without marks or noise: every window of 8 words is looked for on every page."""
+    parsed = [[" ".join(x.split()) for x in re.split("</?(?:p|div|body)>", p) if x.strip()] for p in pages]
+    streams = [" ".join(bs).split() for bs in parsed]
+    windows = [{tuple(s[k : k + 8]) for k in range(len(s) - 7)} for s in streams]
+    common = {w for w, n in collections.Counter(w for ws in windows for w in ws).items() if n >= 3}
+    short = {t for t, n in collections.Counter(t for bs in parsed for t in set(bs) if len(t.split()) < 8).items() if n >= 3 and 2 * n >= len(pages)}
+    out = []
+    for bs, s in zip(parsed, streams):
+        cover = [any(tuple(s[j : j + 8]) in common for j in range(max(0, k - 7), k + 1)) for k in range(len(s))]
+        at, kept = 0, []
+        for t in bs:
+            own, at = cover[at : at + len(t.split())], at + len(t.split())
+            runs = [[0, own[0], 0]]
+            for k, c in enumerate(own):
+                if c != runs[-1][1]:
+                    runs.append([k, c, k])
+                runs[-1][2] = k + 1
+            live = [w for k, c, end in runs for w in t.split()[k:end] if not c or end - k < 8 and not all(own)]
+            if live and t not in short:
+                kept.append(" ".join(live))
+        out.append("\n\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("size", [50, 900])
+def test_html_without_marks_equals_brute_force_whatever_the_size_of_the_host(spark, size):
+    rnd = random.Random(2)
+    foot = "Copyright 2020 the great company of the example all rights reserved"
+    section = "see also the other pages of this small section of ours"
+    page = lambda i: f"<body><div>Share this story</div><p>{' '.join(rnd.choice(WORDS) + str(rnd.randrange(10**6)) for _ in range(12))} page {i}<p>{'Intro' if i % 9 == 0 else f'own {i}'}<div>{section if i % 17 == 0 and i < 51 else f'alone {i}'}</div><div>{foot if i % 2 else 'x ' + foot}</div>"
+    pages = [page(i) for i in range(size)]
+    rows = [(i, f"http://big.example/{i}", p) for i, p in enumerate(pages)] + [(1000 + i, f"http://small.example/{i}", p) for i, p in enumerate(pages[:2])]
     out = {r["page_id"]: r["text"] for r in op8_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert len(out) == len(rows)
-    for i, _, html_ in rows:
-        tail = "" if i % 20 == 0 or i >= 1000 else "\n\nown" if "own" in html_ else "\n\n" + common.replace("example", "rare")
-        assert out[i] == f"Unique {i % 1000} words of page {i % 1000} and nothing else here{tail}"
+    expected = brute_main_text(pages)
+    assert [out[i] for i in range(size)] == expected == op8_html.extract_shard(pages)
+    assert "Share" not in expected[0] and section not in expected[17] and "Copyright" not in expected[1] and "Intro" in expected[9]
+    assert "Share this story" in out[1000] and foot in out[1001]  # two pages repeat nothing
+
+
+def test_html_of_repeated_rows_long_pages_and_clashing_columns(spark):
+    long = "<main><p>" + "word & more " * 60000 + "</main>"
+    rows = [(1, "http://a/1", "<p>one two", "h"), (1, "http://a/1", "<p>one two", "h"), (2, None, long, "i"), (None, "no address", "<p>x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, __host string").withColumns({"__shard": F.lit(3), "window": F.lit("w"), "text": F.lit("t")})
+    out = [(r["page_id"], r["text"]) for r in op8_html.extract(df).collect()]
+    assert sorted(x for x in out if x[0] == 1) == [(1, "one two")] * 2 and (None, "x") in out and (2, ("word & more " * 60000).strip()) in out and len(out) == 4
 
 
 def test_html_of_the_smallest_pages():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, one beside the warehouse, which they share too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quarry-")
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), ".quarry")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -37,7 +37,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's cleaner drop shuffle files of plans that are no longer referenced."""
+    """Let the driver's cleaner drop shuffle files of plans that are no longer referenced: disk is scarcer than a short collection."""
     gc.collect()
     spark._jvm.System.gc()
 
@@ -53,6 +53,12 @@ def cut(df: DataFrame, tag: str, **options) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed by position, and each new name by its old one: no name of an operator's own can clash."""
+    names = {name: f"c{k}" for k, name in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def arrow_rows(
     schema: pa.Schema, fn: Callable[[pa.RecordBatch], list[list]], rows: int = 2048
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

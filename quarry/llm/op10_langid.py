@@ -1,18 +1,23 @@
 """Language identification by Bayesian fusion of evidence.
 
-Per document: log likelihoods of its whole text under byte-trigram models (tempered, as neighbouring
+Per row: log likelihoods of its whole text under byte-trigram models (tempered, as neighbouring
 trigrams overlap), plus log likelihoods of the declared markup language and of the address suffix
 given each language, plus a host prior. Host priors are smoothed hierarchically (host, then its
-registered domain, then all documents) from soft counts that one grouped aggregation over all
-documents collects. Documents without letters, or whose text is far less likely under every model than
+registered domain, then all rows) from soft counts that one grouped aggregation over all
+rows collects. Rows without letters, or whose text is far less likely under every model than
 the training texts were under their own, are rejected.
 
 The trigram models are fitted on a bounded sample: for every label the ``per_language`` rows with the
-smallest hash of their id. Everything else covers all rows.
+smallest hash of their id. Everything else covers all rows. ``fit_folds`` fits two models, each on one half of the ids
+by hash, and ``identify`` judges every row by the model of the other half, so no row is judged by a model that saw its label.
+
+``languages_of`` judges documents and pages together: a page's text is its markup without tags, its declared language
+the html element's lang, its address the url, whose host has its prior from all pages; a document's host is its source.
 
 Defined cases: a null or empty text, or one without letters, has no text evidence, is rejected and gets
 language null; null hosts, declarations or suffixes add no evidence; ties go to the language first in
-code point order; an empty or unlabelled training table rejects every row.
+code point order; an empty or unlabelled training table rejects every row; repeated rows are judged each; with keep=True other
+columns, whatever their names, go along.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, numbered
 
 BITS = 16
 TEMPER = 0.5
@@ -77,10 +82,15 @@ class Model:
         return out, n
 
 
+def fold_of(id_col: str):
+    """The half, 0 or 1, that a row's id falls into."""
+    return F.coalesce(F.xxhash64(F.col(id_col)).bitwiseAND(1), F.lit(0)).cast("int")
+
+
 def fit(docs: DataFrame, label: str = "lang", per_language: int = 300) -> Model:
     """A model of every label, each from at most per_language labelled rows of ``docs`` (doc_id, text, label)."""
     rows = docs.select(F.col("text").alias("__t"), F.col(label).alias("__l"), F.xxhash64("doc_id").alias("__h")).where("__l is not null and __t is not null")
-    sizes = rows.groupBy("__l").count().collect()
+    sizes = rows.groupBy("__l").count().collect()  # one row for each label
     languages = sorted(r["__l"] for r in sizes)
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32), 0.0)
@@ -94,15 +104,29 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = 300) -> Model:
     held = []
     for r in near.select("__l", "__t").toLocalIterator():
         codes, live = trigrams(f" {r['__t']} ".encode())
-        codes = codes[live]
+        codes, n = np.unique(codes[live], return_counts=True)
         if len(codes):
-            counts[:, place[r["__l"]]] += np.bincount(codes, minlength=1 << BITS)
-            held.append((codes if len(codes) < 5000 else codes[:: len(codes) // 2500], place[r["__l"]]))
+            counts[codes, place[r["__l"]]] += n
+            held.append((codes.astype(np.uint16), n, place[r["__l"]]))
     table = np.log((counts + 0.02) / (counts.sum(0) + 0.02 * (1 << BITS))).astype(np.float32)
-    means = [float(table[c, k].mean()) for c, k in held if len(c) >= 20]
+    means = [float(table[c, k] @ n / n.sum()) for c, n, k in held if n.sum() >= 20]
     return Model(languages, table, (min(means) if means else -12.0) - MARGIN)
 
 
+def fit_folds(docs: DataFrame, label: str = "lang", per_language: int = 300) -> tuple[Model, Model]:
+    """Two models: the first judges rows of fold 0 and is fitted on fold 1, the second the other way round. Both know the same languages."""
+    models = [fit(docs.where(fold_of("doc_id") == 1 - k), label, per_language) for k in range(2)]
+    names = sorted({x for m in models for x in m.languages})
+    return tuple(m if m.languages == names else _widened(m, names, other) for m, other in zip(models, models[::-1]))
+
+
+def _widened(model: Model, names: list[str], other: Model) -> Model:
+    """``model`` with the languages that only the other half's rows are labelled with, as the other half has them."""
+    columns = [model.table[:, model.languages.index(x)] if x in model.languages else other.table[:, other.languages.index(x)] for x in names]
+    floor = model.floor if model.languages else other.floor
+    return Model(names, np.stack(columns, 1), floor)
+
+
 def _evidence(languages: list[str], named: str | None, trust: float) -> np.ndarray:
     if named not in languages or len(languages) < 2:
         return np.zeros(len(languages))
@@ -146,22 +170,44 @@ def _domain(host):
     return F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.size(parts) - 1, 2), ".")).otherwise(host)
 
 
-def host_priors(docs: DataFrame, model: Model, host: str, text: str, declared: str | None, address: str | None) -> tuple[DataFrame, list[float]]:
-    """The shares of all documents, and __host and __prior (array<double>): smoothed language shares of every host, from all rows."""
-    languages = model.languages
-    names = ["__h", "__t", *(["__d"] if declared else []), *(["__a"] if address else [])]
-    frame = docs.select(F.col(host).alias("__h"), F.col(text).alias("__t"), *([F.col(declared).alias("__d")] if declared else []), *([F.col(address).alias("__a")] if address else []))
+class _Columns:
+    """Judges Arrow batches: which column holds which evidence, and the model for each row's fold."""
+
+    def __init__(self, models: tuple[Model, ...], names: list[str], text: str, fold: str | None, declared: str | None, address: str | None):
+        self.models, self.names = models, names
+        self.of = {"text": text, "fold": fold, "declared": declared, "address": address}
+
+    def get(self, part: pa.RecordBatch, what: str) -> list | None:
+        name = self.of[what]
+        return part.column(self.names.index(name)).to_pylist() if name else None
+
+    def judge(self, part: pa.RecordBatch, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        evidence = [self.get(part, x) for x in ("text", "declared", "address")]
+        if len(self.models) == 1:
+            return posterior(self.models[0], *evidence, prior)
+        folds = np.array(self.get(part, "fold"), np.int64)
+        p, n, ok = np.zeros((len(folds), len(self.models[0].languages))), np.zeros(len(folds), np.int64), np.zeros(len(folds), bool)
+        for k, model in enumerate(self.models):
+            rows = np.flatnonzero(folds == k)
+            if len(rows):
+                p[rows], n[rows], ok[rows] = posterior(model, *([x[i] for i in rows] if x is not None else None for x in evidence), None if prior is None else prior[rows])
+        return p, n, ok
+
+
+def host_priors(frame: DataFrame, judge: _Columns, host: str) -> tuple[DataFrame, list[float]]:
+    """The shares of all rows, and host and prior (array<double>): smoothed language shares of every host, from all rows."""
+    languages = judge.models[0].languages
     fields = ", ".join(f"p{k} double" for k in range(len(languages)))
     schema = pa.schema([("h", pa.string()), *((f"p{k}", pa.float64()) for k in range(len(languages)))])
+    at = judge.names.index(host)
 
     def run(batches):
         for batch in batches:
             total: dict[str | None, np.ndarray] = {}
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                get = lambda n: part.column(names.index(n)).to_pylist() if n in names else None  # noqa: B023, E731
-                p, _, ok = posterior(model, get("__t"), get("__d"), get("__a"))
-                for h, row, good in zip(get("__h"), p, ok):
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                p, _, ok = judge.judge(part)
+                for h, row, good in zip(part.column(at).to_pylist(), p, ok):
                     if good and h is not None:
                         total[h] = total.get(h, 0) + row
             keys = list(total)
@@ -177,53 +223,71 @@ def host_priors(docs: DataFrame, model: Model, host: str, text: str, declared: s
     arr = lambda x: F.array(*[F.col(f"{x}{k}") for k in range(len(languages))])
     smooth = lambda counts, parent: F.zip_with(counts, parent, lambda c, q: (c + KAPPA * q) / (F.aggregate(counts, F.lit(0.0), lambda s, v: s + v) + KAPPA))
     joined = hosts.join(domains, "d")
-    joined = joined.withColumn("__up", smooth(arr("d"), F.array(*[F.lit(x) for x in shares])))
-    return cut(joined.select(F.col("h").alias("__host"), smooth(arr("p"), F.col("__up")).alias("__prior")), "priors"), shares
+    joined = joined.withColumn("up", smooth(arr("d"), F.array(*[F.lit(x) for x in shares])))
+    return cut(joined.select(F.col("h").alias("host"), smooth(arr("p"), F.col("up")).alias("prior")), "priors"), shares
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", host: str | None = "source", declared: str | None = None, address: str | None = None, keep: bool = False) -> DataFrame:
-    """Language, its posterior and acceptance of every row.
+def identify(docs: DataFrame, model: Model | tuple[Model, Model], id_col: str = "doc_id", text: str = "text", host: str | None = "source", declared: str | None = None, address: str | None = None, keep: bool = False) -> DataFrame:
+    """Language, its posterior and acceptance of every row; with two models each row is judged by that of its fold.
 
     keep=False: (id_col, language, confidence, n_trigrams, accepted). keep=True: the accepted rows of
     ``docs`` with the columns of ``docs``.
     """
-    columns = docs.columns
-    languages = model.languages
+    models = model if isinstance(model, tuple) else (model,)
+    languages = models[0].languages
+    rows, of = numbered(docs if keep else docs.select(*dict.fromkeys([id_col, text, *(x for x in (host, declared, address) if x)])))
+    columns = rows.columns
+    frame = rows.withColumn("fold", fold_of(of[id_col]))
+    judge = _Columns(models, frame.columns, of[text], "fold", of[declared] if declared else None, of[address] if address else None)
     shares = None
-    frame = docs if keep else docs.select(*dict.fromkeys([id_col, text, *(x for x in (host, declared, address) if x)]))
     if host and languages:
-        priors, shares = host_priors(docs, model, host, text, declared, address)
-        frame = frame.withColumn("__host", F.col(host)).join(priors, "__host", "left").drop("__host")
+        priors, shares = host_priors(frame, judge, of[host])
+        # rows without host need no prior and stay out of the join, which deals by host
+        known = frame.where(F.col(of[host]).isNotNull()).join(priors, F.col(of[host]) == F.col("host"), "left").drop("host")
+        frame = known.unionByName(frame.where(F.col(of[host]).isNull()).withColumn("prior", F.lit(None).cast("array<double>")))
     else:
-        frame = frame.withColumn("__prior", F.lit(None).cast("array<double>"))
+        frame = frame.withColumn("prior", F.lit(None).cast("array<double>"))
     names = frame.columns
+    judge.names = names
     schema = pa.schema([("id", pa.int64()), ("language", pa.string()), ("confidence", pa.float64()), ("n_trigrams", pa.int64()), ("accepted", pa.bool_())])
 
-    def decide(part):
-        get = lambda n: part.column(names.index(n)).to_pylist() if n else None
-        prior = None
-        if shares:
-            prior = np.array([x or shares for x in get("__prior")])
-        return posterior(model, get(text), get(declared), get(address), prior)
-
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                p, n, ok = decide(part)
+                prior = np.array([x or shares for x in part.column(names.index("prior")).to_pylist()]) if shares else None
+                p, n, ok = judge.judge(part, prior)
                 if keep:
-                    rows = part.filter(pa.array(ok))
-                    yield pa.RecordBatch.from_arrays([rows.column(names.index(c)) for c in columns], names=columns)
+                    kept = part.filter(pa.array(ok))
+                    yield pa.RecordBatch.from_arrays([kept.column(names.index(c)) for c in columns], names=columns)
                 else:
                     top = p.argmax(1) if languages else np.zeros(len(n), int)
                     said = [languages[k] if good else None for k, good in zip(top, ok)]
                     sure = [float(row[k]) if good else None for row, k, good in zip(p, top, ok)]
-                    yield pa.RecordBatch.from_arrays([part.column(names.index(id_col)).cast(pa.int64()), pa.array(said, pa.string()), pa.array(sure, pa.float64()), pa.array(n), pa.array(ok)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([part.column(names.index(of[id_col])).cast(pa.int64()), pa.array(said, pa.string()), pa.array(sure, pa.float64()), pa.array(n), pa.array(ok)], schema=schema)
 
     if keep:
-        return frame.mapInArrow(run, docs.schema)
+        return frame.mapInArrow(run, rows.schema).toDF(*docs.columns)
     return frame.mapInArrow(run, f"{id_col} long, language string, confidence double, n_trigrams long, accepted boolean")
 
 
-def languages_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return identify(docs, fit(docs))
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """page_id, text, declared, address and host of web pages (page_id, url, html), in DataFrame functions."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1\s*>|<[^>]*>", " ")
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        bare.alias("text"),
+        F.nullif(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", 1), F.lit("")).alias("declared"),
+        F.col("url").alias("address"),
+        F.nullif(F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")).alias("host"),
+    )
+
+
+def languages_of(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page_id, language, confidence, n_trigrams, accepted of every document (page_id null) and every page (doc_id null)."""
+    models = fit_folds(docs)
+    said = identify(docs, models).withColumn("page_id", F.lit(None).cast("long"))
+    seen = identify(page_evidence(pages), models, id_col="page_id", host="host", declared="declared", address="address").withColumn("doc_id", F.lit(None).cast("long"))
+    out = ["doc_id", "page_id", "language", "confidence", "n_trigrams", "accepted"]
+    return said.select(*out).unionByName(seen.select(*out))

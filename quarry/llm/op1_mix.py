@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, cut
+from quarry.llm.common import WORD, cut, numbered
 
 MAX_EPOCHS = 3
 LOWEST = -(2**63)
@@ -28,14 +28,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keyed(docs: DataFrame, seed: int) -> DataFrame:
+def keyed(docs: DataFrame, seed: int, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with __sk (source, never null), __size, __key (53 random bits) and __id."""
     return docs.withColumns(
         {
-            "__sk": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))),
-            "__size": word_count(F.col("text")),
-            "__key": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 11),
-            "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)),
+            "__sk": F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source))),
+            "__size": word_count(F.col(text)),
+            "__key": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), 11),
+            "__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)),
         }
     )
 
@@ -107,16 +107,19 @@ def mixed_rows(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2,
     """The mix itself: ``docs`` repeated as often as it is taken, the cut document up to its last taken word.
 
     A document taken once more in part yields one row whose text ends with that word; n_chars follows the text.
+    A document without words adds none to any target and is not in the mix. Other columns, whatever their names, go along.
     """
     names = docs.columns
     sized = cut(keyed(docs.select("doc_id", "text", "source"), seed).drop("text"), "sized")
     per = cut(cuts(sized, cycle, epochs).drop("source"), "cuts")
-    out = keyed(docs, seed).join(per, "__sk").withColumn("__taken", taken()).where("__taken > 0")
+    rows, of = numbered(docs)
+    text = of["text"]
+    out = keyed(rows, seed, of["doc_id"], text, of["source"]).join(per, "__sk").withColumn("__taken", taken()).where("__taken > 0")
     whole, rest = F.floor(F.col("__taken") / F.col("__size")).cast("int"), (F.col("__taken") % F.col("__size")).cast("int")
     parts = F.concat(F.when(whole > 0, F.array_repeat(F.lit(0), whole)).otherwise(F.array().cast("array<int>")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     out = out.withColumn("__part", F.explode(parts))
-    lead = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.greatest(F.col("__part"), F.lit(1))), "")
-    out = out.withColumn("text", F.when(F.col("__part") > 0, lead).otherwise(F.col("text")))
+    lead = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.greatest(F.col("__part"), F.lit(1))), "")
+    out = out.withColumn(text, F.when(F.col("__part") > 0, lead).otherwise(F.col(text)))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        out = out.withColumn(of["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*of.values()).toDF(*names)

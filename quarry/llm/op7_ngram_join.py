@@ -19,7 +19,7 @@ first n - ceil(t * n) + EXTRA elements (fewer for tiny sets), so only those pref
 
 Nothing of all documents reaches the driver but the table of counts, 2**BITS_MOST bytes at most, whose size is
 fixed by construction (about 64 counters a document below that). Id lists are broadcast only up to
-FEW rows and joined by shuffle beyond.
+FEW bytes and joined by shuffle beyond.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own component; a
 text of fewer than ``words`` words is one n-gram; rows with a null id take no part in linking and get a
@@ -36,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, numbered
 
 EXTRA = 4
 BITS_LEAST, BITS_MOST, CHUNK = 16, 24, 1 << 16
-FEW = 1_000_000
+FEW = 16 << 20  # bytes of ids that are broadcast
+HOT = 100_000  # at most so many groups of equal sets are joined by broadcast: those with more than a HOT-th of the rows
 GROUP = 256
 BATCH = 1000  # rows of an Arrow batch: whole texts, some very long
 PARITY = 8  # 64-bit words of a set's parity bitmap
@@ -245,8 +246,9 @@ def _sets(docs: DataFrame, words: int, num: int, den: int, counts) -> DataFrame:
 
 
 def few(df: DataFrame, limit: int = FEW) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows of a few numbers, else as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
+    """``df``, a table of numbers, marked for broadcast if its rows take at most ``limit`` bytes, else as it is."""
+    width = sum(4 if f.dataType.simpleString() == "int" else 8 for f in df.schema)
+    return F.broadcast(df) if df.count() * width <= limit else df
 
 
 def verify(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int, counts) -> DataFrame:
@@ -384,21 +386,29 @@ def _join(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     if not more.isEmpty():
         found = found.unionByName(verify(docs, more, words, num, den, counts))
         part = cut(components(found), "components")
-    rep_of = live.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    named = rep_of.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    linked = live.select("doc_id", "n", "fp").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rep_of = live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    named = rep_of.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "copies")
+    named = cut(named, "named")
+    # large groups of equal sets, at most HOT of them whatever the data, meet their rows by broadcast, so no task holds one
+    edge = max(GROUP, -(-live.count() // HOT))
+    hot = F.broadcast(named.where(F.col("copies") > edge).drop("copies"))
+    rows = live.select("doc_id", "n", "fp")
+    cold = rows.join(hot, "fp", "left_anti").join(named.where(F.col("copies") <= edge).drop("copies"), "fp")
+    linked = cold.unionByName(rows.join(hot, "fp")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = base.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest id; rows without id stay."""
-    rows = cut(join(docs, words, num, den), "joined")
-    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(few(cut(gone, "gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = rows.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    """``docs`` with one row of each component, the one with the smallest id; rows without id stay. Other columns, whatever their names, go along."""
+    joined = cut(join(docs, words, num, den), "joined")
+    rows, of = numbered(docs)
+    key = F.col(of["doc_id"])
+    gone = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = rows.join(few(cut(gone, "gone")), key == F.col("gone"), "left_anti")
+    again = joined.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
     again = cut(again, "again")
-    if again.isEmpty():
-        return kept
-    twice = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(twice)
+    if not again.isEmpty():
+        twice = kept.join(again, key == F.col("again"), "left_semi").dropDuplicates([of["doc_id"]])
+        kept = kept.join(again, key == F.col("again"), "left_anti").unionByName(twice)
+    return kept.toDF(*docs.columns)

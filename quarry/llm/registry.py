@@ -63,7 +63,7 @@ def op9_chat_format(spark, sf_dir) -> DataFrame:
 
 
 def op10_language_id(spark, sf_dir) -> DataFrame:
-    return op10_langid.languages_of(spark, table(spark, sf_dir, "documents"))
+    return op10_langid.languages_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def queries():

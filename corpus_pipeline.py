@@ -18,7 +18,7 @@ from quarry.llm.registry import tokenizer_path
 
 
 def language_id(spark, docs, sf_dir):
-    return op10_langid.identify(docs, op10_langid.fit(docs), keep=True)
+    return op10_langid.identify(docs, op10_langid.fit_folds(docs), keep=True)
 
 
 def ngram_join(spark, docs, sf_dir):

@@ -4,12 +4,15 @@ A merge is prevented from the right only by a merge of lower rank whose output b
 so dependence runs along chains of overlapping outputs with falling ranks. ``lookahead`` adds up the
 longest such chain for the whole merge list: a token is final as soon as that many symbols behind its
 end are known. ``symbols_to_ids`` therefore encodes runs of any length in windows of fixed size, emits
-the tokens that are stable and goes on behind them. Texts are read in pieces that end at white space,
-which no token crosses; words seen before come from a bounded table.
+the tokens that are stable and goes on behind them. Texts are read in pieces of about PIECE characters that end
+before white space behind a visible character, which no token crosses; words seen before come from a bounded
+table. ``stream`` yields the ids of a piece at a time, and digests of ids and of decoded text follow it, so beside the text
+itself a document of any length takes the memory of one piece, or of one window where a word is longer. (The lookahead of
+a public word file is some thousand symbols, so most words are one window.)
 
 Decoding is a state machine from ids to text: tokens are mapped to bytes, bytes to characters by an
 incremental UTF-8 decoder, so no more than one unfinished character is held. Files without a decoder
-are decoded as their library does: tokens joined by spaces.
+are decoded as their library does: tokens joined by spaces; the machine holds whether one has gone out.
 
 Defined cases: a null text is empty and has no ids; special tokens in a text become their ids, as in the
 library; a text without any token decodes to the empty text.
@@ -34,6 +37,7 @@ from quarry.llm.common import arrow_rows
 PIECE = 1 << 16
 TABLE = 400_000
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(f"[^{_SPACE}](?=[{_SPACE}])")
 _NARROW = 0x250  # below it classes of characters are enumerated, so the plain regular expressions serve
 _WIDE = re.compile(f"[^\\x00-\\u{_NARROW - 1:04x}]")
 
@@ -96,6 +100,7 @@ class Transducer:
         chars = byte_chars()
         self.byte_char = chars
         self.char_byte = {c: b for b, c in enumerate(chars)}
+        self.token_bytes = {} if self.plain_decoder else {i: bytes(self.char_byte[c] for c in t) for i, t in self.tokens.items() if i not in set(self.special.values())}
         self.words = _Words(self)
         steps = json.dumps(spec.get("normalizer") or {})
         self.nfc, self.lower = '"NFC"' in steps, '"Lowercase"' in steps
@@ -110,7 +115,6 @@ class Transducer:
             self.narrow = re.compile(f"[{letters}]+|[{numbers}]|{tails}|[^{_SPACE}{letters}{numbers}]+")
             self.wide = regex.compile(rf"{tails}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
         self.id_names = [str(k) for k in range(max(self.tokens) + 1)]
-        self.breaks_at_space = spec["pre_tokenizer"]["type"] != "ByteLevel"
 
     def symbols(self, word: str) -> list[str]:
         out = [self.byte_char[b] for b in word.encode()]
@@ -188,56 +192,73 @@ class Transducer:
         return text
 
     def pieces(self, text: str):
-        """Parts of a text that end before white space (for files whose tokens drop it), else the text."""
-        at, n = 0, len(text)
-        while self.breaks_at_space and n - at > 2 * PIECE:
-            end = max(text.rfind(" ", at, at + PIECE), text.rfind("\n", at, at + PIECE))
-            if end <= at:
-                end = text.find(" ", at + PIECE)
-                if end < 0:
-                    break
-            yield text[at:end]
-            at = end
+        """Parts of a text of about PIECE characters, cut before white space behind a visible character."""
+        at = 0
+        while len(text) - at > 2 * PIECE:
+            m = _CUT.search(text, at + PIECE)
+            if not m:
+                break
+            yield text[at : m.start() + 1]
+            at = m.start() + 1
         yield text[at:]
 
-    def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
+    def stream(self, text: str | None):
+        """Ids of a text, as one list for each piece and special token."""
         if not text:
-            return ids
-        parts = self.split.split(text) if self.split and "<|" in text else (text,)
+            return
+        parts = self.split.split(text) if self.split and any(t in text for t in self.special) else (text,)
         for part in parts:
             if part in self.special:
-                ids.append(self.special[part])
+                yield [self.special[part]]
                 continue
             for piece in self.pieces(part):
                 piece = self.normal(piece)
-                found = (self.wide if _WIDE.search(piece) else self.narrow).findall(piece)
-                for got in map(self.words.__getitem__, found):
+                ids: list[int] = []
+                for got in map(self.words.__getitem__, (self.wide if _WIDE.search(piece) else self.narrow).findall(piece)):
                     ids += got
-        return ids
+                yield ids
 
-    def texts(self, ids):
-        """Decoded text of a stream of ids, part by part."""
-        if self.plain_decoder:
-            gap = ""
-            for i in ids:
-                yield gap + self.tokens[i]
-                gap = " "
-            return
-        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    def encode(self, text: str | None) -> list[int]:
+        return [i for ids in self.stream(text) for i in ids]
+
+    def decoder(self) -> Decoder:
+        return Decoder(self)
+
+    def decode(self, ids: list[int]) -> str:
+        machine = Decoder(self)
+        return machine.feed(ids) + machine.end()
+
+
+class Decoder:
+    """The state machine from ids to text: ``feed`` gives the text that ids settle, ``end`` what an unfinished character leaves."""
+
+    def __init__(self, owner: Transducer):
+        self.owner, self.begun = owner, False
+        self.ends = set(owner.special.values())
+        self.chars = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: list[int]) -> str:
+        tokens = self.owner.tokens
+        if self.owner.plain_decoder:
+            text = " ".join(map(tokens.__getitem__, ids))
+            if ids and self.begun:
+                text = " " + text
+            self.begun = self.begun or bool(ids)
+            return text
+        if self.ends.isdisjoint(ids):
+            return self.chars.decode(b"".join(map(self.owner.token_bytes.__getitem__, ids)))
+        out = []
         for i in ids:
-            token = self.tokens[i]
-            if i in self.special.values():
-                yield decoder.decode(b"", True) + token
-                decoder.reset()
+            if i in self.ends:
+                out.append(self.end() + tokens[i])
             else:
-                yield decoder.decode(bytes(self.char_byte[c] for c in token))
-        yield decoder.decode(b"", True)
+                out.append(self.chars.decode(self.owner.token_bytes[i]))
+        return "".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        if self.plain_decoder:
-            return " ".join(map(self.tokens.__getitem__, ids))
-        return "".join(self.texts(ids))
+    def end(self) -> str:
+        rest = self.chars.decode(b"", True)
+        self.chars.reset()
+        return rest
 
 
 class _Words(dict):
@@ -271,12 +292,20 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
         out: list[list] = [batch.column("doc_id").cast(pa.int64()), [], [], []] + [[]] * with_ids
         kept = []
         for text in batch.column("text").to_pylist():
-            ids = coder.encode(text)
-            out[1].append(len(ids))
-            out[2].append(hashlib.sha256(" ".join(map(coder.id_names.__getitem__, ids)).encode()).hexdigest())
-            out[3].append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
-            if with_ids:
-                kept.append(pa.array(ids, pa.int32()))
+            machine, said, read, n = coder.decoder(), hashlib.sha256(), hashlib.sha256(), 0
+            held = []
+            for ids in coder.stream(text):
+                if ids:
+                    said.update(((" " if n else "") + " ".join(map(coder.id_names.__getitem__, ids))).encode())
+                    read.update(machine.feed(ids).encode())
+                    n += len(ids)
+                    if with_ids:
+                        held.append(pa.array(ids, pa.int32()))
+            read.update(machine.end().encode())
+            out[1].append(n)
+            out[2].append(said.hexdigest())
+            out[3].append(read.hexdigest())
+            kept += held
         if with_ids:
             lengths = [0, *out[1]]
             for k in range(1, len(lengths)):

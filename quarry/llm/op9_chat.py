@@ -6,15 +6,17 @@ turn, sorted by seq and folded into messages:
   delta       appends text to the turn's open message
   edit        replaces the text of the turn's open message
   regenerate  empties the turn's open message and discards later turns opened before this event
-Messages are then sorted by conversation and turn, discarded ones dropped, and each is rendered as one
-piece of output:
+Each message is rendered there as one piece of output; pieces are then sorted by conversation and turn, and
+discarded ones dropped:
   user        [INST] text [/INST]
   assistant   <s>text</s>
   any other   <<SYS>>role (newline) text<</SYS>>
 Inside texts and roles a backslash follows the first character of every control string, and precedes
 every backslash and, in roles, every newline; reading a piece undoes exactly that. Both folds stream in sorted order and
-hold one message, whatever the length of a conversation. ``read_back`` parses pieces and digests each
-conversation; a digest is sequential, so all pieces of a conversation pass through one task as a stream.
+hold one message, whatever the length of a conversation. Folding and rendering are dealt by conversation and turn, so a
+conversation with a large share of all rows spreads over the tasks. ``read_back`` parses pieces and digests each
+conversation; a digest is sequential, so all pieces of a conversation pass through one task as a stream, which there only
+parses and hashes.
 
 Defined cases: null texts and roles are empty; events of a turn without open message open one (deltas and
 edits with their role); rows equal in turn are ordered by seq, kind, role, text; null turns come first;
@@ -42,7 +44,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text)
+    return _UNESCAPE.sub(r"\1", text) if "\\" in text else text
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
@@ -106,11 +108,11 @@ def fold_messages(rows):
         yield (*key, message[0], message[1], message[2], "".join(message[3]))
 
 
-def render_messages(rows):
-    """Pieces of messages sorted by conv_id, turn, opened; those that a regeneration discarded are left out."""
+def kept_pieces(rows):
+    """Pieces sorted by conv_id, turn, opened, numbered; those that a regeneration discarded are left out."""
     conv, edge, n, first = None, None, 0, True
     turn_now, turn_edge = None, None
-    for c, turn, opened, redone, role, text in rows:
+    for c, turn, opened, redone, piece, start, end in rows:
         if first or c != conv:
             conv, edge, n, first, turn_now, turn_edge = c, None, 0, False, turn, None
         if turn != turn_now:
@@ -121,7 +123,6 @@ def render_messages(rows):
             turn_edge = redone
         if edge is not None and opened is not None and opened < edge:
             continue
-        piece, start, end = render(role, text)
         yield conv, n, piece, start, end
         n += 1
 
@@ -129,13 +130,22 @@ def render_messages(rows):
 def format_log(events: DataFrame) -> DataFrame:
     """conv_id, n, piece, loss_start, loss_end: the rendered conversations, in order within each partition."""
     names = ("conv_id", "turn", "seq", "kind", "role", "text")
-    folded = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("opened", pa.int64()), ("redone", pa.int64()), ("role", pa.string()), ("text", pa.string())])
-    pieces = pa.schema([("conv_id", pa.int64()), ("n", pa.int64()), ("piece", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+    long, string = pa.int64(), pa.string()
+    folded = pa.schema([("conv_id", long), ("turn", long), ("opened", long), ("redone", long), ("piece", string), ("loss_start", long), ("loss_end", long), ("rank", long)])
+    pieces = pa.schema([("conv_id", long), ("n", long), ("piece", string), ("loss_start", long), ("loss_end", long)])
     events = events.select(*(F.col(n).cast("long") for n in names[:3]), *(F.col(n).cast("string") for n in names[3:]))
     events = events.repartition("conv_id", "turn").sortWithinPartitions(*names)
-    messages = events.mapInArrow(lambda it: _batches(fold_messages(_rows(it, names)), folded), "conv_id long, turn long, opened long, redone long, role string, text string")
-    messages = messages.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "opened", "role", "text")
-    return messages.mapInArrow(lambda it: _batches(render_messages(_rows(it, folded.names)), pieces), "conv_id long, n long, piece string, loss_start long, loss_end long")
+
+    def fold(batches):
+        # messages equal in turn and opening keep the order in which they come, by kind, role and text
+        found = (m[:4] + render(m[4], m[5]) + (k,) for k, m in enumerate(fold_messages(_rows(batches, names))))
+        return _batches(found, folded)
+
+    spec = "conv_id long, turn long, opened long, redone long, piece string, loss_start long, loss_end long, rank long"
+    messages = events.mapInArrow(fold, spec)
+    messages = messages.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "opened", "rank").drop("rank")
+    kept = messages.columns
+    return messages.mapInArrow(lambda it: _batches(kept_pieces(_rows(it, kept)), pieces), "conv_id long, n long, piece string, loss_start long, loss_end long")
 
 
 def digest(rows):

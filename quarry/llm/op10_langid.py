@@ -285,9 +285,9 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def languages_of(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, page_id, language, confidence, n_trigrams, accepted of every document (page_id null) and every page (doc_id null)."""
+    """doc_id, page_id, language, confidence, n_trigrams, accepted of every document (page_id null) and every page (doc_id -1 - page_id, below any document's)."""
     models = fit_folds(docs)
     said = identify(docs, models).withColumn("page_id", F.lit(None).cast("long"))
-    seen = identify(page_evidence(pages), models, id_col="page_id", host="host", declared="declared", address="address").withColumn("doc_id", F.lit(None).cast("long"))
+    seen = identify(page_evidence(pages), models, id_col="page_id", host="host", declared="declared", address="address").withColumn("doc_id", -1 - F.col("page_id"))
     out = ["doc_id", "page_id", "language", "confidence", "n_trigrams", "accepted"]
     return said.select(*out).unionByName(seen.select(*out))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 #: Sound classes of English, Spanish and Arabic letters.
@@ -38,243 +39,144 @@ def soundex_ar(word: str) -> str:
     return "0" + _code(word[1:], AR) if word else ""
 
 
-_VOWELS = "AEIOUY"
+#: Double Metaphone after Philips' description, as rules of one letter each: what the word looks like from that letter on (and
+#: behind it), the sounds in the primary and secondary code, and what must hold of the whole word. The first rule that fits
+#: gives the sounds and uses up what its pattern matches; @ stands for the vowels.
+_RULES = """
+A EIOUY  ^.                                            A
+A EIOUY  .                                             -
+B        BB?                                           P
+Ç        .                                             S
+C        (?<=[^@]A)CH(?![IE])|(?<=[BM]A)CH(?=ER)       K
+C        ^CA(?=ESAR)                                   S
+C        CH(?=IA)                                      K
+C        (?<=.)CH(?=AE)                                K  X
+C        ^(?!CHORE)CH(?=ARAC|ARIS|OR|YM|IA|EM)         K
+C        CH                                            K  K  germanic
+C        (?<=OR)CH(?=ES|ID)|(?<=AR)CH(?=IT)|CH(?=[TS]) K
+C        (?:^|(?<=[AOUE]))CH(?=[LRNMBHFVW_]|$)         K
+C        (?<=.)CH                                      K  K  mc
+C        (?<=.)CH                                      X  K
+C        CH                                            X
+C        (?<!WI)CZ                                     S  X
+C        CCI(?=A)                                      X
+C        (?<=^A)CC(?:[IE]|H(?!U))|(?<=U)CCE(?=[ES])    KS
+C        (?<!^M)CC(?:[IE]|H(?!U))                      X
+C        (?<!^M)CC|C[KGQ]                              K
+C        CI(?=[OEA])                                   S  X
+C        C[IEY]                                        S
+C        C_[CQG]|CC(?![EI])|C                          K
+D        DG[IEY]                                       J
+D        DG                                            TK
+D        D[TD]?                                        T
+F        FF?                                           F
+G        (?<=[^@])GH                                   K
+G        ^GH(?=I)                                      J
+G        ^GH                                           K
+G        (?<=^.)G(?=H)                                 A
+G        (?<=^..)G(?=H)                                -
+G        (?:(?<=[BHD].)|(?<=[BHD]..)|(?<=[BH]...))GH   -
+G        (?<=[CGLRT].U)GH                              F
+G        (?<=[^I])GH                                   K
+G        GH                                            -
+G        (?<=^[@])GN                                   KN N  !slavic
+G        GN(?!EY)                                      N  KN !slavic
+G        GN                                            KN
+G        GL(?=I)                                       KL L  !slavic
+G        ^G(?:Y|E(?=[SPBLYIR])|I(?=[BLNE]))            K  J
+G        (?<![EIRO])GY                                 K  J  !anger
+G        G[EIY]|(?<=[AO])GG(?=I)                       K  K  germanic
+G        GE(?=T)                                       K
+G        GI(?=ER(?:_|$))                               J
+G        G[EIY]|(?<=[AO])GG(?=I)                       J  K
+G        GG?                                           K
+H        (?:^|(?<=[@]))H[@]                            H
+H        H                                             -
+J        ^J(?=OSE(?:_|$))                              H
+J        JJ?                                           H  H  san
+J        J(?=OSE)                                      J  H
+J        ^JJ?                                          J  A
+J        (?<=[@])J(?=[AO])                             J  H  !slavic
+J        J$                                            J  _
+J        (?<![SKL])J(?![LTKSNMBZ])J?                   J
+J        JJ?                                           -
+K        KK?                                           K
+L        (?<=I)LL(?=[OA]$)|(?<=A)LL(?=E$)              L  -
+L        (?<=A)LL(?=E.*[AO]S?$)                        L  -
+L        LL?                                           L
+M        MM?                                           M
+N        NN?                                           N
+Ñ        .                                             N
+P        PH                                            F
+P        P[PB]?                                        P
+Q        QQ?                                           K
+R        (?<=IE)(?<!MEIE)(?<!MAIE)R$                   -  R  !slavic
+R        RR?                                           R
+S        (?<=[IY])S(?=L)                               -
+S        ^S(?=UGAR)                                    X  S
+S        SH(?=EIM|OEK|OLM|OLZ)                         S
+S        SH                                            X
+S        SI[OA]                                        S  X  !slavic
+S        SI[OA]                                        S
+S        ^S(?=[MNLW])|SZ                               S  X
+S        SCH(?=E[RN])                                  X  SK
+S        SCH(?=OO|UY|ED|EM)                            SK
+S        ^SCH(?![@W])                                  X  S
+S        SCH                                           X
+S        SC[IEY]                                       S
+S        SC.?                                          SK
+S        (?<=[AO]I)S$                                  -  S
+S        S[SZ]?                                        S
+T        TIO(?=N)|TIA|TCH                              X
+T        TH(?=[OA]M)                                   T
+T        TH|TT(?=H)                                    T  T  germanic
+T        TH|TT(?=H)                                    0  T
+T        T[TD]?                                        T
+V        VV?                                           F
+W        WR                                            R
+W        ^W(?=[@])                                     A  F
+W        ^W(?=H)                                       A
+W        (?<=[@])W$|(?<=[EO])W(?=SK[IY])               -  F
+W        W                                             -  F  sch
+W        WI[CT]Z                                       TS FX
+W        W                                             -
+X        (?:(?<=[IE]AU)|(?<=[AO]U))X$                  -
+X        X[CX]?                                        KS
+Z        ZH                                            J
+Z        ZZ(?=[OIA])                                   S  TS
+Z        (?<=[^T])ZZ?                                  S  TS slavic
+Z        ZZ?                                           S
+"""
+_WHOLE = {"slavic": re.compile("W|K|CZ"), "germanic": re.compile("^(?:V[AO]N |SCH)"), "sch": re.compile("^SCH"), "mc": re.compile("^MC"), "san": re.compile("^SAN "), "anger": re.compile("^[DRM]ANGER")}
+_SILENT = re.compile("GN|KN|PN|WR|PS")
+
+
+@functools.cache
+def _rules() -> dict[str, list[tuple[re.Pattern, str, str, str]]]:
+    """The rules by letter: pattern, primary sounds, secondary sounds, condition."""
+    out: dict[str, list[tuple[re.Pattern, str, str, str]]] = {}
+    for line in _RULES.strip().splitlines():
+        m = re.fullmatch(r"(.) (\w*) *(\S+) +(\S+) *(\S*) *(\S*)", line)
+        pattern = re.compile(m[3].replace("@", "AEIOUY").replace("_", " "), re.S)
+        first = m[4].strip("-")
+        second = m[5].replace("_", " ").strip("-") if m[5] else first
+        for letter in m[1] + m[2]:
+            out.setdefault(letter, []).append((pattern, first, second, m[6]))
+    return out
 
 
 def double_metaphone(text: str) -> tuple[str, str]:
-    """Primary and secondary code of a word, after Philips' description; the secondary is empty if it is the same."""
-    w = re.sub(r"[^A-ZÇÑ]", "", text.upper())
-    n = len(w)
-    p: list[str] = []
-    s: list[str] = []
-
-    def add(a: str, b: str | None = None) -> None:
-        p.append(a)
-        s.append(a if b is None else b)
-
-    at = lambda i, *options: any(w.startswith(o, i) for o in options) if i >= 0 else False
-    ch = lambda i: w[i] if 0 <= i < n else ""
-    slavic = bool(re.search("W|K|CZ|WITZ", w))
-    germanic = at(0, "VAN ".strip(), "VON", "SCH")
-    i = 1 if re.match("GN|KN|PN|WR|PS", w) else 0
-    if ch(0) == "X":
-        add("S")
-        i = 1
-    while i < n:
-        c, step = w[i], 1
-        double = ch(i + 1) == c
-        if c in _VOWELS:
-            if i == 0:
-                add("A")
-        elif c == "B":
-            add("P")
-            step = 1 + double
-        elif c == "Ç":
-            add("S")
-        elif c == "C":
-            if i > 1 and ch(i - 2) not in _VOWELS and at(i - 1, "ACH") and ch(i + 2) != "I" and (ch(i + 2) != "E" or at(i - 2, "BACHER", "MACHER")):
-                add("K")
-                step = 2
-            elif i == 0 and at(i, "CAESAR"):
-                add("S")
-                step = 2
-            elif at(i, "CHIA"):
-                add("K")
-                step = 2
-            elif at(i, "CH"):
-                step = 2
-                if i > 0 and at(i, "CHAE"):
-                    add("K", "X")
-                elif i == 0 and at(1, "HARAC", "HARIS", "HOR", "HYM", "HIA", "HEM") and not at(0, "CHORE"):
-                    add("K")
-                elif germanic or at(i - 2, "ORCHES", "ARCHIT", "ORCHID") or ch(i + 2) in ("T", "S") or (i == 0 or ch(i - 1) in "AOUE") and ch(i + 2) in tuple("LRNMBHFVW"):
-                    add("K")
-                elif i > 0:
-                    add("K") if at(0, "MC") else add("X", "K")
-                else:
-                    add("X")
-            elif at(i, "CZ") and not at(i - 2, "WICZ"):
-                add("S", "X")
-                step = 2
-            elif at(i + 1, "CIA"):
-                add("X")
-                step = 3
-            elif at(i, "CC") and not (i == 1 and ch(0) == "M"):
-                if ch(i + 2) in ("I", "E", "H") and not at(i + 2, "HU"):
-                    add("KS") if i == 1 and ch(0) == "A" or at(i - 1, "UCCEE", "UCCES") else add("X")
-                    step = 3
-                else:
-                    add("K")
-                    step = 2
-            elif at(i, "CK", "CG", "CQ"):
-                add("K")
-                step = 2
-            elif at(i, "CI", "CE", "CY"):
-                add("S", "X") if at(i, "CIO", "CIE", "CIA") else add("S")
-                step = 2
-            else:
-                add("K")
-                step = 2 if ch(i + 1) in ("C", "K", "Q") and not at(i + 1, "CE", "CI") else 1
-        elif c == "D":
-            if at(i, "DG"):
-                if ch(i + 2) in ("I", "E", "Y"):
-                    add("J")
-                    step = 3
-                else:
-                    add("TK")
-                    step = 2
-            else:
-                add("T")
-                step = 2 if at(i, "DT", "DD") else 1
-        elif c in "FKNÑ":
-            add({"Ñ": "N"}.get(c, c))
-            step = 1 + double
-        elif c == "G":
-            nxt = ch(i + 1)
-            if nxt == "H":
-                step = 2
-                if i > 0 and ch(i - 1) not in _VOWELS:
-                    add("K")
-                elif i == 0:
-                    add("J") if ch(2) == "I" else add("K")
-                elif i > 1 and ch(i - 2) in ("B", "H", "D") or i > 2 and ch(i - 3) in ("B", "H", "D") or i > 3 and ch(i - 4) in ("B", "H"):
-                    pass
-                elif i > 2 and ch(i - 1) == "U" and ch(i - 3) in ("C", "G", "L", "R", "T"):
-                    add("F")
-                elif ch(i - 1) != "I":
-                    add("K")
-            elif nxt == "N":
-                step = 2
-                if i == 1 and ch(0) in _VOWELS and not slavic:
-                    add("KN", "N")
-                elif not at(i + 2, "EY") and not slavic:
-                    add("N", "KN")
-                else:
-                    add("KN")
-            elif at(i + 1, "LI") and not slavic:
-                add("KL", "L")
-                step = 2
-            elif i == 0 and (nxt == "Y" or at(1, "ES", "EP", "EB", "EL", "EY", "IB", "IL", "IN", "IE", "EI", "ER")):
-                add("K", "J")
-                step = 2
-            elif (at(i + 1, "ER") or nxt == "Y") and not at(0, "DANGER", "RANGER", "MANGER") and ch(i - 1) not in ("E", "I") and not at(i - 1, "RGY", "OGY"):
-                add("K", "J")
-                step = 2
-            elif nxt in ("E", "I", "Y") or at(i - 1, "AGGI", "OGGI"):
-                if germanic or at(i + 1, "ET"):
-                    add("K")
-                elif at(i + 1, "IER"):
-                    add("J")
-                else:
-                    add("J", "K")
-                step = 2
-            else:
-                add("K")
-                step = 1 + double
-        elif c == "H":
-            if (i == 0 or ch(i - 1) in _VOWELS) and ch(i + 1) and ch(i + 1) in _VOWELS:
-                add("H")
-                step = 2
-        elif c == "J":
-            if at(i, "JOSE"):
-                add("H") if i == 0 and n == 4 else add("J", "H")
-            elif i == 0:
-                add("J", "A")
-            elif ch(i - 1) in _VOWELS and not slavic and ch(i + 1) in ("A", "O"):
-                add("J", "H")
-            elif i == n - 1:
-                add("J", "")
-            elif ch(i + 1) not in tuple("LTKSNMBZ") and ch(i - 1) not in ("S", "K", "L"):
-                add("J")
-            step = 1 + double
-        elif c == "L":
-            if double and (i == n - 3 and at(i - 1, "ILLO", "ILLA", "ALLE") or (at(n - 2, "AS", "OS") or w.endswith(("A", "O"))) and at(i - 1, "ALLE")):
-                add("L", "")
-            else:
-                add("L")
-            step = 1 + double
-        elif c == "M":
-            add("M")
-            step = 2 if double or at(i - 1, "UMB") and (i + 1 == n - 1 or at(i + 2, "ER")) else 1
-        elif c == "P":
-            if ch(i + 1) == "H":
-                add("F")
-                step = 2
-            else:
-                add("P")
-                step = 2 if ch(i + 1) in ("P", "B") else 1
-        elif c == "Q":
-            add("K")
-            step = 1 + double
-        elif c == "R":
-            if i == n - 1 and not slavic and at(i - 2, "IE") and not at(i - 4, "ME", "MA"):
-                add("", "R")
-            else:
-                add("R")
-            step = 1 + double
-        elif c == "S":
-            if at(i - 1, "ISL", "YSL"):
-                pass
-            elif i == 0 and at(i, "SUGAR"):
-                add("X", "S")
-            elif at(i, "SH"):
-                add("S") if at(i + 1, "HEIM", "HOEK", "HOLM", "HOLZ") else add("X")
-                step = 2
-            elif at(i, "SIO", "SIA"):
-                add("S") if slavic else add("S", "X")
-                step = 3
-            elif i == 0 and ch(1) in ("M", "N", "L", "W") or ch(i + 1) == "Z":
-                add("S", "X")
-                step = 2 if ch(i + 1) == "Z" else 1
-            elif at(i, "SC"):
-                if ch(i + 2) == "H":
-                    if at(i + 3, "OO", "ER", "EN", "UY", "ED", "EM"):
-                        add("X", "SK") if at(i + 3, "ER", "EN") else add("SK")
-                    else:
-                        add("X", "S") if i == 0 and ch(3) not in _VOWELS and ch(3) != "W" else add("X")
-                elif ch(i + 2) in ("I", "E", "Y"):
-                    add("S")
-                else:
-                    add("SK")
-                step = 3
-            else:
-                add("", "S") if i == n - 1 and at(i - 2, "AI", "OI") else add("S")
-                step = 2 if ch(i + 1) in ("S", "Z") else 1
-        elif c == "T":
-            if at(i, "TION", "TIA", "TCH"):
-                add("X")
-                step = 3
-            elif at(i, "TH", "TTH"):
-                add("T") if at(i + 2, "OM", "AM") or germanic else add("0", "T")
-                step = 2
-            else:
-                add("T")
-                step = 2 if ch(i + 1) in ("T", "D") else 1
-        elif c == "V":
-            add("F")
-            step = 1 + double
-        elif c == "W":
-            if at(i, "WR"):
-                add("R")
-                step = 2
-            elif i == 0 and (ch(1) and ch(1) in _VOWELS or at(i, "WH")):
-                add("A", "F") if ch(1) and ch(1) in _VOWELS else add("A")
-            elif i == n - 1 and ch(i - 1) in _VOWELS or at(i - 1, "EWSKI", "EWSKY", "OWSKI", "OWSKY") or at(0, "SCH"):
-                add("", "F")
-            elif at(i, "WICZ", "WITZ"):
-                add("TS", "FX")
-                step = 4
-        elif c == "X":
-            if not (i == n - 1 and (at(i - 3, "IAU", "EAU") or at(i - 2, "AU", "OU"))):
-                add("KS")
-            step = 2 if ch(i + 1) in ("C", "X") else 1
-        elif c == "Z":
-            if ch(i + 1) == "H":
-                add("J")
-                step = 2
-            else:
-                add("S", "TS") if at(i + 1, "ZO", "ZI", "ZA") or slavic and i > 0 and ch(i - 1) != "T" else add("S")
-                step = 1 + double
-        i += step
-    first, second = "".join(p), "".join(s)
+    """Primary and secondary code of a word; the secondary is empty if it is the same."""
+    word = text.upper()
+    known, rules = {name: bool(p.search(word)) for name, p in _WHOLE.items()}, _rules()
+    first, second, at = "", "", 1 if _SILENT.match(word) else 0
+    while at < len(word):
+        step = 1
+        for pattern, a, b, condition in rules.get(word[at], ()):
+            if condition and known[condition.lstrip("!")] == condition.startswith("!"):
+                continue
+            if m := pattern.match(word, at):
+                first, second, step = first + a, second + b, m.end() - at
+                break
+        at += step
     return first, "" if second == first else second

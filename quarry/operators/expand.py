@@ -105,7 +105,15 @@ def kmeans(values: DataFrame, column: str, k: int, rounds: int = 50, tolerance:
 
 
 def windows_of(values: DataFrame, column: str, size: float, partition: str | None = None) -> DataFrame:
-    """For each number the count and variance of those up to ``size`` above it: sliding clusters of sorted numbers."""
-    name = f"`{partition}`" if partition else "0"
-    frame = f"over (partition by {name} order by cast(`{column}` as double) range between current row and {float(size)}D following)"
-    return values.withColumns({"in_window": F.expr(f"count(1) {frame}"), "spread": F.expr(f"var_pop(`{column}`) {frame}")})
+    """For each number the count and variance of those up to ``size`` above it: sliding clusters of sorted numbers.
+
+    Numbers are dealt by steps of ``size``: a number's window ends in its own step or the next, so every step is one window
+    partition that also holds a copy of the next step's numbers. Rows without a number have an empty window.
+    """
+    names, v = values.columns, F.col(f"`{column}`").cast("double")
+    step = F.floor(v / F.lit(float(size)))
+    rows = values.withColumn("__v", v).withColumn("__home", step).withColumn("__step", F.explode(F.when(v.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(step, step - 1))))
+    by = f"`{partition}`, `__step`" if partition else "`__step`"
+    frame = f"over (partition by {by} order by `__v` range between current row and {float(size)}D following)"
+    rows = rows.withColumns({"in_window": F.expr(f"count(`__v`) {frame}"), "spread": F.expr(f"var_pop(`__v`) {frame}")})
+    return rows.where(F.col("__step").isNull() | (F.col("__step") == F.col("__home"))).select(*[F.col(f"`{n}`") for n in names], "in_window", "spread")

@@ -69,10 +69,18 @@ def field_stats_of(postings: DataFrame, docs: DataFrame) -> DataFrame:
 def with_parents(docs: DataFrame, is_parent: Column, block: str | None = None) -> DataFrame:
     """Adds parent_id: the nearest parent at or before each document in doc_id order (within ``block``, the group key).
 
-    Without a block the whole order is one window; give the block wherever there is one.
+    Without a block, documents are range-sorted: each range finds its parents, and takes the last parent of the ranges before it
+    (from a table of one row for each range) for documents ahead of its own first.
     """
-    w = Window.partitionBy(*([block] if block else [F.lit(0)])).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return docs.withColumn("parent_id", F.last(F.when(is_parent, F.col("doc_id")), ignorenulls=True).over(w))
+    parent = F.when(is_parent, F.col("doc_id"))
+    if block:
+        w = Window.partitionBy(block).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        return docs.withColumn("parent_id", F.last(parent, ignorenulls=True).over(w))
+    ranged = docs.withColumn("__parent", parent).repartitionByRange("doc_id").withColumn("__p", F.spark_partition_id())
+    carried = ranged.groupBy("__p").agg(F.max("__parent").alias("__last")).withColumn("__before", F.max("__last").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
+    w = Window.partitionBy("__p").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = ranged.withColumn("__own", F.last("__parent", ignorenulls=True).over(w)).join(F.broadcast(carried.select("__p", "__before")), "__p")
+    return found.withColumn("parent_id", F.coalesce("__own", "__before")).select(*docs.columns, "parent_id")
 
 
 class SearchIndex:
@@ -280,11 +288,54 @@ def numbered(docs: DataFrame, *order: str) -> DataFrame:
 
 
 def keep_last(docs: DataFrame, keys: list[str], arrival: str | None = None) -> DataFrame:
-    """One row per key, the last by ``arrival`` (by doc_id without one); rows without key all stay."""
+    """One row per key, the last by ``arrival`` (by doc_id without one); rows without key all stay, and are not ranked."""
     order = F.desc_nulls_last(arrival or "doc_id")
-    rows = docs.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
     missing = functools.reduce(lambda a, b: a & b, [F.col(k).isNull() for k in keys])
-    return rows.where((F.col("__r") == 1) | missing).drop("__r")
+    rows = docs.where(~missing).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return rows.where(F.col("__r") == 1).drop("__r").unionByName(docs.where(missing))
+
+
+def merge_small(spark: SparkSession, path: str, files: int, least: int = 2) -> int:
+    """Merges the small batches of one table of a streamed index: those of at most ``files`` files each become one batch, if there are ``least``.
+
+    Returns how many batches were merged. The merged rows are complete before a batch goes, and a merge that was cut short is finished
+    by the next call; between the two a reader may miss batches, so merge while nobody reads.
+    """
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def finish() -> None:
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("_replaces-") and fs.exists(hadoop(status.getPath(), "_SUCCESS")):
+                numbers = sorted(r["batch"] for r in spark.read.schema("batch long").json(f"{path}/{name}").collect())
+                made = hadoop(f"{path}/_merging-{name.removeprefix('_replaces-')}")
+                if fs.exists(made):
+                    for k in numbers:
+                        fs.delete(hadoop(f"{path}/batch={k}"), True)
+                    fs.rename(made, hadoop(f"{path}/batch={numbers[-1]}"))
+                fs.delete(status.getPath(), True)
+
+    finish()
+    small = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if re.fullmatch(r"batch=\d+", name) and sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(status.getPath())) <= files:
+            small.append(int(name.split("=")[1]))
+    if len(small) < least:
+        return 0
+    mark = uuid.uuid4().hex[:8]
+    spark.read.parquet(*[f"{path}/batch={k}" for k in small]).coalesce(max(1, files)).write.parquet(f"{path}/_merging-{mark}")
+    spark.createDataFrame([(k,) for k in small], "batch long").coalesce(1).write.json(f"{path}/_replaces-{mark}")
+    finish()
+    return len(small)
+
+
+def clear(index: SearchIndex) -> SearchIndex:
+    """The index without documents: what a writer that clears before it adds starts from."""
+    return SearchIndex(index.schema, index.docs.limit(0), index.postings.limit(0), path=index.path, version=index.version)
 
 
 def compact(index: SearchIndex, path: str, partitions: int | None = None) -> SearchIndex:
@@ -310,4 +361,4 @@ def _latest(spark: SparkSession, path: str) -> int:
     return max(found)
 
 
-__all__ = ["SearchIndex", "postings_of", "term_stats_of", "field_stats_of", "with_parents", "numbered", "keep_last", "compact", "copy_index", "to_boolean"]
+__all__ = ["SearchIndex", "postings_of", "term_stats_of", "field_stats_of", "with_parents", "numbered", "keep_last", "merge_small", "clear", "compact", "copy_index", "to_boolean"]

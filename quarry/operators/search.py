@@ -85,7 +85,7 @@ class Searcher:
         sortedby=None,
         reverse: bool = False,
         groupedby=None,
-        maptype: str = "list",
+        maptype: str = "count",
         collapse=None,
         collapse_limit: int = 1,
         collapse_order=None,
@@ -150,8 +150,9 @@ class Searcher:
             of = FA.as_facet(order)
             keyed = of.keyed(keyed, self.index).withColumnRenamed("__key", "__corder")
             by = [F.col("__corder").desc_nulls_last() if getattr(of, "reverse", False) or isinstance(of, FA.ScoreFacet) else F.col("__corder").asc_nulls_last(), F.asc("doc_id")]
-        rows = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__collapse").orderBy(*by)))
-        kept = rows.where(F.col("__collapse").isNull() | (F.col("__r") <= limit))
+        # rows without key are never ranked, so the rank's bound reaches the window and no task holds them all
+        rows = keyed.where(F.col("__collapse").isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy("__collapse").orderBy(*by))).where(F.col("__r") <= limit)
+        kept = rows.unionByName(keyed.where(F.col("__collapse").isNull()), allowMissingColumns=True)
         counts = keyed.where(F.col("__collapse").isNotNull()).groupBy(F.col("__collapse").alias("key")).agg((F.count(F.lit(1)) - limit).alias("n")).where("n > 0")
         return kept, counts
 

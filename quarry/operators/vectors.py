@@ -33,31 +33,38 @@ def search(vectors: DataFrame, query: Sequence[float], k: int = 10, id_column: s
     return rows.select(id_column, score.alias("score")).where(F.col("score").isNotNull()).orderBy(F.desc("score"), id_column).limit(k)
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", query_id: str = "query_id", column: str = "embedding", block: int = 4096) -> DataFrame:
-    """The k most similar vectors of every query: matrix products of query blocks with batches of vectors.
+def _blocks(rows: DataFrame, id_column: str, column: str, size: int, name: str) -> DataFrame:
+    """Rows packed into blocks of about ``size``, dealt by a hash: array<struct<id, v>> in one column."""
+    parts = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64(id_column), F.lit(parts)).alias("__b")).agg(F.collect_list(F.struct(F.col(id_column).alias("id"), F.col(column).cast("array<double>").alias("v"))).alias(name)).drop("__b")
 
-    Queries are packed into blocks of ``block``; each batch of vectors meets all blocks of a bounded query table.
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", query_id: str = "query_id", column: str = "embedding", block: int = 1024) -> DataFrame:
+    """The k most similar vectors of every query: every block of queries meets every block of vectors in one matrix product.
+
+    Both sides are packed on the executors, so neither is limited nor collected; a block pair yields k rows a query, and ranks merge them.
     """
-    packed = np.array([r for r in queries.select(column).limit(block + 1).toPandas()[column]], dtype=np.float64)
-    if len(packed) > block:
-        raise ValueError(f"more than {block} queries; split them")
-    ids = queries.select(query_id).toPandas()[query_id].to_numpy()
-    length = np.linalg.norm(packed, axis=1, keepdims=True) if len(packed) else packed
-    unit = packed / np.where(length > 0, length, 1) if len(packed) else packed
+    packed = _blocks(vectors.where(F.col(column).isNotNull()), id_column, column, block, "held")
+    asked = _blocks(queries.where(F.col(column).isNotNull()), query_id, column, block, "asked")
+
+    def unit(rows) -> tuple[list, np.ndarray]:
+        m = np.array([r["v"] for r in rows], np.float64)
+        n = np.linalg.norm(m, axis=1)
+        return [r["id"] for r, ok in zip(rows, n > 0) if ok], m[n > 0] / n[n > 0, None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            m = np.stack(pdf[column].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, unit.shape[1]))
-            n = np.linalg.norm(m, axis=1)
-            ok = n > 0
-            scores = unit @ (m[ok] / n[ok, None]).T
-            kept = pdf[id_column].to_numpy()[ok]
-            for q, row in zip(ids, scores):
-                top = np.lexsort((kept, -row))[:k]
-                yield pd.DataFrame({query_id: q, id_column: kept[top], "score": row[top]})
+            for held, wanted in zip(pdf["held"], pdf["asked"]):
+                (ids, m), (asking, q) = unit(held), unit(wanted)
+                if not ids:
+                    continue
+                kept = np.array(ids)
+                for name, row in zip(asking, q @ m.T):
+                    top = np.lexsort((kept, -row))[:k]
+                    yield pd.DataFrame({query_id: [name] * len(top), id_column: kept[top], "score": row[top]})
 
     kinds = dict(vectors.dtypes)
-    found = vectors.where(F.col(column).isNotNull()).select(id_column, column).mapInPandas(run, f"{query_id} {dict(queries.dtypes)[query_id]}, {id_column} {kinds[id_column]}, score double")
+    found = packed.crossJoin(asked).mapInPandas(run, f"{query_id} {dict(queries.dtypes)[query_id]}, {id_column} {kinds[id_column]}, score double")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_column)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -83,17 +90,29 @@ def fuse(parts: Sequence[DataFrame], weights: Sequence[float] | None = None, k:
     return rows.groupBy("doc_id").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def embed(docs: DataFrame, column: str, model: Callable[[], Callable[[list[str]], list[list[float]]]], out: str = "embedding", prefix: str = "") -> DataFrame:
-    """``docs`` with an embedding of a text column. ``model()`` is made once per task and called on batches; a batch that fails gives nulls."""
+def embed(docs: DataFrame, column: str, model: Callable[[], Callable[[list[str]], list[list[float]]]], out: str = "embedding", prefix: str = "", on_error: str = "fail") -> DataFrame:
+    """``docs`` with an embedding of a text column. ``model()`` is made once per task and called on batches.
+
+    A batch that fails ends the job; with on_error="null" its texts are tried one by one, and those that fail have none.
+    """
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = model()
         for texts in batches:
+            asked = [prefix + (t or "") for t in texts]
             try:
-                yield pd.Series(encode([prefix + (t or "") for t in texts]), index=texts.index)
+                found = encode(asked)
             except Exception:
-                yield pd.Series([None] * len(texts), index=texts.index)
+                if on_error != "null":
+                    raise
+                found = []
+                for t in asked:
+                    try:
+                        found += encode([t])
+                    except Exception:
+                        found.append(None)
+            yield pd.Series(found, index=texts.index)
 
     return docs.withColumn(out, run(F.col(column)))
 

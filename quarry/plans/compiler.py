@@ -93,6 +93,16 @@ def term_condition(q: Q.Query, index) -> Column:
     raise TypeError(f"not a term query: {q!r}")
 
 
+def lead_condition(q: Q.Query) -> Column:
+    """A condition on field and term that all terms of a pattern fulfil and that prunes a scan: its literal beginning."""
+    if isinstance(q, Q.Wildcard):
+        lead = q.text[: min([q.text.find(c) for c in "*?[" if c in q.text], default=len(q.text))]
+    else:
+        lead = q.text[: q.prefix] if isinstance(q, Q.Fuzzy) else _literal_lead(q.text)
+    here = F.col("field") == q.field
+    return here & F.col("term").startswith(lead) if lead else here
+
+
 def _literal_lead(pattern: str) -> str:
     lead = ""
     for k, c in enumerate(pattern):
@@ -265,7 +275,15 @@ def _leaf_rows(plan: Plan) -> DataFrame | None:
     spans = any(x.positions for x in plan.leaves)
     if terms:
         conditions = {x.number: term_condition(x.query, index) for x in terms}
-        held = index.postings.where(functools.reduce(lambda a, b: a | b, conditions.values()))
+        costly = [x for x in terms if isinstance(x.query, (Q.Wildcard, Q.Regex, Q.Fuzzy))]
+        reads = {x.number: lead_condition(x.query) if x in costly else conditions[x.number] for x in terms}
+        held = index.postings.where(functools.reduce(lambda a, b: a | b, reads.values()))
+        if costly:
+            # patterns are tested once for each term of the vocabulary, not for each posting
+            tests = F.array_compact(F.array(*[F.when(conditions[x.number], F.lit(x.number)) for x in costly]))
+            fits = index.term_stats.where(functools.reduce(lambda a, b: a | b, [reads[x.number] for x in costly])).select("field", "term", tests.alias("__fits")).where(F.size("__fits") > 0)
+            held = held.join(fits, ["field", "term"], "inner" if len(costly) == len(terms) else "left")
+            conditions |= {x.number: F.coalesce(F.array_contains("__fits", x.number), F.lit(False)) for x in costly}
         exact = [x for x in terms if x.exact]
         if exact:
             wanted = functools.reduce(lambda a, b: a | b, [conditions[x.number] for x in exact])
@@ -280,7 +298,7 @@ def _leaf_rows(plan: Plan) -> DataFrame | None:
                 score = x.model.score(scoring.Stats(F.col("weight"), length, F.col("df"), F.col("cf"), F.col("n").cast("double"), F.col("total").cast("double"), F.col("field")))
             hits.append(F.when(conditions[x.number], F.struct(F.lit(x.number).alias("leaf"), score.cast("double").alias("score"))))
         if len(hits) == 1:
-            held = held.select("doc_id", hits[0].alias("hit"), *(["positions"] if spans else []))
+            held = held.select("doc_id", hits[0].alias("hit"), *(["positions"] if spans else [])).where("hit is not null")
         else:
             held = held.select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("hit"), *(["positions"] if spans else []))
         rows.append(held.select("doc_id", "hit.leaf", "hit.score", *(["positions"] if spans else [])))

@@ -100,20 +100,29 @@ def csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "u
     return df.toDF(*clean_names(df.columns))
 
 
-def json(spark: SparkSession, path: str, document_path: str | None = None, lines: bool | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON lines (malformed ones dropped), an array, or an object that holds the rows under results, data or a dotted path."""
+#: What happens to JSON lines that do not parse: they are left out, an error ends the read, or their text stays in _corrupt_record.
+MALFORMED = {"drop": "DROPMALFORMED", "fail": "FAILFAST", "keep": "PERMISSIVE"}
+
+
+def json(spark: SparkSession, path: str, document_path: str | None = None, lines: bool | None = None, schema: T.StructType | str | None = None, malformed: str = "drop") -> DataFrame:
+    """JSON lines, an array, or an object that holds the rows under results, data or a dotted path (no rows where there is no such path).
+
+    ``malformed`` says what becomes of lines that do not parse; a whole document that does not parse is an error.
+    """
     if lines is None:
         head = [r["value"].strip() for r in spark.read.text(path).limit(2).collect()]
         lines = bool(head) and all(h.startswith("{") and h.endswith("}") for h in head) and (len(head) > 1 or not document_path)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    df = reader.option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
+    df = reader.option("multiLine", not lines).option("mode", MALFORMED[malformed] if lines else "FAILFAST").json(path)
     if not lines:
         at = document_path or next((n for n in ("results", "data") if n in df.columns and len(df.columns) <= 2), None)
         if at:
-            try:
-                df = df.select(F.explode(F.col(at)).alias("__row")).select("__row.*")
-            except Exception:  # an unknown path yields no rows
+            kind: T.DataType | None = df.schema
+            for part in at.split("."):
+                kind = kind[part].dataType if isinstance(kind, T.StructType) and part in kind.fieldNames() else None
+            if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
                 return df.limit(0)
+            df = df.select(F.explode(F.col(at)).alias("__row")).select("__row.*")
     return df
 
 
@@ -132,12 +141,15 @@ def jdbc(spark: SparkSession, url: str, query: str, since=None, incremental: str
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
-def dbapi(spark: SparkSession, connect: Callable[[], object], query: str, schema: T.StructType | str | None = None, splits: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """A query over a Python DB-API connection made on the executors; ``splits`` are conditions read in parallel."""
+def dbapi(spark: SparkSession, connect: Callable[[], object], query: str, schema: T.StructType | str | None = None, splits: Sequence[str] = (), limit: int | None = None, sample: int = 1000) -> DataFrame:
+    """A query over a Python DB-API connection made on the executors; ``splits`` are conditions read in parallel.
+
+    Without a schema the types are those of the first ``sample`` rows; a later value that does not fit its type ends the read with an error.
+    """
     parts = list(splits) or ["1 = 1"]
     if schema is None:
         cursor = connect().cursor()
-        cursor.execute(f"SELECT * FROM ({query}) q LIMIT 5")
+        cursor.execute(f"SELECT * FROM ({query}) q LIMIT {int(sample)}")
         names = [d[0] for d in cursor.description]
         if len(set(names)) != len(names):
             raise ValueError(f"duplicate column names: {names}")

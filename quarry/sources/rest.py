@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 import time
 import urllib.error
@@ -14,9 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MAX_PAGES = 10_000
-
-
 def headers_of(auth: Mapping | None) -> dict[str, str]:
     """bearer, basic or api_key credentials as a header."""
     if not auth:
@@ -63,6 +61,8 @@ class Page(InputPartition):
 
 
 class RestReader(DataSourceReader):
+    """Pages are followed to the end; ``max_pages`` in the pagination makes a longer feed an error, and so is a cursor that comes twice."""
+
     def __init__(self, schema: T.StructType, options: Mapping[str, str]):
         self.schema, self.o = schema, json.loads(options["config"])
 
@@ -92,8 +92,10 @@ class RestReader(DataSourceReader):
             at = first + number if kind == "page" else first + number * size
             yield from rows_at(self._get({name: at, size_name: size}), path)
             return
-        cursor = None
-        for k in range(MAX_PAGES):
+        cursor, seen, most = None, set(), paging.get("max_pages")
+        for k in itertools.count():
+            if most is not None and k >= int(most):
+                raise RuntimeError(f"more than {most} pages at {self.o['url']}")
             at = {"page": first + k, "offset": first + k * size, "cursor": cursor}[kind]
             got = self._get({size_name: size, **({} if at is None else {name: at})})
             rows = rows_at(got, path)
@@ -104,6 +106,9 @@ class RestReader(DataSourceReader):
                     cursor = cursor.get(part) if isinstance(cursor, Mapping) else None
                 if not cursor:
                     return
+                if str(cursor) in seen:
+                    raise RuntimeError(f"cursor {cursor!r} came twice at {self.o['url']}")
+                seen.add(str(cursor))
             elif len(rows) < size:
                 return
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,6 +41,8 @@ class Stage:
     column: Callable[[Column], Column]
     python: Callable
     tokenizer: bool = False
+    #: whether it lower-cases each term and does nothing else
+    lower: bool = False
 
     def __or__(self, other: Stage) -> Analyzer:
         return Analyzer((self, other))
@@ -79,6 +81,18 @@ class Analyzer:
                 return F.greatest(F.array_position(F.transform(raw, lambda t: keep(F.lower(t))), F.lit(True)) - 1, F.lit(0)).cast("int")
         return F.lit(0)
 
+    def split(self) -> tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column], Column]] | None:
+        """The analyzer as three functions: raw terms of a text, those that its dropping filter keeps, and what the rest makes of them.
+
+        Only where nothing but lower-casing stands before the filter: then a caller computes the raw terms once and finds the first
+        position in them. Else None.
+        """
+        at = next((k for k, x in enumerate(self.stages) if hasattr(x.column, "keeps")), 0)
+        if not at or not all(x.lower for x in self.stages[1:at]):
+            return None
+        run = lambda stages: lambda c: functools.reduce(lambda v, x: x.column(v), stages, c)
+        return lambda text: run(self.stages[:at])(F.coalesce(text, F.lit(""))), self.stages[at].column, run(self.stages[at + 1 :])
+
     def analyze(self, text: str) -> list[str]:
         out = text or ""
         for stage in self.stages:
@@ -86,6 +100,11 @@ class Analyzer:
         return out
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once: an expression named inside a lambda would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 # Tokenizers
 
 
@@ -121,10 +140,12 @@ def charset_tokenizer(charmap: dict[str, str | None]) -> Stage:
 def path_tokenizer(pattern: str = "[^/]+") -> Stage:
     """/a/b/c gives /a, /a/b and /a/b/c."""
 
+    def steps(parts: Column) -> Column:
+        upto = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
+        return F.transform(upto, lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+
     def column(c: Column) -> Column:
-        parts = F.regexp_extract_all(c, F.lit(pattern), 0)
-        steps = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
-        return F.transform(steps, lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+        return let(F.regexp_extract_all(c, F.lit(pattern), 0), steps)
 
     def python(s: str) -> list[str]:
         parts = re.findall(pattern, s)
@@ -148,7 +169,18 @@ def _py_grams(s: str, low: int, high: int) -> list[str]:
 def ngram_tokenizer(low: int, high: int | None = None) -> Stage:
     """All character n-grams of low to high characters, by start and size."""
     high = high or low
-    return Stage(lambda c: _grams(c, low, high), lambda s: _py_grams(s, low, high), True)
+
+    def grams(chars: Column) -> Column:
+        n = F.size(chars)
+        starts = F.when(n >= low, F.sequence(F.lit(1), n - (low - 1))).otherwise(F.array().cast("array<int>"))
+        sizes = F.array(*[F.lit(k) for k in range(low, high + 1)])
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.filter(sizes, lambda k: i + k - 1 <= n), lambda k: F.array_join(F.slice(chars, i, k), ""))))
+
+    def column(c: Column) -> Column:
+        # over an array of characters: a slice of a long text is found at once, a substring by counting from its start
+        return let(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), grams)
+
+    return Stage(column, lambda s: _py_grams(s, low, high), True)
 
 
 # Filters
@@ -159,7 +191,7 @@ def _map(column: Callable[[Column], Column], python: Callable[[str], str]) -> St
 
 
 def lowercase() -> Stage:
-    return _map(F.lower, str.lower)
+    return replace(_map(F.lower, str.lower), lower=True)
 
 
 def strip() -> Stage:
@@ -223,10 +255,13 @@ def boosts(terms: Column, delimiter: str = "^", default: float = 1.0) -> Column:
 def shingle(size: int = 2, sep: str = "-") -> Stage:
     """Runs of ``size`` neighbouring terms joined; fewer terms are joined whole."""
 
-    def column(a: Column) -> Column:
+    def runs(a: Column) -> Column:
         n = F.size(a)
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(size)), sep))
-        return F.when(n == 0, F.array().cast("array<string>")).otherwise(runs)
+        found = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(size)), sep))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(found)
+
+    def column(a: Column) -> Column:
+        return let(a, runs)
 
     return Stage(column, lambda ts: [sep.join(ts[i : i + size]) for i in range(max(len(ts) - size + 1, 1))] if ts else [])
 
@@ -251,10 +286,13 @@ def tee(*chains: Sequence[Stage]) -> Stage:
         outs = run(ts, "python")
         return [t for row in zip(*outs) for t in row] if len({len(o) for o in outs}) == 1 else [t for o in outs for t in o]
 
-    def column(a: Column) -> Column:
-        outs = run(a, "column")
+    def woven(all_: Column) -> Column:
+        outs = [F.get(all_, F.lit(k)) for k in range(len(chains))]
         same = functools.reduce(lambda x, y: x & y, [F.size(o) == F.size(outs[0]) for o in outs[1:]], F.lit(True))
-        return F.when(same, F.flatten(F.transform(outs[0], lambda t, i: F.array(t, *[F.get(o, i) for o in outs[1:]])))).otherwise(F.concat(*outs))
+        return F.when(same, F.flatten(F.transform(outs[0], lambda t, i: F.array(t, *[F.get(o, i) for o in outs[1:]])))).otherwise(F.flatten(all_))
+
+    def column(a: Column) -> Column:
+        return let(F.array(*run(a, "column")), woven)
 
     return Stage(column, python)
 
@@ -287,7 +325,9 @@ def intraword(split_words: bool = True, split_numbers: bool = True, merge_words:
     pattern = "|".join(cuts)
 
     def parts(t: Column) -> Column:
-        out = F.filter(F.split(t, pattern), lambda p: p != "")
+        return let(F.filter(F.split(t, pattern), lambda p: p != ""), merged)
+
+    def merged(out: Column) -> Column:
         if merge_words or merge_numbers:
             words = F.filter(out, lambda p: p.rlike(r"^\p{L}+$"))
             digits = F.filter(out, lambda p: p.rlike(r"^\p{N}+$"))

@@ -7,13 +7,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import analysis, languages, scoring
+from quarry.functions import analysis, distance, languages, scoring
 from quarry.functions.analysis import STOP_WORDS
-from quarry.operators import expand, facets, highlight, suggest, vectors
-from quarry.operators.index import SearchIndex, keep_last
+from quarry.operators import expand, facets, highlight, search, suggest, vectors
+from quarry.operators.index import SearchIndex, keep_last, numbered, with_parents
 from quarry.operators.search import Searcher
 from quarry.plans import query as Q
-from quarry.plans.parser import QueryParser
+from quarry.plans.parser import FEATURES, QueryParser, multifield
+from quarry.plans.parser import simple as simple_parser
 from quarry.plans.schema import DATETIME, ID, KEYWORD, NUMERIC, TEXT, Schema
 
 _held: dict[tuple[str, str, str], SearchIndex] = {}
@@ -102,9 +103,9 @@ def tokenize_standard(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(analysis.standard().terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT gram, count(*) AS n FROM (SELECT substring(lower(n_name), i, k) AS gram FROM nation, range(1, 40) r(i), (VALUES (2), (3), (4)) s(k) WHERE i + k - 1 <= length(n_name)) GROUP BY gram")
+@query("WITH c AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS c, generate_subscripts(string_split(lower(text), ''), 1) AS i FROM documents), g AS (SELECT c || lead(c) OVER w AS two, c || lead(c) OVER w || lead(c, 2) OVER w AS three FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT gram, count(*) AS n FROM (SELECT two AS gram FROM g UNION ALL SELECT three FROM g) WHERE gram IS NOT NULL GROUP BY gram")
 def tokenize_ngram(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.explode(analysis.ngram(2, 4).terms(F.col("n_name"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "documents").select(F.explode(analysis.ngram(2, 3).terms(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT path, count(*) AS n FROM (SELECT '/' || array_to_string(p[1:i], '/') AS path FROM (SELECT regexp_extract_all(url, '[^/]+') AS p FROM pages), range(1, 20) r(i) WHERE i <= len(p)) GROUP BY path")
@@ -112,10 +113,10 @@ def tokenize_path(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.explode(analysis.Analyzer([analysis.path_tokenizer()]).terms(F.col("url"))).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"SELECT shingle, count(*) AS n FROM (SELECT w[i] || '-' || w[i + 1] AS shingle FROM (SELECT list_filter(string_split_regex(lower(text), '[ \t\r\n]+'), lambda x: x <> '') AS w FROM benchmark), range(1, 100000) r(i) WHERE i < len(w)) GROUP BY shingle")
+@query(r"WITH w AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents)) SELECT shingle, count(*) AS n FROM (SELECT CASE WHEN lead(w) OVER o IS NOT NULL THEN w || '-' || lead(w) OVER o WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN w END AS shingle FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE shingle IS NOT NULL GROUP BY shingle")
 def shingle2(spark, sf_dir):
     chain = analysis.space_tokenizer() | analysis.lowercase() | analysis.shingle(2)
-    return table(spark, sf_dir, "benchmark").select(F.explode(chain.terms(F.col("text"))).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "documents").select(F.explode(chain.terms(F.col("text"))).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT gram, count(*) AS n FROM (SELECT substring(w, 1, k) AS gram FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w FROM part), (VALUES (2), (3), (4), (5)) s(k) WHERE k <= length(w)) GROUP BY gram")
@@ -125,14 +126,14 @@ def edge_ngrams(spark, sf_dir):
 
 @query()
 def stem_porter(spark, sf_dir):
-    terms = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(analysis.standard().terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = table(spark, sf_dir, "documents").select(F.explode(analysis.standard().terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.groupBy(F.get(analysis.Analyzer([analysis.id_tokenizer(), analysis.stem("en")]).terms(F.col("term")), F.lit(0)).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 # Index
 
 
-@query(f"WITH {TOKENS} SELECT term, doc_id, tf, dl, list_reduce(list_transform(positions, lambda x: CAST(x AS BIGINT)), lambda a, b: a + b) AS pos_sum FROM post")
+@query(f"WITH {TOKENS} SELECT term, doc_id, count(*) AS tf, min(dl) AS dl, CAST(sum(pos) AS BIGINT) AS pos_sum FROM numbered GROUP BY doc_id, term")
 def postings_build(spark, sf_dir):
     p = documents(spark, sf_dir).postings.where("field = 'text'")
     return p.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"), F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x).alias("pos_sum"))
@@ -218,9 +219,9 @@ def prefix_terms(spark, sf_dir):
     return _matches(spark, sf_dir, Q.Prefix("text", "then", 1.5))
 
 
-@query(f"WITH {TOKENS} SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM post WHERE regexp_full_match(term, 'th.*ing.')")
+@query(f"WITH {TOKENS} SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM post WHERE regexp_full_match(term, 'th.*in.')")
 def wildcard_terms(spark, sf_dir):
-    return _matches(spark, sf_dir, Q.Wildcard("text", "th*ing?"))
+    return _matches(spark, sf_dir, Q.Wildcard("text", "th*in?"))
 
 
 @query(f"WITH {TOKENS} SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM post WHERE regexp_matches(term, '^(?:er(st|th)a)')")
@@ -326,36 +327,69 @@ def bm25_topk(spark, sf_dir):
 # Positions
 
 
-@query(f"WITH {SCORED} SELECT a.doc_id, round(a.s + b.s, 6) AS score FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.term = 'die' AND b.term = 'der' WHERE len(list_filter(a.positions, lambda p: list_contains(b.positions, p + 1))) > 0")
+def _pair(a: str, b: str, test: str, score: str = "a.s + b.s") -> str:
+    """SQL for documents with the words ``a`` and ``b`` at positions x and y for which ``test`` holds."""
+    places = lambda name, w: f"{name} AS MATERIALIZED (SELECT doc_id, pos AS {name} FROM numbered WHERE term = '{w}')"
+    scores = lambda name, w: f"{name} AS MATERIALIZED (SELECT doc_id, s FROM hit WHERE term = '{w}')"
+    return (
+        f"WITH {SCORED}, {scores('a', a)}, {scores('b', b)}, {places('x', a)}, {places('y', b)} "
+        f"SELECT a.doc_id, round({score}, 6) AS score FROM a JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IN (SELECT x.doc_id FROM x JOIN y ON x.doc_id = y.doc_id WHERE {test})"
+    )
+
+
+@query(_pair("die", "der", "y = x + 1"))
 def phrase_adjacent(spark, sf_dir):
     return _matches(spark, sf_dir, Q.Phrase("text", ("die", "der")))
 
 
-@query(f"WITH {SCORED} SELECT a.doc_id, round(a.s + b.s, 6) AS score FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.term = 'die' AND b.term = 'ein' WHERE len(list_filter(a.positions, lambda p: len(list_filter(b.positions, lambda r: abs(r - p) BETWEEN 1 AND 3)) > 0)) > 0")
+@query(_pair("die", "der", "y - x BETWEEN 1 AND 3"))
+def phrase_slop(spark, sf_dir):
+    return _matches(spark, sf_dir, Q.Phrase("text", ("die", "der"), slop=3))
+
+
+@query(_pair("die", "ein", "abs(y - x) BETWEEN 1 AND 3"))
 def span_near(spark, sf_dir):
     return _matches(spark, sf_dir, Q.SpanNear((T("die"), T("ein")), slop=3, ordered=False))
 
 
-@query(f"WITH {SCORED} SELECT doc_id, round(s, 6) AS score FROM hit WHERE term = 'die' AND len(list_filter(positions, lambda p: p <= 10)) > 0")
+@query(_pair("die", "ein", "y - x BETWEEN 1 AND 5"))
+def span_near_ordered(spark, sf_dir):
+    return _matches(spark, sf_dir, Q.SpanNear((T("die"), T("ein")), slop=5))
+
+
+@query(f"WITH {SCORED} SELECT doc_id, round(s, 6) AS score FROM hit WHERE term = 'die' AND doc_id IN (SELECT doc_id FROM numbered WHERE term = 'die' AND pos <= 10)")
 def span_first(spark, sf_dir):
     return _matches(spark, sf_dir, Q.SpanFirst(T("die"), limit=10))
 
 
-@query(f"WITH {SCORED} SELECT a.doc_id, round(a.s + b.s, 6) AS score FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.term = 'die' AND b.term = 'ein' WHERE list_min(a.positions) < list_min(b.positions)")
+@query(_pair("die", "ein", "x <= y AND x.doc_id IN (SELECT x.doc_id FROM x JOIN y ON x.doc_id = y.doc_id GROUP BY x.doc_id HAVING min(x) < min(y))"))
 def span_before(spark, sf_dir):
     return _matches(spark, sf_dir, Q.SpanBefore(T("die"), T("ein")))
 
 
-@query(f"WITH {SCORED} SELECT a.doc_id, round(a.s + b.s, 6) AS score FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.term = 'die' AND b.term = 'ein' WHERE list_min(a.positions) < list_max(b.positions)")
+@query(_pair("die", "ein", "x < y"))
 def ordered(spark, sf_dir):
     return _matches(spark, sf_dir, Q.Ordered((T("die"), T("ein"))))
 
 
-@query(f"WITH {SCORED}, n AS (SELECT a.doc_id, list(b.p) AS ps FROM (SELECT doc_id, unnest(positions) AS p FROM hit WHERE term = 'die') b JOIN hit a ON a.doc_id = b.doc_id AND a.term = 'die' LEFT JOIN hit c ON c.doc_id = b.doc_id AND c.term = 'ein' WHERE c.doc_id IS NULL OR NOT list_contains(c.positions, b.p + 1) GROUP BY a.doc_id) SELECT doc_id, round(s, 6) AS score FROM hit JOIN n USING (doc_id) WHERE term = 'die'")
+@query(
+    f"WITH {SCORED}, x AS MATERIALIZED (SELECT doc_id, pos AS x FROM numbered WHERE term = 'die'), y AS MATERIALIZED (SELECT doc_id, pos AS y FROM numbered WHERE term = 'ein') "
+    "SELECT doc_id, round(s, 6) AS score FROM hit WHERE term = 'die' AND doc_id IN (SELECT x.doc_id FROM x LEFT JOIN y ON x.doc_id = y.doc_id AND y = x + 1 WHERE y IS NULL)"
+)
 def span_not(spark, sf_dir):
     return _matches(spark, sf_dir, Q.SpanNot(T("die"), Q.Phrase("text", ("die", "ein"))))
 
 
+@query(_tree("coalesce(a, 0) + coalesce(b, 0), 6) AS score FROM d", "die ein"))
+def span_or(spark, sf_dir):
+    return _matches(spark, sf_dir, Q.SpanOr((T("die"), T("ein"))))
+
+
+@query(_tree("a, 6) AS score FROM d WHERE a IS NOT NULL AND b IS NOT NULL", "die ein"))
+def span_condition(spark, sf_dir):
+    return _matches(spark, sf_dir, Q.SpanCondition(T("die"), T("ein")))
+
+
 # Sorting, paging, collapsing, filters
 
 
@@ -403,10 +437,69 @@ def results_upgrade(spark, sf_dir):
     return s.search(T("erst"), limit=20, columns=[]).upgrade(s.search(T("ther"), limit=20, columns=[])).select("doc_id", "rank")
 
 
-@query(f"{_TOP} SELECT doc_id, CAST(row_number() OVER (ORDER BY rank) - 1 AS INTEGER) AS rank FROM e WHERE doc_id IN (SELECT doc_id FROM t)")
+def _tops(a: str, b: str, n: int) -> str:
+    one = lambda name, w: f"{name} AS (SELECT doc_id, row_number() OVER (ORDER BY sum(s) DESC, doc_id) - 1 AS rank FROM hit WHERE term = '{w}' GROUP BY doc_id ORDER BY rank LIMIT {n})"
+    return f"WITH {SCORED}, {one('e', a)}, {one('t', b)}"
+
+
+def _two(spark, sf_dir, a: str, b: str, n: int):
+    s = Searcher(documents(spark, sf_dir))
+    return s.search(T(a), limit=n, columns=[]), s.search(T(b), limit=n, columns=[])
+
+
+@query(f"{_tops('er', 're', 100)} SELECT doc_id, CAST(row_number() OVER (ORDER BY rank) - 1 AS INTEGER) AS rank FROM e WHERE doc_id IN (SELECT doc_id FROM t)")
 def results_filter(spark, sf_dir):
+    a, b = _two(spark, sf_dir, "er", "re", 100)
+    return a.filter(b).select("doc_id", "rank")
+
+
+@query(f"{_tops('er', 're', 100)} SELECT doc_id, CAST(row_number() OVER (ORDER BY p, rank) - 1 AS INTEGER) AS rank FROM (SELECT doc_id, rank, CASE WHEN doc_id IN (SELECT doc_id FROM t) THEN 0 ELSE 1 END AS p FROM e UNION ALL SELECT doc_id, rank, 2 FROM t WHERE doc_id NOT IN (SELECT doc_id FROM e))")
+def results_upgrade_and_extend(spark, sf_dir):
+    a, b = _two(spark, sf_dir, "er", "re", 100)
+    return a.upgrade_and_extend(b).select("doc_id", "rank")
+
+
+_SETS = f"WITH {TOKENS}, a AS (SELECT DISTINCT doc_id FROM post WHERE term = 'er'), b AS (SELECT DISTINCT doc_id FROM post WHERE term = 're')"
+
+
+def _sets(spark, sf_dir):
     s = Searcher(documents(spark, sf_dir))
-    return s.search(T("erst"), limit=20, columns=[]).filter(s.search(T("ther"), limit=20, columns=[])).select("doc_id", "rank")
+    return s.docs_for_query(T("er")), s.docs_for_query(T("re"))
+
+
+@query(f"{_SETS} SELECT doc_id FROM a UNION SELECT doc_id FROM b")
+def docset_union(spark, sf_dir):
+    return search.union(*_sets(spark, sf_dir))
+
+
+@query(f"{_SETS} SELECT doc_id FROM a WHERE doc_id IN (SELECT doc_id FROM b)")
+def docset_intersection(spark, sf_dir):
+    return search.intersection(*_sets(spark, sf_dir))
+
+
+@query(f"{_SETS} SELECT doc_id FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b)")
+def docset_difference(spark, sf_dir):
+    return search.difference(*_sets(spark, sf_dir))
+
+
+@query(f"{_SETS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM a)")
+def docset_inverse(spark, sf_dir):
+    return search.inverse(_sets(spark, sf_dir)[0], documents(spark, sf_dir))
+
+
+@query(f"WITH {SCORED}, m AS (SELECT doc_id, sum(s) AS s FROM hit WHERE term IN ('erst', 'ther') GROUP BY doc_id) SELECT source AS key, count(*) - 2 AS n FROM m JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) > 2")
+def collapse_counts(spark, sf_dir):
+    return Searcher(documents(spark, sf_dir)).search(_OR, limit=None, collapse="source", collapse_limit=2).collapsed
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS INTEGER) AS rank FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY rank LIMIT 20 OFFSET 20")
+def sort_reverse_page(spark, sf_dir):
+    return Searcher(orders(spark, sf_dir)).search(Q.Term("o_orderpriority", "1-URGENT"), limit=20, offset=20, sortedby=facets.FieldFacet("o_totalprice", reverse=True)).hits.select("doc_id", "rank")
+
+
+@query("WITH t AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F') SELECT n AS total, CAST(ceil(n / 25.0) AS BIGINT) AS page_count, CAST(25 AS INTEGER) AS offset, 50 >= n AS is_last FROM t")
+def page_facts(spark, sf_dir):
+    return Searcher(orders(spark, sf_dir)).page(Q.Term("o_orderstatus", "F"), 2, 25)[1]
 
 
 # Facets
@@ -521,7 +614,27 @@ def key_terms_bo1(spark, sf_dir):
     return expand.key_terms(ix, ix.docs.where(F.col("doc_id").isin(3, 7, 9)), "text").select("term", F.round("score", 6).alias("score"))
 
 
-@query()
+def _key_terms(chosen: str, formula: str) -> str:
+    """SQL: term and score of the words of documents, from w (their weight there), cf, n, total and top (their weight together)."""
+    return f"w AS (SELECT term, sum(tf) AS w FROM post WHERE doc_id IN ({chosen}) GROUP BY term), k AS (SELECT term, {formula} AS s FROM w JOIN stat USING (term), tot, (SELECT sum(w) AS top FROM w))"
+
+
+@query(f"WITH {TOKENS}, {_key_terms('3, 7, 9', 'w * log2((1 + w * top / total) / (w * top / total)) + log2(1 + w * top / total)')} SELECT term, round(s, 6) AS score FROM k ORDER BY s DESC, term LIMIT 5")
+def key_terms_bo2(spark, sf_dir):
+    ix = documents(spark, sf_dir)
+    return expand.key_terms(ix, ix.docs.where(F.col("doc_id").isin(3, 7, 9)), "text", model="bo2").select("term", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {TOKENS}, {_key_terms('3, 7, 9', 'CASE WHEN w / top < cf * 1.0 / total THEN 0.0 ELSE w / top * log2((w / top) / (w * 1.0 / total)) END')} SELECT term, round(s, 6) AS score FROM k ORDER BY s DESC, term LIMIT 5")
+def key_terms_kl(spark, sf_dir):
+    ix = documents(spark, sf_dir)
+    return expand.key_terms(ix, ix.docs.where(F.col("doc_id").isin(3, 7, 9)), "text", model="kl").select("term", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"WITH {SCORED}, {_key_terms('3', 'w * log2((1 + cf * 1.0 / n) / (cf * 1.0 / n)) + log2(1 + cf * 1.0 / n)')}, b AS (SELECT term, s / ((max(s) OVER () * ln((1 + max(s) OVER () / n) / (max(s) OVER () / n)) + ln(1 + max(s) OVER () / n)) / ln(2)) AS b FROM k, tot ORDER BY b DESC, term LIMIT 5) "
+    "SELECT doc_id, round(sum(s * b), 6) AS score FROM hit JOIN b USING (term) WHERE doc_id <> 3 GROUP BY doc_id ORDER BY sum(s * b) DESC, doc_id LIMIT 10"
+)
 def more_like(spark, sf_dir):
     return expand.more_like(Searcher(documents(spark, sf_dir)), 3, "text").hits.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -543,8 +656,9 @@ def lang_detect_stopwords(spark, sf_dir):
 
 
 @query()
-def simhash_near(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", expand.simhash(F.split("text", " ")).alias("hash"))
+def simhash(spark, sf_dir):
+    """32-bit hashes that are near (few bits apart) where texts share most words; the tests compare them by ``hamming``."""
+    return table(spark, sf_dir, "documents").select("doc_id", expand.simhash(F.split("text", " ")).alias("hash"))
 
 
 @query()
@@ -553,9 +667,9 @@ def highlight_top(spark, sf_dir):
     return highlight.highlight(hits, "text", _OR, "text").select("doc_id", "highlight")
 
 
-@query("SELECT o_orderkey AS doc_id, o_totalprice, count(*) OVER (ORDER BY o_totalprice RANGE BETWEEN CURRENT ROW AND 1000 FOLLOWING) AS in_window FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey AS doc_id, o_totalprice, count(*) OVER (ORDER BY o_totalprice RANGE BETWEEN CURRENT ROW AND 1000 FOLLOWING) AS in_window FROM orders")
 def sliding_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("doc_id"), "o_totalprice")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_totalprice")
     return expand.windows_of(rows, "o_totalprice", 1000.0).drop("spread")
 
 
@@ -568,12 +682,274 @@ def dedupe_keep_last(spark, sf_dir):
     return keep_last(rows, ["user_id"], "arrival").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT event_type AS term, count(*) AS df FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0) WHERE r = 1 GROUP BY 1")
+@query("SELECT event_type AS term, count(*) AS df FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1")
 def incremental_upsert(spark, sf_dir):
+    """All events: the odd ones are stored, the even ones arrive and replace their user's, unless that is newer."""
     schema = Schema(event_type=ID(), user_id=NUMERIC(bits=64, unique=True))
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type", "user_id")
-    old = keep_last(rows.where("event_id % 3 <> 0 OR event_id % 2 = 0").where("event_id % 2 = 1"), ["user_id"])
+    old = keep_last(rows.where("doc_id % 2 = 1"), ["user_id"])
     new = rows.where("doc_id % 2 = 0")
     held = SearchIndex.build(old, schema)
     newer = keep_last(new, ["user_id"]).join(old.select("user_id", F.col("doc_id").alias("o")), "user_id", "left").where("o is null or doc_id > o").drop("o")
     return held.update(newer).term_stats.where("field = 'event_type'").select("term", "df")
+
+
+@query("SELECT event_type AS term, count(*) AS df FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click') GROUP BY 1")
+def delete_by_query(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type")
+    return SearchIndex.build(rows, Schema(event_type=ID())).delete_by_query(Q.Term("event_type", "click")).term_stats.select("term", "df")
+
+
+@query(f"WITH {TOKENS} SELECT term, df, CAST(cf AS DOUBLE) AS cf FROM stat")
+def add_documents(spark, sf_dir):
+    """Documents added in two parts give the statistics of the whole."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ix = SearchIndex.build(docs.where("doc_id < 300"), Schema(text=TEXT())).add(docs.where("doc_id >= 300"))
+    return ix.term_stats.select("term", "df", "cf")
+
+
+@query("WITH u AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 150000), l AS (SELECT o_orderkey, 'old' AS o_orderstatus FROM orders WHERE o_totalprice < 200000 AND o_orderkey NOT IN (SELECT o_orderkey FROM u)) SELECT o_orderstatus AS term, count(*) AS df FROM (SELECT * FROM u UNION ALL SELECT * FROM l) GROUP BY 1")
+def overlay_index(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_totalprice")
+    schema = Schema(o_orderstatus=ID())
+    lower = SearchIndex.build(rows.where("o_totalprice < 200000").withColumn("o_orderstatus", F.lit("old")), schema)
+    return lower.overlay(SearchIndex.build(rows.where("o_totalprice > 150000"), schema)).term_stats.select("term", "df")
+
+
+@query("SELECT field, CAST(sum(df) AS BIGINT) AS df FROM (SELECT 'o_orderpriority' AS field, count(*) AS df FROM orders UNION ALL SELECT 'o_custkey', count(*) FROM orders) GROUP BY 1")
+def add_remove_field(spark, sf_dir):
+    ix = SearchIndex.build(table(spark, sf_dir, "orders"), Schema(o_orderpriority=ID(), o_orderstatus=ID()), "o_orderkey")
+    return ix.add_field("o_custkey", ID()).remove_field("o_orderstatus").term_stats.groupBy("field").agg(F.sum("df").alias("df"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS BIGINT) AS doc_id, o_orderkey FROM orders")
+def number_documents(spark, sf_dir):
+    return numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("doc_id", "o_orderkey")
+
+
+@query("SELECT event_id AS doc_id, max(CASE WHEN event_type = 'login' OR event_id % 50 = 0 THEN event_id END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS parent_id FROM events")
+def nearest_parent(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type")
+    return with_parents(rows, F.expr("event_type = 'login' OR doc_id % 50 = 0")).select("doc_id", "parent_id")
+
+
+# The vocabulary
+
+
+@query(f"WITH {TOKENS} SELECT term FROM stat WHERE starts_with(term, 'th')")
+def lexicon_prefix(spark, sf_dir):
+    return documents(spark, sf_dir).lexicon("text", "th")
+
+
+@query(f"WITH {TOKENS} SELECT CAST(cf AS DOUBLE) AS frequency, df AS doc_frequency FROM stat WHERE term = 'ther'")
+def term_frequency(spark, sf_dir):
+    return documents(spark, sf_dir).frequency("text", "ther")
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, CAST(min(dl) AS INTEGER) AS length FROM post GROUP BY doc_id")
+def doc_lengths(spark, sf_dir):
+    return documents(spark, sf_dir).doc_lengths("text")
+
+
+@query(f"WITH {TOKENS} SELECT term, CAST(tf AS INTEGER) AS tf, array_to_string(list_transform(positions, lambda x: CAST(x AS VARCHAR)), ',') AS at FROM post WHERE doc_id = 5")
+def term_vector(spark, sf_dir):
+    return documents(spark, sf_dir).term_vector(5, "text").select("term", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("at"))
+
+
+@query(f"WITH {TOKENS} SELECT term, df, CAST(cf AS DOUBLE) AS cf FROM stat WHERE starts_with(term, 't') AND damerau_levenshtein(term, 'thers') <= 1")
+def terms_within(spark, sf_dir):
+    return documents(spark, sf_dir).terms_within("text", "thers", 1, 1)
+
+
+@query(f"WITH {TOKENS} SELECT term FROM stat WHERE starts_with(term, 'the') ORDER BY term LIMIT 7")
+def autocomplete_alphabetical(spark, sf_dir):
+    return suggest.complete(documents(spark, sf_dir), "text", "the", 7, by="term").select("term")
+
+
+@query(f"WITH {TOKENS} SELECT round(ln(n / (df + 1.0)) + 1, 9) AS idf FROM stat, tot WHERE term = 'ther'")
+def term_idf(spark, sf_dir):
+    return Searcher(documents(spark, sf_dir)).idf("text", "ther").select(F.round("idf", 9).alias("idf"))
+
+
+# The query language
+
+
+def _parsed(spark, sf_dir, text: str, **options) -> DataFrame:
+    ix = documents(spark, sf_dir)
+    return _rounded(Searcher(ix).matches(QueryParser("text", ix.schema, **options).parse(text)))
+
+
+@query(_pair("die", "der", "y - x BETWEEN 1 AND 2", "2.5 * (a.s + b.s)"))
+def parsed_phrase(spark, sf_dir):
+    return _parsed(spark, sf_dir, '"die der"~2^2.5')
+
+
+@query(_tree("coalesce(a, 0) + coalesce(b, 0), 6) AS score FROM d WHERE (a IS NOT NULL OR b IS NOT NULL) AND c IS NULL", "erst ther enst"))
+def parsed_or_not(spark, sf_dir):
+    return _parsed(spark, sf_dir, "(erst OR ther) ANDNOT enst")
+
+
+@query(_tree("a + coalesce(b, 0), 6) AS score FROM d WHERE a IS NOT NULL", "erst ther"))
+def parsed_andmaybe(spark, sf_dir):
+    return _parsed(spark, sf_dir, "erst ANDMAYBE ther")
+
+
+@query(_tree("coalesce(a, 0) * 3 + coalesce(b, 0), 6) AS score FROM d", "erst ther"))
+def parsed_boost(spark, sf_dir):
+    return _parsed(spark, sf_dir, "erst^3 OR ther")
+
+
+@query(f"WITH {TOKENS} SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM post WHERE starts_with(term, 'ther')")
+def parsed_prefix(spark, sf_dir):
+    return _parsed(spark, sf_dir, "ther*")
+
+
+@query(f"WITH {TOKENS} SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM post WHERE damerau_levenshtein(term, 'thers') <= 1")
+def parsed_fuzzy(spark, sf_dir):
+    return _parsed(spark, sf_dir, "thers~", features=FEATURES)
+
+
+@query("SELECT o_orderkey AS doc_id, 2.0::DOUBLE AS score FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 60000 AND o_orderstatus = 'F'")
+def parsed_range(spark, sf_dir):
+    ix = orders(spark, sf_dir)
+    return _rounded(Searcher(ix, scoring.Function(lambda s: s.tf)).matches(QueryParser("o_orderstatus", ix.schema).parse("o_totalprice:[1000 TO 60000} F")))
+
+
+@query("SELECT o_orderkey AS doc_id, 1.0::DOUBLE AS score FROM orders WHERE o_totalprice > 300000")
+def parsed_greater(spark, sf_dir):
+    ix = orders(spark, sf_dir)
+    return _rounded(Searcher(ix).matches(QueryParser("o_orderstatus", ix.schema, gt_lt=True).parse("o_totalprice:>300000")))
+
+
+@query(f"WITH {SCORED} SELECT doc_id, round(sum(s), 6) AS score FROM hit WHERE term IN ('erst', 'ther') AND doc_id IN (SELECT doc_id FROM hit WHERE term = 'erst') AND doc_id NOT IN (SELECT doc_id FROM hit WHERE term = 'enst') GROUP BY doc_id")
+def parsed_simple(spark, sf_dir):
+    ix = documents(spark, sf_dir)
+    return _rounded(Searcher(ix).matches(simple_parser("text", ix.schema).parse("+erst ther -enst")))
+
+
+@query("WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS n, regexp_extract_all(lower(p_type), '[a-z0-9]+') AS t FROM part) SELECT p_partkey AS doc_id, CAST(len(list_filter(n, lambda x: x = 'small')) + 2 * len(list_filter(t, lambda x: x = 'small')) AS DOUBLE) AS score FROM w WHERE list_contains(n, 'small') OR list_contains(t, 'small')")
+def parsed_multifield(spark, sf_dir):
+    ix = parts(spark, sf_dir)
+    return _rounded(Searcher(ix, scoring.Frequency()).matches(multifield({"p_name": 1.0, "p_type": 2.0}, ix.schema).parse("small")))
+
+
+# Filters of analysis
+
+
+def _words(spark, sf_dir, chain, source: str = "part", column: str = "p_name") -> DataFrame:
+    return table(spark, sf_dir, source).select(F.explode(chain.terms(F.col(column))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _words_sql(value: str, source: str = "part", column: str = "p_name", keep: str = "true") -> str:
+    return rf"SELECT term, count(*) AS n FROM (SELECT {value} AS term FROM (SELECT unnest(regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}_*]+')) AS w FROM {source}) WHERE {keep}) GROUP BY term"
+
+
+@query(_words_sql("reverse(w)"))
+def filter_reverse(spark, sf_dir):
+    return _words(spark, sf_dir, analysis.simple() | analysis.reverse())
+
+
+@query(_words_sql(r"regexp_replace(w, '(e)(.)', '\2\1', 'g')"))
+def filter_substitution(spark, sf_dir):
+    return _words(spark, sf_dir, analysis.simple() | analysis.substitution("(e)(.)", r"\2\1"))
+
+
+@query(_words_sql("translate(replace(w, 'ß', 'ss'), 'éèêàçñó', 'eeeacno')", "documents", "text"))
+def filter_charset(spark, sf_dir):
+    fold = dict(zip("éèêàçñó", "eeeacno")) | {"ß": "ss"}
+    return _words(spark, sf_dir, analysis.simple(pattern=r"[\p{L}\p{N}_*]+") | analysis.charset(fold), "documents", "text")
+
+
+@query(_words_sql("w", keep="length(w) BETWEEN 4 AND 6 AND w NOT IN ('steel', 'green')"))
+def filter_stop(spark, sf_dir):
+    return _words(spark, sf_dir, analysis.simple() | analysis.stop(("steel", "green"), 4, 6))
+
+
+@query("SELECT term, count(*) AS n FROM (SELECT split_part(unnest(string_split(lower(p_name), ' ')) || '^' || p_size, '^', 1) AS term FROM part) GROUP BY term")
+def filter_delimited(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumn("words", F.expr("array_join(transform(split(lower(p_name), ' '), w -> concat(w, '^', p_size)), ' ')"))
+    chain = analysis.space_tokenizer() | analysis.delimited_attribute()
+    return rows.select(F.explode(chain.terms(F.col("words"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT term, count(*) AS n FROM (SELECT trim(unnest(string_split(p_brand || ' , ' || p_type || ',' || p_size, ','))) AS term FROM part) GROUP BY term")
+def tokenize_commas(spark, sf_dir):
+    chain = analysis.keyword(commas=True)
+    return table(spark, sf_dir, "part").select(F.explode(chain.terms(F.concat("p_brand", F.lit(" , "), "p_type", F.lit(","), "p_size"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT lower(n_name) AS term, count(*) AS n FROM nation GROUP BY 1")
+def tokenize_id(spark, sf_dir):
+    return _words(spark, sf_dir, analysis.id_analyzer(True), "nation", "n_name")
+
+
+@query("SELECT gram AS term, count(*) AS n FROM (SELECT right(w, k) AS gram FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w FROM part), (VALUES (2), (3)) s(k) WHERE k <= length(w)) GROUP BY 1")
+def ngrams_at_end(spark, sf_dir):
+    return _words(spark, sf_dir, analysis.ngram_words(2, 3, "end"))
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS distance, round(CASE WHEN greatest(length(a.n_name), length(b.n_name)) = 0 THEN 1.0 ELSE (greatest(length(a.n_name), length(b.n_name)) - levenshtein(a.n_name, b.n_name)) * 1.0 / greatest(length(a.n_name), length(b.n_name)) * least(length(a.n_name), length(b.n_name)) / greatest(length(a.n_name), length(b.n_name)) END, 9) AS similarity FROM nation a JOIN region r ON a.n_regionkey = r.r_regionkey JOIN nation b ON b.n_regionkey = r.r_regionkey")
+def edit_distance(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    rows = n.select("n_regionkey", F.col("n_name").alias("a")).join(n.select("n_regionkey", F.col("n_name").alias("b")), "n_regionkey")
+    return rows.select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(distance.similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
+
+
+# Facets, more
+
+
+@query("SELECT o_orderstatus AS key, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM orders WHERE o_totalprice > 250000 GROUP BY 1")
+def facet_lists(spark, sf_dir):
+    got = _group(orders(spark, sf_dir), Q.NumericRange("o_totalprice", 250000, None, start_excl=True), "o_orderstatus", "list")
+    return got.select("key", F.get("doc_ids", F.lit(0)).alias("first"), F.element_at("doc_ids", -1).alias("last"), "n")
+
+
+@query("SELECT CAST(p_size % 5 AS BIGINT) AS key, count(*) AS n FROM part GROUP BY 1")
+def facet_function(spark, sf_dir):
+    return _group(parts(spark, sf_dir), Q.Every(), facets.FunctionFacet(lambda: (F.col("p_size") % 5).cast("long")))
+
+
+@query("SELECT user_id % 10 AS key, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(spark, sf_dir):
+    from quarry.streaming.ingest import facet_counts
+
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return facet_counts(rows, "key", "ts").select("key", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(f"WITH {TOKENS}, d AS (SELECT doc_id, bool_or(term = 'erst') AS a, bool_or(term = 'ther') AS b, bool_or(term = 'die') AS c FROM post GROUP BY doc_id) SELECT doc_id, array_to_string(list_filter([CASE WHEN a AND NOT b THEN 'first' END, CASE WHEN b OR c THEN 'second' END], lambda x: x IS NOT NULL), ',') AS matched FROM d WHERE (a AND NOT b) OR b OR c")
+def percolate(spark, sf_dir):
+    from quarry.streaming import ingest
+
+    stored = {"first": Q.AndNot(T("erst"), T("ther")), "second": Q.Or((T("ther"), T("die")))}
+    return ingest.percolate(table(spark, sf_dir, "documents"), "text", stored).select("doc_id", F.array_join("matched", ",").alias("matched"))
+
+
+# Vectors, more
+
+
+_V = "CAST(embedding AS DOUBLE[])"
+
+
+@query(f"SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, list_inner_product({_V}, (SELECT {_V} FROM embeddings WHERE vec_id = 1)) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10")
+def vector_product_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.search(v, v.where("vec_id = 1").first()["embedding"], 10, "vec_id", metric="ip").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round(-s, 6) AS score FROM (SELECT vec_id, list_distance({_V}, (SELECT {_V} FROM embeddings WHERE vec_id = 1)) AS s FROM embeddings) ORDER BY s, vec_id LIMIT 10")
+def vector_distance_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.search(v, v.where("vec_id = 1").first()["embedding"], 10, "vec_id", metric="l2").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id < 30) WHERE rank <= 3")
+def vector_search_many(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.search_many(v, v.where("vec_id < 30").withColumnRenamed("vec_id", "query_id"), 3, "vec_id").select("query_id", "vec_id", "rank")
+
+
+@query(f"{_tops('er', 're', 100)} SELECT doc_id, round(sum(1.0 / (60 + rank + 1)), 9) AS score FROM (SELECT * FROM e UNION ALL SELECT * FROM t) GROUP BY doc_id ORDER BY sum(1.0 / (60 + rank + 1)) DESC, doc_id LIMIT 10")
+def fuse_ranks(spark, sf_dir):
+    a, b = _two(spark, sf_dir, "er", "re", 100)
+    return vectors.fuse([a.hits, b.hits]).select("doc_id", F.round("score", 9).alias("score"))

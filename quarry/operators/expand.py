@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.analysis import let
 from quarry.operators.index import SearchIndex
 from quarry.operators.search import Searcher
 from quarry.plans import query as Q
@@ -68,20 +69,26 @@ def more_like(searcher: Searcher, doc_id: int, field: str, top: int = 10, terms:
 
 
 def char_shingles(text: Column, size: int = 2) -> Column:
-    n = F.length(text)
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+    def runs(chars: Column) -> Column:
+        n = F.size(chars)
+        starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(size)), ""))
+
+    return let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), runs)
 
 
 def simhash(features: Column, bits: int = 32) -> Column:
     """Each bit is the majority of the features' hash bits."""
-    hashes = F.transform(features, lambda f: F.xxhash64(f))
 
-    def bit(k: int) -> Column:
-        votes = F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.shiftright(h, k).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-        return F.when(votes > 0, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+    def voted(hashes: Column) -> Column:
+        def bit(k: int) -> Column:
+            votes = F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.shiftright(h, k).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
+            return F.when(votes > 0, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+
+        return functools.reduce(lambda a, b: a.bitwiseOR(b), [bit(k) for k in range(bits)])
 
-    return functools.reduce(lambda a, b: a.bitwiseOR(b), [bit(k) for k in range(bits)])
+    return let(F.transform(features, lambda f: F.xxhash64(f)), voted)
 
 
 def hamming(a: Column, b: Column) -> Column:

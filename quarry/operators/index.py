@@ -35,7 +35,11 @@ def postings_of(docs: DataFrame, specs: dict[str, tuple[Field, str]], boost: Col
             kept, first = values.cast("array<string>"), F.lit(0)
         else:
             kept, first = spec.analyzer.terms(values.cast("string")), spec.analyzer.first_position(values.cast("string")) if spec.positions else F.lit(0)
-        rows = docs.where(values.isNotNull()).select("doc_id", *([boost.alias("boost")] if boost is not None else []), kept.alias("kept"), first.alias("first"))
+        steps = spec.analyzer.split() if spec.positions and not is_array else None
+        rows = docs.where(values.isNotNull()).select("doc_id", *([boost.alias("boost")] if boost is not None else []), *([steps[0](values.cast("string")).alias("raw")] if steps else [kept.alias("kept"), first.alias("first")]))
+        if steps:  # the raw terms once; the first kept term stands where they hold it first
+            rows = rows.withColumn("kept", steps[1](F.col("raw")))
+            rows = rows.withColumn("first", F.greatest(F.array_position("raw", F.get("kept", F.lit(0))) - 1, F.lit(0)).cast("int")).drop("raw").withColumn("kept", steps[2](F.col("kept")))
         # the length comes first, so that the explode does not carry the whole array along with each term
         rows = rows.withColumn("dl", F.size("kept"))
         rows = rows.select("doc_id", *(["boost"] if boost is not None else []), "dl", "first", F.posexplode_outer("kept").alias("i", "term")).where("term is not null").withColumn("pos", F.col("first") + F.col("i"))

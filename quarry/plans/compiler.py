@@ -192,7 +192,7 @@ def build(q: Q.Query, plan: Plan, model, positions: bool = False) -> Part:
     if isinstance(q, Q.SpanOr):
         parts = [rec(p, True) for p in q.parts]
         spans = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(p.spans, F.array().cast("array<struct<s:int,e:int>>")) for p in parts])))
-        return Part(functools.reduce(lambda x, y: x | y, [p.match for p in parts]), _total([p.score for p in parts]) * q.boost, spans)
+        return Part(functools.reduce(lambda x, y: x | y, [p.match for p in parts]), _total([F.when(p.match, p.score).otherwise(zero()) for p in parts]) * q.boost, spans)
     if isinstance(q, Q.SpanFirst):
         part = rec(q.query, True)
         spans = F.filter(part.spans, lambda x: x.e <= q.limit)

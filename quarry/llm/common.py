@@ -59,6 +59,13 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches between the JVM and Python hold at most ``rows`` rows for the rest of the session: whole texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def arrow_rows(
     schema: pa.Schema, fn: Callable[[pa.RecordBatch], list[list]], rows: int = 2048
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -70,5 +77,6 @@ def arrow_rows(
                 columns = fn(batch.slice(at, rows))
                 arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, schema.types)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return run

@@ -13,19 +13,22 @@ Each stage handles null texts, ids and sources as its operator's docstring says.
 from __future__ import annotations
 
 from quarry.llm import op1_mix, op2_secrets, op4_bpe, op7_ngram_join, op10_langid
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, small_batches, table
 from quarry.llm.registry import tokenizer_path
 
 
 def language_id(spark, docs, sf_dir):
+    small_batches(spark)
     return op10_langid.identify(docs, op10_langid.fit_folds(docs), keep=True)
 
 
 def ngram_join(spark, docs, sf_dir):
+    small_batches(spark)
     return op7_ngram_join.one_of_each(docs, words=5, num=80, den=100)
 
 
 def secret_scan(spark, docs, sf_dir):
+    small_batches(spark)
     return op2_secrets.redacted(docs)
 
 
@@ -34,6 +37,7 @@ def mix(spark, docs, sf_dir):
 
 
 def bpe(spark, docs, sf_dir):
+    small_batches(spark)
     return op4_bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 

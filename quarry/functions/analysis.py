@@ -206,6 +206,24 @@ def passthrough() -> Stage:
     return Stage(lambda a: a, list)
 
 
+def by_mode(index: Stage, query: Stage) -> Stage:
+    """One filter for documents, another for query texts: columns are documents, Python values are queries."""
+    return Stage(index.column, query.python, index.tokenizer)
+
+
+def logging_filter(logger=None) -> Stage:
+    """Passes terms on and logs those of query texts at debug level."""
+    import logging
+
+    to = logger or logging.getLogger("quarry.analysis")
+
+    def python(ts: list[str]) -> list[str]:
+        to.debug("%s", ts)
+        return list(ts)
+
+    return Stage(lambda a: a, python)
+
+
 def stop(words: Sequence[str] = STOP_WORDS, least: int = 2, most: int | None = None) -> Stage:
     """Drops stop words and terms shorter than ``least`` or longer than ``most``."""
     listed = frozenset(words)
@@ -504,6 +522,17 @@ PRESETS: dict[str, Callable[[], Analyzer]] = {
 }
 
 
+def characters(text: Column, analyzer: Analyzer | None = None, pattern: str = WORD_PATTERN) -> Column:
+    """array<struct<term, pos, start, end>>: the analyzer's terms of each word with the word's place in the text, in code points."""
+    compiled, chain = re.compile(python_pattern(pattern)), analyzer or standard()
+
+    @F.pandas_udf("array<struct<term:string,pos:int,start:int,end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: [{"term": t, "pos": k, "start": m.start(), "end": m.end()} for k, m in enumerate(compiled.finditer(s or "")) for t in chain.analyze(m[0])])
+
+    return run(text)
+
+
 def explain(text: str, analyzer: Analyzer | None = None) -> list[dict]:
     """Term and position of each token of a text."""
     return [{"term": t, "pos": i} for i, t in enumerate((analyzer or standard()).analyze(text))]

@@ -15,9 +15,9 @@ CODES = {
     "nor": "no", "nob": "no", "por": "pt", "ron": "ro", "rum": "ro", "rus": "ru", "spa": "es", "swe": "sv", "tur": "tr",
 }
 
-#: The most frequent function words of some languages; pass other lists where they are wanted.
+#: Function words. English is a whole published list; the others are the most frequent words, so pass a longer list where one is wanted.
 STOP_WORDS: dict[str, tuple[str, ...]] = {
-    "en": tuple("a about all also an and any are as at be been but by can could do for from had has have he her his how i if in into is it its just me more my no not of on one or our out she so some than that the their them then there these they this to up us was we were what when which who will with would you your".split()),
+    "en": tuple("i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()),
     "fr": tuple("à au aux avec ce ces cette dans de des du elle en est et eux il ils je la le les leur lui ma mais me même mes moi mon ne nos notre nous on ont ou où par pas pour plus qu que qui sa sans se ses son sont sur ta te tes toi ton tu un une vos votre vous y été être".split()),
     "de": tuple("aber alle als am an auch auf aus bei bin bis das dass dem den der des die doch du durch ein eine einem einen einer eines er es für hat hatte ich ihr im in ist ja kann mein mich mir mit nach nicht noch nur oder sein sich sie sind so über um und uns unter vom von vor war was wenn wie wir wird zu zum zur".split()),
     "es": tuple("a al algo como con de del desde donde dos el ella ellos en entre era es esta este esto fue ha hasta la las le les lo los más me mi muy nada ni no nos o os para pero por que quien se sin sobre son su sus también te tiene todo tu un una uno y ya yo".split()),
@@ -69,3 +69,41 @@ def detect(text: Column, languages: Sequence[str] = ("fr", "en", "de", "es", "it
         hits = F.size(F.filter(words, _member(listed)))
         best, most = F.when(hits > most, F.lit(code)).otherwise(best), F.greatest(hits, most)
     return best
+
+
+#: Detectors by name: a Column of texts to a Column of two-letter codes.
+DETECTORS: dict = {"stopwords": detect}
+
+
+def register_detector(name: str, fn) -> None:
+    DETECTORS[name] = fn
+
+
+def langdetect(text: Column) -> Column:
+    """Codes by the library of this name, where it is installed; null where it finds none."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        from langdetect import DetectorFactory, LangDetectException, detect as find
+
+        DetectorFactory.seed = 0
+
+        def one(t):
+            try:
+                return find(t) if t else None
+            except LangDetectException:
+                return None
+
+        return texts.map(one)
+
+    return run(text)
+
+
+DETECTORS["langdetect"] = langdetect
+
+
+def detect_with(name: str, text: Column) -> Column:
+    if name not in DETECTORS:
+        raise KeyError(f"{name!r} is not one of {sorted(DETECTORS)}")
+    return DETECTORS[name](text)

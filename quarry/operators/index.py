@@ -46,7 +46,7 @@ def postings_of(docs: DataFrame, specs: dict[str, tuple[Field, str]], boost: Col
         weight = F.count(F.lit(1)).cast("double") * spec.boost
         if boost is not None:
             weight = weight * F.first("boost")
-        if spec.kind in ("id", "idlist"):
+        if spec.kind in ("id", "idlist") or spec.options.get("existence"):
             weight = F.lit(float(spec.boost))
         places = F.array_sort(F.collect_list("pos")) if spec.positions else F.lit(None).cast("array<int>")
         counted = rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), weight.alias("weight"), F.first("dl").alias("dl"), places.alias("positions"))

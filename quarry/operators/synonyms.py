@@ -21,6 +21,13 @@ class Synonyms:
     def from_json(cls, text: str) -> Synonyms:
         return cls(json.loads(text))
 
+    @classmethod
+    def from_yaml(cls, text: str) -> Synonyms:
+        """From a mapping of words to lists, or to one synonym each (where a YAML library is installed)."""
+        import yaml
+
+        return cls({str(k): [str(x) for x in (v if isinstance(v, list) else [v])] for k, v in (yaml.safe_load(text) or {}).items()})
+
     @classmethod
     def from_frame(cls, df: DataFrame, limit: int = 100_000) -> Synonyms:
         """From rows (word, synonym); more words than ``limit`` belong in a join."""
@@ -81,6 +88,13 @@ def expand_terms(terms: DataFrame, table: DataFrame) -> DataFrame:
     return terms.unionByName(more)
 
 
+def from_wordnet(spark: SparkSession, path: str) -> DataFrame:
+    """word, synonym from a thesaurus file of lines s(group,number,'word',kind,sense,count). : words of one group are synonyms."""
+    pattern = r"^s\((\d+),\d+,'((?:[^']|'')*)',\w+,\d+,\d+\)\."
+    rows = spark.read.text(path).select(F.regexp_extract("value", pattern, 1).alias("group"), F.lower(F.replace(F.regexp_extract("value", pattern, 2), F.lit("''"), F.lit("'"))).alias("word")).where("group <> ''").distinct()
+    return rows.join(rows.withColumnRenamed("word", "synonym"), "group").where("word <> synonym").select("word", "synonym").distinct()
+
+
 def from_wiktionary(spark: SparkSession, path: str) -> DataFrame:
     """(word, synonym) of a dictionary extract in JSON lines: entries with word and synonyms, also by sense."""
     rows = spark.read.schema("word string, synonyms array<struct<word:string>>, senses array<struct<synonyms:array<struct<word:string>>>>").json(path)

@@ -39,8 +39,14 @@ class Field:
         return self.analyzer is not None
 
 
-def TEXT(analyzer: Analyzer | None = None, phrase: bool = True, stored: bool = False, boost: float = 1.0, spelling: bool = False, sortable: bool = False, multitoken: str = "default") -> Field:
-    return Field("text", analyzer or analysis.standard(), stored, scorable=True, positions=phrase, boost=boost, spelling=spelling, sortable=sortable, multitoken=multitoken)
+def TEXT(analyzer: Analyzer | None = None, phrase: bool = True, stored: bool = False, boost: float = 1.0, spelling: bool = False, sortable: bool = False, multitoken: str = "default", frequency: bool = True) -> Field:
+    """``frequency=False`` keeps only that a term is there: every weight is the boost, and there are no positions."""
+    return Field("text", analyzer or analysis.standard(), stored, scorable=True, positions=phrase and frequency, boost=boost, spelling=spelling, sortable=sortable, multitoken=multitoken, options={} if frequency else {"existence": True})
+
+
+def SPELL(analyzer: Analyzer | None = None) -> Field:
+    """Plain words of a text, for suggestions: neither stored nor scored."""
+    return Field("text", analyzer or analysis.simple(), False)
 
 
 def ID(stored: bool = False, unique: bool = False, sortable: bool = False, boost: float = 1.0, analyzer: Analyzer | None = None) -> Field:

@@ -72,6 +72,30 @@ def schema_of_model(model: type, id_field: str | None = None) -> S.Schema:
     return S.Schema({f.name: given.get(f.name) or field_for(f.dataType, f.name, id_field) for f in struct})
 
 
+#: Schemas of registered models.
+MODELS: dict[type, S.Schema] = {}
+
+
+def register_model(model: type | None = None, id_field: str | None = None, **fields: S.Field):
+    """Registers the schema of a dataclass, pydantic-like, msgspec-like or mapped class, with ``fields`` instead of what its annotations say.
+
+    Also as a decorator: ``@register_model(id_field="id")``.
+    """
+    if model is None:
+        return lambda m: register_model(m, id_field, **fields)
+    MODELS[model] = S.Schema({**schema_of_model(model, id_field).fields, **fields})
+    return model
+
+
+def index_models(spark, objects, id_field: str | None = None):
+    """An index over objects of one registered model; ``id_field`` names the document id, if it is a whole number."""
+    from quarry.operators.index import SearchIndex
+    from quarry.sources import readers
+
+    kind = type(objects[0])
+    return SearchIndex.build(readers.models(spark, objects, struct_of(kind)), MODELS.get(kind) or schema_of_model(kind, id_field), id_field)
+
+
 def discover_types(df: DataFrame, sample: int | None = None, share: float = 0.5) -> dict[str, T.DataType]:
     """Types that most values of the string columns have, over all rows (or a sample): boolean, long, double, timestamp."""
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import analysis, distance, languages, scoring
 from quarry.functions.analysis import STOP_WORDS
 from quarry.operators import expand, facets, highlight, search, suggest, vectors
-from quarry.operators.index import SearchIndex, keep_last, numbered, with_parents
+from quarry.operators.index import SearchIndex, keep_last, numbered, spread, with_parents
 from quarry.operators.search import Searcher
 from quarry.plans import query as Q
 from quarry.plans.parser import FEATURES, QueryParser, multifield
@@ -36,7 +36,7 @@ DOCUMENTS = Schema(text=TEXT(stored=True), lang=ID(), source=ID())
 
 
 def documents(spark, sf_dir) -> SearchIndex:
-    return _index(spark, sf_dir, "documents", lambda: SearchIndex.build(table(spark, sf_dir, "documents"), DOCUMENTS))
+    return _index(spark, sf_dir, "documents", lambda: SearchIndex.build(spread(table(spark, sf_dir, "documents")), DOCUMENTS))
 
 
 ORDERS = Schema(o_orderstatus=ID(), o_orderpriority=KEYWORD(), o_totalprice=NUMERIC("float"), o_orderdate=DATETIME())
@@ -100,12 +100,12 @@ T = lambda w, boost=1.0: Q.Term("text", w, boost)
 
 @query(rf"SELECT term, count(*) AS n FROM (SELECT unnest(k) AS term FROM (SELECT list_filter(list_transform(regexp_extract_all(text, '{_PATTERN}'), lambda x: lower(x)), lambda x: length(x) >= 2 AND x NOT IN ({_STOPS})) AS k FROM documents)) GROUP BY term")
 def tokenize_standard(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(analysis.standard().terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select(F.explode(analysis.standard().terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH c AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS c, generate_subscripts(string_split(lower(text), ''), 1) AS i FROM documents), g AS (SELECT c || lead(c) OVER w AS two, c || lead(c) OVER w || lead(c, 2) OVER w AS three FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT gram, count(*) AS n FROM (SELECT two AS gram FROM g UNION ALL SELECT three FROM g) WHERE gram IS NOT NULL GROUP BY gram")
 def tokenize_ngram(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(analysis.ngram(2, 3).terms(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select(F.explode(analysis.ngram(2, 3).terms(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT path, count(*) AS n FROM (SELECT '/' || array_to_string(p[1:i], '/') AS path FROM (SELECT regexp_extract_all(url, '[^/]+') AS p FROM pages), range(1, 20) r(i) WHERE i <= len(p)) GROUP BY path")
@@ -116,7 +116,7 @@ def tokenize_path(spark, sf_dir):
 @query(r"WITH w AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents)) SELECT shingle, count(*) AS n FROM (SELECT CASE WHEN lead(w) OVER o IS NOT NULL THEN w || '-' || lead(w) OVER o WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN w END AS shingle FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE shingle IS NOT NULL GROUP BY shingle")
 def shingle2(spark, sf_dir):
     chain = analysis.space_tokenizer() | analysis.lowercase() | analysis.shingle(2)
-    return table(spark, sf_dir, "documents").select(F.explode(chain.terms(F.col("text"))).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select(F.explode(chain.terms(F.col("text"))).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT gram, count(*) AS n FROM (SELECT substring(w, 1, k) AS gram FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w FROM part), (VALUES (2), (3), (4), (5)) s(k) WHERE k <= length(w)) GROUP BY gram")
@@ -126,7 +126,7 @@ def edge_ngrams(spark, sf_dir):
 
 @query()
 def stem_porter(spark, sf_dir):
-    terms = table(spark, sf_dir, "documents").select(F.explode(analysis.standard().terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = spread(table(spark, sf_dir, "documents")).select(F.explode(analysis.standard().terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.groupBy(F.get(analysis.Analyzer([analysis.id_tokenizer(), analysis.stem("en")]).terms(F.col("term")), F.lit(0)).alias("stem")).agg(F.sum("n").alias("n"))
 
 

@@ -56,6 +56,15 @@ def postings_of(docs: DataFrame, specs: dict[str, tuple[Field, str]], boost: Col
     return functools.reduce(DataFrame.unionAll, frames)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table read from few files or row groups, dealt evenly over the cores, so that analysis is not left to one of them.
+
+    For scans only (their number of partitions is known without running anything); a table of more partitions than cores stays as it lies.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def term_stats_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("weight").alias("cf"), F.max("weight").alias("max_weight"), F.min("dl").alias("min_length"), F.max("dl").alias("max_length")
@@ -365,4 +374,4 @@ def _latest(spark: SparkSession, path: str) -> int:
     return max(found)
 
 
-__all__ = ["SearchIndex", "postings_of", "term_stats_of", "field_stats_of", "with_parents", "numbered", "keep_last", "merge_small", "clear", "compact", "copy_index", "to_boolean"]
+__all__ = ["SearchIndex", "postings_of", "spread", "term_stats_of", "field_stats_of", "with_parents", "numbered", "keep_last", "merge_small", "clear", "compact", "copy_index", "to_boolean"]

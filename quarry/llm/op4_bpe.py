@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import arrow_rows
 
 PIECE = 1 << 16
-TABLE = 200_000
+TABLE = 300_000
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f"[^{_SPACE}](?=[{_SPACE}])")
 _NARROW = 0x250  # below it classes of characters are enumerated, so the plain regular expressions serve

@@ -130,15 +130,18 @@ class TimeLimit(RuntimeError):
 
 def within(spark: SparkSession, seconds: float, action: Callable[[], object]):
     """What ``action`` returns, if its Spark jobs end in time; else they are cancelled and TimeLimit is raised."""
-    tag, over = f"quarry-{uuid.uuid4().hex}", threading.Event()
+    tag, over, done = f"quarry-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
+        if done.wait(seconds):
+            return
         over.set()
-        spark.sparkContext.cancelJobsWithTag(tag)
+        while not done.wait(0.1):  # a job that is still being planned is cancelled once it runs
+            spark.sparkContext.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
     spark.sparkContext.addJobTag(tag)
-    timer.start()
+    watch = threading.Thread(target=stop, daemon=True)
+    watch.start()
     try:
         return action()
     except Exception as e:
@@ -146,7 +149,8 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], object]):
             raise TimeLimit(f"over {seconds} s") from e
         raise
     finally:
-        timer.cancel()
+        done.set()
+        watch.join()
         spark.sparkContext.removeJobTag(tag)
 
 

@@ -47,8 +47,9 @@ def test_cached_answers_age():
 
 def test_a_time_limit_cancels_jobs(spark):
     slow = F.udf(lambda x: time.sleep(0.5) or x, "long")
-    with pytest.raises(M.TimeLimit):
-        M.within(spark, 1.0, lambda: spark.range(400).repartition(4).select(slow("id").alias("x")).agg(F.sum("x")).collect())
+    for limit in (0.0, 1.0):  # before the job is planned, and while it runs
+        with pytest.raises(M.TimeLimit):
+            M.within(spark, limit, lambda: spark.range(400).repartition(4).select(slow("id").alias("x")).agg(F.sum("x")).collect())
     assert M.within(spark, 60, lambda: spark.range(5).count()) == 5
     with pytest.raises(ZeroDivisionError):
         M.within(spark, 60, lambda: 1 / 0)

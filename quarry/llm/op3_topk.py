@@ -1,10 +1,12 @@
 """Exact top-k by integer inner product: exhaustive term-at-a-time accumulation.
 
-Vectors are sparse rows of integer weights, one term per dimension. Candidates are split into blocks
-by a hash of their id, queries into tiles; each (tile, block) pair is one unit of work: every query
-row scatters its weighted postings, term by term, into a dense array of scores, a partition selects
-the block's k best, and the k best of all blocks are merged by rank. Work per unit is bounded by the
-block and tile sizes; nothing is broadcast or collected.
+Vectors are rows of integer weights, one term per dimension, packed in units in the smallest type that holds them. Units of
+candidates are dealt over parts, units of queries over groups, and each (part, group) pair is a cell, one task's work: the cell's queries
+come first and stay in memory, its candidates stream past in blocks. For a block and a tile of queries, the posting list of each term
+in turn is added, weighted, to a dense array of scores; a partition selects the rows that can be among the k best, which are kept across
+blocks; the k best of all cells are merged by rank. A unit is copied once for each group (candidates) or part (queries). There are about CELLS
+cells as long as groups stay under GROUP weights, so copies grow with the table only by the number of groups. Memory is bounded
+by GROUP, TILE and AHEAD; nothing is broadcast or collected.
 
 Defined cases: vectors that are null, hold null or non-finite components, or have a null id take no
 part; vectors of different lengths share the leading dimensions (missing ones are zero); rows with a
@@ -15,16 +17,18 @@ query's own id are never its candidates; of several query rows with one id the s
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_rows
 
-BLOCK, TILE = 4096, 1024
+#: Rows of a unit, of a block, of a tile and of the blocks seen at once; weights of a group; cells of (part, group) that a table is dealt to.
+UNIT, BLOCK, TILE, AHEAD, GROUP, CELLS = 1024, 4096, 32, 16384, 1 << 24, 64
 
 
 def weights(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -35,18 +39,51 @@ def weights(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return kept.select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("weights"))
 
 
-def _pack(pdf: pd.DataFrame) -> tuple[bytes, bytes, bytes]:
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    lengths = np.fromiter((len(w) for w in pdf["weights"]), np.int64, len(pdf))
-    return pdf["vec_id"].to_numpy(np.int64).tobytes(), lengths.tobytes(), np.concatenate([np.asarray(w, np.int64) for w in pdf["weights"]] or [np.empty(0, np.int64)]).tobytes()
+def narrow(values: np.ndarray) -> np.ndarray:
+    """``values`` in the smallest integer type of at least two bytes that holds them."""
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    return values.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max), copy=False)
 
 
-def _packer(key: str):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, lengths, values = _pack(pdf)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "ids": [ids], "lengths": [lengths], "values": [values]})
+def packed(rows: DataFrame) -> DataFrame:
+    """ids, lengths, values, width: units of at most UNIT rows as they lie, and ``unit``, which numbers them in turn from each partition on."""
+    schema = pa.schema([("ids", pa.binary()), ("lengths", pa.binary()), ("values", pa.binary()), ("width", pa.int32())])
 
-    return pack
+    def pack(batch: pa.RecordBatch) -> list:
+        ids, held = batch.column("vec_id").to_numpy(), batch.column("weights")
+        values = narrow(held.flatten().to_numpy(zero_copy_only=False))
+        lengths = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int32)
+        return [[ids.tobytes()], [lengths.tobytes()], [values.tobytes()], [values.itemsize]]
+
+    units = rows.mapInArrow(arrow_rows(schema, pack, UNIT), "ids binary, lengths binary, values binary, width int")
+    at = F.monotonically_increasing_id()
+    return units.withColumn("unit", F.shiftright(at, 33) + at.bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, lengths, and values one row after another
+
+
+def unpacked(row: dict) -> Rows:
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["values"], f"i{row['width']}")
+
+
+def together(units: list[Rows]) -> Rows:
+    ids, lengths, values = (np.concatenate(c) for c in zip(*units))
+    return ids, lengths, values
+
+
+def ascending(rows: Rows) -> Rows:
+    """The rows by ascending id."""
+    ids, lengths, values = rows
+    order = np.argsort(ids, kind="stable")
+    starts, taken = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    at = np.arange(len(values)) + np.repeat(starts - (np.cumsum(taken) - taken), taken)
+    return ids[order], taken, values[at]
+
+
+def largest_norm(lengths: np.ndarray, values: np.ndarray) -> float:
+    squares = np.bincount(np.repeat(np.arange(len(lengths)), lengths), values.astype(np.float64) ** 2, len(lengths))
+    return math.sqrt(squares.max(initial=0.0))
 
 
 def postings(lengths: np.ndarray, values: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -61,58 +98,167 @@ def postings(lengths: np.ndarray, values: np.ndarray) -> dict[int, tuple[np.ndar
     return {int(terms[a]): (rows[a:b], values[a:b]) for a, b in zip(edges[:-1], edges[1:])}
 
 
-def best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and scores of the k best, ids ascending on input; ties to the smaller id; ``own`` left out."""
-    live = ids != own
-    if not live.all():
-        ids, scores = ids[live], scores[live]
-    if len(ids) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        over = np.flatnonzero(scores > edge)
-        level = np.flatnonzero(scores == edge)[: k - len(over)]
-        take = np.concatenate([over, level])
-        ids, scores = ids[take], scores[take]
-    return ids, scores
+def laid_out(lists: dict, n: int, kind: type) -> dict:
+    """``lists`` in ``kind``; a posting list of more than a quarter of the ``n`` rows is laid out over all of them (rows: None)."""
+    out = {}
+    for term, (rows, weight) in lists.items():
+        if 4 * len(rows) > n:
+            whole = np.zeros(n, kind)
+            whole[rows] = weight
+            out[term] = None, whole
+        else:
+            out[term] = rows, weight.astype(kind)
+    return out
+
+
+def accumulate(scores: np.ndarray, spare: np.ndarray, tile: dict, lists: dict) -> None:
+    """Adds the postings of each term in turn to ``scores`` (queries by rows of the block), weighted by the tile's weights of the term."""
+    for term, (asked, factor) in tile.items():
+        if term not in lists:
+            continue
+        rows, weight = lists[term]
+        if asked is None and rows is None:
+            np.multiply(factor[:, None], weight, out=spare)
+            np.add(scores, spare, out=scores)
+        elif asked is None:
+            scores[:, rows] += factor[:, None] * weight
+        elif rows is None:
+            scores[asked] += factor[:, None] * weight
+        else:
+            scores[asked[:, None], rows] += factor[:, None] * weight
+
+
+def select(scores: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and rows of all scores that can be among the k best: not under ``floor``, nor under the k-th of the block; ties to the first rows."""
+    hits = scores >= floor[:, None]
+    many = np.flatnonzero(np.count_nonzero(hits, axis=1) > k)
+    if len(many):
+        some = scores[many]
+        edge = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k, None]
+        over, level = some > edge, some == edge
+        left = k - np.count_nonzero(over, axis=1)
+        crowded = np.flatnonzero(np.count_nonzero(level, axis=1) > left)
+        level[crowded] &= np.cumsum(level[crowded], axis=1) <= left[crowded, None]
+        hits[many] = over | level
+    return np.divmod(np.flatnonzero(hits), hits.shape[1])
+
+
+class Best:
+    """The k best candidates so far of each query of a cell."""
+
+    def __init__(self, queries: Rows, k: int) -> None:
+        self.ids, self.lengths, values = queries
+        ends = np.cumsum(self.lengths)
+        self.k, shape = k, (len(self.ids), k)
+        self.found, self.scores, self.taken = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
+        self.tiles = []
+        for a in range(0, len(self.ids), TILE):
+            b = min(a + TILE, len(self.ids))
+            lengths, own = self.lengths[a:b], values[ends[a] - self.lengths[a] : ends[b - 1]]
+            self.tiles.append((a, b, lengths, own, largest_norm(lengths, own)))
+
+    def see(self, rows: Rows) -> None:
+        """Scores ``rows``, in blocks, against all queries."""
+        ids, lengths, values = ascending(rows)
+        norm = largest_norm(lengths, values)
+        ends, blocks = np.cumsum(lengths), {}
+        for a, b, q_lengths, q_values, q_norm in self.tiles:
+            # No sum of products, in parts or whole, exceeds the product of the norms.
+            kind = np.int32 if 1.001 * norm * q_norm < 2**31 - 1 else np.int64
+            if kind not in blocks:
+                cuts = [(x, min(x + BLOCK, len(ids))) for x in range(0, len(ids), BLOCK)]
+                lists = [postings(lengths[x:y], values[ends[x] - lengths[x] : ends[y - 1]]) for x, y in cuts]
+                room = 2, TILE * min(BLOCK, len(ids))
+                blocks[kind] = [(ids[x:y], laid_out(held, y - x, kind)) for (x, y), held in zip(cuts, lists)], np.empty(room, kind)
+            tile = laid_out(postings(q_lengths, q_values), b - a, kind)
+            for block, held in blocks[kind][0]:
+                scores, spare = blocks[kind][1][:, : (b - a) * len(block)].reshape(2, b - a, len(block))
+                scores[:] = 0
+                accumulate(scores, spare, tile, held)
+                self._keep(a, b, block, scores)
+
+    def _keep(self, a: int, b: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        own, least, most = self.ids[a:b], np.iinfo(scores.dtype).min, np.iinfo(scores.dtype).max
+        first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        for q in np.flatnonzero(first < last).tolist():
+            scores[q, first[q] : last[q]] = least
+        floor = np.where(self.taken[a:b, -1], np.clip(self.scores[a:b, -1], least, most), least).astype(scores.dtype)
+        at, rows = select(scores, floor, min(self.k, len(ids)))
+        other = (rows < first[at]) | (rows >= last[at])
+        if other.any():
+            self._merge(a, at[other], ids[rows[other]], scores[at[other], rows[other]].astype(np.int64))
+
+    def _merge(self, a: int, at: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+        touched = np.unique(at) + a
+        old, place = np.nonzero(self.taken[touched])
+        query = np.r_[at + a, touched[old]]
+        found, scores = np.r_[found, self.found[touched[old], place]], np.r_[scores, self.scores[touched[old], place]]
+        order = np.lexsort((found, ~scores, query))
+        query, found, scores = query[order], found[order], scores[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        kept = rank < self.k
+        query, rank = query[kept], rank[kept]
+        self.found[query, rank], self.scores[query, rank], self.taken[query, rank] = found[kept], scores[kept], True
+
+    def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.ids), 1 << 14):
+            at, place = np.nonzero(self.taken[a : a + (1 << 14)])
+            at += a
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (self.ids[at], self.found[at, place], self.scores[at, place])], schema=schema)
+
+
+def dealt(n: int, asked: int, terms: int) -> tuple[int, int]:
+    """Parts of ``n`` candidates and groups of ``asked`` queries with ``terms`` weights: about CELLS cells with the fewest copies."""
+    share = max(asked, 1) / max(n, 1)
+    groups = max(1, round(math.sqrt(CELLS * share)), math.ceil(terms / GROUP))
+    return max(1, min(math.ceil(n / UNIT), round(math.sqrt(CELLS / share)))), groups
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row whose vec_id is divisible by ``every``."""
     all_rows = weights(vectors, scale)
-    asked = all_rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("weights").alias("weights"))
-    n = vectors.count()
-    blocks = max(1, math.ceil(n / BLOCK))
-    tiles = max(1, math.ceil(n / every / TILE))
-    packed = "ids binary, lengths binary, values binary"
-    held = all_rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInPandas(_packer("block"), f"block long, {packed}")
-    asked = asked.withColumn("tile", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(tiles))).groupBy("tile").applyInPandas(_packer("tile"), f"tile long, {packed}")
-    asked = asked.select("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("ids").alias("q_ids"), F.col("lengths").alias("q_lengths"), F.col("values").alias("q_values"))
+    is_asked = F.col("vec_id") % every == 0
+    asked = all_rows.where(is_asked).groupBy("vec_id").agg(F.min("weights").alias("weights"))
+    parts, groups = dealt(*all_rows.agg(F.count(F.lit(1)), F.count_if(is_asked), F.coalesce(F.sum(F.when(is_asked, F.size("weights"))), F.lit(0))).first())
+
+    def cells(units: DataFrame, queries: bool, part: Column, group: Column) -> DataFrame:
+        return units.select((part * groups + group).cast("int").alias("cell"), F.lit(queries).alias("queries"), "ids", "lengths", "values", "width")
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    held = cells(packed(all_rows).withColumn("group", each(groups)), False, F.col("unit") % parts, F.col("group"))
+    asked = cells(packed(asked).withColumn("part", each(parts)), True, F.col("part"), F.col("unit") % groups)
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def rows(batch: pa.RecordBatch) -> list:
-        out: list[list] = [[], [], []]
-        for row in batch.to_pylist():
-            ids = np.frombuffer(row["ids"], np.int64)
-            lists = postings(np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["values"], np.int64))
-            starts = np.cumsum(lengths := np.frombuffer(row["q_lengths"], np.int64)) - lengths
-            values = np.frombuffer(row["q_values"], np.int64)
-            for own, start, length in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), starts.tolist(), lengths.tolist()):
-                scores = np.zeros(len(ids), np.int64)
-                query = values[start : start + length]
-                for term in np.flatnonzero(query).tolist():
-                    if term in lists:
-                        where, weight = lists[term]
-                        if len(where) == len(ids):
-                            scores += weight * query[term]
-                        else:
-                            scores[where] += weight * query[term]
-                found, got = best(ids, scores, own, k)
-                out[0] += [own] * len(found)
-                out[1] += found.tolist()
-                out[2] += got.tolist()
-        return out
-
-    pairs = asked.join(held, "block").select("q_ids", "q_lengths", "q_values", "ids", "lengths", "values")
-    scored = pairs.mapInArrow(arrow_rows(schema, rows, 1), "query_id long, vec_id long, score long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, best, waiting = None, None, []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["cell"] != cell:
+                    if best is not None:
+                        if waiting:
+                            best.see(together(waiting))
+                        yield from best.rows(schema)
+                    cell, best, waiting = row["cell"], None, []
+                if best is None and not row["queries"]:
+                    if waiting:
+                        best, waiting = Best(together(waiting), k), []
+                    else:
+                        continue  # a cell without queries
+                waiting.append(unpacked(row))
+                if best is not None and sum(len(u[0]) for u in waiting) >= AHEAD:
+                    best.see(together(waiting))
+                    waiting = []
+        if best is not None:
+            if waiting:
+                best.see(together(waiting))
+            yield from best.rows(schema)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+    units = held.unionByName(asked).repartitionById(parts * groups, "cell").sortWithinPartitions("cell", F.desc("queries"))
+    scored = units.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -169,6 +169,34 @@ def test_topk(spark):
     assert not got and op3_topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [1, 2**20])
+def test_topk_in_many_tiles_and_blocks_moves_few_copies(spark, monkeypatch, large):
+    """The bytes that move do not grow with tiles times blocks, which grow with the square of the table."""
+    for name, size in {"UNIT": 20, "BLOCK": 10, "TILE": 10, "AHEAD": 40, "GROUP": 40000}.items():
+        monkeypatch.setattr(op3_topk, name, size, raising=False)
+    rng = np.random.default_rng(4)
+    n, terms = 1000, 1000
+    ids = np.arange(n) * 5
+    fine = rng.integers(-40, 40, (n, terms)) * large
+    fine[rng.random(n) < 0.1] = fine[7]  # equal vectors: ties
+    fine[:, ::5] *= rng.random((n, terms // 5)) < 0.1  # terms that few hold
+    df = spark.createDataFrame([*zip(ids.tolist(), (fine / 256).tolist())], "vec_id long, embedding array<double>").repartition(4, "vec_id").localCheckpoint()
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = moved()
+    got = collections.defaultdict(list)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with large tables
+    try:
+        for r in op3_topk.top_k(df).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == n // 10
+    for q in range(0, n, 10):
+        scores = fine @ fine[q]
+        assert got[5 * q] == [(ids[i], scores[i]) for i in np.lexsort((ids, -scores)).tolist() if i != q][:5]
+    assert moved() - before < 5 * fine.size * 4  # five tables of single precision
+
+
 TEXTS = ["", None, "  ", "Straße ΑΣ <|startoftext|>hi<|endoftext|> x", "a\x1cb\x85c d é ½²³ ٣ 中文 🙂", "it's we'll I'D", "a" * 700, "!?" * 300, "<|endoftext|>", "don’t—stop… 3.14", "\n\n x\t\ty ", "the quick brown fox " * 50]
 
 

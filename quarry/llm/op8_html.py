@@ -1,6 +1,6 @@
 """Main text of web pages, with suffix arrays over the pages of each host.
 
-Pages are parsed into blocks. The word streams of all blocks that no article mark encloses are concatenated,
+Pages are parsed into blocks. The word streams of all blocks that no sure article mark encloses are concatenated,
 page after page; a suffix array over them, sorted as deep as LONG words, groups equal substrings of LONG words
 and counts the pages of each. The arrays cover batches of pages as they lie in the table; their counts
 are summed by host and substring (64-bit hashes), so what repeats does not depend on how pages are dealt or on the
@@ -10,7 +10,10 @@ Pages of a host are then dealt to tasks by a hash of their address, with the hos
 
 A page without a mark yields, of the blocks outside noise elements, the runs of words that no repeat covers. A page that
 marks its article (article or main elements) yields the blocks inside the mark, without the noise elements nested
-there: text that articles share with other pages is the page's own text, so repetition never removes it.
+there: text that articles share with other pages is the page's own text, so repetition never removes it. A mark that stands in a
+noise element is in doubt: the element may be an advert that was never closed before the article, or a sidebar that holds the teasers
+of other articles. The arrays decide: where repeats cover all text of a page's doubtful marks, and the page has a sure mark or text of its
+own besides, they are no marks of its article.
 
 Defined cases: null html is empty and yields an empty text; a null address is a host of its own; white space
 is what str.split() splits at; tags that are never closed end with the element around them; repeated rows are pages of their own;
@@ -45,6 +48,7 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PARTS = re.compile(r"[a-z]+")
+Block = tuple[str, int, bool]
 
 
 def _is_noise(tag: str, attributes: str, in_main: bool) -> bool:
@@ -62,14 +66,14 @@ def _is_noise(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """Text blocks of a page in order: (text, inside an article mark, inside noise)."""
-    out: list[tuple[str, bool, bool]] = []
+def blocks(page: str | None) -> list[Block]:
+    """Text blocks of a page in order: (text, inside an article mark: no 0, in doubt 1, sure 2, inside noise)."""
+    out: list[Block] = []
     if not page:
         return out
     words: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # of open block elements: tag, in a mark, in noise
-    main = noise = False
+    stack: list[Block] = []  # of open block elements: tag, in a mark, in noise
+    main, noise = 0, False
 
     def close() -> None:
         if words:
@@ -93,7 +97,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
-                        main, noise = stack[-1][1:] if stack else (False, False)
+                        main, noise = stack[-1][1:] if stack else (0, False)
                         break
             continue
         if tag in RAW:
@@ -115,12 +119,12 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-            main, noise = stack[-1][1:] if stack else (False, False)
+            main, noise = stack[-1][1:] if stack else (0, False)
         marks = tag in ("article", "main")
-        own = _is_noise(tag, attributes, main or marks)
+        own = _is_noise(tag, attributes, bool(main) or marks)
         if marks and not own:
-            noise = noise and main  # an article inside an unclosed menu or advert is still the article
-            main = True
+            # an article inside an unclosed menu or advert is still the article, so the mark is in doubt there
+            main, noise = main or (1 if noise else 2), noise and bool(main)
         else:
             noise = noise or own
         stack.append((tag, main, noise))
@@ -207,9 +211,9 @@ def _short_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=b"block").digest(), "little", signed=True)
 
 
-def short_blocks(parsed: list[list[tuple[str, bool, bool]]]) -> collections.Counter:
-    """Hashes of the blocks outside marks that are shorter than a window, and their numbers of pages."""
-    return collections.Counter(h for bs in parsed for h in {_short_hash(t) for t, main, _ in bs if not main and t.count(" ") + 1 < LONG})
+def short_blocks(parsed: list[list[Block]]) -> collections.Counter:
+    """Hashes of the judged blocks that are shorter than a window, and their numbers of pages."""
+    return collections.Counter(h for bs in parsed for h in {_short_hash(b[0]) for b in bs if _judged(b) and b[0].count(" ") + 1 < LONG})
 
 
 def covered_by(streams: list[list[str]], frequent: np.ndarray) -> list[np.ndarray]:
@@ -232,15 +236,21 @@ def inner_runs(cover: np.ndarray) -> np.ndarray:
     return out
 
 
-def _outside(parsed: list[tuple[str, bool, bool]]) -> list[str]:
-    """Words of a page's blocks outside article marks."""
-    return [w for text, main, _ in parsed if not main for w in text.split(" ")]
+def _judged(block: Block) -> bool:
+    """Whether repeats have a say on a block: all outside article marks, and the text of marks in doubt."""
+    _, main, noise = block
+    return not main or main == 1 and not noise
+
+
+def _stream(parsed: list[Block]) -> list[str]:
+    """Words of a page's judged blocks."""
+    return [w for b in parsed if _judged(b) for w in b[0].split(" ")]
 
 
 def extract_shard(pages: list[str | None], frequent: np.ndarray | None = None) -> list[str]:
     """Main texts of pages of one host, given the hashes of its ``frequent`` windows and short blocks (or of all its pages without them)."""
     parsed = [blocks(p) for p in pages]
-    streams = [_outside(bs) for bs in parsed]
+    streams = [_stream(bs) for bs in parsed]
     if frequent is None:
         (found, n), short = windows(streams), short_blocks(parsed)
         common = [h for h, k in short.items() if k >= max(LEAST_PAGES, SHORT_SHARE * len(pages))]
@@ -248,18 +258,24 @@ def extract_shard(pages: list[str | None], frequent: np.ndarray | None = None) -
     common = set(frequent.tolist())
     out = []
     for bs, cover in zip(parsed, covered_by(streams, frequent)):
-        if any(b[1] and not b[2] for b in bs):
-            out.append("\n\n".join(b[0] for b in bs if b[1] and not b[2]))
-            continue
-        kept, at = [], 0
-        for text, main, noise in bs:
-            if main:
+        marked, plain, at, believed = [], [], 0, False
+        for block in bs:
+            text, main, noise = block
+            if not _judged(block):
+                if not noise:
+                    marked.append((text, main))
                 continue
             words = text.split(" ")
             live, at = ~inner_runs(cover[at : at + len(words)]), at + len(words)
-            if not noise and live.any() and not (len(words) < LONG and _short_hash(text) in common):
-                kept.append(" ".join(w for w, x in zip(words, live) if x))
-        out.append("\n\n".join(kept))
+            own = live.any() and not (len(words) < LONG and _short_hash(text) in common)
+            if main:
+                marked.append((text, main))
+                believed = believed or own
+            elif own and not noise:
+                plain.append(" ".join(w for w, x in zip(words, live) if x))
+        if not believed and (plain or any(main == 2 for _, main in marked)):
+            marked = [m for m in marked if m[1] == 2]
+        out.append("\n\n".join([text for text, _ in marked] or plain))
     return out
 
 
@@ -269,7 +285,7 @@ def host(url):
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """__host, window, short, pages: the substrings and short blocks of each host outside marks, and on how many of its pages they are.
+    """__host, window, short, pages: the substrings and short blocks of each host outside sure marks, and on how many of its pages they are.
 
     Suffix arrays over slices of the table as it lies; no page is moved.
     """
@@ -281,7 +297,7 @@ def repeats(rows: DataFrame) -> DataFrame:
             hosts.setdefault(name, []).append(blocks(page))
         names, hashes, short, pages = [], [], [], []
         for name, parsed in hosts.items():
-            found, n = windows([_outside(bs) for bs in parsed])
+            found, n = windows([_stream(bs) for bs in parsed])
             few = short_blocks(parsed)
             names += [name] * (len(found) + len(few))
             hashes += [*found.tolist(), *few]

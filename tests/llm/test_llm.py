@@ -410,6 +410,21 @@ def test_html_without_marks_equals_brute_force_whatever_the_size_of_the_host(spa
     assert "Share this story" in out[1000] and foot in out[1001]  # two pages repeat nothing
 
 
+def test_html_repeats_decide_on_marks_inside_noise(spark):
+    teaser = "<aside><article><p>%s</article></aside>" % " ".join(f"teaser{k}" for k in range(12))
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
+    cases = [
+        *((f"{teaser}<div><p>{own(i)}</div>", own(i)) for i in range(4)),  # a sidebar's teaser is not the article of a page without a sure mark
+        *((f"<article><p>{own(i)}</article>{teaser}", own(i)) for i in range(4, 8)),  # nor a part of a marked one
+        (f"<div class='ad'>buy<article><p>{own(8)}</article>", own(8)),  # never closed
+        *[(f"<div class='ad'>buy<article><p>{own(9)}</article>", own(9))] * 4,  # nor in copies: there is no other text
+        *[(f"<article><p>{own(10)}</article>", own(10))] * 4,  # sure marks hold whatever repeats
+    ]
+    rows = [(i, f"http://h.example/{i}", page) for i, (page, _) in enumerate(cases)]
+    out = {r["page_id"]: r["text"] for r in op8_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(len(cases))] == [x for _, x in cases] == op8_html.extract_shard([page for page, _ in cases])
+
+
 def test_html_of_repeated_rows_long_pages_and_clashing_columns(spark):
     long = "<main><p>" + "word & more " * 60000 + "</main>"
     rows = [(1, "http://a/1", "<p>one two", "h"), (1, "http://a/1", "<p>one two", "h"), (2, None, long, "i"), (None, "no address", "<p>x", None)]

@@ -4,8 +4,9 @@ Vectors are rows of integer weights, one term per dimension, packed in units in
 candidates are dealt over parts, units of queries over groups, and each (part, group) pair is a cell, one task's work: the cell's queries
 come first and stay in memory, its candidates stream past in blocks. For a block and a tile of queries, the posting list of each term
 in turn is added, weighted, to a dense array of scores; a partition selects the rows that can be among the k best, which are kept across
-blocks; the k best of all cells are merged by rank. A unit is copied once for each group (candidates) or part (queries). There are about CELLS
-cells as long as groups stay under GROUP weights, so copies grow with the table only by the number of groups. Memory is bounded
+blocks; the k best of all cells are merged by rank. A unit is copied once for each group (candidates) or part (queries). The number of
+cells follows from the work, WORK multiplications each, and from the cluster's cores, so a task's time does not grow with the table until there
+are as many cells as Spark schedules well; copies grow with the square root of the number of cells. Memory is bounded
 by GROUP, TILE and AHEAD; nothing is broadcast or collected.
 
 Defined cases: vectors that are null, hold null or non-finite components, or have a null id take no
@@ -17,7 +18,7 @@ query's own id are never its candidates; of several query rows with one id the s
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,18 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_rows
 
-#: Rows of a unit, of a block, of a tile and of the blocks seen at once; weights of a group; cells of (part, group) that a table is dealt to.
-UNIT, BLOCK, TILE, AHEAD, GROUP, CELLS = 1024, 4096, 32, 16384, 1 << 24, 64
+#: Rows of a unit, of a block, of a tile and of the blocks seen at once; weights of a group.
+UNIT, BLOCK, TILE, AHEAD, GROUP = 1024, 4096, 32, 16384, 1 << 24
+#: Multiplications of a cell (about a minute's), and the fewest and most cells of (part, group) that a table is dealt to.
+WORK, FEWEST, MOST = 1 << 37, 64, 100_000
 
 
-def weights(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and integer weights floor(scale * x) of every vector that takes part."""
+def weights(vectors: DataFrame, scale: int = 256, *extra: str) -> DataFrame:
+    """vec_id, the ``extra`` columns and integer weights floor(scale * x) of every vector that takes part."""
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    kept = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False)))
-    return kept.select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("weights"))
+    kept = vectors.select("vec_id", "embedding", *extra).where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False)))
+    return kept.select(F.col("vec_id").cast("long"), *extra, F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("weights"))
 
 
 def narrow(values: np.ndarray) -> np.ndarray:
@@ -45,31 +48,36 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max), copy=False)
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """ids, lengths, values, width: units of at most UNIT rows as they lie, and ``unit``, which numbers them in turn from each partition on."""
-    schema = pa.schema([("ids", pa.binary()), ("lengths", pa.binary()), ("values", pa.binary()), ("width", pa.int32())])
+def packed(rows: DataFrame, *extra: str) -> DataFrame:
+    """ids, lengths, values, width: units of at most UNIT rows as they lie, and ``unit``, which numbers them in turn from each partition on.
+
+    ``extra`` columns of longs, or of lists of equally many longs, go along.
+    """
+    schema = pa.schema([("ids", pa.binary()), ("lengths", pa.binary()), ("values", pa.binary()), ("width", pa.int32()), *((name, pa.binary()) for name in extra)])
 
     def pack(batch: pa.RecordBatch) -> list:
         ids, held = batch.column("vec_id").to_numpy(), batch.column("weights")
         values = narrow(held.flatten().to_numpy(zero_copy_only=False))
         lengths = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int32)
-        return [[ids.tobytes()], [lengths.tobytes()], [values.tobytes()], [values.itemsize]]
+        more = [batch.column(name) for name in extra]
+        more = [c.flatten() if pa.types.is_list(c.type) else c for c in more]
+        return [[ids.tobytes()], [lengths.tobytes()], [values.tobytes()], [values.itemsize], *([c.to_numpy(zero_copy_only=False).tobytes()] for c in more)]
 
-    units = rows.mapInArrow(arrow_rows(schema, pack, UNIT), "ids binary, lengths binary, values binary, width int")
+    units = rows.mapInArrow(arrow_rows(schema, pack, UNIT), ", ".join(["ids binary, lengths binary, values binary, width int", *(f"{name} binary" for name in extra)]))
     at = F.monotonically_increasing_id()
     return units.withColumn("unit", F.shiftright(at, 33) + at.bitwiseAND(F.lit((1 << 33) - 1)))
 
 
-Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, lengths, and values one row after another
+Rows = tuple[np.ndarray, ...]  # ids, lengths, values one row after another, and extra columns
 
 
-def unpacked(row: dict) -> Rows:
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["values"], f"i{row['width']}")
+def unpacked(row: dict, *extra: str) -> Rows:
+    more = (np.frombuffer(row[name] or b"", np.int64) for name in extra)
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["values"], f"i{row['width']}"), *more
 
 
 def together(units: list[Rows]) -> Rows:
-    ids, lengths, values = (np.concatenate(c) for c in zip(*units))
-    return ids, lengths, values
+    return tuple(np.concatenate(c) for c in zip(*units))
 
 
 def ascending(rows: Rows) -> Rows:
@@ -143,14 +151,33 @@ def select(scores: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.divmod(np.flatnonzero(hits), hits.shape[1])
 
 
-class Best:
+class Kept:
+    """The k best (score, id) so far of each of n slots: larger scores first, then smaller ids."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, shape = k, (n, k)
+        self.found, self.scores, self.taken = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
+
+    def merge(self, slots: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+        touched = np.unique(slots)
+        old, place = np.nonzero(self.taken[touched])
+        slot = np.r_[slots, touched[old]]
+        found, scores = np.r_[found, self.found[touched[old], place]], np.r_[scores, self.scores[touched[old], place]]
+        order = np.lexsort((found, ~scores, slot))
+        slot, found, scores = slot[order], found[order], scores[order]
+        rank = np.arange(len(slot)) - np.searchsorted(slot, slot, "left")
+        kept = rank < self.k
+        slot, rank = slot[kept], rank[kept]
+        self.found[slot, rank], self.scores[slot, rank], self.taken[slot, rank] = found[kept], scores[kept], True
+
+
+class Best(Kept):
     """The k best candidates so far of each query of a cell."""
 
     def __init__(self, queries: Rows, k: int) -> None:
         self.ids, self.lengths, values = queries
+        super().__init__(len(self.ids), k)
         ends = np.cumsum(self.lengths)
-        self.k, shape = k, (len(self.ids), k)
-        self.found, self.scores, self.taken = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
         self.tiles = []
         for a in range(0, len(self.ids), TILE):
             b = min(a + TILE, len(self.ids))
@@ -186,19 +213,7 @@ class Best:
         at, rows = select(scores, floor, min(self.k, len(ids)))
         other = (rows < first[at]) | (rows >= last[at])
         if other.any():
-            self._merge(a, at[other], ids[rows[other]], scores[at[other], rows[other]].astype(np.int64))
-
-    def _merge(self, a: int, at: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
-        touched = np.unique(at) + a
-        old, place = np.nonzero(self.taken[touched])
-        query = np.r_[at + a, touched[old]]
-        found, scores = np.r_[found, self.found[touched[old], place]], np.r_[scores, self.scores[touched[old], place]]
-        order = np.lexsort((found, ~scores, query))
-        query, found, scores = query[order], found[order], scores[order]
-        rank = np.arange(len(query)) - np.searchsorted(query, query, "left")
-        kept = rank < self.k
-        query, rank = query[kept], rank[kept]
-        self.found[query, rank], self.scores[query, rank], self.taken[query, rank] = found[kept], scores[kept], True
+            self.merge(at[other] + a, ids[rows[other]], scores[at[other], rows[other]].astype(np.int64))
 
     def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(self.ids), 1 << 14):
@@ -207,29 +222,30 @@ class Best:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (self.ids[at], self.found[at, place], self.scores[at, place])], schema=schema)
 
 
-def dealt(n: int, asked: int, terms: int) -> tuple[int, int]:
-    """Parts of ``n`` candidates and groups of ``asked`` queries with ``terms`` weights: about CELLS cells with the fewest copies."""
+def dealt(n: int, asked: int, terms: int, cores: int = 1) -> tuple[int, int]:
+    """Parts of ``n`` candidates and groups of ``asked`` queries with ``terms`` weights: cells of bounded work with the fewest copies."""
     share = max(asked, 1) / max(n, 1)
-    groups = max(1, round(math.sqrt(CELLS * share)), math.ceil(terms / GROUP))
-    return max(1, min(math.ceil(n / UNIT), round(math.sqrt(CELLS / share)))), groups
+    cells = max(FEWEST, 2 * cores, min(MOST, math.ceil(n * terms / WORK)))
+    groups = max(1, round(math.sqrt(cells * share)), math.ceil(terms / GROUP))
+    return max(1, min(math.ceil(n / UNIT), round(math.sqrt(cells / share)))), groups
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of each row whose vec_id is divisible by ``every``."""
-    all_rows = weights(vectors, scale)
-    is_asked = F.col("vec_id") % every == 0
-    asked = all_rows.where(is_asked).groupBy("vec_id").agg(F.min("weights").alias("weights"))
-    parts, groups = dealt(*all_rows.agg(F.count(F.lit(1)), F.count_if(is_asked), F.coalesce(F.sum(F.when(is_asked, F.size("weights"))), F.lit(0))).first())
+def in_cells(units: DataFrame, asked: DataFrame, parts: int, groups: int) -> DataFrame:
+    """The ``units`` of candidates and of queries in every cell that they meet in: a cell in a partition, its queries first."""
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     def cells(units: DataFrame, queries: bool, part: Column, group: Column) -> DataFrame:
-        return units.select((part * groups + group).cast("int").alias("cell"), F.lit(queries).alias("queries"), "ids", "lengths", "values", "width")
+        rest = [c for c in units.columns if c not in ("unit", "each")]
+        return units.select((part * groups + group).cast("int").alias("cell"), F.lit(queries).alias("queries"), *rest)
 
-    def each(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = cells(units.withColumn("each", each(groups)), False, F.col("unit") % parts, F.col("each"))
+    asked = cells(asked.withColumn("each", each(parts)), True, F.col("each"), F.col("unit") % groups)
+    return held.unionByName(asked, allowMissingColumns=True).repartitionById(parts * groups, "cell").sortWithinPartitions("cell", F.desc("queries"))
 
-    held = cells(packed(all_rows).withColumn("group", each(groups)), False, F.col("unit") % parts, F.col("group"))
-    asked = cells(packed(asked).withColumn("part", each(parts)), True, F.col("part"), F.col("unit") % groups)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+def over_cells(start: Callable[[Rows], object], schema: pa.Schema, held: tuple[str, ...] = (), asked: tuple[str, ...] = ()) -> Callable:
+    """A mapInArrow function over cells: ``start`` makes an object of a cell's queries (with the ``asked`` columns), which sees its candidates
+    (with the ``held`` columns) in blocks and then yields its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, best, waiting = None, None, []
@@ -244,10 +260,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                     cell, best, waiting = row["cell"], None, []
                 if best is None and not row["queries"]:
                     if waiting:
-                        best, waiting = Best(together(waiting), k), []
+                        best, waiting = start(together(waiting)), []
                     else:
                         continue  # a cell without queries
-                waiting.append(unpacked(row))
+                waiting.append(unpacked(row, *(asked if row["queries"] else held)))
                 if best is not None and sum(len(u[0]) for u in waiting) >= AHEAD:
                     best.see(together(waiting))
                     waiting = []
@@ -257,8 +273,23 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
             yield from best.rows(schema)
         pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
-    units = held.unionByName(asked).repartitionById(parts * groups, "cell").sortWithinPartitions("cell", F.desc("queries"))
-    scored = units.mapInArrow(run, "query_id long, vec_id long, score long")
+    return run
+
+
+def dealt_for(rows: DataFrame, is_asked: Column) -> tuple[int, int]:
+    """Parts and groups for ``rows`` (weights), of which those that fulfil ``is_asked`` are queries too."""
+    counts = rows.agg(F.count(F.lit(1)), F.count_if(is_asked), F.coalesce(F.sum(F.when(is_asked, F.size("weights"))), F.lit(0))).first()
+    return dealt(*counts, rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates of each row whose vec_id is divisible by ``every``."""
+    all_rows = weights(vectors, scale)
+    is_asked = F.col("vec_id") % every == 0
+    asked = all_rows.where(is_asked).groupBy("vec_id").agg(F.min("weights").alias("weights"))
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    units = in_cells(packed(all_rows), packed(asked), *dealt_for(all_rows, is_asked))
+    scored = units.mapInArrow(over_cells(lambda rows: Best(rows, k), schema), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

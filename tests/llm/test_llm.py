@@ -180,7 +180,8 @@ def test_topk_in_many_tiles_and_blocks_moves_few_copies(spark, monkeypatch, larg
     fine = rng.integers(-40, 40, (n, terms)) * large
     fine[rng.random(n) < 0.1] = fine[7]  # equal vectors: ties
     fine[:, ::5] *= rng.random((n, terms // 5)) < 0.1  # terms that few hold
-    df = spark.createDataFrame([*zip(ids.tolist(), (fine / 256).tolist())], "vec_id long, embedding array<double>").repartition(4, "vec_id").localCheckpoint()
+    df = spark.createDataFrame([*zip(ids.tolist(), (fine / 256).tolist())], "vec_id long, embedding array<double>").repartition(4, "vec_id")
+    df = common.cut(df, "vectors")
     moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
     before = moved()
     got = collections.defaultdict(list)

@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quarry.llm import op1_mix, op2_secrets, op3_topk, op4_bpe, op5_media, op6_repair, op7_ngram_join, op8_html, op9_chat, op10_langid
+from quarry.llm import op1_mix, op2_secrets, op3_topk, op4_bpe, op5_media, op6_repair, op7_ngram_join, op8_html, op9_chat, op10_langid, op11_negatives, op12_packing, op13_runs
 from quarry.llm.common import cut, table
 
 
-
 def tokenizer_path(name: str) -> str:
     """A public tokenizer file: in the folder QUARRY_TOKENIZERS where that is set, else where its package keeps it."""
     folder = os.environ.get("QUARRY_TOKENIZERS")
@@ -66,10 +66,25 @@ def op10_language_id(spark, sf_dir) -> DataFrame:
     return op10_langid.languages_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark, sf_dir) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))  # labels that disagree with their vectors
+    return op11_negatives.mine(vectors.withColumn("label", label))
+
+
+def op12_cost_packing(spark, sf_dir) -> DataFrame:
+    pieces = op12_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "cost")
+
+
+def op13_word_runs(spark, sf_dir) -> DataFrame:
+    return op13_runs.digests(op13_runs.find(op13_runs.planted(table(spark, sf_dir, "documents"))))
+
+
 def queries():
-    found = (op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_bpe_transducer, op5_media_columns, op6_repair_shards, op7_ngram_jaccard, op8_html_main_text, op9_chat_format, op10_language_id)
+    found = (op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_bpe_transducer, op5_media_columns, op6_repair_shards, op7_ngram_jaccard, op8_html_main_text, op9_chat_format, op10_language_id, op11_hard_negatives, op12_cost_packing, op13_word_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op3_exact_topk": op3_topk.ORACLE, "op9_chat_format": op9_chat.ORACLE}
+    return {"op3_exact_topk": op3_topk.ORACLE, "op9_chat_format": op9_chat.ORACLE, "op11_hard_negatives": op11_negatives.ORACLE}

@@ -2,29 +2,36 @@
 
 Pages are parsed into blocks. The word streams of all blocks that no sure article mark encloses are concatenated,
 page after page; a suffix array over them, sorted as deep as LONG words, groups equal substrings of LONG words
-and counts the pages of each. The arrays cover batches of pages as they lie in the table; their counts
-are summed by host and substring (64-bit hashes), so what repeats does not depend on how pages are dealt or on the
-number of pages of a host. A substring on LEAST_PAGES pages of its host or more is boilerplate, and longer repeats are unions
-of such windows. A block too short for a window is boilerplate if it is on LEAST_PAGES pages and half of its host's pages.
+and counts the distinct pages of each. The arrays cover batches of pages as they lie in the table; their counts
+are summed by host and substring (64-bit hashes), so what repeats does not depend on how pages are dealt.
+Pages of a host are distinct if the longest blocks that hold two thirds of their text differ (outside noise elements, and without blocks that more than half of the host's pages have): copies of an article count as one page together, so
+no article goes for being stored, or syndicated, many times. A substring on LEAST_PAGES distinct pages of its host and a SHARE of them
+is boilerplate, and longer repeats are unions of such windows; the share bounds a host's boilerplate by the length of its pages, not by their number. A block too
+short for a window is boilerplate if it is on LEAST_PAGES and half of its host's distinct pages.
 Pages of a host are then dealt to tasks by a hash of their address, with the host's boilerplate at hand.
 
-A page without a mark yields, of the blocks outside noise elements, the runs of words that no repeat covers. A page that
+A page without a mark yields, of the blocks outside noise elements, the runs of words that no repeat covers; where repeats cover all of
+them, the runs that are not on half of the host's distinct pages. A page that
 marks its article (article or main elements) yields the blocks inside the mark, without the noise elements nested
-there: text that articles share with other pages is the page's own text, so repetition never removes it. A mark that stands in a
+there: text that articles share with other pages is the page's own text, so repetition never removes it. An element that only its name (class
+or id) calls noise is noise inside a sure mark if there is a second sign: fields, buttons or further noise elements in it, half of its text in links, another element
+of that name, a place behind all other text (comments), or repeats that cover it. A mark that stands in a
 noise element is in doubt: the element may be an advert that was never closed before the article, or a sidebar that holds the teasers
 of other articles. The arrays decide: where repeats cover all text of a page's doubtful marks, and the page has a sure mark or text of its
 own besides, they are no marks of its article.
 
 Defined cases: null html is empty and yields an empty text; a null address is a host of its own; white space
-is what str.split() splits at; tags that are never closed end with the element around them; repeated rows are pages of their own;
-other columns are ignored.
+is what str.split() splits at; tags that are never closed end with the element around them; repeated rows each yield their text, and count as
+one page; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import collections
 import hashlib
 import html as entities
+import itertools
 import re
 
 import numpy as np
@@ -34,8 +41,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_rows, cut
 
-#: Pages of a task's group, words of a window, pages that make it boilerplate, and the host's share that short blocks need.
-SHARD, LONG, LEAST_PAGES, SHORT_SHARE = 256, 8, 3, 0.5
+#: Pages of a task's group, words of a window, distinct pages and share of a host's that make it boilerplate, and the share that short blocks need.
+SHARD, LONG, LEAST_PAGES, SHARE, SHORT_SHARE = 256, 8, 3, 0.01, 0.5
+#: The part of a page's text that tells copies of it.
+MAIN_PART = 2 / 3
 #: Elements by what they do to text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,57 +58,76 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 Block = tuple[str, int, bool]
+#: What a block's place says of it: outside marks, in a doubtful mark, in a sure mark, in an element of a sure mark that only its name calls noise.
+PLAIN, DOUBTFUL, SURE, NAMED = 0, 1, 2, 3
 
 
-def _is_noise(tag: str, attributes: str, in_main: bool) -> bool:
+def _noise_sign(tag: str, attributes: str, in_main: bool) -> str:
+    """What makes an element noise: "tag" (its kind, role or being hidden), the noise name in its class or id, or nothing."""
     if tag in NOISE and not (tag == "header" and in_main):
-        return True
+        return "tag"
+    named = ""
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in _NAMED.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "role" and value in NOISE_ROLES:
-                return True
-            if name in ("class", "id") and not NOISE_NAMES.isdisjoint(_PARTS.findall(value)) and not (in_main and tag == "header"):
-                return True
-    return False
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
+                return "tag"
+            if name in ("class", "id") and not (in_main and tag == "header"):
+                named = named or next((w for w in _PARTS.findall(value) if w in NOISE_NAMES), "")
+    return named
+
+
+class _Named:
+    """An element of a sure mark that only its name calls noise, and the signs beside the name."""
+
+    def __init__(self, tag: str, name: str) -> None:
+        self.tag, self.name, self.sign, self.text, self.linked = tag, name, False, 0, 0
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Text blocks of a page in order: (text, inside an article mark: no 0, in doubt 1, sure 2, inside noise)."""
-    out: list[Block] = []
+    """Text blocks of a page in order: (text, PLAIN, DOUBTFUL, SURE or NAMED, inside noise)."""
+    out: list[tuple[str, int, bool, _Named | None]] = []
     if not page:
-        return out
+        return []
     words: list[str] = []
-    stack: list[Block] = []  # of open block elements: tag, in a mark, in noise
-    main, noise = 0, False
+    stack: list[tuple[str, int, bool, _Named | None]] = []  # of open block elements: tag, in a mark, in noise, in a named element
+    main, noise, named, linked = PLAIN, False, None, False
 
     def close() -> None:
         if words:
             text = " ".join(entities.unescape("".join(words)).split())
             if text:
-                out.append((text, main, noise))
+                out.append((text, main, noise, named))
             words.clear()
 
+    def add(text: str) -> None:
+        words.append(text)
+        if named:
+            named.text += len(text.strip())
+            named.linked += len(text.strip()) if linked else 0
+
     at = 0
     while m := _TAG.search(page, at):
         if m.start() > at:
-            words.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if tag == "a":
+            linked = not closing
         if closing:
             if tag in BLOCKS:
                 close()
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
-                        main, noise = stack[-1][1:] if stack else (0, False)
+                        main, noise, named = stack[-1][1:] if stack else (PLAIN, False, None)
                         break
             continue
+        if named and tag in ("input", "textarea", "select"):
+            named.sign = True
         if tag in RAW:
             if tag in BLOCKS:
                 close()
@@ -110,7 +138,8 @@ def blocks(page: str | None) -> list[Block]:
         if tag == "br":
             words.append(" ")
         if tag not in BLOCKS:
-            if tag not in VOID and _SPAN_NOISE.search(attributes) and _is_noise(tag, attributes, main):
+            sign = _noise_sign(tag, attributes, bool(main)) if tag not in VOID and _SPAN_NOISE.search(attributes) else ""
+            if sign == "tag" or sign and main != SURE:
                 end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
                 at = end.end() if end else at
             continue
@@ -119,18 +148,33 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-            main, noise = stack[-1][1:] if stack else (0, False)
+            main, noise, named = stack[-1][1:] if stack else (PLAIN, False, None)
         marks = tag in ("article", "main")
-        own = _is_noise(tag, attributes, bool(main) or marks)
-        if marks and not own:
+        sign = _noise_sign(tag, attributes, bool(main) or marks)
+        if sign and named:
+            named.sign = True
+        if sign and sign != "tag" and main == SURE and not noise:
+            named = named or _Named(tag, sign)
+        elif marks and not sign:
             # an article inside an unclosed menu or advert is still the article, so the mark is in doubt there
-            main, noise = main or (1 if noise else 2), noise and bool(main)
+            main, noise = main or (DOUBTFUL if noise else SURE), noise and bool(main)
         else:
-            noise = noise or own
-        stack.append((tag, main, noise))
-    words.append(page[at:])
+            noise = noise or bool(sign)
+        stack.append((tag, main, noise, named))
+    add(page[at:])
     close()
-    return out
+    return _decided(out)
+
+
+def _decided(found: list[tuple[str, int, bool, _Named | None]]) -> list[Block]:
+    """Blocks of named elements with a second sign are noise; the others' are NAMED, which repeats may still remove."""
+    elements = list({id(b[3]): b[3] for b in found if b[3]}.values())
+    times = collections.Counter((e.tag, e.name) for e in elements)
+    last = max((k for k, (_, main, noise, named) in enumerate(found) if main == SURE and not noise and not named), default=-1)
+    for k, (_, _, _, e) in enumerate(found):
+        if e:
+            e.sign |= 2 * e.linked >= e.text or times[e.tag, e.name] > 1 or e.name == "comments" and k > last
+    return [(text, NAMED if e and not e.sign and not noise else main, noise or bool(e and e.sign)) for text, main, noise, e in found]
 
 
 _SPAN_NOISE = re.compile(r"class|id|role|hidden", re.I)
@@ -169,13 +213,13 @@ def _joined(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tokens, owner, np.array(starts, np.int64), lengths, list(numbers)
 
 
-def _groups(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes in order, where groups equal in LONG tokens begin there, and each group's number of streams."""
+def _groups(tokens: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in order, where groups equal in LONG tokens begin there, and each group's weight of streams."""
     order, rank = suffix_order(tokens, LONG)
     sorted_rank, sorted_owner = rank[order], owner[order]
     edges = np.flatnonzero(np.r_[True, sorted_rank[1:] != sorted_rank[:-1]])
     new_owner = np.r_[True, (sorted_rank[1:] != sorted_rank[:-1]) | (sorted_owner[1:] != sorted_owner[:-1])]
-    return order, edges, np.add.reduceat(new_owner.astype(np.int64), edges)
+    return order, edges, np.add.reduceat(new_owner * weight[sorted_owner], edges)
 
 
 def _covers(hits: np.ndarray, total: int, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -196,12 +240,12 @@ def _hashes(tokens: np.ndarray, words: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def windows(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct substrings of LONG words, and the number of streams that hold each."""
+def windows(streams: list[list[str]], weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct substrings of LONG words, and the number (or ``weight``) of the streams that hold each."""
     if sum(map(len, streams)) < LONG:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0)
     tokens, owner, starts, lengths, words = _joined(streams)
-    order, edges, pages = _groups(tokens, owner)
+    order, edges, pages = _groups(tokens, owner, np.ones(len(streams)) if weight is None else weight)
     first = order[edges]
     whole = first + LONG <= (starts + lengths)[owner[first]]
     return _hashes(tokens, words)[first[whole]], pages[whole]
@@ -211,9 +255,29 @@ def _short_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=b"block").digest(), "little", signed=True)
 
 
-def short_blocks(parsed: list[list[Block]]) -> collections.Counter:
-    """Hashes of the judged blocks that are shorter than a window, and their numbers of pages."""
-    return collections.Counter(h for bs in parsed for h in {_short_hash(b[0]) for b in bs if _judged(b) and b[0].count(" ") + 1 < LONG})
+def short_blocks(parsed: list[list[Block]], weight: np.ndarray) -> dict[int, float]:
+    """Hashes of the judged blocks that are shorter than a window, and the weight of their pages."""
+    out: dict[int, float] = collections.defaultdict(float)
+    for bs, w in zip(parsed, weight.tolist()):
+        for h in {_short_hash(b[0]) for b in bs if _judged(b) and b[0].count(" ") + 1 < LONG}:
+            out[h] += w
+    return out
+
+
+def own_blocks(parsed: list[Block]) -> set[str]:
+    """The blocks outside noise elements, in marks or not."""
+    return {b[0] for b in parsed if not b[2]}
+
+
+def signature(parsed: list[Block], site: set[int]) -> int:
+    """What copies of a page have in common: a hash of its longest blocks outside noise elements, as many as hold MAIN_PART of their text.
+
+    Blocks of the ``site``, on more than half of the host's pages, are left out; without others, it is a hash of all words.
+    """
+    own = sorted((t for t in own_blocks(parsed) if _short_hash(t) not in site), key=lambda t: (-len(t), t))
+    held = list(itertools.accumulate(map(len, own)))
+    most = bisect.bisect_left(held, MAIN_PART * held[-1]) + 1 if held else 0
+    return _short_hash("\n".join(own[:most] or [b[0] for b in parsed]))
 
 
 def covered_by(streams: list[list[str]], frequent: np.ndarray) -> list[np.ndarray]:
@@ -237,9 +301,9 @@ def inner_runs(cover: np.ndarray) -> np.ndarray:
 
 
 def _judged(block: Block) -> bool:
-    """Whether repeats have a say on a block: all outside article marks, and the text of marks in doubt."""
+    """Whether repeats have a say on a block: all outside article marks, the text of marks in doubt, and what only a name calls noise."""
     _, main, noise = block
-    return not main or main == 1 and not noise
+    return main == PLAIN or main != SURE and not noise
 
 
 def _stream(parsed: list[Block]) -> list[str]:
@@ -247,18 +311,36 @@ def _stream(parsed: list[Block]) -> list[str]:
     return [w for b in parsed if _judged(b) for w in b[0].split(" ")]
 
 
-def extract_shard(pages: list[str | None], frequent: np.ndarray | None = None) -> list[str]:
-    """Main texts of pages of one host, given the hashes of its ``frequent`` windows and short blocks (or of all its pages without them)."""
+Frequent = tuple[np.ndarray, np.ndarray]  # hashes of a host's frequent windows and short blocks, and which are on half of its pages
+
+
+def frequent_of(parsed: list[list[Block]]) -> Frequent:
+    """The frequent windows and short blocks of a host, from all its pages."""
+    on = collections.Counter(_short_hash(t) for bs in parsed for t in own_blocks(bs))
+    site = {h for h, n in on.items() if 2 * n > len(parsed)}
+    signs = [signature(bs, site) for bs in parsed]
+    times = collections.Counter(signs)
+    weight = np.array([1 / times[x] for x in signs])
+    (found, n), short = windows([_stream(bs) for bs in parsed], weight), short_blocks(parsed, weight)
+    hashes = np.r_[found, np.array([*short], np.int64)]
+    pages, is_short = np.r_[n, np.array([*short.values()])], np.arange(len(hashes)) >= len(found)
+    kept = pages >= np.maximum(LEAST_PAGES, np.where(is_short, SHORT_SHARE, SHARE) * len(times)) - SLACK
+    return hashes[kept], (pages >= SHORT_SHARE * len(times) - SLACK)[kept]
+
+
+#: Weights of copies are fractions, whose sums may miss a whole number by less than this.
+SLACK = 1e-6
+
+
+def extract_shard(pages: list[str | None], frequent: Frequent | None = None) -> list[str]:
+    """Main texts of pages of one host, given what is ``frequent`` on it (without it, the pages are all of the host)."""
     parsed = [blocks(p) for p in pages]
     streams = [_stream(bs) for bs in parsed]
-    if frequent is None:
-        (found, n), short = windows(streams), short_blocks(parsed)
-        common = [h for h, k in short.items() if k >= max(LEAST_PAGES, SHORT_SHARE * len(pages))]
-        frequent = np.concatenate([found[n >= LEAST_PAGES], np.array(common, np.int64)])
-    common = set(frequent.tolist())
+    hashes, wide = frequent or frequent_of(parsed)
+    common = set(hashes.tolist())
     out = []
-    for bs, cover in zip(parsed, covered_by(streams, frequent)):
-        marked, plain, at, believed = [], [], 0, False
+    for bs, cover, broad in zip(parsed, covered_by(streams, hashes), covered_by(streams, hashes[wide])):
+        marked, plain, spared, at, believed = [], [], [], 0, False
         for block in bs:
             text, main, noise = block
             if not _judged(block):
@@ -266,16 +348,25 @@ def extract_shard(pages: list[str | None], frequent: np.ndarray | None = None) -
                     marked.append((text, main))
                 continue
             words = text.split(" ")
-            live, at = ~inner_runs(cover[at : at + len(words)]), at + len(words)
-            own = live.any() and not (len(words) < LONG and _short_hash(text) in common)
-            if main:
+            here = slice(at, at + len(words))
+            at += len(words)
+            live, known = ~inner_runs(cover[here]), len(words) < LONG and _short_hash(text) in common
+            own = live.any() and not known
+            if main == NAMED:
+                if own:
+                    marked.append((text, SURE))
+            elif main:
                 marked.append((text, main))
                 believed = believed or own
-            elif own and not noise:
-                plain.append(" ".join(w for w, x in zip(words, live) if x))
-        if not believed and (plain or any(main == 2 for _, main in marked)):
-            marked = [m for m in marked if m[1] == 2]
-        out.append("\n\n".join([text for text, _ in marked] or plain))
+            elif not noise:
+                if own:
+                    plain.append(" ".join(w for w, x in zip(words, live) if x))
+                rare = ~inner_runs(broad[here])
+                if rare.any() and not known:
+                    spared.append(" ".join(w for w, x in zip(words, rare) if x))
+        if not believed and (plain or any(main == SURE for _, main in marked)):
+            marked = [m for m in marked if m[1] == SURE]
+        out.append("\n\n".join([text for text, _ in marked] or plain or spared))
     return out
 
 
@@ -284,45 +375,82 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+ROWS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("__host", pa.string()), ("__sign", pa.int64())])
+
+
+def signed(rows: DataFrame, whole: bool) -> DataFrame:
+    """``rows`` with ``__sign``, the signature of each page (the ``whole`` rows, or host and signature alone)."""
+    schema = ROWS if whole else pa.schema([f for f in ROWS if f.name in ("__host", "__sign")])
+
+    def sign(batch: pa.RecordBatch) -> list:
+        signs = [signature(blocks(p), set(site or ())) for p, site in zip(batch.column("html").to_pylist(), batch.column("__site").to_pylist())]
+        return [*(batch.column(n) for n in schema.names[:-1]), pa.array(signs, pa.int64())]
+
+    rows = rows if whole else rows.select("__host", "html", "__site")
+    return rows.mapInArrow(arrow_rows(schema, sign), ("page_id long, url string, html string, " if whole else "") + "__host string, __sign long")
+
+
+def site_blocks(rows: DataFrame) -> DataFrame:
+    """__host and __site, the hashes of the blocks on more than half of its pages: at most twice as many as a page has on the average."""
+    schema = pa.schema([("__host", pa.string()), ("block", pa.int64()), ("pages", pa.int64())])
+
+    def count(batch: pa.RecordBatch) -> list:
+        on = collections.Counter((name, _short_hash(t)) for name, page in zip(batch.column("__host").to_pylist(), batch.column("html").to_pylist()) for t in own_blocks(blocks(page)))
+        return [[h for h, _ in on], [b for _, b in on], [*on.values()]]
+
+    found = rows.select("__host", "html").mapInArrow(arrow_rows(schema, count), "__host string, block long, pages long")
+    found = found.groupBy("__host", "block").agg(F.sum("pages").alias("pages")).where("pages > 1")
+    size = rows.groupBy("__host").agg(F.count(F.lit(1)).alias("__all"))
+    return found.join(size, "__host").where(2 * F.col("pages") > F.col("__all")).groupBy("__host").agg(F.collect_list("block").alias("__site"))
+
+
 def repeats(rows: DataFrame) -> DataFrame:
-    """__host, window, short, pages: the substrings and short blocks of each host outside sure marks, and on how many of its pages they are.
+    """__host, window, short, pages: the substrings and short blocks of each host outside sure marks, and on how many of its distinct pages they are.
 
-    Suffix arrays over slices of the table as it lies; no page is moved.
+    ``rows`` hold __host, html and __copies, the number of pages with their signature. Suffix arrays over slices of the table as it lies; no page is moved.
     """
-    schema = pa.schema([("__host", pa.string()), ("window", pa.int64()), ("short", pa.bool_()), ("pages", pa.int64())])
+    schema = pa.schema([("__host", pa.string()), ("window", pa.int64()), ("short", pa.bool_()), ("pages", pa.float64())])
 
     def count(batch: pa.RecordBatch) -> list:
         hosts: dict[str, list] = {}
-        for name, page in zip(batch.column("__host").to_pylist(), batch.column("html").to_pylist()):
-            hosts.setdefault(name, []).append(blocks(page))
+        for name, page, copies in zip(*(batch.column(n).to_pylist() for n in ("__host", "html", "__copies"))):
+            hosts.setdefault(name, []).append((blocks(page), 1 / copies))
         names, hashes, short, pages = [], [], [], []
-        for name, parsed in hosts.items():
-            found, n = windows([_stream(bs) for bs in parsed])
-            few = short_blocks(parsed)
+        for name, held in hosts.items():
+            parsed, weight = [bs for bs, _ in held], np.array([w for _, w in held])
+            found, n = windows([_stream(bs) for bs in parsed], weight)
+            few = short_blocks(parsed, weight)
             names += [name] * (len(found) + len(few))
             hashes += [*found.tolist(), *few]
             short += [False] * len(found) + [True] * len(few)
             pages += [*n.tolist(), *few.values()]
         return [names, hashes, short, pages]
 
-    counts = rows.select("__host", "html").mapInArrow(arrow_rows(schema, count), "__host string, window long, short boolean, pages long")
+    counts = rows.select("__host", "html", "__copies").mapInArrow(arrow_rows(schema, count), "__host string, window long, short boolean, pages double")
     return counts.groupBy("__host", "window", "short").agg(F.sum("pages").alias("pages"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("__host", host(F.col("url")))
-    hosts = rows.groupBy("__host").agg(F.count(F.lit(1)).alias("__pages")).withColumn("__shards", F.ceil(F.col("__pages") / F.lit(float(SHARD))).cast("int"))
-    hosts = cut(hosts, "hosts")
-    often = repeats(rows).where(F.col("pages") >= LEAST_PAGES).join(hosts, "__host").where(~F.col("short") | (F.col("pages") >= F.col("__pages") * SHORT_SHARE))
-    frequent = often.select("__host", F.explode(F.sequence(F.lit(0), F.col("__shards") - 1)).alias("__shard"), "window")
+    sited = rows.join(cut(site_blocks(rows), "site"), "__host", "left")
+    signs = cut(signed(sited, whole=False).groupBy("__host", "__sign").agg(F.count(F.lit(1)).alias("__copies")), "signs")
+    shards = F.ceil(F.sum("__copies") / F.lit(float(SHARD))).cast("int")
+    hosts = cut(signs.groupBy("__host").agg(F.count(F.lit(1)).cast("double").alias("__pages"), shards.alias("__shards")), "hosts")
+    copied = signed(sited, whole=True).join(signs.where(F.col("__copies") > 1), ["__host", "__sign"], "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
+    needed = F.greatest(F.lit(float(LEAST_PAGES)), F.when(F.col("short"), SHORT_SHARE).otherwise(SHARE) * F.col("__pages")) - SLACK
+    often = repeats(copied).where(F.col("pages") >= LEAST_PAGES - SLACK).join(hosts, "__host").where(F.col("pages") >= needed)
+    often = often.withColumn("wide", F.col("pages") >= SHORT_SHARE * F.col("__pages") - SLACK)
+    # a host has at most 1 / SHARE times as many windows here as a page of its holds words on the average, whatever its number of pages
+    frequent = often.select("__host", F.explode(F.sequence(F.lit(0), F.col("__shards") - 1)).alias("__shard"), "window", "wide")
     rows = rows.join(hosts.drop("__pages"), "__host").withColumn("__shard", F.pmod(F.xxhash64("url", "page_id"), F.col("__shards")).cast("int")).drop("__shards")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(group: pa.Table, often: pa.Table) -> pa.Table:
         if not group.num_rows:
             return schema.empty_table()
-        texts = extract_shard(group.column("html").to_pylist(), often.column("window").to_numpy())
+        hashes = often.column("window").to_numpy(), often.column("wide").to_numpy().astype(bool)
+        texts = extract_shard(group.column("html").to_pylist(), hashes)
         return pa.Table.from_arrays([group.column("page_id"), group.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
     by = ("__host", "__shard")

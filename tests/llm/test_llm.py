@@ -372,12 +372,25 @@ def test_html(spark):
 
 
 def brute_main_text(pages):
-    """Main texts of the pages of one host without marks or noise: every window of 8 words is looked for on every page."""
+    """Main texts of the pages of one host without marks or noise: every window of 8 words is looked for on every page.
+
+    Pages with the same longest blocks, up to two thirds of their characters, are one page; blocks on most pages do not tell pages apart.
+    """
     parsed = [[" ".join(x.split()) for x in re.split("</?(?:p|div|body)>", p) if x.strip()] for p in pages]
     streams = [" ".join(bs).split() for bs in parsed]
+    same = []
+    for bs in parsed:
+        told = [t for t in set(bs) if 2 * sum(t in other for other in parsed) <= len(parsed)]
+        left, main = 2 / 3 * sum(map(len, told)), [] if told else bs
+        for t in sorted(told, key=lambda t: (-len(t), t)):
+            if left > 0:
+                main.append(t)
+                left -= len(t)
+        same.append(tuple(main))
     windows = [{tuple(s[k : k + 8]) for k in range(len(s) - 7)} for s in streams]
-    common = {w for w, n in collections.Counter(w for ws in windows for w in ws).items() if n >= 3}
-    short = {t for t, n in collections.Counter(t for bs in parsed for t in set(bs) if len(t.split()) < 8).items() if n >= 3 and 2 * n >= len(pages)}
+    on = lambda sets: {x: len(who) for x, who in ((x, {k for k, xs in zip(same, sets) if x in xs}) for x in set().union(*sets))}
+    common = {w for w, n in on(windows).items() if n >= 3 and 100 * n >= len(set(same))}
+    short = {t for t, n in on([{t for t in bs if len(t.split()) < 8} for bs in parsed]).items() if n >= 3 and 2 * n >= len(set(same))}
     out = []
     for bs, s in zip(parsed, streams):
         cover = [any(tuple(s[j : j + 8]) in common for j in range(max(0, k - 7), k + 1)) for k in range(len(s))]
@@ -401,12 +414,14 @@ def test_html_without_marks_equals_brute_force_whatever_the_size_of_the_host(spa
     rnd = random.Random(2)
     foot = "Copyright 2020 the great company of the example all rights reserved"
     section = "see also the other pages of this small section of ours"
-    page = lambda i: f"<body><div>Share this story</div><p>{' '.join(rnd.choice(WORDS) + str(rnd.randrange(10**6)) for _ in range(12))} page {i}<p>{'Intro' if i % 9 == 0 else f'own {i}'}<div>{section if i % 17 == 0 and i < 51 else f'alone {i}'}</div><div>{foot if i % 2 else 'x ' + foot}</div>"
-    pages = [page(i) for i in range(size)]
+    page = lambda i: f"<body><div>Share this story</div><p>{' '.join(rnd.choice(WORDS) + str(rnd.randrange(10**6)) for _ in range(12))} page {i}<p>{'Intro' if i % 9 == 0 else f'own {i}'}<div>{section if i % 17 == 0 else f'alone {i}'}</div><div>{foot if i % 2 else 'x ' + foot}</div>"
+    pages = [page(i) for i in range(size - 4)]
+    pages += [f"<body><div>Posted by user {i}</div><p>{'the same story told on many pages of one host ' * 3}<p>and so on<div>{foot}</div>" for i in range(4)]  # copies of one article
     rows = [(i, f"http://big.example/{i}", p) for i, p in enumerate(pages)] + [(1000 + i, f"http://small.example/{i}", p) for i, p in enumerate(pages[:2])]
     out = {r["page_id"]: r["text"] for r in op8_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     expected = brute_main_text(pages)
     assert [out[i] for i in range(size)] == expected == op8_html.extract_shard(pages)
+    assert all(x.endswith("and so on") and x.count("story") == 3 for x in expected[-4:])
     assert "Share" not in expected[0] and section not in expected[17] and "Copyright" not in expected[1] and "Intro" in expected[9]
     assert "Share this story" in out[1000] and foot in out[1001]  # two pages repeat nothing
 
@@ -426,6 +441,60 @@ def test_html_repeats_decide_on_marks_inside_noise(spark):
     assert [out[i] for i in range(len(cases))] == [x for _, x in cases] == op8_html.extract_shard([page for page, _ in cases])
 
 
+def test_html_of_copied_articles_and_names(spark):
+    """Copies of an article never remove it; a name alone removes nothing inside a sure mark."""
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(40))
+    foot = "<div>all pages of this host carry this line of at least eight words</div>"
+    same = f"<body><p>{own(0)}</p>{foot}"
+    line = foot[5:-6]
+    for copies, others in ((2, 0), (3, 0), (3, 3), (5, 2), (20, 400)):
+        pages = [same] * copies + [f"<body><p>{own(k + 1)}</p>{foot}" for k in range(others)]
+        rows = [(k, f"http://h.example/{k}", page) for k, page in enumerate(pages)]
+        out = {r["page_id"]: r["text"] for r in op8_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        kept = "" if others >= 2 else f"\n\n{line}"  # what two different pages share is on no third one
+        assert [out[k] for k in range(len(pages))] == [own(0) + kept] * copies + [own(k + 1) + kept for k in range(others)] == op8_html.extract_shard(pages)
+    article = "<article><p>%s</p><div class='share-price'>Shares rose 3 percent</div><section class='discussion'>We discuss the results here.</section><p class='comment'>A remark of the author.</p>%s</article>"
+    signs = [
+        "<div class='comments'><p>nice</p></div>",  # behind all other text
+        "<div class='comment'>first</div><div class='comment'>second</div>",  # a list; the author's remark is a p
+        "<div class='related'><a href=x>one more story</a></div>",
+        "<div class='newsletter'>Your mail <input name=m></div>",
+        "<div id='promo'>x <div class='ad'>y</div></div>",
+        "<aside>z</aside>",
+        "<div class='notice'>this very notice is on all the pages of the host</div>",
+    ]
+    pages = [article % (own(k), x) for k, x in enumerate(signs)] + [article % (own(9 + k), signs[-1]) for k in range(2)]
+    pages += [f"<article><p>{own(20)}</p><div class='notice'>this one is told on a single page and goes on a little</div></article>"]
+    for k, text in enumerate(op8_html.extract_shard(pages)[:-1]):
+        parts = text.split("\n\n")
+        assert parts[0] == own(k if k < 7 else k + 2) and len(parts) == 1 and "this very" not in text  # the article alone: ten pages share the rest
+    alone = op8_html.extract_shard(pages[:1])[0]
+    assert alone == f"{own(0)}\n\nShares rose 3 percent\n\nWe discuss the results here.\n\nA remark of the author."
+    for k in range(len(signs) - 1):
+        assert op8_html.extract_shard([pages[k]])[0] == alone.replace(own(0), own(k)), signs[k]
+    texts = op8_html.extract_shard(pages)
+    assert all("this very notice" not in t for t in texts) and texts[-1].endswith("goes on a little")
+
+
+def test_html_of_given_pages_without_their_marks():
+    """With article, nav, footer and ad turned into plain elements, the arrays keep nearly all of what the marks said, and no page ends empty."""
+    import duckdb
+
+    hosts = collections.defaultdict(list)
+    for url, page in duckdb.sql("SELECT url, html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html LIKE '%<article>%'").fetchall():
+        hosts[url.split("/")[2]].append(page)
+    asked = kept = 0
+    for pages in hosts.values():
+        plain = [re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", p).replace('<div class="ad">', "<div>") for p in pages]
+        for page, text in zip(pages, op8_html.extract_shard(plain)):
+            inner = re.search("<article>(.*)</article>", page, re.S)[1]
+            words = collections.Counter(html.unescape(re.sub("<[^>]*>", " ", inner)).split())
+            assert text or not words
+            asked += words.total()
+            kept += (words & collections.Counter(text.split())).total()
+    assert asked > 10_000 and kept > 0.97 * asked
+
+
 def test_html_of_repeated_rows_long_pages_and_clashing_columns(spark):
     long = "<main><p>" + "word & more " * 60000 + "</main>"
     rows = [(1, "http://a/1", "<p>one two", "h"), (1, "http://a/1", "<p>one two", "h"), (2, None, long, "i"), (None, "no address", "<p>x", None)]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quarry.functions import analysis, distance, languages, scoring
 from quarry.functions.analysis import STOP_WORDS
 from quarry.operators import expand, facets, highlight, search, suggest, vectors
-from quarry.operators.index import SearchIndex, keep_last, numbered, spread, with_parents
+from quarry.operators.blocks import BlockIndex
+from quarry.operators.index import SearchIndex, keep_last, numbered, shared_path, spread, with_parents
 from quarry.operators.search import Searcher
 from quarry.plans import query as Q
 from quarry.plans.parser import FEATURES, QueryParser, multifield
@@ -324,6 +325,60 @@ def bm25_topk(spark, sf_dir):
     return Searcher(documents(spark, sf_dir)).search(_OR, limit=10, columns=[]).hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
+# Stored blocks with bounds
+
+
+def document_blocks(spark, sf_dir) -> BlockIndex:
+    """The documents' index stored in blocks, like languages and lengths together; stored once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "blocks")
+    if key not in _held:
+        _held[key] = BlockIndex.write(documents(spark, sf_dir), shared_path(spark, "blocks"), order=("lang",))
+    return _held[key]
+
+
+def _ranked(spark, sf_dir, q, k: int = 10, **options) -> DataFrame:
+    return _rounded(document_blocks(spark, sf_dir).top_k(q, k, **options).frame(spark))
+
+
+def _best(select: str, words: str, k: int = 10) -> str:
+    return f"{_tree(select, words)} ORDER BY score DESC, doc_id LIMIT {k}"
+
+
+@query(SQL["bm25_topk"])
+def block_topk(spark, sf_dir):
+    return _ranked(spark, sf_dir, _OR)
+
+
+@query(_best("coalesce(a, 0) + coalesce(b, 0) + 2 * coalesce(c, 0) + coalesce(d, 0), 6) AS score FROM d", "erst ther enst una", 25))
+def block_topk_weighted(spark, sf_dir):
+    return _ranked(spark, sf_dir, Q.Or((T("erst"), T("ther"), T("enst", 2.0), T("una"))), 25)
+
+
+@query(_best("a + coalesce(b, 0), 6) AS score FROM d WHERE a IS NOT NULL AND c IS NULL", "erst enst ther"))
+def block_topk_tree(spark, sf_dir):
+    return _ranked(spark, sf_dir, Q.AndNot(Q.AndMaybe(T("erst"), T("enst")), T("ther")))
+
+
+@query(_best("a + b, 6) AS score FROM d WHERE a IS NOT NULL AND b IS NOT NULL", "erst enst"))
+def block_topk_all(spark, sf_dir):
+    return _ranked(spark, sf_dir, Q.And((T("erst"), T("enst"))))
+
+
+@query(SQL["bm25_topk"])
+def anytime_topk(spark, sf_dir):
+    """Waves by descending bound, with time enough."""
+    return _ranked(spark, sf_dir, _OR, seconds=3600)
+
+
+@query(
+    f"WITH {TOKENS}, slot AS (SELECT doc_id, (row_number() OVER (ORDER BY lang NULLS FIRST, greatest(len(k), 1), doc_id) - 1) // 128 AS bucket FROM kept JOIN documents USING (doc_id)) "
+    "SELECT term, CAST(bucket AS BIGINT) AS bucket, count(*) AS n, CAST(max(tf) AS DOUBLE) AS max_weight, min(dl) AS min_length FROM post JOIN slot USING (doc_id) GROUP BY term, bucket"
+)
+def block_heads(spark, sf_dir):
+    heads = document_blocks(spark, sf_dir).heads.where("field = 'text'")
+    return heads.select("term", "bucket", F.col("n").cast("long").alias("n"), "max_weight", F.col("min_length").cast("long").alias("min_length"))
+
+
 # Positions
 
 

@@ -286,6 +286,16 @@ class SearchIndex:
         return Q.Null(f"{type(q).__name__} needs an indexed field")
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path that all executors share, in ``spark.checkpoint.dir`` or else beside the warehouse; deleted when the application ends."""
+    conf = spark.sparkContext.getConf()
+    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.quarry"
+    path = f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}/{tag}"
+    parent = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    parent.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(parent)
+    return path
+
+
 def numbered(docs: DataFrame, *order: str) -> DataFrame:
     """doc_id 0, 1, ... by the order given; without one, ids that are unique and grow along the input, but not dense.
 
@@ -374,4 +384,4 @@ def _latest(spark: SparkSession, path: str) -> int:
     return max(found)
 
 
-__all__ = ["SearchIndex", "postings_of", "spread", "term_stats_of", "field_stats_of", "with_parents", "numbered", "keep_last", "merge_small", "clear", "compact", "copy_index", "to_boolean"]
+__all__ = ["SearchIndex", "postings_of", "spread", "term_stats_of", "field_stats_of", "with_parents", "numbered", "keep_last", "shared_path", "merge_small", "clear", "compact", "copy_index", "to_boolean"]

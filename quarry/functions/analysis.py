@@ -43,6 +43,8 @@ class Stage:
     tokenizer: bool = False
     #: whether it lower-cases each term and does nothing else
     lower: bool = False
+    #: of a tokenizer: the first and last character of each word of a text, in code points
+    spans: Callable[[str], list[tuple[int, int]]] | None = None
 
     def __or__(self, other: Stage) -> Analyzer:
         return Analyzer((self, other))
@@ -93,6 +95,10 @@ class Analyzer:
         run = lambda stages: lambda c: functools.reduce(lambda v, x: x.column(v), stages, c)
         return lambda text: run(self.stages[:at])(F.coalesce(text, F.lit(""))), self.stages[at].column, run(self.stages[at + 1 :])
 
+    def keeps(self) -> Callable[[Column], Column]:
+        """The test of the dropping filter, for a raw term as ``split`` gives it."""
+        return next(x.column.keeps for x in self.stages if hasattr(x.column, "keeps"))
+
     def analyze(self, text: str) -> list[str]:
         out = text or ""
         for stage in self.stages:
@@ -109,14 +115,16 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
 
 
 def id_tokenizer() -> Stage:
-    return Stage(lambda c: F.array(c), lambda s: [s], True)
+    return Stage(lambda c: F.array(c), lambda s: [s], True, spans=lambda s: [(0, len(s))])
 
 
 def regex_tokenizer(pattern: str = WORD_PATTERN, gaps: bool = False) -> Stage:
     compiled = re.compile(python_pattern(pattern))
+    words = lambda s: [m.span() for m in compiled.finditer(s)]
     if gaps:
-        return Stage(lambda c: F.filter(F.split(c, pattern), lambda t: t != ""), lambda s: [t for t in compiled.split(s) if t], True)
-    return Stage(lambda c: F.regexp_extract_all(c, F.lit(pattern), 0), lambda s: [m[0] for m in compiled.finditer(s)], True)
+        between = lambda s: [(a, b) for a, b in zip([0, *(e for _, e in words(s))], [*(a for a, _ in words(s)), len(s)]) if a < b]
+        return Stage(lambda c: F.filter(F.split(c, pattern), lambda t: t != ""), lambda s: [t for t in compiled.split(s) if t], True, spans=between)
+    return Stage(lambda c: F.regexp_extract_all(c, F.lit(pattern), 0), lambda s: [m[0] for m in compiled.finditer(s)], True, spans=words)
 
 
 def space_tokenizer() -> Stage:

@@ -722,6 +722,58 @@ def highlight_top(spark, sf_dir):
     return highlight.highlight(hits, "text", _OR, "text").select("doc_id", "highlight")
 
 
+PLACED = Schema(text=TEXT(stored=True, characters=True))
+
+
+def placed_documents(spark, sf_dir) -> SearchIndex:
+    """The documents' texts with the characters of every place."""
+    return _index(spark, sf_dir, "placed", lambda: SearchIndex.build(spread(table(spark, sf_dir, "documents")), PLACED))
+
+
+#: Words of documents with their first and last characters: gaps between words and words by turns.
+_PLACES = rf"""
+words AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERN}')) AS w, unnest(regexp_split_to_array(text, '{_PATTERN}')[:-2]) AS g, generate_subscripts(regexp_extract_all(text, '{_PATTERN}'), 1) AS i
+  FROM documents
+),
+place AS (SELECT doc_id, i, lower(w) AS w, CAST(sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e, length(w) AS n FROM words)
+"""
+_escape = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')".format
+
+
+@query(f"WITH {_PLACES} SELECT w AS term, doc_id, count(*) AS tf, CAST(sum(e - n) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM place WHERE length(w) >= 2 AND w NOT IN ({_STOPS}) GROUP BY w, doc_id")
+def character_postings(spark, sf_dir):
+    p = placed_documents(spark, sf_dir).postings
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return p.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), total("starts").alias("starts"), total("ends").alias("ends"))
+
+
+@query(
+    f"WITH {SCORED}, best AS (SELECT doc_id, sum(s) AS score FROM hit WHERE term IN ('erst', 'ther') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10), {_PLACES.strip()}, "
+    "mark AS (SELECT doc_id, w, e - n AS s, e, greatest(e - n - 40, 0) AS a, least(e + 40, length(text)) AS b FROM place JOIN documents USING (doc_id) WHERE w IN ('erst', 'ther') AND doc_id IN (SELECT doc_id FROM best)), "
+    "island AS (SELECT *, sum(CASE WHEN a > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM mark)), "
+    "fragment AS (SELECT doc_id, k, min(a) AS a, max(b) AS b, max(e) AS last, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) * count(DISTINCT w) DESC, min(a)) AS r FROM island GROUP BY doc_id, k), "
+    f"piece AS (SELECT i.doc_id, i.k, i.s, {_escape('substr(text, till + 1, i.s - till)')} || '<strong>' || {_escape('substr(text, i.s + 1, e - i.s)')} || '</strong>' AS t FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id, k ORDER BY s), min(a) OVER (PARTITION BY doc_id, k)) AS till FROM island) i JOIN documents USING (doc_id)), "
+    f"line AS (SELECT f.doc_id, f.a, string_agg(t, '' ORDER BY s) || {_escape('substr(min(text), min(f.last) + 1, min(f.b) - min(f.last))')} AS t FROM fragment f JOIN piece p ON p.doc_id = f.doc_id AND p.k = f.k JOIN documents d ON d.doc_id = f.doc_id WHERE r <= 3 GROUP BY f.doc_id, f.a) "
+    "SELECT doc_id, string_agg(t, '...' ORDER BY a) AS highlight FROM line GROUP BY doc_id"
+)
+def highlight_places(spark, sf_dir):
+    """Excerpts from places in postings; no text is analysed."""
+    index = placed_documents(spark, sf_dir)
+    hits = Searcher(index).search(_OR, limit=10, columns=["text"]).hits
+    return highlight.from_places(hits, index, _OR, "text", "text").select("doc_id", "highlight")
+
+
+BOOSTED = Schema(words=TEXT(analysis.space_tokenizer() | analysis.lowercase() | analysis.delimited_attribute(), token_boosts="^"))
+
+
+@query("SELECT p_partkey AS doc_id, w AS term, count(*) AS tf, CAST(sum(b) AS DOUBLE) AS weight FROM (SELECT p_partkey, unnest(string_split(lower(p_type), ' ')) AS w, generate_subscripts(string_split(p_type, ' '), 1) * 0.25 + p_size % 4 AS b FROM part) GROUP BY p_partkey, w")
+def token_boosts(spark, sf_dir):
+    marked = F.array_join(F.transform(F.split("p_type", " "), lambda w, i: F.concat(w, F.lit("^"), (i + 1) * 0.25 + F.col("p_size") % 4)), " ")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), marked.alias("words"))
+    return SearchIndex.build(parts, BOOSTED).postings.select("doc_id", "term", F.col("tf").cast("long").alias("tf"), "weight")
+
+
 @query("SELECT o_orderkey AS doc_id, o_totalprice, count(*) OVER (ORDER BY o_totalprice RANGE BETWEEN CURRENT ROW AND 1000 FOLLOWING) AS in_window FROM orders")
 def sliding_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_totalprice")

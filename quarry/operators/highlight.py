@@ -1,17 +1,20 @@
 """Excerpts of texts with the query's terms marked.
 
 Plain Python on one text; ``highlight`` applies it to a bounded hit list with an Arrow UDF, after limiting.
+``from_places`` analyses no text: it takes the places of the query's terms from postings that keep characters, and cuts, joins and
+marks the stored text around them in Column expressions.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import analysis
@@ -201,3 +204,89 @@ def highlight(hits: DataFrame, column: str, query, field: str, analyzer: Analyze
         return texts.map(lambda t: excerpt(t, terms, analyzer or analysis.standard(), phrases=phrases, **options))
 
     return hits.withColumn(out, run(F.col(column)))
+
+
+_PLACE = "array<struct<start: int, end: int, pos: int, term: int>>"
+_FRAGMENT = "array<struct<a: int, b: int, n: int, terms: array<int>>>"
+
+
+def places(index, query, field: str, ids: DataFrame) -> DataFrame:
+    """doc_id and ``places`` (start, end, pos, number of the term; by start) of the query's terms in the documents of ``ids``.
+
+    Words of phrases count only where the whole phrase stands. The field must keep characters (TEXT(characters=True)).
+    """
+    from quarry.plans.query import Phrase
+
+    if not index.specs[field][0].options.get("characters"):
+        raise ValueError(f"{field!r} keeps no characters")
+    terms = sorted(str(t) for f, t in query.terms() if f == field)
+    phrases = [q.words for q in query.leaves() if isinstance(q, Phrase) and q.field == field]
+    strict = {w for p in phrases for w in p}
+    held = index.postings.where((F.col("field") == field) & F.col("term").isin(terms) if terms else F.lit(False)).join(ids.select("doc_id"), "doc_id", "left_semi")
+    spots = [_spots(k) for k in range(len(terms))]
+    none = F.array().cast(_PLACE)
+    of = held.groupBy("doc_id").agg(*[F.coalesce(F.max(F.when(F.col("term") == t, spots[k])), none).alias(f"t{k}") for k, t in enumerate(terms)], F.lit(0).alias("__"))
+    number = {t: k for k, t in enumerate(terms)}
+    found = []
+    for t, k in number.items():
+        column = F.col(f"t{k}")
+        if t in strict:
+            inside = F.flatten(F.array(*[_inside(p, number) for p in phrases]))
+            column = F.filter(column, _at(inside))
+        found.append(column)
+    return of.select("doc_id", (F.array_sort(F.concat(*found)) if found else none).alias("places"))
+
+
+def _spots(k: int) -> Column:
+    """The places of a posting of the k-th term."""
+    return F.transform(F.arrays_zip("starts", "ends", "positions"), lambda x: F.struct(x["starts"].alias("start"), x["ends"].alias("end"), x["positions"].alias("pos"), F.lit(k).alias("term")))
+
+
+def _at(positions: Column) -> Callable[[Column], Column]:
+    return lambda x: F.array_contains(positions, x["pos"])
+
+
+def _inside(words: Sequence[str], number: dict[str, int]) -> Column:
+    """The positions that whole occurrences of a phrase take."""
+    at = [F.transform(F.col(f"t{number[w]}"), lambda x: x["pos"]) for w in words]
+    begins = F.filter(at[0], lambda p: functools.reduce(lambda a, b: a & b, [F.array_contains(at[j], p + j) for j in range(1, len(words))], F.lit(True)))
+    return F.flatten(F.transform(begins, lambda p: F.sequence(p, p + len(words) - 1)))
+
+
+def from_places(hits: DataFrame, index, query, field: str, column: str, out: str = "highlight", surround: int = 40, top: int = 3, before: str = "<strong>", after: str = "</strong>", between: str = "...") -> DataFrame:
+    """A hit list with excerpts of ``column`` from the places that postings keep; an empty one without a match.
+
+    A fragment is a place with ``surround`` characters on both sides; fragments that touch are one. The ``top`` best (places, times 100
+    for each distinct term; ties: the first) stand in their order in the text.
+    """
+    rows = hits.join(places(index, query, field, hits).withColumnRenamed("places", "__places"), "doc_id", "left")
+    rows = rows.withColumn("__places", F.coalesce("__places", F.array().cast(_PLACE)))
+    length = F.length(F.col(column))
+
+    def merged(done: Column, p: Column) -> Column:
+        a, b = F.greatest(p["start"] - surround, F.lit(0)), F.least(p["end"] + surround, length)
+        last, rest = F.get(done, F.size(done) - 1), F.slice(done, F.lit(1), F.size(done) - 1)
+        new = F.struct(a.alias("a"), b.alias("b"), F.lit(1).alias("n"), F.array(p["term"]).alias("terms"))
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], b).alias("b"), (last["n"] + 1).alias("n"), F.array_union(last["terms"], F.array(p["term"])).alias("terms"))
+        return F.when(F.size(done) == 0, F.array(new)).when(a > last["b"], F.concat(done, F.array(new))).otherwise(F.concat(rest, F.array(longer))).cast(_FRAGMENT)
+
+    rows = rows.withColumn("__fragments", F.aggregate("__places", F.array().cast(_FRAGMENT), merged))
+    score = lambda f: f["n"] * 100 * F.size(f["terms"])
+    best = F.slice(F.array_sort(F.transform("__fragments", lambda f: F.struct((-score(f)).alias("s"), f["a"].alias("a"), f["b"].alias("b")))), 1, top)
+    rows = rows.withColumn("__fragments", F.array_sort(F.transform(best, lambda f: F.struct(f["a"].alias("a"), f["b"].alias("b")))))
+    cut = lambda a, b: _escaped(F.substring(F.col(column), a + 1, b - a))
+
+    def text(f: Column) -> Column:
+        def step(done: Column, p: Column) -> Column:
+            more = F.concat(done["out"], cut(done["at"], p["start"]), F.lit(before), cut(p["start"], p["end"]), F.lit(after))
+            return F.when(p["start"] < done["at"], done).otherwise(F.struct(p["end"].alias("at"), more.alias("out")))
+
+        inner = F.filter("__places", lambda p: (p["start"] >= f["a"]) & (p["end"] <= f["b"]))
+        begin = F.struct(f["a"].alias("at"), F.lit("").alias("out"))
+        return F.aggregate(inner, begin, step, lambda d: F.concat(d["out"], cut(d["at"], f["b"])))
+
+    return rows.withColumn(out, F.array_join(F.transform("__fragments", text), between)).drop("__places", "__fragments")
+
+
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

@@ -11,50 +11,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.postings import POSTINGS, postings_of
 from quarry.plans import query as Q
 from quarry.plans.compiler import execute
 from quarry.plans.schema import Field, Schema, ensure_schema, to_boolean
 
-POSTINGS = "field string, term string, doc_id long, tf int, weight double, dl int, positions array<int>"
-
-
-def postings_of(docs: DataFrame, specs: dict[str, tuple[Field, str]], boost: Column | None = None) -> DataFrame:
-    """Postings of the indexed fields of ``docs`` (doc_id and the fields' columns).
-
-    All tokens of a document are exploded and counted in one task before the shuffle, so what is
-    shuffled is postings, not tokens.
-    """
-    frames = []
-    # the outer explode keeps the optimizer from testing the terms' number in a filter of its own, which would analyse every text twice
-    for name, (spec, column) in specs.items():
-        if not spec.indexed:
-            continue
-        values = F.col(f"`{column}`")
-        is_array = dict(docs.dtypes)[column].startswith("array")
-        if is_array:
-            kept, first = values.cast("array<string>"), F.lit(0)
-        else:
-            kept, first = spec.analyzer.terms(values.cast("string")), spec.analyzer.first_position(values.cast("string")) if spec.positions else F.lit(0)
-        steps = spec.analyzer.split() if spec.positions and not is_array else None
-        rows = docs.where(values.isNotNull()).select("doc_id", *([boost.alias("boost")] if boost is not None else []), *([steps[0](values.cast("string")).alias("raw")] if steps else [kept.alias("kept"), first.alias("first")]))
-        if steps:  # the raw terms once; the first kept term stands where they hold it first
-            rows = rows.withColumn("kept", steps[1](F.col("raw")))
-            rows = rows.withColumn("first", F.greatest(F.array_position("raw", F.get("kept", F.lit(0))) - 1, F.lit(0)).cast("int")).drop("raw").withColumn("kept", steps[2](F.col("kept")))
-        # the length comes first, so that the explode does not carry the whole array along with each term
-        rows = rows.withColumn("dl", F.size("kept"))
-        rows = rows.select("doc_id", *(["boost"] if boost is not None else []), "dl", "first", F.posexplode_outer("kept").alias("i", "term")).where("term is not null").withColumn("pos", F.col("first") + F.col("i"))
-        weight = F.count(F.lit(1)).cast("double") * spec.boost
-        if boost is not None:
-            weight = weight * F.first("boost")
-        if spec.kind in ("id", "idlist") or spec.options.get("existence"):
-            weight = F.lit(float(spec.boost))
-        places = F.array_sort(F.collect_list("pos")) if spec.positions else F.lit(None).cast("array<int>")
-        counted = rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), weight.alias("weight"), F.first("dl").alias("dl"), places.alias("positions"))
-        frames.append(counted.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "weight", "dl", "positions"))
-    if not frames:
-        return docs.sparkSession.createDataFrame([], POSTINGS)
-    return functools.reduce(DataFrame.unionAll, frames)
-
 
 def spread(scan: DataFrame) -> DataFrame:
     """A table read from few files or row groups, dealt evenly over the cores, so that analysis is not left to one of them.
@@ -237,7 +198,7 @@ class SearchIndex:
         return self.term_stats.where(term_condition(Q.Fuzzy(name, text, maxdist=maxdist, prefix=prefix), self)).select("term", "df", "cf")
 
     def term_vector(self, doc_id: int, name: str) -> DataFrame:
-        return self.postings.where((F.col("doc_id") == doc_id) & (F.col("field") == name)).select("term", "tf", "weight", "positions")
+        return self.postings.where((F.col("doc_id") == doc_id) & (F.col("field") == name)).select("term", "tf", "weight", "positions", "starts", "ends", "boosts")
 
     def stored(self, doc_id: int) -> DataFrame:
         return self.docs.where(F.col("doc_id") == doc_id)

@@ -39,9 +39,18 @@ class Field:
         return self.analyzer is not None
 
 
-def TEXT(analyzer: Analyzer | None = None, phrase: bool = True, stored: bool = False, boost: float = 1.0, spelling: bool = False, sortable: bool = False, multitoken: str = "default", frequency: bool = True) -> Field:
-    """``frequency=False`` keeps only that a term is there: every weight is the boost, and there are no positions."""
-    return Field("text", analyzer or analysis.standard(), stored, scorable=True, positions=phrase and frequency, boost=boost, spelling=spelling, sortable=sortable, multitoken=multitoken, options={} if frequency else {"existence": True})
+def TEXT(analyzer: Analyzer | None = None, phrase: bool = True, stored: bool = False, boost: float = 1.0, spelling: bool = False, sortable: bool = False, multitoken: str = "default", frequency: bool = True, characters: bool = False, token_boosts: str | None = None) -> Field:
+    """``frequency=False`` keeps only that a term is there: every weight is the boost, and there are no positions.
+
+    ``characters`` keeps the first and last character of every place beside its position. ``token_boosts`` is what divides a word of
+    the text from its boost (word^2.5): a posting's weight is then the sum of its places' boosts, which are kept too.
+    """
+    options = {} if frequency else {"existence": True}
+    if characters:
+        options["characters"] = True
+    if token_boosts:
+        options["boosts"] = token_boosts
+    return Field("text", analyzer or analysis.standard(), stored, scorable=True, positions=phrase and frequency, boost=boost, spelling=spelling, sortable=sortable, multitoken=multitoken, options=options)
 
 
 def SPELL(analyzer: Analyzer | None = None) -> Field:

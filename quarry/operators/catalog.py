@@ -11,6 +11,7 @@ from quarry.functions import analysis, distance, languages, scoring
 from quarry.functions.analysis import STOP_WORDS
 from quarry.operators import expand, facets, highlight, search, suggest, vectors
 from quarry.operators.blocks import BlockIndex
+from quarry.operators.graph import VectorGraph, recall
 from quarry.operators.index import SearchIndex, keep_last, numbered, shared_path, spread, with_parents
 from quarry.operators.search import Searcher
 from quarry.plans import query as Q
@@ -1050,10 +1051,34 @@ def vector_distance_topk(spark, sf_dir):
     return vectors.search(v, v.where("vec_id = 1").first()["embedding"], 10, "vec_id", metric="l2").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id < 30) WHERE rank <= 3")
+@query(f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE rank <= 3")
 def vector_search_many(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return vectors.search_many(v, v.where("vec_id < 30").withColumnRenamed("vec_id", "query_id"), 3, "vec_id").select("query_id", "vec_id", "rank")
+    return vectors.search_many(v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 3, "vec_id").select("query_id", "vec_id", "rank")
+
+
+def _graph(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "graph")
+    if key not in _held:
+        _held[key] = VectorGraph.build(table(spark, sf_dir, "embeddings"), "vec_id")
+    return _held[key]
+
+
+@query("SELECT count(*) AS indexed, count(*) AS linked, count(*) FILTER (WHERE vec_id % 20 = 0) AS asked, true AS good FROM embeddings")
+def vector_graph_recall(spark, sf_dir):
+    """Whether the graph finds nine of ten of the ten most similar vectors of every query; all rows are nodes and have links."""
+    v, graph = table(spark, sf_dir, "embeddings"), _graph(spark, sf_dir)
+    asked = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    got = recall(graph.search(asked, 10), vectors.search_many(v, asked, 10, "vec_id"))
+    nodes = graph.links.agg(F.count(F.lit(1)).alias("indexed"), F.count_if(F.size("near") > 0).alias("linked"))
+    # one row on either side
+    return nodes.join(F.broadcast(got), F.lit(True)).select("indexed", "linked", "asked", (F.col("recall") >= 0.9).alias("good"))
+
+
+@query()
+def vector_graph_search(spark, sf_dir):
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return _graph(spark, sf_dir).search(asked, 10).withColumnRenamed("id", "vec_id")
 
 
 @query(f"{_tops('er', 're', 100)} SELECT doc_id, round(sum(1.0 / (60 + rank + 1)), 9) AS score FROM (SELECT * FROM e UNION ALL SELECT * FROM t) GROUP BY doc_id ORDER BY sum(1.0 / (60 + rank + 1)) DESC, doc_id LIMIT 10")

@@ -783,6 +783,38 @@ def sliding_windows(spark, sf_dir):
 
 # Updating
 
+#: The documents after a change of every third.
+_CHANGED = "changed AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || ' zusatz ther' ELSE text END AS text, lang FROM documents)"
+_CHANGED_TOKENS = f"{_CHANGED}, {TOKENS.strip().replace('FROM documents', 'FROM changed')}"
+
+
+def streamed_documents(spark, sf_dir) -> SearchIndex:
+    """The documents in a streamed index: two batches, a third that replaces every third document, then a merge and a late batch."""
+    from quarry.streaming.snapshots import StreamedIndex
+
+    key = (spark.sparkContext.applicationId, sf_dir, "streamed")
+    if key not in _held:
+        index = StreamedIndex(spark, shared_path(spark, "streamed"), DOCUMENTS)
+        docs = spread(table(spark, sf_dir, "documents"))
+        changed = docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" zusatz ther")))
+        for k, batch in enumerate((docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 <> 0"), changed.where("doc_id % 2 = 0"))):
+            index.upsert(batch, "documents", k)
+        index.merge(all_segments=True)
+        index.upsert(changed.where("doc_id % 2 <> 0"), "documents", 3)
+        index.upsert(docs, "documents", 3)  # a batch that is there already changes nothing
+        _held[key] = index.open()
+    return _held[key]
+
+
+@query(f"WITH {_CHANGED_TOKENS} SELECT term, CAST(df AS BIGINT) AS df, CAST(cf AS DOUBLE) AS cf FROM stat")
+def snapshot_term_stats(spark, sf_dir):
+    return streamed_documents(spark, sf_dir).term_stats.where("field = 'text'").select("term", "df", "cf")
+
+
+@query(f"WITH {_CHANGED_TOKENS}, hit AS (SELECT p.doc_id, p.term, {_BM25} AS s FROM post p JOIN stat USING (term), tot) SELECT doc_id, round(sum(s), 6) AS score FROM hit WHERE term IN ('zusatz', 'ther') GROUP BY doc_id")
+def snapshot_search(spark, sf_dir):
+    return _rounded(Searcher(streamed_documents(spark, sf_dir)).matches(Q.Or((T("zusatz"), T("ther")))))
+
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def dedupe_keep_last(spark, sf_dir):

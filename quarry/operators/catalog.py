@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from quarry.functions import analysis, distance, languages, scoring
 from quarry.functions.analysis import STOP_WORDS
 from quarry.operators import expand, facets, highlight, search, suggest, vectors
 from quarry.operators.blocks import BlockIndex
+from quarry.operators.estimate import estimate
 from quarry.operators.graph import VectorGraph, recall
 from quarry.operators.index import SearchIndex, keep_last, numbered, shared_path, spread, with_parents
+from quarry.operators.neighbours import TermNeighbours
 from quarry.operators.search import Searcher
 from quarry.plans import query as Q
 from quarry.plans.parser import FEATURES, QueryParser, multifield
@@ -326,6 +329,54 @@ def bm25_topk(spark, sf_dir):
     return Searcher(documents(spark, sf_dir)).search(_OR, limit=10, columns=[]).hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
+# Estimates, near terms, moments
+
+
+def _frequency(words: str) -> str:
+    return ", ".join(f"coalesce((SELECT df FROM stat WHERE term = '{w}'), 0) AS {v}" for v, w in zip("abc", words.split()))
+
+
+_SIZES = {
+    "all": (Q.And((T("erst"), T("ther"), T("enst"))), "greatest(a + b + c - 2 * n, 0)", "least(a, b, c)", "a AND b AND c"),
+    "any": (Q.Or((T("erst"), T("ther"), T("enst"))), "greatest(a, b, c)", "least(a + b + c, n)", "a OR b OR c"),
+    "two of three": (Q.Or((T("erst"), T("ther"), T("enst")), minmatch=2), "greatest(ceil((a + b + c - n) / 2), 0)", "least((a + b + c) // 2, n)", "a::INT + b::INT + c::INT >= 2"),
+    "without": (Q.AndNot(T("erst"), T("ther")), "greatest(a - b, 0)", "least(a, n - b)", "a AND NOT b"),
+    "not": (Q.Not(T("ther")), "n - b", "n - b", "NOT b"),
+    "nested": (Q.And((Q.Or((T("erst"), T("enst"))), Q.Not(T("ther")))), "greatest(greatest(a, c) + (n - b) - n, 0)", "least(least(a + c, n), n - b)", "(a OR c) AND NOT b"),
+}
+
+
+@query(
+    f"WITH {TOKENS}, f AS (SELECT {_frequency('erst ther enst')}, n FROM tot), "
+    "held AS (SELECT doc_id, coalesce(bool_or(term = 'erst'), false) AS a, coalesce(bool_or(term = 'ther'), false) AS b, coalesce(bool_or(term = 'enst'), false) AS c FROM documents LEFT JOIN post USING (doc_id) GROUP BY doc_id) "
+    + " UNION ALL ".join(f"SELECT '{name}' AS tree, CAST({lower} AS BIGINT) AS lower, CAST({upper} AS BIGINT) AS upper, (SELECT count(*) FROM held WHERE {true}) AS found, true AS holds FROM f" for name, (_, lower, upper, true) in _SIZES.items())
+)
+def result_sizes(spark, sf_dir):
+    """Bounds on the number of matches from frequencies alone, beside the number."""
+    index, parts = documents(spark, sf_dir), []
+    for name, (q, *_) in _SIZES.items():
+        found = Searcher(index).matches(q).agg(F.count(F.lit(1)).alias("found"))
+        # one row on either side
+        parts.append(estimate(index, q).join(F.broadcast(found), F.lit(True)).select(F.lit(name).alias("tree"), "lower", "upper", "found", F.col("found").between(F.col("lower"), F.col("upper")).alias("holds")))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+@query(rf"WITH {TOKENS}, words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) SELECT word, term, df, damerau_levenshtein(word, term) AS distance FROM words, stat WHERE regexp_full_match(term, '[a-z]+') AND abs(length(word) - length(term)) <= 1 AND damerau_levenshtein(word, term) <= 1")
+def near_terms(spark, sf_dir):
+    """Terms (of plain letters: SQL's distance counts bytes) of the documents within one edit of each word of the benchmark."""
+    key = (spark.sparkContext.applicationId, sf_dir, "near")
+    if key not in _held:
+        _held[key] = TermNeighbours.write(documents(spark, sf_dir).term_stats.where("field = 'text' and term rlike '^[a-z]+$'").select("term", "df", "cf"), shared_path(spark, "near"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return _held[key].near_all(words, 1).select("word", "term", "df", F.col("distance").cast("long").alias("distance"))
+
+
+@query("SELECT l_returnflag, l_linestatus, n, weight, round(mean, 4) AS mean, round(sum(l_quantity * (l_extendedprice - mean) ** 2) / min(weight), 0) AS variance FROM lineitem JOIN (SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS weight, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS mean FROM lineitem GROUP BY ALL) USING (l_returnflag, l_linestatus) GROUP BY ALL")
+def weighted_moments(spark, sf_dir):
+    got = expand.weighted_moments(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag", "l_linestatus"])
+    return got.select("l_returnflag", "l_linestatus", "n", "weight", F.round("mean", 4).alias("mean"), F.round("variance", 0).alias("variance"))
+
+
 # Stored blocks with bounds
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +125,38 @@ def windows_of(values: DataFrame, column: str, size: float, partition: str | Non
     frame = f"over (partition by {by} order by `__v` range between current row and {float(size)}D following)"
     rows = rows.withColumns({"in_window": F.expr(f"count(`__v`) {frame}"), "spread": F.expr(f"var_pop(`__v`) {frame}")})
     return rows.where(F.col("__step").isNull() | (F.col("__step") == F.col("__home"))).select(*[F.col(f"`{n}`") for n in names], "in_window", "spread")
+
+
+def weighted_moments(values: DataFrame, value: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, n, weight, mean, variance: weighted mean and (population) variance of each group, in one pass over the rows.
+
+    Each Arrow batch becomes one state a group (n, weight, mean, squared deviations from it) before the shuffle, and states are merged by
+    their distance from the common mean, so nothing is lost where a mean is large beside the deviations, and a hot group moves as
+    few rows as any other. Rows take part that have a finite value and a finite weight over 0; ``values`` without any give no group.
+    """
+    keys = [f"k{i}" for i in range(len(by))]
+    x, w = F.col(f"`{value}`").cast("double"), F.col(f"`{weight}`").cast("double")
+    rows = values.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys)], x.alias("x"), w.alias("w")).where("w > 0 and x is not null and not isnan(x) and not isnan(w) and abs(x) < double('Infinity') and w < double('Infinity')")
+    kinds = dict(rows.dtypes)
+
+    def states(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            code = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), np.int64)
+            n = int(code.max()) + 1
+            total = np.bincount(code, pdf["w"], n)
+            mean = np.bincount(code, pdf["w"] * pdf["x"], n) / total
+            mean += np.bincount(code, pdf["w"] * (pdf["x"] - mean[code]), n) / total  # what rounding left
+            square = np.bincount(code, pdf["w"] * (pdf["x"] - mean[code]) ** 2, n)
+            first = np.unique(code, return_index=True)[1]
+            out = pdf.iloc[first][keys].reset_index(drop=True)
+            yield out.assign(n=np.bincount(code, minlength=n), w=total, m=mean, s=square)
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n long, w double, m double, s double"])
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    common = F.sum(F.col("w") * F.col("m")).over(group) / F.sum("w").over(group)
+    merged = rows.mapInPandas(states, schema).withColumn("c", common).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("m")).alias("wm"), F.sum(F.col("s") + F.col("w") * (F.col("m") - F.col("c")) ** 2).alias("s")
+    )
+    return merged.where("n > 0").select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "n", "weight", (F.col("wm") / F.col("weight")).alias("mean"), (F.col("s") / F.col("weight")).alias("variance"))

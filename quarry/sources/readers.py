@@ -104,10 +104,10 @@ def csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "u
 MALFORMED = {"drop": "DROPMALFORMED", "fail": "FAILFAST", "keep": "PERMISSIVE"}
 
 
-def json(spark: SparkSession, path: str, document_path: str | None = None, lines: bool | None = None, schema: T.StructType | str | None = None, malformed: str = "drop") -> DataFrame:
-    """JSON lines, an array, or an object that holds the rows under results, data or a dotted path (no rows where there is no such path).
+def json(spark: SparkSession, path: str, document_path: str | None = None, lines: bool | None = None, schema: T.StructType | str | None = None, malformed: str = "fail") -> DataFrame:
+    """JSON lines, an array, or an object that holds the rows under results, data or a dotted path. A ``document_path`` that leads to no rows is an error.
 
-    ``malformed`` says what becomes of lines that do not parse; a whole document that does not parse is an error.
+    ``malformed`` says what becomes of lines that do not parse, by default an error; a whole document that does not parse is an error.
     """
     if lines is None:
         head = [r["value"].strip() for r in spark.read.text(path).limit(2).collect()]
@@ -121,7 +121,7 @@ def json(spark: SparkSession, path: str, document_path: str | None = None, lines
             for part in at.split("."):
                 kind = kind[part].dataType if isinstance(kind, T.StructType) and part in kind.fieldNames() else None
             if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
-                return df.limit(0)
+                raise ValueError(f"{path}: no rows under {at!r}")
             df = df.select(F.explode(F.col(at)).alias("__row")).select("__row.*")
     return df
 

@@ -264,11 +264,16 @@ def numbered(docs: DataFrame, *order: str) -> DataFrame:
     """
     if not order:
         return docs.withColumn("doc_id", F.monotonically_increasing_id())
-    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    return ranked(docs, "__rank", *order).withColumn("doc_id", F.col("__rank") - 1).drop("__rank")
+
+
+def ranked(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``rows`` with their place (from 1) in an order, as column ``name``: a range sort and one count per partition, not a single task."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
     ranged = ranged.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     bases = counts.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))  # one row per partition
-    return ranged.join(F.broadcast(bases), "__p").withColumn("doc_id", F.col("__b") + F.col("__i")).drop("__m", "__p", "__i", "__b", "__c")
+    return ranged.join(F.broadcast(bases), "__p").withColumn(name, F.col("__b") + F.col("__i") + 1).drop("__m", "__p", "__i", "__b")
 
 
 def keep_last(docs: DataFrame, keys: list[str], arrival: str | None = None) -> DataFrame:
@@ -345,4 +350,4 @@ def _latest(spark: SparkSession, path: str) -> int:
     return max(found)
 
 
-__all__ = ["SearchIndex", "postings_of", "spread", "term_stats_of", "field_stats_of", "with_parents", "numbered", "keep_last", "shared_path", "merge_small", "clear", "compact", "copy_index", "to_boolean"]
+__all__ = ["SearchIndex", "postings_of", "spread", "term_stats_of", "field_stats_of", "with_parents", "numbered", "ranked", "keep_last", "shared_path", "merge_small", "clear", "compact", "copy_index", "to_boolean"]

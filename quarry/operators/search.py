@@ -115,17 +115,21 @@ class Searcher:
         if groupedby is not None:
             named = groupedby if isinstance(groupedby, Mapping) and not all(isinstance(v, Q.Query) for v in groupedby.values()) else {_name(groupedby): groupedby}
             groups = {n: FA.group(full, FA.as_facet(f), self.index, maptype) for n, f in named.items()}
-        ranked = full.orderBy(*keys)
+        # with a limit, keys alone are sorted, and the stored columns join the few rows that are left
+        late = needs and limit is not None
+        slim = full.select("doc_id", "score", *[c for c in full.columns if c.startswith("__")]) if late else full
+        ranked = slim.orderBy(*keys)
         if offset:
             ranked = ranked.offset(offset)
         if limit is not None:
             ranked = ranked.limit(limit)
         top = ranked.withColumn("rank", (F.row_number().over(Window.orderBy(*keys)) - 1 + offset)) if limit is not None else ranked.withColumn("rank", F.lit(None).cast("int"))
         drop = [c for c in top.columns if c.startswith("__")]
-        if not needs:
+        top = top.drop(*drop)
+        if late or not needs:
             stored = self.index.docs if columns is None else self.index.docs.select("doc_id", *columns)
             top = top.join(stored, "doc_id")
-        top = top.drop(*drop)
+            top = top.orderBy("rank") if late else top
         if terms:
             top = top.join(matched_terms(q, self.index).withColumnRenamed("terms", "matched_terms"), "doc_id", "left")
         return Results(top, full, groups, collapsed)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.index import ranked
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -82,8 +84,8 @@ def fuse(parts: Sequence[DataFrame], weights: Sequence[float] | None = None, k:
     for n, part in enumerate(parts):
         w = (weights or [1.0] * len(parts))[n]
         if method == "rrf":
-            rank = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))
-            value = part.select("doc_id", (w / (constant + rank)).alias("score"))
+            placed = ranked(part.select("doc_id", "score"), "__rank", F.desc("score"), "doc_id")
+            value = placed.select("doc_id", (w / (constant + F.col("__rank"))).alias("score"))
         else:
             value = part.select("doc_id", (F.col("score") * w).alias("score"))
         rows = value if rows is None else rows.unionAll(value)

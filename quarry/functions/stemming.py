@@ -9,6 +9,8 @@ import functools
 import re
 from collections.abc import Callable, Iterable
 
+from quarry.functions.arabic import isri
+
 
 def _longest(word: str, suffixes: Iterable[str], start: int = 0) -> str | None:
     """The longest of the suffixes that ends the word within word[start:]."""
@@ -658,7 +660,7 @@ def russian(word: str) -> str:
 
 STEMMERS: dict[str, Callable[[str], str]] = {
     "en": porter, "porter": porter, "porter2": porter2, "da": danish, "de": german, "es": spanish, "fr": french,
-    "it": italian, "nl": dutch, "no": norwegian, "pt": portuguese, "ru": russian, "sv": swedish,
+    "it": italian, "nl": dutch, "no": norwegian, "pt": portuguese, "ru": russian, "sv": swedish, "ar": isri, "isri": isri,
 }
 
 

@@ -107,3 +107,19 @@ def test_variations():
 def test_paice_husk():
     stem = stemming.PaiceHusk("gni3>\nde2>\nsei3y>\ns*1>\nylb1>\n e1>\nnoi3j>\n")
     assert stem("maximising") == "maximis" and stem("parties") == "party" and stem("cats") == "cat" and stem("ring") == "ring"
+
+
+def test_arabic_roots(spark):
+    """Roots worked out by hand, one for each step and many of the templates."""
+    from quarry.functions.arabic import isri
+    from quarry.functions.stemming import stemmer_for
+
+    roots = {
+        "المدرسة": "درس", "والكتاب": "كتب", "يكتبون": "كتب", "كاتب": "كتب", "مكتوب": "كتب", "كَتَبَ": "كتب", "استعمل": "عمل", "انكسر": "كسر", "مدارس": "درس", "تفاعيل": "فعل", "افتتاح": "فتح",
+        "اعشوشب": "عشب", "ترجمة": "رجم", "فاكهة": "فكه", "أكل": "اكل", "التي": "التي", "شمس": "شمس", "قناديل": "قناديل", "hello": "hello", "": "",
+    }
+    assert {w: isri(w) for w in roots} == roots
+    assert stemmer_for("arabic") is isri and stemmer_for("ar") is isri
+    chain = A.simple() | A.stem("ar")
+    got = spark.createDataFrame([("والكتاب مكتوب hello",)], "t string").select(chain.terms(F.col("t"))).first()[0]
+    assert got == ["كتب", "كتب", "hello"] == chain.analyze("والكتاب مكتوب hello")

@@ -382,7 +382,7 @@ def weighted_moments(spark, sf_dir):
 
 def document_blocks(spark, sf_dir) -> BlockIndex:
     """The documents' index stored in blocks, like languages and lengths together; stored once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir, "blocks")
+    key = (spark.sparkContext.applicationId, sf_dir, "stored blocks")
     if key not in _held:
         _held[key] = BlockIndex.write(documents(spark, sf_dir), shared_path(spark, "blocks"), order=("lang",))
     return _held[key]

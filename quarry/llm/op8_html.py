@@ -1,6 +1,6 @@
 """Main text of web pages, with suffix arrays over the pages of each host.
 
-Pages are parsed into blocks. The word streams of all blocks that no sure article mark encloses are concatenated,
+Pages are parsed into blocks, and what repeats are counted from is stored: hashes of blocks, and the words of those that no sure article mark encloses. The word streams of all blocks that no sure article mark encloses are concatenated,
 page after page; a suffix array over them, sorted as deep as LONG words, groups equal substrings of LONG words
 and counts the distinct pages of each. The arrays cover batches of pages as they lie in the table; their counts
 are summed by host and substring (64-bit hashes), so what repeats does not depend on how pages are dealt.
@@ -27,11 +27,9 @@ one page; other columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import collections
 import hashlib
 import html as entities
-import itertools
 import re
 
 import numpy as np
@@ -43,8 +41,8 @@ from quarry.llm.common import arrow_rows, cut
 
 #: Pages of a task's group, words of a window, distinct pages and share of a host's that make it boilerplate, and the share that short blocks need.
 SHARD, LONG, LEAST_PAGES, SHARE, SHORT_SHARE = 256, 8, 3, 0.01, 0.5
-#: The part of a page's text that tells copies of it.
-MAIN_PART = 2 / 3
+#: The part of a page's text that tells copies of it: so many of so many.
+MAIN_PART = 2, 3
 #: Elements by what they do to text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,20 +262,27 @@ def short_blocks(parsed: list[list[Block]], weight: np.ndarray) -> dict[int, flo
     return out
 
 
-def own_blocks(parsed: list[Block]) -> set[str]:
-    """The blocks outside noise elements, in marks or not."""
-    return {b[0] for b in parsed if not b[2]}
+def own_blocks(parsed: list[Block]) -> list[tuple[int, int]]:
+    """Length and hash of each distinct block outside noise elements, in marks or not; longest first."""
+    return sorted({(len(b[0]), _short_hash(b[0])) for b in parsed if not b[2]}, key=lambda x: (-x[0], x[1]))
 
 
-def signature(parsed: list[Block], site: set[int]) -> int:
-    """What copies of a page have in common: a hash of its longest blocks outside noise elements, as many as hold MAIN_PART of their text.
+def page_hash(parsed: list[Block]) -> int:
+    return _short_hash("\n".join(b[0] for b in parsed))
 
-    Blocks of the ``site``, on more than half of the host's pages, are left out; without others, it is a hash of all words.
+
+def signature(parsed: list[Block], site: set[int]) -> tuple[int, ...]:
+    """What copies of a page have in common: its longest blocks outside noise elements, as many as hold MAIN_PART of their text.
+
+    Blocks of the ``site``, on more than half of the host's pages, are left out; without others, it is all of the page's text.
     """
-    own = sorted((t for t in own_blocks(parsed) if _short_hash(t) not in site), key=lambda t: (-len(t), t))
-    held = list(itertools.accumulate(map(len, own)))
-    most = bisect.bisect_left(held, MAIN_PART * held[-1]) + 1 if held else 0
-    return _short_hash("\n".join(own[:most] or [b[0] for b in parsed]))
+    own = [x for x in own_blocks(parsed) if x[1] not in site]
+    total, held, out = sum(n for n, _ in own), 0, []
+    for n, h in own:
+        if held * MAIN_PART[1] < total * MAIN_PART[0]:
+            out.append(h)
+            held += n
+    return tuple(out) or (page_hash(parsed),)
 
 
 def covered_by(streams: list[list[str]], frequent: np.ndarray) -> list[np.ndarray]:
@@ -316,7 +321,7 @@ Frequent = tuple[np.ndarray, np.ndarray]  # hashes of a host's frequent windows
 
 def frequent_of(parsed: list[list[Block]]) -> Frequent:
     """The frequent windows and short blocks of a host, from all its pages."""
-    on = collections.Counter(_short_hash(t) for bs in parsed for t in own_blocks(bs))
+    on = collections.Counter(h for bs in parsed for _, h in own_blocks(bs))
     site = {h for h, n in on.items() if 2 * n > len(parsed)}
     signs = [signature(bs, site) for bs in parsed]
     times = collections.Counter(signs)
@@ -375,69 +380,75 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-ROWS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("__host", pa.string()), ("__sign", pa.int64())])
-
-
-def signed(rows: DataFrame, whole: bool) -> DataFrame:
-    """``rows`` with ``__sign``, the signature of each page (the ``whole`` rows, or host and signature alone)."""
-    schema = ROWS if whole else pa.schema([f for f in ROWS if f.name in ("__host", "__sign")])
+PARSED = pa.schema(
+    [("__host", pa.string()), ("own", pa.list_(pa.struct([("n", pa.int32()), ("hash", pa.int64())]))), ("whole", pa.int64()), ("words", pa.string()), ("short", pa.list_(pa.int64()))]
+)
 
-    def sign(batch: pa.RecordBatch) -> list:
-        signs = [signature(blocks(p), set(site or ())) for p, site in zip(batch.column("html").to_pylist(), batch.column("__site").to_pylist())]
-        return [*(batch.column(n) for n in schema.names[:-1]), pa.array(signs, pa.int64())]
 
-    rows = rows if whole else rows.select("__host", "html", "__site")
-    return rows.mapInArrow(arrow_rows(schema, sign), ("page_id long, url string, html string, " if whole else "") + "__host string, __sign long")
+def parsed_pages(rows: DataFrame) -> DataFrame:
+    """What repeats are counted from, of every page: __host, ``own`` (length and hash of each block outside noise elements, longest first), a
+    hash of the ``whole``, the ``words`` of its judged blocks and the hashes of those that are shorter than a window."""
 
+    def parse(batch: pa.RecordBatch) -> list:
+        found = [blocks(p) for p in batch.column("html").to_pylist()]
+        own = [[{"n": n, "hash": h} for n, h in own_blocks(bs)] for bs in found]
+        return [batch.column("__host"), own, [page_hash(bs) for bs in found], [" ".join(_stream(bs)) for bs in found], [[*short_blocks([bs], np.ones(1))] for bs in found]]
 
-def site_blocks(rows: DataFrame) -> DataFrame:
-    """__host and __site, the hashes of the blocks on more than half of its pages: at most twice as many as a page has on the average."""
-    schema = pa.schema([("__host", pa.string()), ("block", pa.int64()), ("pages", pa.int64())])
+    return rows.select("__host", "html").mapInArrow(arrow_rows(PARSED, parse, 256), "__host string, own array<struct<n: int, hash: long>>, whole long, words string, short array<long>")
 
-    def count(batch: pa.RecordBatch) -> list:
-        on = collections.Counter((name, _short_hash(t)) for name, page in zip(batch.column("__host").to_pylist(), batch.column("html").to_pylist()) for t in own_blocks(blocks(page)))
-        return [[h for h, _ in on], [b for _, b in on], [*on.values()]]
 
-    found = rows.select("__host", "html").mapInArrow(arrow_rows(schema, count), "__host string, block long, pages long")
-    found = found.groupBy("__host", "block").agg(F.sum("pages").alias("pages")).where("pages > 1")
-    size = rows.groupBy("__host").agg(F.count(F.lit(1)).alias("__all"))
-    return found.join(size, "__host").where(2 * F.col("pages") > F.col("__all")).groupBy("__host").agg(F.collect_list("block").alias("__site"))
+def signed(parsed: DataFrame) -> DataFrame:
+    """``parsed`` pages with ``__sign``, a hash of the signature of each."""
+    size = parsed.groupBy("__host").agg(F.count(F.lit(1)).alias("__all"))
+    on = parsed.select("__host", F.explode("own.hash").alias("block")).groupBy("__host", "block").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
+    # on more than half of a host's pages are at most twice as many blocks as a page has on the average
+    site = on.join(size, "__host").where(2 * F.col("pages") > F.col("__all")).groupBy("__host").agg(F.collect_list("block").alias("__site"))
+    rows = parsed.join(cut(site, "site"), "__host", "left")
+    rows = rows.withColumn("__own", F.when(F.col("__site").isNull(), F.col("own")).otherwise(F.filter("own", lambda x: ~F.array_contains("__site", x["hash"]))))
+    total = F.aggregate("__own", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    none = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("sign"))
+    more = lambda s, x: F.struct((s["held"] + x["n"]).alias("held"), F.xxhash64(s["sign"], x["hash"]).alias("sign"))
+    rows = rows.withColumn("__total", total)
+    sign = F.aggregate("__own", none, lambda s, x: F.when(s["held"] * MAIN_PART[1] < F.col("__total") * MAIN_PART[0], more(s, x)).otherwise(s))["sign"]
+    return rows.withColumn("__sign", F.when(F.size("__own") > 0, sign).otherwise(F.col("whole"))).select("__host", "__sign", "words", "short")
 
 
 def repeats(rows: DataFrame) -> DataFrame:
     """__host, window, short, pages: the substrings and short blocks of each host outside sure marks, and on how many of its distinct pages they are.
 
-    ``rows`` hold __host, html and __copies, the number of pages with their signature. Suffix arrays over slices of the table as it lies; no page is moved.
+    ``rows`` hold __host, words, short and __copies, the number of pages with their signature. Suffix arrays over slices of the table as it lies; no page is moved.
     """
     schema = pa.schema([("__host", pa.string()), ("window", pa.int64()), ("short", pa.bool_()), ("pages", pa.float64())])
 
     def count(batch: pa.RecordBatch) -> list:
         hosts: dict[str, list] = {}
-        for name, page, copies in zip(*(batch.column(n).to_pylist() for n in ("__host", "html", "__copies"))):
-            hosts.setdefault(name, []).append((blocks(page), 1 / copies))
+        for name, *row in zip(*(batch.column(n).to_pylist() for n in ("__host", "words", "short", "__copies"))):
+            hosts.setdefault(name, []).append(row)
         names, hashes, short, pages = [], [], [], []
         for name, held in hosts.items():
-            parsed, weight = [bs for bs, _ in held], np.array([w for _, w in held])
-            found, n = windows([_stream(bs) for bs in parsed], weight)
-            few = short_blocks(parsed, weight)
+            found, n = windows([words.split(" ") if words else [] for words, _, _ in held], np.array([1 / copies for _, _, copies in held]))
+            few: dict[int, float] = collections.defaultdict(float)
+            for _, brief, copies in held:
+                for h in brief:
+                    few[h] += 1 / copies
             names += [name] * (len(found) + len(few))
             hashes += [*found.tolist(), *few]
             short += [False] * len(found) + [True] * len(few)
             pages += [*n.tolist(), *few.values()]
         return [names, hashes, short, pages]
 
-    counts = rows.select("__host", "html", "__copies").mapInArrow(arrow_rows(schema, count), "__host string, window long, short boolean, pages double")
+    counts = rows.select("__host", "words", "short", "__copies").mapInArrow(arrow_rows(schema, count), "__host string, window long, short boolean, pages double")
     return counts.groupBy("__host", "window", "short").agg(F.sum("pages").alias("pages"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("__host", host(F.col("url")))
-    sited = rows.join(cut(site_blocks(rows), "site"), "__host", "left")
-    signs = cut(signed(sited, whole=False).groupBy("__host", "__sign").agg(F.count(F.lit(1)).alias("__copies")), "signs")
+    parsed = signed(cut(parsed_pages(rows), "parsed"))
+    signs = cut(parsed.groupBy("__host", "__sign").agg(F.count(F.lit(1)).alias("__copies")), "signs")
     shards = F.ceil(F.sum("__copies") / F.lit(float(SHARD))).cast("int")
     hosts = cut(signs.groupBy("__host").agg(F.count(F.lit(1)).cast("double").alias("__pages"), shards.alias("__shards")), "hosts")
-    copied = signed(sited, whole=True).join(signs.where(F.col("__copies") > 1), ["__host", "__sign"], "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
+    copied = parsed.join(signs.where(F.col("__copies") > 1), ["__host", "__sign"], "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
     needed = F.greatest(F.lit(float(LEAST_PAGES)), F.when(F.col("short"), SHORT_SHARE).otherwise(SHARE) * F.col("__pages")) - SLACK
     often = repeats(copied).where(F.col("pages") >= LEAST_PAGES - SLACK).join(hosts, "__host").where(F.col("pages") >= needed)
     often = often.withColumn("wide", F.col("pages") >= SHORT_SHARE * F.col("__pages") - SLACK)

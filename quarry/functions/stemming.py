@@ -607,6 +607,81 @@ def french(word: str) -> str:
     w = re.sub(f"[éè]([^{v}]+)$", r"e\1", w)
     return w.lower()
 
+# Hungarian
+
+# Vowels, digraphs, doubled consonants, and the endings of each step in the order in which they are tried.
+_HU_VOWELS, _HU_DIGRAPHS = "aeiouöüáéíóõúû", "cs dz dzs gy ly ny ty zs".split()
+_HU_DOUBLES = "bb cc ccs dd ff gg ggy jj kk ll lly mm nn nny pp rr ss ssz tt tty vv zz zzs".split()
+_HU_CASES = "képpen onként enként anként képp ként ban ben nak nek val vel tól tõl ról rõl ból bõl hoz hez höz nál nél ért kor ba be ra re ig at et ot öt ul ül vá vé en on an ön n t".split()
+_HU_SPECIAL = "ánként án én".split()
+_HU_OTHER = "astul estül ástul éstül stul stül".split()
+_HU_OWNED = "oké öké aké eké áké áéi éké ééi ké éi éé é".split()
+_HU_SINGULAR = "ájuk éjük ünk unk juk jük ánk énk nk uk ük em om am od ed ad öd ja je ám ád ém éd m d a e o á é".split()
+_HU_PLURAL_OWNER = "jaitok jeitek jaink jeink aitok eitek áitok éitek jaim jeim jaid jeid eink aink itek jeik jaik áink éink aim eim aid eid jai jei ink aik eik áim áid áik éim éid éik im id ai ei ik ái éi i".split()
+_HU_PLURAL = "ák ék ök ok ek ak k".split()
+
+
+def _shortened(endings: list[str], left_out: tuple[str, ...] = ()) -> dict[str, str]:
+    """What is left of endings that begin with a long vowel: the short one."""
+    return {s: {"á": "a", "é": "e"}[s[0]] for s in endings if s[0] in "áé" and s not in left_out}
+
+
+#: The steps behind the cases: endings, what they leave, and whether the word decides on the ending (nothing goes if it is not in the region).
+_HU_STEPS = (
+    (_HU_OWNED, _shortened(_HU_OWNED, ("éi", "é")), False),
+    (_HU_SINGULAR, _shortened(_HU_SINGULAR), True),
+    (_HU_PLURAL_OWNER, _shortened(_HU_PLURAL_OWNER), True),
+    (_HU_PLURAL, _shortened(_HU_PLURAL), True),
+)
+
+
+def hungarian(word: str) -> str:
+    """Cases, owners and plurals go one after another, inside the region behind the first vowel (or, after a vowel, the first consonant or digraph)."""
+    w = word.lower()
+    r = _hungarian_region(w)
+    w, r = _undoubled(w, r, 2) if r.endswith(("al", "el")) else (w, r)
+    before = r
+    w, r = _peeled(w, r, _HU_CASES, {}, True)
+    if r != before and r[-1:] in ("á", "é"):
+        short = {"á": "a", "é": "e"}[r[-1]]
+        w, r = w[:-1] + short, r[:-1] + short
+    for endings in (_HU_SPECIAL, _HU_OTHER):
+        w, r = _peeled(w, r, endings, _shortened(endings), False)
+    w, r = _undoubled(w, r, 1) if r.endswith(("á", "é")) else (w, r)
+    for endings, left, whole in _HU_STEPS:
+        w, r = _peeled(w, r, endings, left, whole)
+    return w
+
+
+def _hungarian_region(w: str) -> str:
+    if not w:
+        return ""
+    if w[0] not in _HU_VOWELS:
+        return next((w[k + 1 :] for k in range(1, len(w)) if w[k] in _HU_VOWELS), "")
+    digraph = next((d for d in _HU_DIGRAPHS if d in w[1:]), None)
+    if digraph:  # the first of the list, up to where its last letter stands first
+        return w[w.index(digraph[-1]) + 1 :]
+    return next((w[k + 1 :] for k in range(1, len(w)) if w[k] not in _HU_VOWELS), "")
+
+
+def _undoubled(w: str, r: str, ending: int) -> tuple[str, str]:
+    """Without an ending of so many letters and without the doubling before it, where there is one."""
+    cut = lambda x: x[: -ending - 2] + x[-ending - 1]
+    for double in _HU_DOUBLES:
+        if w[-ending - len(double) : -ending] == double:
+            return cut(w), cut(r) if r[-ending - len(double) : -ending] == double else r
+    return w, r
+
+
+def _peeled(w: str, r: str, endings: list[str], left: dict[str, str], whole: bool) -> tuple[str, str]:
+    """Without the first ending that fits the region (``whole``: that fits the word, if it is in the region)."""
+    for s in endings:
+        if (w if whole else r).endswith(s):
+            if r.endswith(s):
+                w, r = w[: -len(s)] + left.get(s, ""), r[: -len(s)] + left.get(s, "")
+            break
+    return w, r
+
 
 # Russian
 
@@ -659,7 +734,7 @@ def russian(word: str) -> str:
 
 
 STEMMERS: dict[str, Callable[[str], str]] = {
-    "en": porter, "porter": porter, "porter2": porter2, "da": danish, "de": german, "es": spanish, "fr": french,
+    "en": porter, "porter": porter, "porter2": porter2, "da": danish, "de": german, "es": spanish, "fr": french, "hu": hungarian,
     "it": italian, "nl": dutch, "no": norwegian, "pt": portuguese, "ru": russian, "sv": swedish, "ar": isri, "isri": isri,
 }
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.index import SearchIndex, field_stats_of, keep_last, postings_of
+from quarry.operators.index import SearchIndex, keep_last, postings_of
 from quarry.operators.search import Results, Searcher
 from quarry.plans import query as Q
 from quarry.plans.schema import Schema, ensure_schema
@@ -30,6 +30,9 @@ def write_batch(batch: DataFrame, number: int, schema: Schema, path: str, id_col
     held = batch.sparkSession.read.parquet(f"{path}/postings/batch={number}")
     stats = held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("weight").alias("cf"), F.max("weight").alias("max_weight"), F.min("dl").alias("min_length"), F.max("dl").alias("max_length"))
     stats.write.mode("overwrite").parquet(f"{path}/term_stats/batch={number}")
+    totals = held.groupBy("field").agg(F.sum("tf").alias("total"), F.min("dl").alias("min_length"), F.max("dl").alias("max_length"), F.lit(0).cast("long").alias("n"))
+    written = batch.sparkSession.read.parquet(f"{path}/docs/batch={number}").agg(F.count(F.lit(1)).alias("n"))
+    totals.unionByName(written, allowMissingColumns=True).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats/batch={number}")
 
 
 def index_stream(stream: DataFrame, schema, path: str, checkpoint: str, id_column: str = "doc_id", trigger: Mapping | None = None) -> StreamingQuery:
@@ -44,7 +47,11 @@ def open_stream_index(spark: SparkSession, schema, path: str) -> SearchIndex:
     docs = spark.read.parquet(f"{path}/docs").drop("batch")
     postings = spark.read.parquet(f"{path}/postings").drop("batch")
     stats = spark.read.parquet(f"{path}/term_stats").groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_weight").alias("max_weight"), F.min("min_length").alias("min_length"), F.max("max_length").alias("max_length"))
-    return SearchIndex(ensure_schema(schema), docs, postings, stats, field_stats_of(postings, docs))
+    fields = spark.read.parquet(f"{path}/field_stats")
+    n = fields.agg(F.sum("n").alias("n"))
+    totals = fields.where("field is not null").groupBy("field").agg(F.sum("total").alias("total"), F.min("min_length").alias("min_length"), F.max("max_length").alias("max_length"))
+    # one row with one number on the right side
+    return SearchIndex(ensure_schema(schema), docs, postings, stats, totals.join(F.broadcast(n), F.lit(True)))
 
 
 def term_counts(stream: DataFrame, text: str, time: str, window: str = "1 hour", late: str = "10 minutes", analyzer=None) -> DataFrame:

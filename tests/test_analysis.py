@@ -123,3 +123,12 @@ def test_arabic_roots(spark):
     chain = A.simple() | A.stem("ar")
     got = spark.createDataFrame([("والكتاب مكتوب hello",)], "t string").select(chain.terms(F.col("t"))).first()[0]
     assert got == ["كتب", "كتب", "hello"] == chain.analyze("والكتاب مكتوب hello")
+
+
+def test_hungarian_stems():
+    """Stems worked out by hand, one or more for each step."""
+    stems = {
+        "babák": "baba", "házban": "ház", "almával": "alm", "kettel": "ket", "asztalokkal": "asztal", "embereknek": "ember", "könyveiben": "könyv", "gyerekekkel": "gyerek", "városánként": "város",
+        "kutyáink": "kutya", "képünk": "kép", "ék": "ék", "a": "a", "": "", "xyz": "xyz",
+    }
+    assert {w: stemming.stemmer_for("hungarian")(w) for w in stems} == stems

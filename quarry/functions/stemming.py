@@ -607,7 +607,113 @@ def french(word: str) -> str:
     w = re.sub(f"[éè]([^{v}]+)$", r"e\1", w)
     return w.lower()
 
-# Hungarian
+
+
+
+# Finnish
+
+# Vowels, and endings with what must stand before them.
+_FI_VOWELS, _FI_CONSONANTS = "aeiouyäö", "bcdfghjklmnpqrstvwxz"
+_FI_LONG = ("aa", "ee", "ii", "oo", "uu", "ää", "öö")
+_FI_PARTICLES = "kin kaan kään ko kö han hän pa pä sti".split()
+_FI_POSSESSIVES = {"nsa": "", "nsä": "", "mme": "", "nne": "", "ni": "", "si": "[^k]", "an": "ta|na|ssa|sta|lla|lta", "än": "tä|nä|ssä|stä|llä|ltä", "en": "lle|ine"}
+_FI_CASES = (
+    {"siin": "[aeiouäö]i", "tten": "[aeiouäö]i", "seen": "|".join(_FI_LONG), "den": "[aeiouäö]i"}
+    | {f"h{x}n": x for x in "aeioäö"}
+    | {"tta": "e", "ttä": "e"}
+    | dict.fromkeys("ssa ssä sta stä lla llä lta ltä lle ksi ine ta tä na nä n".split(), "")
+    | dict.fromkeys("aä", f"[{_FI_CONSONANTS}][{_FI_VOWELS}]")
+)
+_FI_COMPARISON = "impi impa impä immi imma immä mpi mpa mpä mmi mma mmä eja ejä".split()
+
+
+def finnish(word: str) -> str:
+    """Particles, possessives, cases, comparison and plurals go inside R1 and R2; long vowels and double consonants at the end become short."""
+    v, w = _FI_VOWELS, word.lower()
+    r1 = _region(w, v)
+    r2 = _region(w, v, r1)
+    s = _longest(w, _FI_PARTICLES, r1)
+    if s and (len(w) - len(s) >= r2 if s == "sti" else w[-len(s) - 1] in v + "nt"):
+        w = w[: -len(s)]
+    s = _longest(w, _FI_POSSESSIVES, r1)
+    if s and re.search(f"(?:{_FI_POSSESSIVES[s]})$", w[: -len(s)]):
+        w = w[: -len(s)]
+        if s == "ni" and w.endswith("kse"):
+            w = w[:-1] + "i"
+    cased = False
+    for s in sorted(_FI_CASES, key=len, reverse=True):
+        if w.endswith(s) and len(w) - len(s) >= r1:
+            if re.search(f"(?:{_FI_CASES[s]})$", w[: -len(s)]):
+                w, cased = w[: -len(s)], True
+                if s == "n" and w.endswith((*_FI_LONG, "ie")):
+                    w = w[:-1]
+            if cased or s not in ("siin", "tten", "seen", "den"):  # these give way to shorter endings
+                break
+    s = _longest(w, _FI_COMPARISON, r2)
+    if s and not (s[0] == "m" and w[: -len(s)].endswith("po")):
+        w = w[: -len(s)]
+    if cased and len(w) > r1 and w[-1] in "ij":
+        w = w[:-1]
+    elif not cased and len(w) - 2 >= r1 and re.search(f"[{v}]t$", w):
+        w = w[:-1]
+        s = _longest(w, ("imma", "mma"), r2)
+        if s and not (s == "mma" and w[r2:-3].endswith("po")):
+            w = w[: -len(s)]
+    for ending in ("|".join(_FI_LONG), f"[{_FI_CONSONANTS}][aäei]", "[ou]j", "jo"):
+        if len(w) - 2 >= r1 and re.search(f"(?:{ending})$", w):
+            w = w[:-1]
+    return re.sub(rf"([{_FI_CONSONANTS}])\1([{v}]*)$", r"\1\2", w)
+
+
+# Romanian
+
+# Vowels, and the endings of each step with what they leave.
+_RO_VOWELS = "aeiouăâî"
+_RO_PLURAL = {"ul": "", "ului": "", "aua": "a", "atei": "at", "ile": "i", "aţie": "aţi", "aţia": "aţi"} | dict.fromkeys("ea ele elor".split(), "e") | dict.fromkeys("ii iua iei iile iilor ilor".split(), "i")
+_RO_COMBINED = (
+    {"ibilitate": "ibil"}
+    | dict.fromkeys("abilitate abilitati abilităi abilităţi".split(), "abil")
+    | dict.fromkeys("ivitate ivitati ivităi ivităţi".split(), "iv")
+    | dict.fromkeys("icitate icitati icităi icităţi icator icatori iciv iciva icive icivi icivă ical icala icale icali icală".split(), "ic")
+    | dict.fromkeys("ativ ativa ative ativi ativă aţiune atoare ator atori ătoare ător ători".split(), "at")
+    | dict.fromkeys("itiv itiva itive itivi itivă iţiune itoare itor itori".split(), "it")
+)
+_RO_STANDARD = (
+    dict.fromkeys("abila abile abili abilă ibila ibile ibili ibilă atori itate itati ităţi abil ibil oasa oasă oase anta ante anti antă ator ităi ata ată ati ate uta ută uti ute ita ită iti ite ica ice ici ică osi oşi ant iva ive ivi ivă at ut it ic os iv".split(), "")
+    | dict.fromkeys("iune iuni".split(), "t")
+    | dict.fromkeys("ism isme ist ista iste isti istă işti".split(), "ist")
+)
+_RO_VERB_FREE = "seserăţi seserăm serăţi seseşi seseră serăm sesem seşi seră sese aţi eţi iţi âţi sei ăm em im âm se".split()
+_RO_VERB = "aserăţi iserăţi âserăţi userăţi aserăm iserăm âserăm userăm ească arăţi urăţi irăţi ârăţi aseşi aseră iseşi iseră âseşi âseră useşi useră indu ându ează eşti eşte ăşti ăşte eaţi iaţi arăm urăm irăm ârăm asem isem âsem usem are ere ire âre ind ând eze ezi esc ăsc eam eai eau iam iai iau aşi ară uşi ură işi iră âşi âră ase ise âse use ez am ai au ea ia ui âi".split()
+
+
+def romanian(word: str) -> str:
+    """Plurals, combined and standard endings in R1 and R2, else verb endings in RV, then a final vowel; i and u between vowels count as consonants."""
+    v = _RO_VOWELS
+    w = re.sub(f"(?<=[{v}])[iu](?=[{v}])", lambda m: m[0].upper(), word.lower())
+    r1 = _region(w, v)
+    r2, rv = _region(w, v, r1), _rv(w, v)
+    s = _longest(w, _RO_PLURAL)
+    if s and len(w) - len(s) >= r1 and not (s == "ile" and w.endswith("abile")):
+        w = w[: -len(s)] + _RO_PLURAL[s]
+    changed = False
+    while (s := _longest(w, _RO_COMBINED)) and len(w) - len(s) >= r1:
+        w, changed = w[: -len(s)] + _RO_COMBINED[s], True
+    s = _longest(w, _RO_STANDARD)
+    if s and len(w) - len(s) >= r2:
+        changed = True
+        if s not in ("iune", "iuni"):
+            w = w[: -len(s)] + _RO_STANDARD[s]
+        elif w[-5:-4] == "ţ":
+            w = w[:-5] + _RO_STANDARD[s]
+    if not changed and (s := _longest(w, [*_RO_VERB_FREE, *_RO_VERB], rv)):
+        at = len(w) - len(s)
+        if s in _RO_VERB_FREE or at > rv and w[at - 1] not in "aeioăâî":
+            w = w[:at]
+    s = _longest(w, "ie a e i ă".split())
+    if s and len(w) - len(s) >= rv:
+        w = w[: -len(s)]
+    return w.lower()# Hungarian
 
 # Vowels, digraphs, doubled consonants, and the endings of each step in the order in which they are tried.
 _HU_VOWELS, _HU_DIGRAPHS = "aeiouöüáéíóõúû", "cs dz dzs gy ly ny ty zs".split()
@@ -734,8 +840,8 @@ def russian(word: str) -> str:
 
 
 STEMMERS: dict[str, Callable[[str], str]] = {
-    "en": porter, "porter": porter, "porter2": porter2, "da": danish, "de": german, "es": spanish, "fr": french, "hu": hungarian,
-    "it": italian, "nl": dutch, "no": norwegian, "pt": portuguese, "ru": russian, "sv": swedish, "ar": isri, "isri": isri,
+    "en": porter, "porter": porter, "porter2": porter2, "da": danish, "de": german, "es": spanish, "fi": finnish, "fr": french, "hu": hungarian,
+    "it": italian, "nl": dutch, "no": norwegian, "pt": portuguese, "ro": romanian, "ru": russian, "sv": swedish, "ar": isri, "isri": isri,
 }
 
 

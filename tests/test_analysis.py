@@ -132,3 +132,17 @@ def test_hungarian_stems():
         "kutyáink": "kutya", "képünk": "kép", "ék": "ék", "a": "a", "": "", "xyz": "xyz",
     }
     assert {w: stemming.stemmer_for("hungarian")(w) for w in stems} == stems
+
+
+def test_finnish_and_romanian_stems():
+    """Stems worked out by hand, one or more for each step."""
+    finnish = {
+        "edeltäjien": "edeltäj", "edeltäjän": "edeltäj", "edeltäjä": "edeltäj", "edeltävällä": "edeltäv", "edeltäneet": "edeltän", "edelsi": "edel", "edemmäs": "edemmäs", "edemmäksi": "edem", "eduskunnassa": "eduskun",
+        "taloissa": "talo", "taloonko": "talo", "kirjakseni": "kirj", "eläkkeen": "eläk", "": "", "xyz": "xyz",
+    }
+    romanian = {
+        "abruptă": "abrupt", "absentă": "absent", "absolvirea": "absolv", "abundente": "abundent", "academicienilor": "academicien", "activitatea": "activ", "adorabilă": "ador", "casele": "cas",
+        "elevului": "elev", "prietenii": "prieten", "vorbeşte": "vorb", "lucrând": "lucr", "": "", "a": "a",
+    }
+    for code, stems in (("fi", finnish), ("romanian", romanian)):
+        assert {w: stemming.stemmer_for(code)(w) for w in stems} == stems

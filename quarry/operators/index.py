@@ -50,7 +50,7 @@ def with_parents(docs: DataFrame, is_parent: Column, block: str | None = None) -
     if block:
         w = Window.partitionBy(block).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
         return docs.withColumn("parent_id", F.last(parent, ignorenulls=True).over(w))
-    ranged = docs.withColumn("__parent", parent).repartitionByRange("doc_id").withColumn("__p", F.spark_partition_id())
+    ranged = _laid(docs.withColumn("__parent", parent).repartitionByRange("doc_id").withColumn("__p", F.spark_partition_id()), "parents")
     carried = ranged.groupBy("__p").agg(F.max("__parent").alias("__last")).withColumn("__before", F.max("__last").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
     w = Window.partitionBy("__p").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     found = ranged.withColumn("__own", F.last("__parent", ignorenulls=True).over(w)).join(F.broadcast(carried.select("__p", "__before")), "__p")
@@ -257,6 +257,13 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _laid(ranged: DataFrame, tag: str) -> DataFrame:
+    """``ranged`` written once: what is computed twice may be cut into other ranges (they come from a sample, and are merged by size), and then numbers of partitions differ."""
+    path = shared_path(ranged.sparkSession, tag)
+    ranged.write.parquet(path)
+    return ranged.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
 def numbered(docs: DataFrame, *order: str) -> DataFrame:
     """doc_id 0, 1, ... by the order given; without one, ids that are unique and grow along the input, but not dense.
 
@@ -270,7 +277,7 @@ def numbered(docs: DataFrame, *order: str) -> DataFrame:
 def ranked(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """``rows`` with their place (from 1) in an order, as column ``name``: a range sort and one count per partition, not a single task."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))})
+    ranged = _laid(ranged.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}), "ranked")
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     bases = counts.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))  # one row per partition
     return ranged.join(F.broadcast(bases), "__p").withColumn(name, F.col("__b") + F.col("__i") + 1).drop("__m", "__p", "__i", "__b")

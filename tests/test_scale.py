@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import phonetics
 from quarry.operators import expand, vectors
-from quarry.operators.index import SearchIndex, clear, keep_last, merge_small, with_parents
+from quarry.operators.index import SearchIndex, clear, keep_last, merge_small, numbered, with_parents
 from quarry.operators.search import Searcher
 from quarry.plans import query as Q
 from quarry.plans.schema import ID, TEXT, Schema
@@ -38,6 +38,12 @@ def test_parents_over_ranges_equal_one_pass(spark):
         assert got[i] == last
 
 
+def test_numbers_are_dense_where_other_columns_move_along(spark):
+    rows = spark.range(0, 40000, 1, 8).select(F.pmod(F.xxhash64("id"), F.lit(300)).alias("a"), F.col("id").alias("i"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    got = numbered(rows, "a", "i").orderBy("a", "i").collect()
+    assert [r["doc_id"] for r in got] == list(range(40000)) and all(r["wide"] for r in got)
+
+
 def test_rows_without_key_all_stay(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 7), (3, None, 1), (4, None, 1)], "doc_id long, k string, at int")
     assert sorted(r["doc_id"] for r in keep_last(df, ["k"], "at").collect()) == [2, 3, 4]

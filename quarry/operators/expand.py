@@ -117,13 +117,16 @@ def windows_of(values: DataFrame, column: str, size: float, partition: str | Non
 
     Numbers are dealt by steps of ``size``: a number's window ends in its own step or the next, so every step is one window
     partition that also holds a copy of the next step's numbers. Rows without a number have an empty window.
+    Counts are differences of running counts, so their time grows with the numbers; variances take the time of their windows' contents.
     """
     names, v = values.columns, F.col(f"`{column}`").cast("double")
     step = F.floor(v / F.lit(float(size)))
     rows = values.withColumn("__v", v).withColumn("__home", step).withColumn("__step", F.explode(F.when(v.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(step, step - 1))))
     by = f"`{partition}`, `__step`" if partition else "`__step`"
+    order = f"over (partition by {by} order by `__v`"
+    upto = f"count(`__v`) {order} range between unbounded preceding and {float(size)}D following)"
     frame = f"over (partition by {by} order by `__v` range between current row and {float(size)}D following)"
-    rows = rows.withColumns({"in_window": F.expr(f"count(`__v`) {frame}"), "spread": F.expr(f"var_pop(`__v`) {frame}")})
+    rows = rows.withColumns({"in_window": F.expr(f"case when `__v` is null then 0L else {upto} - rank() {order}) + 1L end"), "spread": F.expr(f"var_pop(`__v`) {frame}")})
     return rows.where(F.col("__step").isNull() | (F.col("__step") == F.col("__home"))).select(*[F.col(f"`{n}`") for n in names], "in_window", "spread")
 
 

@@ -27,6 +27,17 @@ def test_sliding_windows_equal_brute_force(spark):
     assert expand.windows_of(df, "v", 1.5).count() == len(rows) and expand.windows_of(df, "v", 1.5).columns == ["i", "g", "v", "in_window", "spread"]
 
 
+def test_window_counts_are_running_counts(spark):
+    """A frame that slides is gone through again for each row."""
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(50)] + [(50, None), (51, float("nan")), (52, float("nan"))], "i int, v double")
+    got = expand.windows_of(df, "v", 2.0).drop("spread")
+    frames = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("windowspecdefinition")[1:]]
+    assert frames and not any("currentrow$(), 2.0" in x for x in frames)
+    near = {r["i"]: r["in_window"] for r in got.collect()}
+    assert near[50] == 0 and near[51] == near[52] == 2
+    assert all(near[i] == sum(i % 7 <= j % 7 <= i % 7 + 2 for j in range(50)) for i in range(50))
+
+
 def test_parents_over_ranges_equal_one_pass(spark):
     rnd = random.Random(2)
     rows = [(i * 3, rnd.random() < 0.02, "x") for i in range(2000)]

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,32 +43,44 @@ def _blocks(rows: DataFrame, id_column: str, column: str, size: int, name: str)
     return rows.groupBy(F.pmod(F.xxhash64(id_column), F.lit(parts)).alias("__b")).agg(F.collect_list(F.struct(F.col(id_column).alias("id"), F.col(column).cast("array<double>").alias("v"))).alias(name)).drop("__b")
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", query_id: str = "query_id", column: str = "embedding", block: int = 1024) -> DataFrame:
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", query_id: str = "query_id", column: str = "embedding", block: int = 4096) -> DataFrame:
     """The k most similar vectors of every query: every block of queries meets every block of vectors in one matrix product.
 
     Both sides are packed on the executors, so neither is limited nor collected; a block pair yields k rows a query, and ranks merge them.
+    Similarities are rounded to 12 digits, so that copies tie; vectors that are zero or hold null or non-finite numbers take no part.
     """
     packed = _blocks(vectors.where(F.col(column).isNotNull()), id_column, column, block, "held")
-    asked = _blocks(queries.where(F.col(column).isNotNull()), query_id, column, block, "asked")
-
-    def unit(rows) -> tuple[list, np.ndarray]:
-        m = np.array([r["v"] for r in rows], np.float64)
+    asked = _blocks(queries.where(F.col(column).isNotNull()), query_id, column, max(1, block // 4), "asked")
+
+    def unit(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        ids, v = rows.field("id"), rows.field("v")
+        sizes = np.diff(v.offsets.to_numpy())
+        if len(set(sizes.tolist())) != 1:
+            raise ValueError("vectors of different lengths")
+        m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
         n = np.linalg.norm(m, axis=1)
-        return [r["id"] for r, ok in zip(rows, n > 0) if ok], m[n > 0] / n[n > 0, None]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for held, wanted in zip(pdf["held"], pdf["asked"]):
-                (ids, m), (asking, q) = unit(held), unit(wanted)
-                if not ids:
+        fine = np.isfinite(n) & (n > 0)
+        return ids.filter(pa.array(fine)), m[fine] / n[fine, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (ids, m), (asking, q) = (unit(batch.column(name)[row].values) for name in ("held", "asked"))
+                if not len(ids) or not len(asking):
                     continue
-                kept = np.array(ids)
-                for name, row in zip(asking, q @ m.T):
-                    top = np.lexsort((kept, -row))[:k]
-                    yield pd.DataFrame({query_id: [name] * len(top), id_column: kept[top], "score": row[top]})
+                scores = q @ m.T
+                least = np.partition(scores, -k, axis=1)[:, -k, None] if len(ids) > k else -2.0
+                name, at = np.nonzero(scores >= least - 2e-12)
+                score = np.round(scores[name, at], 12)
+                place = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)[at]
+                order = np.lexsort((place, -score, name))
+                name, at, score = name[order], at[order], score[order]
+                kept = np.arange(len(name)) - np.searchsorted(name, name) < k
+                columns = [asking.take(pa.array(name[kept])), ids.take(pa.array(at[kept])), pa.array(score[kept])]
+                yield pa.RecordBatch.from_arrays(columns, names=[query_id, id_column, "score"])
 
     kinds = dict(vectors.dtypes)
-    found = packed.crossJoin(asked).mapInPandas(run, f"{query_id} {dict(queries.dtypes)[query_id]}, {id_column} {kinds[id_column]}, score double")
+    found = packed.crossJoin(asked).mapInArrow(run, f"{query_id} {dict(queries.dtypes)[query_id]}, {id_column} {kinds[id_column]}, score double")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_column)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -16,6 +16,7 @@ from quarry.operators.estimate import estimate
 from quarry.operators.graph import VectorGraph, recall
 from quarry.operators.index import SearchIndex, keep_last, numbered, shared_path, spread, with_parents
 from quarry.operators.neighbours import TermNeighbours
+from quarry.operators.postings import postings_of
 from quarry.operators.search import Searcher
 from quarry.plans import query as Q
 from quarry.plans.parser import FEATURES, QueryParser, multifield
@@ -29,11 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _index(spark: SparkSession, sf_dir: str, name: str, make) -> SearchIndex:
-    """An index built once per session and held by the executors."""
+def _index(spark: SparkSession, sf_dir: str, name: str, make, docs: bool = True) -> SearchIndex:
+    """An index built once per session: its tables are stored in the shared folder, statistics are held by the executors."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _held:
-        _held[key] = make().persist()
+        _held[key] = make().laid(docs=docs)
     return _held[key]
 
 
@@ -41,7 +42,13 @@ DOCUMENTS = Schema(text=TEXT(stored=True), lang=ID(), source=ID())
 
 
 def documents(spark, sf_dir) -> SearchIndex:
-    return _index(spark, sf_dir, "documents", lambda: SearchIndex.build(spread(table(spark, sf_dir, "documents")), DOCUMENTS))
+    return _index(spark, sf_dir, "documents", lambda: _over(table(spark, sf_dir, "documents"), DOCUMENTS), docs=False)
+
+
+def _over(docs: DataFrame, schema: Schema) -> SearchIndex:
+    """An index whose postings come from ``docs`` dealt in parts; the documents themselves stay as they lie."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return SearchIndex(schema, docs, postings_of(spread(docs), schema.resolve(docs.columns)))
 
 
 ORDERS = Schema(o_orderstatus=ID(), o_orderpriority=KEYWORD(), o_totalprice=NUMERIC("float"), o_orderdate=DATETIME())
@@ -779,7 +786,7 @@ PLACED = Schema(text=TEXT(stored=True, characters=True))
 
 def placed_documents(spark, sf_dir) -> SearchIndex:
     """The documents' texts with the characters of every place."""
-    return _index(spark, sf_dir, "placed", lambda: SearchIndex.build(spread(table(spark, sf_dir, "documents")), PLACED))
+    return _index(spark, sf_dir, "placed", lambda: _over(table(spark, sf_dir, "documents"), PLACED), docs=False)
 
 
 #: Words of documents with their first and last characters: gaps between words and words by turns.

@@ -17,13 +17,19 @@ from quarry.plans.compiler import execute
 from quarry.plans.schema import Field, Schema, ensure_schema, to_boolean
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A table read from few files or row groups, dealt evenly over the cores, so that analysis is not left to one of them.
+#: Bytes of a table's files, and postings, that one task takes: parts grow in number with the data, not in size.
+BYTES, POSTED = 16 << 20, 500_000
 
-    For scans only (their number of partitions is known without running anything); a table of more partitions than cores stays as it lies.
+
+def spread(scan: DataFrame, size: int = BYTES) -> DataFrame:
+    """A table read from few files or row groups, dealt evenly in parts of ``size`` bytes of its files, over all cores at least.
+
+    For scans only (their number of partitions is known without running anything); a table of more partitions than that stays as it lies.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    jvm, hadoop = scan.sparkSession._jvm, scan.sparkSession._jsc.hadoopConfiguration()
+    files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in scan.inputFiles()]
+    parts = max(scan.sparkSession.sparkContext.defaultParallelism, -(-sum(f.getFileSystem(hadoop).getFileStatus(f).getLen() for f in files) // size))
+    return scan.repartition(parts) if scan.rdd.getNumPartitions() < parts else scan
 
 
 def term_stats_of(postings: DataFrame) -> DataFrame:
@@ -85,6 +91,18 @@ class SearchIndex:
         docs, postings = self.docs.persist(level), self.postings.persist(level)
         return SearchIndex(self.schema, docs, postings, term_stats_of(postings).persist(level), field_stats_of(postings, docs).persist(level))
 
+    def laid(self, path: str | None = None, docs: bool = True) -> SearchIndex:
+        """The index with its tables stored as they come under ``path`` (by default in the shared folder): a query reads the columns it needs,
+        and memory holds the statistics alone. ``docs`` False: documents are read from where they are.
+        """
+        spark, path = self.docs.sparkSession, path or shared_path(self.docs.sparkSession, "laid")
+        if docs:
+            self.docs.write.parquet(f"{path}/docs")
+        self.postings.write.parquet(f"{path}/postings")
+        held = spark.read.schema(self.docs.schema).parquet(f"{path}/docs") if docs else self.docs
+        postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+        return SearchIndex(self.schema, held, postings, term_stats_of(postings).persist(StorageLevel.MEMORY_AND_DISK), field_stats_of(postings, held).persist(StorageLevel.MEMORY_AND_DISK))
+
     def unpersist(self) -> None:
         for t in (self.docs, self.postings, self.term_stats, self.field_stats):
             t.unpersist()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import phonetics
 from quarry.operators import expand, vectors
-from quarry.operators.index import SearchIndex, clear, keep_last, merge_small, numbered, with_parents
+from quarry.operators.index import SearchIndex, clear, keep_last, merge_small, numbered, spread, with_parents
 from quarry.operators.search import Searcher
 from quarry.plans import query as Q
 from quarry.plans.schema import ID, TEXT, Schema
@@ -104,6 +104,20 @@ def test_search_many_in_blocks(spark):
     assert 500 not in got
 
 
+def test_copies_tie_and_infinite_vectors_take_no_part(spark):
+    df = spark.createDataFrame([(i, [3.0, 4.0 + i // 20]) for i in range(40, 0, -1)] + [(90, [float("inf"), 1.0]), (91, [float("-inf"), 1.0])], "doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [6.0, 8.0])], "query_id long, embedding array<double>")
+    assert [r["doc_id"] for r in vectors.search_many(df, asked, 50, block=7).orderBy("rank").collect()] == list(range(1, 41))
+    assert [r["doc_id"] for r in vectors.search_many(df, asked, 3, block=64).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_a_table_is_dealt_in_parts_of_bounded_size(spark, tmp_path):
+    spark.range(50000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    scan, size = spark.read.parquet(f"{tmp_path}/t"), sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    assert spread(scan, size // 20).rdd.getNumPartitions() >= 20 and spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(scan, size // 20).count() == 50000
+
+
 def test_a_failing_model_is_an_error_unless_told(spark):
     def model():
         def run(texts):

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters, digits, underscore and asterisk, joined by single dots; the same in Java, RE2 and Python.
@@ -509,6 +511,42 @@ def ngram(low: int, high: int | None = None) -> Analyzer:
     return ngram_tokenizer(low, high) | lowercase()
 
 
+def gram_counts(texts: DataFrame, column: str, low: int, high: int | None = None) -> DataFrame:
+    """gram and n: how often each term of ``ngram(low, high)`` stands in all texts; a stretch of texts is counted before anything moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for text in [*batch.column(0).to_pylist(), None]:
+                if text:
+                    held.append(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+                    size += len(held[-1])
+                if held and (text is None or size > 1 << 20):
+                    yield from counted(held)
+                    held, size = [], 0
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        chars, row = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+        alphabet, first = np.unique(chars, return_inverse=True)
+        codes = first = first.astype(np.int64)
+        for k in range(1, (high or low) + 1):
+            if k > 1:
+                # codes of k characters from those of k - 1, kept small
+                codes = codes[: len(first) - k + 1] * len(alphabet) + first[k - 1 :]
+            if not len(codes):
+                return
+            inside = np.flatnonzero(row[: len(codes)] == row[k - 1 :])
+            names, at, codes = np.unique(codes, return_index=True, return_inverse=True)
+            n = np.bincount(codes[inside], minlength=len(names))
+            if k >= low:
+                live = np.flatnonzero(n)
+                grams = ["".join(map(chr, chars[i : i + k])) for i in at[live].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n[live], pa.int64())], names=["gram", "n"])
+
+    found = texts.select(F.col(column)).mapInArrow(run, "gram string, n long")
+    return found.groupBy(F.lower("gram").alias("gram")).agg(F.sum("n").alias("n"))
+
+
 def ngram_words(low: int, high: int | None = None, at: str | None = None) -> Analyzer:
     return simple() | ngram_filter(low, high, at)
 

@@ -117,7 +117,7 @@ def tokenize_standard(spark, sf_dir):
 
 @query("WITH c AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS c, generate_subscripts(string_split(lower(text), ''), 1) AS i FROM documents), g AS (SELECT c || lead(c) OVER w AS two, c || lead(c) OVER w || lead(c, 2) OVER w AS three FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT gram, count(*) AS n FROM (SELECT two AS gram FROM g UNION ALL SELECT three FROM g) WHERE gram IS NOT NULL GROUP BY gram")
 def tokenize_ngram(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents")).select(F.explode(analysis.ngram(2, 3).terms(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return analysis.gram_counts(spread(table(spark, sf_dir, "documents")), "text", 2, 3)
 
 
 @query("SELECT path, count(*) AS n FROM (SELECT '/' || array_to_string(p[1:i], '/') AS path FROM (SELECT regexp_extract_all(url, '[^/]+') AS p FROM pages), range(1, 20) r(i) WHERE i <= len(p)) GROUP BY path")

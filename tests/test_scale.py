@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions import phonetics
+from quarry.functions import analysis, phonetics
 from quarry.operators import expand, vectors
 from quarry.operators.index import SearchIndex, clear, keep_last, merge_small, numbered, spread, with_parents
 from quarry.operators.search import Searcher
@@ -111,6 +111,14 @@ def test_copies_tie_and_infinite_vectors_take_no_part(spark):
     assert [r["doc_id"] for r in vectors.search_many(df, asked, 3, block=64).orderBy("rank").collect()] == [1, 2, 3]
 
 
+def test_gram_counts_equal_the_terms_counted(spark):
+    texts = ["", "a", "ab", "Abc aBC", None, "x\ny\U0001f600\U0001f600z", "\u0130i", "ab" * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    for low, high in ((2, 3), (1, 5), (3, 3)):
+        want = {r["gram"]: r["count"] for r in df.select(F.explode(analysis.ngram(low, high).terms(F.col("t"))).alias("gram")).groupBy("gram").count().collect()}
+        assert {r["gram"]: r["n"] for r in analysis.gram_counts(df, "t", low, high).collect()} == want
+
+
 def test_a_table_is_dealt_in_parts_of_bounded_size(spark, tmp_path):
     spark.range(50000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t")).coalesce(1).write.parquet(f"{tmp_path}/t")
     scan, size = spark.read.parquet(f"{tmp_path}/t"), sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))

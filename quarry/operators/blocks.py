@@ -18,14 +18,18 @@ from __future__ import annotations
 import functools
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scoring
-from quarry.operators.index import SearchIndex, numbered, term_stats_of
+from quarry.operators.index import POSTED, SearchIndex, numbered
 from quarry.plans import query as Q
 from quarry.plans.compiler import execute, term_condition
 from quarry.plans.schema import Schema, ensure_schema
@@ -35,6 +39,8 @@ from quarry.streaming.middleware import TimeLimit, within
 SIZE, ZONES, FIRST, GROWTH = 128, 64, 64, 8
 #: Buckets that are named in a condition; beyond, they are joined.
 NAMED = 1000
+#: Documents whose places are sent to all tasks that place postings; those of more are joined by a shuffle.
+BROADCAST = 4_000_000
 #: Bounds and scores are sums in different orders: a bucket whose bound is less by no more than this share is read.
 SLACK = 1e-9
 #: Columns of a posting; a block has an array of each, so that a scan reads those that a query needs.
@@ -85,6 +91,37 @@ def _posts(blocks: DataFrame, *columns: str) -> DataFrame:
     return blocks.select("field", "term", F.inline(F.arrays_zip(*columns)))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a part's postings, by zone, field, term and bucket; terms are sorted once each, postings by their places."""
+    table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+    if table is None:
+        return
+
+    def code(name: str) -> np.ndarray:
+        column = table.column(name).combine_chunks()
+        if not pa.types.is_string(column.type):
+            return column.to_numpy()
+        coded = column.dictionary_encode()
+        place = np.empty(len(coded.dictionary), np.int64)
+        place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+        return place[coded.indices.to_numpy()]
+
+    keys = {name: code(name) for name in ("zone", "field", "term", "bucket", "doc_id")}
+    order = np.lexsort(list(keys.values())[::-1])
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for name in ("zone", "field", "term", "bucket"):
+        held = keys[name][order]
+        new[1:] |= held[1:] != held[:-1]
+    edges = np.r_[np.flatnonzero(new), len(order)]
+    kinds = [c.split()[0] for c in BLOCKS.split(", ")]
+    for at in range(0, len(edges) - 1, 8192):
+        some = edges[at : at + 8193]
+        rows, first = table.take(pa.array(order[some[0] : some[-1]])), pa.array(some[:-1] - some[0])
+        lists = {c: pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), rows.column(c).combine_chunks()) for c in POST}
+        yield pa.RecordBatch.from_arrays([lists[c] if c in lists else rows.column(c).combine_chunks().take(first) for c in kinds], names=kinds)
+
+
 def _sum(columns: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a + b, columns)
 
@@ -112,29 +149,36 @@ class BlockIndex:
     def write(cls, index: SearchIndex, path: str, size: int = SIZE, zones: int = ZONES, order: tuple[str, ...] = ()) -> BlockIndex:
         """Stores ``index`` in blocks; ``order`` names columns of its documents that put like ones together (a language, a day, a cluster)."""
         spark, base = index.docs.sparkSession, f"{path}/data-{uuid.uuid4().hex[:8]}"
-        lengths = index.postings.groupBy("doc_id").agg(F.max("dl").alias("__dl"))
-        if order:
-            lengths = lengths.join(index.docs.select("doc_id", *order), "doc_id")
+        lengths = index.postings.groupBy("doc_id").agg(F.max("dl").alias("__dl"), F.count(F.lit(1)).alias("__c"))
+        lengths = index.docs.select("doc_id", *order).join(lengths, "doc_id", "left")
         named = {name: f"__o{k}" for k, name in enumerate(order)}
-        slots = numbered(lengths.select(F.col("doc_id").alias("__id"), "__dl", *(F.col(n).alias(to) for n, to in named.items())), *named.values(), "__dl", "__id")
-        bucket = F.floor(F.col("doc_id") / size).cast("long")
-        slots.select(F.col("__id").alias("doc_id"), bucket.alias("bucket")).write.parquet(f"{base}/slots")
+        length = F.greatest(F.coalesce("__dl", F.lit(1)), F.lit(1)).alias("__dl")
+        slots = numbered(lengths.select(F.col("doc_id").alias("__id"), length, F.coalesce("__c", F.lit(0)).alias("__c"), *(F.col(n).alias(to) for n, to in named.items())), *named.values(), "__dl", "__id")
+        slots = slots.select(F.col("__id").alias("doc_id"), F.floor(F.col("doc_id") / size).cast("long").alias("bucket"), "__c")
+        # a part is a stretch of buckets with about POSTED postings, so that none grows with the index
+        held = slots.groupBy("bucket").agg(F.sum("__c").alias("__c"))
+        total, last = held.agg(F.sum("__c"), F.max("bucket")).first()
+        parts = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // POSTED))
+        before = F.coalesce(F.sum("__c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each bucket
+        held = held.select("bucket", F.least(F.floor(before * parts / F.lit(max(total or 0, 1))), F.lit(parts - 1)).cast("int").alias("part"))
+        slots.join(F.broadcast(held), "bucket").select("doc_id", "bucket", "part").write.parquet(f"{base}/slots")
         slots = spark.read.parquet(f"{base}/slots")
-        last = slots.agg(F.max("bucket")).first()[0]
         zone = F.floor(F.col("bucket") * zones / F.lit((last or 0) + 1)).cast("int")
-        rows = index.postings.join(slots, "doc_id")
-        posts = F.array_sort(F.collect_list(F.struct(*POST)))  # as many as a bucket's documents
-        blocks = rows.groupBy("field", "term", "bucket").agg(posts.alias("posts")).select("field", "term", "bucket", *(F.col(f"posts.{c}").alias(c) for c in POST))
-        placed = blocks.withColumn("zone", zone).repartitionByRange("zone", "field", "term", "bucket").sortWithinPartitions("zone", "field", "term", "bucket")
-        placed.write.partitionBy("zone").parquet(f"{base}/blocks")
+        few = slots.count() <= BROADCAST
+        rows = index.postings.join(F.broadcast(slots) if few else slots, "doc_id").select(zone.alias("zone"), "field", "term", "bucket", "part", *POST)
+        # a bucket lies in one part, so blocks are whole there
+        rows = rows.repartitionById(parts, "part").drop("part")
+        rows.mapInArrow(_gathered, BLOCKS).sortWithinPartitions("zone", "field", "term", "bucket").write.partitionBy("zone").parquet(f"{base}/blocks")
         blocks = spark.read.schema(BLOCKS).parquet(f"{base}/blocks")
-        posts = _posts(blocks, "tf", "weight", "dl")
-        term_stats_of(posts).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{base}/term_stats")
-        totals = posts.groupBy("field").agg(F.sum("tf").alias("total"), F.min("dl").alias("min_length"), F.max("dl").alias("max_length"))
+        sums = lambda c, kind: F.aggregate(c, F.lit(0).cast(kind), lambda a, x: a + x)
+        facts = blocks.select("field", "term", F.size("tf").alias("n"), sums("weight", "double").alias("cf"), sums("tf", "long").alias("total"), F.array_max("weight").alias("w"), F.array_min("dl").alias("least"), F.array_max("dl").alias("most"))
+        stats = facts.groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("w").alias("max_weight"), F.min("least").alias("min_length"), F.max("most").alias("max_length"))
+        stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{base}/term_stats")
+        totals = facts.groupBy("field").agg(F.sum("total").alias("total"), F.min("least").alias("min_length"), F.max("most").alias("max_length"))
         index.docs.write.parquet(f"{base}/docs")
         n = spark.read.parquet(f"{base}/docs").agg(F.count(F.lit(1)).alias("n"))
         totals.join(F.broadcast(n), F.lit(True)).coalesce(1).write.parquet(f"{base}/field_stats")
-        cls._heads(blocks, spark.read.parquet(f"{base}/field_stats")).repartitionByRange("field", "term", "bucket").sortWithinPartitions("field", "term", "bucket").write.parquet(f"{base}/heads")
+        cls._heads(blocks, spark.read.parquet(f"{base}/field_stats")).repartitionByRange(parts, "field", "term", "bucket").sortWithinPartitions("field", "term", "bucket").write.parquet(f"{base}/heads")
         spark.createDataFrame([(base,)], "base string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
         return cls(spark, path, index.schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.index import SearchIndex, keep_last, term_stats_of
+from quarry.operators.index import POSTED, SearchIndex, keep_last, shared_path, term_stats_of
 from quarry.operators.postings import POSTINGS, postings_of
 from quarry.plans.schema import Schema, ensure_schema
 
@@ -165,8 +165,12 @@ class StreamedIndex:
         docs.write.parquet(at("docs"))
         docs = self.spark.read.schema(docs.schema).parquet(at("docs"))
         if postings is None:
-            postings = postings_of(docs, self.schema.resolve(docs.columns))
-        postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.parquet(at("postings"))
+            raw = shared_path(self.spark, "raw")  # analysed once: ranges come from a sample, which is another pass
+            postings_of(docs, self.schema.resolve(docs.columns)).write.parquet(raw)
+            postings = self.spark.read.schema(POSTINGS).parquet(raw)
+        # with the document in the range, a frequent term is no part of its own, and parts grow in number with the segment
+        parts = max(1, -(-postings.count() // POSTED))
+        postings.repartitionByRange(parts, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.parquet(at("postings"))
         postings = self.spark.read.schema(POSTINGS).parquet(at("postings"))
         term_stats_of(postings).write.parquet(at("term_stats"))
         totals = postings.groupBy("field").agg(F.sum("tf").alias("total"), F.min("dl").alias("min_length"), F.max("dl").alias("max_length"))

@@ -1,18 +1,23 @@
-"""Approximate vector search over a navigable graph of neighbour lists.
+"""Approximate vector search over navigable graphs of neighbour lists.
 
-Building. A bounded sample of the vectors are landmarks. Each vector is put in the cells of its nearest landmarks (cells of more than CELL
-vectors are split by a hash), and the best neighbours inside its cells are its first list. Then lists improve in rounds of a neighbour join: at each
-pivot its neighbours, and its best followers (vectors that list it), meet in one small matrix product, and a pair that is better than the
-worst of either's list is offered to it. A pivot has at most 1 + near + followers members, so no group grows with the data, and a hub's
-followers are ranked with a limit before they move. Links are the lists and the best followers.
+Building. Vectors are dealt by a hash of their id into parts of about PART. A part is one graph: its distinct vectors are nodes, a node's links are
+its ``near`` nearest nodes of the part (exact, by blocks of a matrix product) and its best followers (nodes that list it). Copies of a vector are
+one node: a copy is linked with the node and stands for it in answers, so a large group of copies neither fills the lists around it nor shuts a search in.
 
-Searching. All queries go together. A query starts at its nearest landmarks; in each step the neighbours of what is new in its beam
-are scored and the beam keeps the best. It ends when no beam changes, or after ``steps``. A step is two joins on ids and one product per pair of rows.
+Searching. Every query meets every part, in cells of a part and a slice of the queries. In a cell a query starts at its nearest landmarks (a sample of the
+part's nodes); in each step the neighbours of what is new in its beam are scored and the beam keeps the best. It ends when no beam changes,
+or after ``steps``. Only vectors of parts and queries and the best answers of a cell move between tasks, a vector once for each cell, never once for each pair
+or step. Work is queries by parts; a part's share of the answers is found as well in a large table as in a small one.
 
-Every vector is indexed: it is a node with links, whatever the sample. Answers are approximate; ``recall`` measures them against exact ones. Cosine similarity.
+Every vector is indexed: it is a row of a part with links, whatever the sample. Answers are approximate; ``recall`` measures them against exact ones. Cosine similarity.
 
-Vectors that are null, zero or hold null or non-finite numbers take no part; a vector of another length than the first landmark's is an error.
+Vectors that are null, zero or hold null or non-finite numbers take no part; vectors of different lengths are an error.
 Of rows with one id the smallest vector is indexed.
+
+``VectorGraph.lists`` gives neighbour lists over a whole table, not parts: first lists come from the cells of the nearest landmarks (cells of more than CELL
+vectors are split by a hash), then improve in rounds of a neighbour join: at each pivot its neighbours, and its best followers, meet in one small matrix product, and
+a pair that is better than the worst of either's list is offered to it. A pivot has at most 1 + near + followers members, so no group grows with the data, and a hub's
+followers are ranked with a limit before they move. Vectors move once for each pivot and round there.
 """
 
 from __future__ import annotations
@@ -22,13 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.index import shared_path
 
-#: Landmarks at most (they are held by every task), cells of a vector, and vectors of a cell's part.
+#: Landmarks at most (of a part, or of a table where they are held by every task), cells of a vector, and vectors of a cell's part.
 LANDMARKS, CELLS, CELL = 4096, 2, 1024
+#: Vectors of a part's graph, queries of a slice, queries that go together in a task, and rows of a block of the product.
+PART, SLICE, TOGETHER, BLOCK = 32_768, 16_384, 64, 128
 _PAIR = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("score", pa.float32())])
 
 
@@ -39,6 +47,9 @@ def _written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    sizes = pc.min_max(pc.list_value_length(column)).as_py()
+    if sizes["min"] != sizes["max"]:
+        raise ValueError("vectors of different lengths")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
@@ -122,41 +133,171 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield offers(left)
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The place of each row among those of its key; keys are sorted."""
+    return np.arange(len(keys)) - np.searchsorted(keys, keys)
+
+
+def _nearest_nodes(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, near, score: the k best others of each row of ``v``, best first.
+
+    The maxima of groups of columns give a score that k of a row reach, so few of its scores are sorted.
+    """
+    n, out = len(v), []
+    groups = max(2 * k, 256)
+    width = n // groups
+    for at in range(0, n, BLOCK):
+        scores = v[at : at + BLOCK] @ v.T
+        own = np.arange(len(scores))
+        scores[own, at + own] = -np.inf
+        least = np.full(len(scores), -2.0, np.float32)
+        if width > 1:
+            least = np.partition(scores[:, : groups * width].reshape(len(scores), groups, width).max(2), groups - k, axis=1)[:, groups - k]
+        i, j = np.nonzero(scores >= least[:, None])
+        x = scores[i, j]
+        order = np.lexsort(((j - i - at) % n, -x, i))
+        i, j, x = i[order], j[order], x[order]
+        kept = _ranks(i) < k
+        out.append((i[kept] + at, j[kept], x[kept]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+_LINKED = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.float32())), ("same", pa.int64()), ("near", pa.list_(pa.int64()))])
+
+
+def _linked(table: pa.Table, near: int, followers: int) -> pa.Table:
+    """The rows of a part with ``same``, the smallest id of equal vectors (the node), and their links."""
+    table = table.combine_chunks().sort_by("id")
+    ids, v = table.column("id").to_numpy(), _matrix(table.column("v").chunk(0))
+    _, nodes, of = np.unique(np.ascontiguousarray(v + 0.0).view(f"V{v.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)  # first rows of equal ones; -0.0 is 0.0
+    n, k = len(nodes), min(near, len(nodes) - 1)
+    a = b = np.zeros(0, np.int64)
+    if k > 0:
+        i, j, x = _nearest_nodes(v[nodes], k)
+        order = np.lexsort((i, -x, j))
+        listed, by = j[order], i[order]
+        kept = _ranks(listed) < followers
+        a, b = np.divmod(np.unique(np.r_[i * n + j, listed[kept] * n + by[kept]]), n)
+    # a copy has its node as its link; a node that has nothing else has its first copy
+    copies = np.flatnonzero(nodes[of] != np.arange(len(ids)))
+    alone = copies[np.unique(of[copies], return_index=True)[1]] if n == 1 else copies[:0]
+    row, to = np.r_[nodes[a], copies, nodes[of[alone]]], np.r_[nodes[b], nodes[of[copies]], alone]
+    order = np.lexsort((to, row))
+    offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(ids)))]
+    links = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[to[order]], pa.int64()))
+    return pa.Table.from_arrays([table.column("part").chunk(0), table.column("id").chunk(0), table.column("v").chunk(0), pa.array(ids[nodes[of]]), links], schema=_LINKED)
+
+
+def _beam(v: np.ndarray, offsets: np.ndarray, links: np.ndarray, marks: np.ndarray, q: np.ndarray, beam: int, starts: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and their scores that the beams of some queries end with, a row each; -inf where there are fewer."""
+    n, rows, count = len(v), np.arange(len(q))[:, None], min(starts, len(marks))
+    scores = q @ v[marks].T
+    first = np.argpartition(-scores, count - 1, axis=1)[:, :count]
+    ids, scores = marks[first], np.take_along_axis(scores, first, 1)
+    fresh = np.ones(ids.shape, bool)
+    seen, stamp = np.zeros(len(q) * n, bool), np.empty(len(q) * n, np.int32)
+    seen[(rows * n + ids).ravel()] = True
+    for _ in range(steps):
+        asker, at = np.nonzero(fresh)
+        if not len(asker):
+            break
+        node = ids[asker, at]
+        sizes = offsets[node + 1] - offsets[node]
+        place = np.arange(sizes.sum()) + np.repeat(offsets[node] - (np.cumsum(sizes) - sizes), sizes)
+        asker, new = np.repeat(asker, sizes), links[place]
+        key = asker * n + new
+        unseen = np.flatnonzero(~seen[key])
+        stamp[key[unseen]] = unseen
+        unseen = unseen[stamp[key[unseen]] == unseen]  # each node once for each query
+        asker, new = asker[unseen], new[unseen]
+        seen[key[unseen]] = True
+        edges = np.searchsorted(asker, np.arange(len(q) + 1)).tolist()
+        got = np.concatenate([v[new[a:b]] @ one for a, b, one in zip(edges[:-1], edges[1:], q)])
+        worst = scores.min(1) if scores.shape[1] >= beam else np.full(len(q), -np.inf)
+        better = got > worst[asker]
+        asker, new, got = asker[better], new[better], got[better]
+        more = int(np.bincount(asker, minlength=1).max())
+        held = scores.shape[1]
+        wide = lambda old, none: np.concatenate([old, np.full((len(q), more), none, old.dtype)], 1)
+        ids, scores, fresh, column = wide(ids, 0), wide(scores, -np.inf), wide(np.zeros_like(fresh), False), held + _ranks(asker)
+        ids[asker, column], scores[asker, column], fresh[asker, column] = new, got, True
+        if scores.shape[1] > beam:
+            kept = np.argpartition(-scores, beam - 1, axis=1)[:, :beam]
+            ids, scores, fresh = (np.take_along_axis(x, kept, 1) for x in (ids, scores, fresh))
+    return ids, scores
+
+
+_FOUND = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float32())])
+
+
+def _found(part: pa.Table, asked: pa.Table, landmarks: int | None, k: int, beam: int, starts: int, steps: int) -> pa.Table:
+    """The k best rows of a part that each of the queries of a slice finds."""
+    if not part.num_rows or not asked.num_rows:
+        return _FOUND.empty_table()
+    part = part.combine_chunks().sort_by([("same", "ascending"), ("id", "ascending")])
+    ids, same, near = part.column("id").to_numpy(), part.column("same").to_numpy(), part.column("near").combine_chunks()
+    heads = np.flatnonzero(ids == same)  # a node's rows follow each other, itself first
+    nodes, copies = ids[heads], np.diff(np.r_[heads, len(ids)])
+    v = _matrix(part.column("v").combine_chunks().take(pa.array(heads)))
+    near = near.take(pa.array(heads))
+    flat, owner = near.flatten().to_numpy(), np.repeat(np.arange(len(heads)), pc.list_value_length(near).to_numpy())
+    to = np.minimum(np.searchsorted(nodes, flat), len(nodes) - 1)
+    owner, to = owner[nodes[to] == flat], to[nodes[to] == flat]
+    offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(nodes)))]
+    count = min(LANDMARKS, len(nodes), max(landmarks or math.ceil(4 * math.sqrt(len(nodes))), 1))
+    marks = np.sort(np.random.default_rng(len(nodes)).permutation(len(nodes))[:count])
+    names, q = asked.column("query").to_numpy(), _matrix(asked.column("v").combine_chunks())
+    out = []
+    for at in range(0, len(q), TOGETHER):
+        got, scores = _beam(v, offsets, to, marks, q[at : at + TOGETHER], max(beam, k), starts, steps)
+        some = min(k, got.shape[1])
+        best = np.argpartition(-scores, some - 1, axis=1)[:, :some]
+        asker = np.repeat(np.arange(len(got)), some)
+        node, score = np.take_along_axis(got, best, 1).ravel(), np.take_along_axis(scores, best, 1).ravel()
+        asker, node, score = (x[score > -np.inf] for x in (asker, node, score))
+        times = np.minimum(copies[node], k)
+        row = np.repeat(heads[node] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        asker, score = np.repeat(asker, times), np.repeat(score, times)
+        order = np.lexsort((ids[row], -score, asker))
+        order = order[_ranks(asker[order]) < k]
+        out.append(pa.Table.from_arrays([pa.array(names[at + asker[order]]), pa.array(ids[row[order]]), pa.array(score[order], pa.float32())], schema=_FOUND))
+    return pa.concat_tables(out)
+
+
 class VectorGraph:
-    """``nodes`` (id, v of length 1), ``links`` (id, near), and the landmarks."""
+    """``nodes`` (id, v of length 1), ``links`` (id, near), both of ``rows``: a table of parts with v, same and near. ``landmarks`` are of a part."""
 
-    def __init__(self, nodes: DataFrame, links: DataFrame, marks: list[int], points: np.ndarray):
-        self.nodes, self.links, self.marks, self.points = nodes, links, marks, points
+    def __init__(self, rows: DataFrame, landmarks: int | None = None):
+        self.rows, self.landmarks = rows, landmarks
+        self.nodes, self.links = rows.select("id", "v"), rows.select("id", "near")
 
     @classmethod
-    def build(cls, vectors: DataFrame, id_column: str = "doc_id", column: str = "embedding", near: int = 24, followers: int = 24, rounds: int = 4, landmarks: int | None = None, path: str | None = None) -> VectorGraph:
-        """The graph of all vectors; its tables are under ``path``, or in the shared folder."""
+    def build(cls, vectors: DataFrame, id_column: str = "doc_id", column: str = "embedding", near: int = 24, followers: int = 24, landmarks: int | None = None, path: str | None = None, part: int = PART) -> VectorGraph:
+        """The graph of all vectors; its table is under ``path``, or in the shared folder."""
         spark = vectors.sparkSession
         base = path or shared_path(spark, "graph")
-        units(vectors, id_column, column).groupBy("id").agg(F.min("v").alias("v")).write.parquet(f"{base}/nodes")
-        nodes = spark.read.parquet(f"{base}/nodes")
-        n = nodes.count()
-        count = min(LANDMARKS, landmarks or math.ceil(4 * math.sqrt(n)))
-        nodes.orderBy(F.xxhash64("id"), "id").limit(max(count, 1)).write.parquet(f"{base}/landmarks")
-        marks, points = cls._landmarks(spark, base)
-        lists = _written(_best(cls._first(nodes, points, near), near), "lists") if n else spark.createDataFrame([], "id long, near array<struct<id: long, score: float>>")
-        for _ in range(rounds if n else 0):
-            lists = _written(cls._improved(nodes, lists, near, followers), "lists")
-        forward = F.transform("near", lambda x: x["id"])
-        back = cls._followers(lists, followers).groupBy("pivot").agg(F.collect_list("id").alias("back")).withColumnRenamed("pivot", "id")
-        ids = nodes.select("id").join(lists.select("id", forward.alias("near")), "id", "left").join(back, "id", "left")
-        none = F.array().cast("array<long>")
-        ids.select("id", F.array_union(F.coalesce("near", none), F.coalesce("back", none)).alias("near")).write.parquet(f"{base}/links")
-        return cls(nodes, spark.read.parquet(f"{base}/links"), marks, points)
+        nodes = _written(units(vectors, id_column, column).groupBy("id").agg(F.min("v").alias("v")), "nodes")
+        parts = max(1, -(-nodes.count() // part))
+        dealt = nodes.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "v").repartition(4 * parts, "part")
+        dealt.groupBy("part").applyInArrow(lambda t: _linked(t, near, followers), "part int, id long, v array<float>, same long, near array<long>").write.parquet(f"{base}/rows")
+        return cls.open(spark, base, landmarks)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> VectorGraph:
-        return cls(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/links"), *cls._landmarks(spark, path))
+    def open(cls, spark: SparkSession, path: str, landmarks: int | None = None) -> VectorGraph:
+        return cls(spark.read.schema("part int, id long, v array<float>, same long, near array<long>").parquet(f"{path}/rows"), landmarks)
 
-    @staticmethod
-    def _landmarks(spark: SparkSession, base: str) -> tuple[list[int], np.ndarray]:
-        rows = spark.read.parquet(f"{base}/landmarks").orderBy("id").collect()  # at most LANDMARKS
-        return [r["id"] for r in rows], np.array([r["v"] for r in rows], np.float32)
+    @classmethod
+    def lists(cls, nodes: DataFrame, near: int = 24, followers: int = 24, rounds: int = 4, landmarks: int | None = None) -> DataFrame:
+        """id and near (id, score), best first: about the nearest of all ``nodes`` (id, v of length 1)."""
+        n = nodes.count()
+        if not n:
+            return nodes.sparkSession.createDataFrame([], "id long, near array<struct<id: long, score: float>>")
+        count = min(LANDMARKS, landmarks or math.ceil(4 * math.sqrt(n)))
+        marks = nodes.orderBy(F.xxhash64("id"), "id").limit(max(count, 1)).collect()  # at most LANDMARKS
+        lists = _written(_best(cls._first(nodes, np.array([r["v"] for r in marks], np.float32), near), near), "lists")
+        for _ in range(rounds):
+            lists = _written(cls._improved(nodes, lists, near, followers), "lists")
+        return lists
 
     @staticmethod
     def _first(nodes: DataFrame, points: np.ndarray, near: int) -> DataFrame:
@@ -186,33 +327,18 @@ class VectorGraph:
         return _best(kept.unionByName(offers), near)
 
     def search(self, queries: DataFrame, k: int = 10, query_id: str = "query_id", column: str = "embedding", beam: int = 256, starts: int = 32, steps: int = 12) -> DataFrame:
-        """query id, rank, id, score: about the k most similar vectors of every query."""
+        """query id, rank, id, score: about the k most similar vectors of every query. ``beam``, ``starts`` and ``steps`` are of a part."""
         asked = _written(units(queries, query_id, column, "query").groupBy("query").agg(F.min("v").alias("v")), "asked")
-        none = f"{query_id} long, rank int, id long, score double"
-        if not self.marks:
-            return asked.sparkSession.createDataFrame([], none)
-        numbered = asked.sparkSession.createDataFrame(list(enumerate(self.marks)), "cell int, node long")
-        state = asked.mapInArrow(_nearest(self.points, starts), "query long, v array<float>, cell int, score float").join(F.broadcast(numbered), "cell")  # at most LANDMARKS rows
-        state = _written(state.select("query", "node", "score", F.lit(True).alias("fresh")), "beam")
-        for _ in range(steps):
-            reached = state.where("fresh").join(self.links.withColumnRenamed("id", "node"), "node").select("query", F.explode("near").alias("node")).distinct()
-            new = reached.join(state.select("query", "node"), ["query", "node"], "left_anti")
-            pairs = new.join(self.nodes.select(F.col("id").alias("node"), F.col("v").alias("w")), "node").join(asked, "query").select("query", "node", "v", "w")
-            scored = pairs.mapInArrow(_scored, "query long, node long, score float")
-            seen = state.select("query", "node", "score", F.lit(False).alias("fresh")).unionByName(scored.select("query", "node", "score", F.lit(True).alias("fresh")))
-            order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-            state = _written(seen.withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam).drop("r"), "beam")
-            if state.where("fresh").isEmpty():
-                break
-        order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-        ranked = state.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        return ranked.select(F.col("query").alias(query_id), "rank", F.col("node").alias("id"), F.col("score").cast("double").alias("score"))
-
-
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        scores = np.einsum("ij,ij->i", _matrix(batch.column("v")), _matrix(batch.column("w"))) if batch.num_rows else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(scores, pa.float32())], names=["query", "node", "score"])
+        parts = (self.rows.agg(F.max("part")).first()[0] or 0) + 1
+        slices = max(-(-2 * asked.sparkSession.sparkContext.defaultParallelism // parts), -(-asked.count() // SLICE))
+        cells, landmarks = 4 * parts * slices, self.landmarks
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = self.rows.withColumn("slice", upto(slices)).repartition(cells, "part", "slice")
+        right = asked.withColumn("slice", F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int")).withColumn("part", upto(parts)).repartition(cells, "part", "slice")
+        met = left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInArrow(lambda a, b: _found(a, b, landmarks, k, beam, starts, steps), "query long, id long, score float")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select(F.col("query").alias(query_id), "rank", "id", F.col("score").cast("double").alias("score"))
 
 
 def recall(found: DataFrame, exact: DataFrame, query_id: str = "query_id", score: str = "score", slack: float = 1e-5) -> DataFrame:

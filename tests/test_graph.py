@@ -61,3 +61,41 @@ def test_small_and_empty(spark):
     assert [(r["query_id"], r["id"]) for r in one.search(asked).collect()] == [(1, 4)]
     empty = VectorGraph.build(frame(spark, []))
     assert empty.search(asked).collect() == [] and empty.links.count() == 0
+
+
+def _records(spark) -> int:
+    """Rows that all stages so far wrote to shuffles."""
+    jsc = spark.sparkContext._jsc.sc()
+    stages = jsc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_parts_move_vectors_not_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(1500)] + [(2000 + i, [1.0] + [0.0] * 31) for i in range(500)]
+    df = frame(spark, rows)
+    asked = df.where("doc_id % 20 = 0 and doc_id < 1500").withColumnRenamed("doc_id", "query_id").persist()
+    before = _records(spark)
+    built = VectorGraph.build(df)
+    found = {(r["query_id"], r["rank"]): r["id"] for r in built.search(asked, 10).collect()}
+    # vectors by id and to their part, then once for each slice; queries and answers; the rest are counts
+    assert len(found) == 750 and _records(spark) - before < 2000 * 3 + 2000 * 8 + 75 * 20
+    exact = vectors.search_many(df, asked, 10, "doc_id")
+    assert recall(built.search(asked, 10), exact).first()["recall"] >= 0.95
+    # links lead from every node, and copies are in no list but their own
+    links = {r["id"]: r["near"] for r in built.links.collect()}
+    assert len(links) == 2000 and all(links.values()) and sum(len([x for x in near if x > 2000]) for near in links.values()) == 0
+    assert {x for i in range(2001, 2500) for x in links[i]} == {2000}
+    copies = built.search(frame(spark, [(1, [2.0] + [0.0] * 31)]).withColumnRenamed("doc_id", "query_id"), 10).collect()
+    assert sorted((r["rank"], r["id"]) for r in copies) == [(k + 1, 2000 + k) for k in range(10)]
+
+
+def test_many_small_parts(spark):
+    rng = np.random.default_rng(6)
+    df = frame(spark, [(i, [float(x) for x in rng.normal(size=16)]) for i in range(900)] + [(7000, [0.5] * 16), (7001, [0.5] * 16)])
+    asked = df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    built = VectorGraph.build(df, part=60)
+    assert built.rows.select("part").distinct().count() > 10
+    assert recall(built.search(asked, 10), vectors.search_many(df, asked, 10, "doc_id")).first()["recall"] >= 0.95
+    with pytest.raises(Exception, match="different lengths"):
+        VectorGraph.build(frame(spark, [(1, [1.0, 0.0]), (2, [1.0])])).links.collect()

@@ -16,7 +16,7 @@ from quarry.operators.estimate import estimate
 from quarry.operators.graph import VectorGraph, recall
 from quarry.operators.index import SearchIndex, keep_last, numbered, shared_path, spread, with_parents
 from quarry.operators.neighbours import TermNeighbours
-from quarry.operators.postings import postings_of
+from quarry.operators.postings import packed_of, postings_of
 from quarry.operators.search import Searcher
 from quarry.plans import query as Q
 from quarry.plans.parser import FEATURES, QueryParser, multifield
@@ -30,11 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _index(spark: SparkSession, sf_dir: str, name: str, make, docs: bool = True) -> SearchIndex:
+def _index(spark: SparkSession, sf_dir: str, name: str, make) -> SearchIndex:
     """An index built once per session: its tables are stored in the shared folder, statistics are held by the executors."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _held:
-        _held[key] = make().laid(docs=docs)
+        _held[key] = make()
     return _held[key]
 
 
@@ -42,27 +42,28 @@ DOCUMENTS = Schema(text=TEXT(stored=True), lang=ID(), source=ID())
 
 
 def documents(spark, sf_dir) -> SearchIndex:
-    return _index(spark, sf_dir, "documents", lambda: _over(table(spark, sf_dir, "documents"), DOCUMENTS), docs=False)
+    return _index(spark, sf_dir, "documents", lambda: _over(table(spark, sf_dir, "documents"), DOCUMENTS))
 
 
 def _over(docs: DataFrame, schema: Schema) -> SearchIndex:
-    """An index whose postings come from ``docs`` dealt in parts; the documents themselves stay as they lie."""
+    """An index whose postings come from ``docs`` dealt in parts and are stored packed; the documents themselves stay as they lie."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return SearchIndex(schema, docs, postings_of(spread(docs), schema.resolve(docs.columns)))
+    dealt, specs = spread(docs), schema.resolve(docs.columns)
+    return SearchIndex(schema, docs, postings_of(dealt, specs)).laid(docs=False, packed=packed_of(dealt, specs))
 
 
 ORDERS = Schema(o_orderstatus=ID(), o_orderpriority=KEYWORD(), o_totalprice=NUMERIC("float"), o_orderdate=DATETIME())
 
 
 def orders(spark, sf_dir) -> SearchIndex:
-    return _index(spark, sf_dir, "orders", lambda: SearchIndex.build(table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")), ORDERS, "o_orderkey"))
+    return _index(spark, sf_dir, "orders", lambda: SearchIndex.build(table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")), ORDERS, "o_orderkey").laid())
 
 
 PARTS = Schema(p_name=TEXT(), p_brand=ID(), p_type=TEXT(), p_size=NUMERIC(), p_retailprice=NUMERIC("float"))
 
 
 def parts(spark, sf_dir) -> SearchIndex:
-    return _index(spark, sf_dir, "parts", lambda: SearchIndex.build(table(spark, sf_dir, "part"), PARTS, "p_partkey"))
+    return _index(spark, sf_dir, "parts", lambda: SearchIndex.build(table(spark, sf_dir, "part"), PARTS, "p_partkey").laid())
 
 
 #: The same tokens in SQL: lower-cased words of two or more characters that are no stop words, positions without holes.
@@ -693,7 +694,7 @@ def blocks(spark, sf_dir) -> SearchIndex:
         body = item.withColumn("line", line).select((up + F.col("line")).alias("doc_id"), up.alias("parent_id"), F.lit("item").alias("kind"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("price"), F.col("l_quantity").alias("quantity"))
         return SearchIndex.build(head.unionByName(body), Schema(kind=ID(), status=ID(), price=NUMERIC("float"), quantity=NUMERIC("float")))
 
-    return _index(spark, sf_dir, "blocks", make)
+    return _index(spark, sf_dir, "blocks", lambda: make().laid())
 
 
 # Suggestion, expansion, vectors, languages
@@ -786,7 +787,7 @@ PLACED = Schema(text=TEXT(stored=True, characters=True))
 
 def placed_documents(spark, sf_dir) -> SearchIndex:
     """The documents' texts with the characters of every place."""
-    return _index(spark, sf_dir, "placed", lambda: _over(table(spark, sf_dir, "documents"), PLACED), docs=False)
+    return _index(spark, sf_dir, "placed", lambda: _over(table(spark, sf_dir, "documents"), PLACED))
 
 
 #: Words of documents with their first and last characters: gaps between words and words by turns.

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.postings import POSTINGS, postings_of
+from quarry.operators.postings import POSTINGS, STORED, postings_of, unpacked
 from quarry.plans import query as Q
 from quarry.plans.compiler import execute
 from quarry.plans.schema import Field, Schema, ensure_schema, to_boolean
@@ -40,7 +40,17 @@ def term_stats_of(postings: DataFrame) -> DataFrame:
 
 def field_stats_of(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """Length of each field over all documents, extremes, documents that have it, and n, all documents."""
-    totals = postings.groupBy("field").agg(F.sum("tf").alias("total"), F.min("dl").alias("min_length"), F.max("dl").alias("max_length"))
+    return _with_count(postings.groupBy("field").agg(F.sum("tf").alias("total"), F.min("dl").alias("min_length"), F.max("dl").alias("max_length")), docs)
+
+
+def _packed_stats(packed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same statistics of terms and fields from the counts of packed postings."""
+    lengths = [F.min("min_length").alias("min_length"), F.max("max_length").alias("max_length")]
+    terms = packed.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_weight").alias("max_weight"), *lengths)
+    return terms, _with_count(packed.groupBy("field").agg(F.sum("total").alias("total"), *lengths), docs)
+
+
+def _with_count(totals: DataFrame, docs: DataFrame) -> DataFrame:
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     # one row with one number on the right side
     return totals.join(F.broadcast(n), F.lit(True))
@@ -91,15 +101,22 @@ class SearchIndex:
         docs, postings = self.docs.persist(level), self.postings.persist(level)
         return SearchIndex(self.schema, docs, postings, term_stats_of(postings).persist(level), field_stats_of(postings, docs).persist(level))
 
-    def laid(self, path: str | None = None, docs: bool = True) -> SearchIndex:
+    def laid(self, path: str | None = None, docs: bool = True, packed: DataFrame | None = None) -> SearchIndex:
         """The index with its tables stored as they come under ``path`` (by default in the shared folder): a query reads the columns it needs,
-        and memory holds the statistics alone. ``docs`` False: documents are read from where they are.
+        and memory holds the statistics alone. ``docs`` False: documents are read from where they are. ``packed``: the same postings as
+        ``packed_of`` gives them, which are stored instead.
         """
         spark, path = self.docs.sparkSession, path or shared_path(self.docs.sparkSession, "laid")
         if docs:
             self.docs.write.parquet(f"{path}/docs")
-        self.postings.write.parquet(f"{path}/postings")
         held = spark.read.schema(self.docs.schema).parquet(f"{path}/docs") if docs else self.docs
+        if packed is not None:
+            packed.write.options(**STORED).parquet(f"{path}/postings")
+            rows = spark.read.schema(packed.schema).parquet(f"{path}/postings")
+            terms, fields = _packed_stats(rows, held)
+            # a term's counts are found faster in the stored ones than all terms' are held
+            return SearchIndex(self.schema, held, unpacked(rows), terms, fields.persist(StorageLevel.MEMORY_AND_DISK))
+        self.postings.write.parquet(f"{path}/postings")
         postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         return SearchIndex(self.schema, held, postings, term_stats_of(postings).persist(StorageLevel.MEMORY_AND_DISK), field_stats_of(postings, held).persist(StorageLevel.MEMORY_AND_DISK))
 

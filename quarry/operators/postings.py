@@ -3,6 +3,9 @@
 Analysis stays in Catalyst: a document's terms are one array. An Arrow function turns a batch of such arrays into postings by
 array operations (terms as codes, one sort by document and code, run lengths), so nothing is shuffled and a token never becomes a row of its own. Where a
 field asks for characters or boosts, each place has its first and last character in the text and its boost beside its position.
+
+For storing, the postings of a term in a stretch of documents are one row (``packed_of``), with their counts beside them: a row for each posting costs
+several times what its values do. ``unpacked`` gives the postings again, and conditions on field and term reach the packed rows.
 """
 
 from __future__ import annotations
@@ -23,12 +26,67 @@ _INTS, _FLOATS = pa.list_(pa.int32()), pa.list_(pa.float32())
 SCHEMA = pa.schema(
     [("field", pa.string()), ("term", pa.string()), ("doc_id", pa.int64()), ("tf", pa.int32()), ("weight", pa.float64()), ("dl", pa.int32()), ("positions", _INTS), ("starts", _INTS), ("ends", _INTS), ("boosts", _FLOATS)]
 )
-#: Documents whose terms are counted together.
-ROWS = 512
+#: Documents whose terms are counted together; for packed rows documents, and terms unless one document has more.
+ROWS, STRETCH, TERMS = 512, 8192, 1 << 21
+
+_COUNTS = "field string, term string, df long, cf double, total long, max_weight double, min_length int, max_length int"
+_COUNT_TYPES = [("field", pa.string()), ("term", pa.string()), ("df", pa.int64()), ("cf", pa.float64()), ("total", pa.int64()), ("max_weight", pa.float64()), ("min_length", pa.int32()), ("max_length", pa.int32())]
+#: How packed rows are stored: numbers as differences, no dictionaries (a stretch has each term and few equal ids).
+STORED = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 
 
 def counted(name: str, spec: Field, batch: pa.RecordBatch) -> pa.RecordBatch:
     """Postings of the documents of a batch: doc_id, terms, first, and text, kept and boost where they are there."""
+    return _counted(name, spec, batch, False)[0]
+
+
+def _each(specs: dict[str, tuple[Field, str]]) -> list[str]:
+    """What packed rows hold of each posting: characters and boosts only where a field has them."""
+    asked = lambda option: any(spec.indexed and spec.options.get(option) for spec, _ in specs.values())
+    return ["doc_id", "tf", "weight", "dl", "positions"] + ["starts", "ends"] * asked("characters") + ["boosts"] * asked("boosts")
+
+
+def packed_schema(specs: dict[str, tuple[Field, str]]) -> str:
+    kinds = dict(x.strip().split(" ") for x in POSTINGS.split(","))
+    return f"{_COUNTS}, held array<struct<{', '.join(f'{n}: {kinds[n]}' for n in _each(specs))}>>"
+
+
+def packed(name: str, spec: Field, batch: pa.RecordBatch, each: list[str]) -> pa.RecordBatch:
+    """The same postings, a row for each term; a weight that is the frequency is left out."""
+    flat, codes = _counted(name, spec, batch, True)
+    new = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    over = lambda fold, c: fold.reduceat(flat.column(c).to_numpy(), new) if len(new) else np.zeros(0)
+    sizes, total = np.diff(np.r_[new, len(codes)]), np.add.reduceat(flat.column("tf").to_numpy().astype(np.int64), new) if len(new) else np.zeros(0)
+    plain = bool((flat.column("weight").to_numpy() == flat.column("tf").to_numpy()).all())
+    values = [pa.nulls(len(codes), pa.float64()) if n == "weight" and plain else flat.column(n) for n in each]
+    held = pa.ListArray.from_arrays(pa.array(np.r_[new, len(codes)], pa.int32()), pa.StructArray.from_arrays(values, fields=[SCHEMA.field(n) for n in each]))
+    columns = [flat.column("field").slice(0, len(new)), flat.column("term").take(pa.array(new)), sizes, over(np.add, "weight"), total, over(np.maximum, "weight"), over(np.minimum, "dl"), over(np.maximum, "dl")]
+    counts = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, _COUNT_TYPES)]
+    return pa.RecordBatch.from_arrays([*counts, held], names=[*[n for n, _ in _COUNT_TYPES], "held"])
+
+
+def stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in stretches of STRETCH documents at most, and of TERMS terms at most where a document doesn't have more."""
+    upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(int(np.searchsorted(upto, TERMS + (upto[at - 1] if at else 0), "right")), at + 1)
+        end = min(end, at + STRETCH, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The postings of packed rows."""
+    there = rows.schema["held"].dataType.elementType.fieldNames()
+    kinds = dict(x.strip().split(" ") for x in POSTINGS.split(","))
+    each = {n: F.col("__p")[n] if n in there else F.lit(None).cast(kinds[n]) for n in list(kinds)[2:]}
+    each["weight"] = F.coalesce(each["weight"], each["tf"].cast("double"))
+    return rows.select("field", "term", F.explode("held").alias("__p")).select("field", "term", *[c.alias(n) for n, c in each.items()])
+
+
+def _counted(name: str, spec: Field, batch: pa.RecordBatch, by_term: bool) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Postings of a batch and the codes of their terms, by document and term or the other way round."""
     ids, held = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("terms")
     lengths = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = held.flatten()
@@ -38,7 +96,7 @@ def counted(name: str, spec: Field, batch: pa.RecordBatch) -> pa.RecordBatch:
     live = np.flatnonzero(flat.is_valid().to_numpy(zero_copy_only=False))
     coded = flat.take(pa.array(live)).dictionary_encode() if flat.null_count else flat.dictionary_encode()
     codes, row, place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), row[live], place[live]
-    order = np.argsort(row * max(len(coded.dictionary), 1) + codes, kind="stable")
+    order = np.argsort(codes * max(len(ids), 1) + row if by_term else row * max(len(coded.dictionary), 1) + codes, kind="stable")
     row, codes, at = row[order], codes[order], place[order]
     new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])]) if len(row) else np.zeros(0, np.int64)
     edges = np.r_[new, len(row)]
@@ -61,7 +119,7 @@ def counted(name: str, spec: Field, batch: pa.RecordBatch) -> pa.RecordBatch:
         weight = np.full(len(new), float(spec.boost))
     positions = lists(first[row] + at, _INTS) if spec.positions else none(_INTS)
     columns = [pa.array([name] * len(new), pa.string()), coded.dictionary.take(pa.array(codes[new])), ids[doc], tf, weight, lengths[doc], positions, starts, ends, boosts]
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, SCHEMA.types)], schema=SCHEMA)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, SCHEMA.types)], schema=SCHEMA), codes[new]
 
 
 def placed(spec: Field, batch: pa.RecordBatch, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +148,16 @@ def _number(text: str) -> float:
 
 def postings_of(docs: DataFrame, specs: dict[str, tuple[Field, str]], boost: Column | None = None) -> DataFrame:
     """Postings of the indexed fields of ``docs`` (doc_id and the fields' columns). ``boost`` is a document's."""
+    return _indexed(docs, specs, boost, lambda batch: (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)), counted, POSTINGS)
+
+
+def packed_of(docs: DataFrame, specs: dict[str, tuple[Field, str]], boost: Column | None = None) -> DataFrame:
+    """The same postings packed: a row for each field, term and stretch of documents, with its counts."""
+    each = _each(specs)
+    return _indexed(docs, specs, boost, stretches, lambda name, spec, batch: packed(name, spec, batch, each), packed_schema(specs))
+
+
+def _indexed(docs: DataFrame, specs: dict[str, tuple[Field, str]], boost: Column | None, cut, count, schema: str) -> DataFrame:
     frames = []
     for name, (spec, column) in specs.items():
         if not spec.indexed:
@@ -109,13 +177,13 @@ def postings_of(docs: DataFrame, specs: dict[str, tuple[Field, str]], boost: Col
 
         def run(batches: Iterator[pa.RecordBatch], name=name, spec=spec) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    yield counted(name, spec, batch.slice(at, ROWS))
+                for some in cut(batch):
+                    yield count(name, spec, some)
             pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
-        frames.append(rows.mapInArrow(run, POSTINGS))
+        frames.append(rows.mapInArrow(run, schema))
     if not frames:
-        return docs.sparkSession.createDataFrame([], POSTINGS)
+        return docs.sparkSession.createDataFrame([], schema)
     return functools.reduce(DataFrame.unionAll, frames)
 
 

@@ -2,6 +2,7 @@
 
 import collections
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,27 @@ def test_excerpts_from_places(spark):
     assert phrase[5] == "nd [quick] [hound]" and phrase[1] == ""
     with pytest.raises(ValueError):
         highlight.from_places(hits, SearchIndex.build(docs(spark), Schema(text=TEXT())), fox, "text", "text")
+
+
+@pytest.mark.parametrize("terms", [1 << 21, 5])
+def test_packed_postings_are_the_same(spark, monkeypatch, tmp_path, terms):
+    from quarry.operators import postings
+    from quarry.operators.index import SearchIndex
+
+    rows = spark.createDataFrame([(i, " ".join(f"w{k % (i % 7 + 1)}" for k in range(i % 11)), ["x", None][i % 2], 1.0 + i % 3) for i in range(60)], "doc_id long, text string, kind string, b double").coalesce(1)
+    specs = Schema(text=TEXT(characters=True), kind=ID()).resolve(rows.columns)
+    plain = Schema(text=TEXT(), kind=ID())
+    key = lambda df: sorted((r.asDict(recursive=True) for r in df.collect()), key=lambda r: (r["field"], r["term"], r["doc_id"]))
+    with monkeypatch.context() as m:
+        m.setattr(postings, "TERMS", terms)
+        cut = list(postings.stretches(pa.RecordBatch.from_arrays([pa.array([["a"] * k for k in (3, 2, 9, 0, 1)])], names=["terms"])))
+    assert [len(x) for x in cut] == ([5] if terms > 5 else [2, 1, 2])
+    for s, boost in ((specs, F.col("b")), (plain.resolve(rows.columns), None)):
+        made = postings.packed_of(rows, s, boost)
+        assert key(postings.unpacked(made)) == key(postings_of(rows, s, boost))
+        assert made.count() < postings_of(rows, s, boost).count() / 3  # a row for a term, not for each of its documents
+    flat = SearchIndex(plain, rows, postings_of(rows, plain.resolve(rows.columns)))
+    laid = SearchIndex(plain, rows, flat.postings).laid(f"file://{tmp_path}/laid", docs=False, packed=postings.packed_of(rows, plain.resolve(rows.columns)))
+    for name in ("postings", "term_stats"):
+        assert key(getattr(laid, name).withColumn("doc_id", F.lit(0)) if name == "term_stats" else laid.postings) == key(getattr(flat, name).withColumn("doc_id", F.lit(0)) if name == "term_stats" else flat.postings)
+    assert sorted(map(tuple, laid.field_stats.collect())) == sorted(map(tuple, flat.field_stats.collect()))

@@ -46,7 +46,7 @@ class Stage:
     #: whether it lower-cases each term and does nothing else
     lower: bool = False
     #: of a tokenizer: the first and last character of each word of a text, in code points
-    spans: Callable[[str], list[tuple[int, int]]] | None = None
+    spans: Callable[[str], list[tuple[int, int]] | np.ndarray] | None = None
 
     def __or__(self, other: Stage) -> Analyzer:
         return Analyzer((self, other))
@@ -116,13 +116,29 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
 # Tokenizers
 
 
+@functools.cache
+def _word_characters() -> np.ndarray:
+    """Whether each code point may stand in a word."""
+    one = re.compile(python_pattern(r"[\p{L}\p{N}_*]"))
+    return np.fromiter((one.match(chr(c)) is not None for c in range(0x110000)), bool, 0x110000)
+
+
+def word_spans(text: str) -> np.ndarray:
+    """First and last character of each match of WORD_PATTERN: runs of its characters and of single dots between two of them."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _word_characters()[codes]
+    dots = np.flatnonzero(codes[1:-1] == ord(".")) + 1
+    inside[dots] = inside[dots - 1] & inside[dots + 1]
+    return np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8))).reshape(-1, 2)
+
+
 def id_tokenizer() -> Stage:
     return Stage(lambda c: F.array(c), lambda s: [s], True, spans=lambda s: [(0, len(s))])
 
 
 def regex_tokenizer(pattern: str = WORD_PATTERN, gaps: bool = False) -> Stage:
     compiled = re.compile(python_pattern(pattern))
-    words = lambda s: [m.span() for m in compiled.finditer(s)]
+    words = word_spans if pattern == WORD_PATTERN and not gaps else lambda s: [m.span() for m in compiled.finditer(s)]
     if gaps:
         between = lambda s: [(a, b) for a, b in zip([0, *(e for _, e in words(s))], [*(a for a, _ in words(s)), len(s)]) if a < b]
         return Stage(lambda c: F.filter(F.split(c, pattern), lambda t: t != ""), lambda s: [t for t in compiled.split(s) if t], True, spans=between)

@@ -11,6 +11,7 @@ several times what its values do. ``unpacked`` gives the postings again, and con
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,18 +126,23 @@ def _counted(name: str, spec: Field, batch: pa.RecordBatch, by_term: bool) -> tu
 def placed(spec: Field, batch: pa.RecordBatch, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start, end and boost of each kept term of the batch, from the tokenizer's places in the texts."""
     find, mark = spec.analyzer.stages[0].spans, spec.options.get("boosts")
-    kept = batch.column("kept").to_pylist() if "kept" in batch.schema.names else [None] * batch.num_rows
-    spans, factors = [], []
-    for text, mask, n in zip(batch.column("text").to_pylist(), kept, lengths.tolist()):
-        found = find(text or "")
-        if mask is not None:
-            found = [s for s, k in zip(found, mask, strict=True) if k]
-        if len(found) != n:
-            raise ValueError(f"analysis makes {n} terms of {len(found)} words, so they have no places in the text")
-        spans += found
-        if mark:
-            factors += [_number(text[a:b].partition(mark)[2]) for a, b in found]
-    return np.array(spans, np.int64).reshape(-1, 2), np.array(factors)
+    texts = [text or "" for text in batch.column("text").to_pylist()]
+    pairs = lambda x: x if isinstance(x, np.ndarray) else np.fromiter(itertools.chain.from_iterable(x), np.int64).reshape(-1, 2)
+    found = [pairs(find(text)) for text in texts]
+    sizes = np.array([len(x) for x in found], np.int64)
+    spans, row = np.concatenate([np.zeros((0, 2), np.int64), *found]), np.repeat(np.arange(len(texts)), sizes)
+    if "kept" in batch.schema.names:
+        kept = batch.column("kept")
+        if (pc.fill_null(pc.list_value_length(kept), 0).to_numpy(zero_copy_only=False) != sizes).any():
+            raise ValueError("the words of a text and those found in it differ")
+        mask = kept.flatten().to_numpy(zero_copy_only=False).astype(bool)
+        spans, row = spans[mask], row[mask]
+    there = np.bincount(row, minlength=len(texts))
+    if (there != lengths).any():
+        at = int(np.flatnonzero(there != lengths)[0])
+        raise ValueError(f"analysis makes {lengths[at]} terms of {there[at]} words, so they have no places in the text")
+    factors = [_number(texts[r][a:b].partition(mark)[2]) for r, (a, b) in zip(row.tolist(), spans.tolist())] if mark else []
+    return spans, np.array(factors)
 
 
 def _number(text: str) -> float:

@@ -1,6 +1,7 @@
 """Postings counted in their rows, character places, token boosts, and excerpts from places."""
 
 import collections
+import time
 
 import pyarrow as pa
 import pytest
@@ -100,3 +101,22 @@ def test_packed_postings_are_the_same(spark, monkeypatch, tmp_path, terms):
     for name in ("postings", "term_stats"):
         assert key(getattr(laid, name).withColumn("doc_id", F.lit(0)) if name == "term_stats" else laid.postings) == key(getattr(flat, name).withColumn("doc_id", F.lit(0)) if name == "term_stats" else flat.postings)
     assert sorted(map(tuple, laid.field_stats.collect())) == sorted(map(tuple, flat.field_stats.collect()))
+
+
+def test_word_spans_are_those_of_the_pattern():
+    import random
+    import re
+
+    pattern, r = re.compile(analysis.python_pattern(analysis.WORD_PATTERN)), random.Random(3)
+    texts = ["", ".", "a", "a.b", "a..b", ".a.", "a.b.c d", "é.ü*_1 中.文", "x\U0001d400.y", "a.\u0301b"] + ["".join(r.choice("ab.. *_é中²\u0301\U0001d400-") for _ in range(r.randrange(40))) for _ in range(3000)]
+    for text in texts:
+        assert analysis.word_spans(text).tolist() == [list(m.span()) for m in pattern.finditer(text)], text
+    long = "wort. und " * 40_000
+    began = time.perf_counter()
+    list(pattern.finditer(long))
+    slow = time.perf_counter() - began
+    spans = analysis.standard().stages[0].spans
+    spans(long)
+    began = time.perf_counter()
+    assert len(spans(long)) == 80_000
+    assert time.perf_counter() - began < slow  # no step for each word

@@ -129,10 +129,10 @@ class Searcher:
         if late or not needs:
             stored = self.index.docs if columns is None else self.index.docs.select("doc_id", *columns)
             top = top.join(stored, "doc_id")
-            top = top.orderBy("rank") if late else top
         if terms:
             top = top.join(matched_terms(q, self.index).withColumnRenamed("terms", "matched_terms"), "doc_id", "left")
-        return Results(top, full, groups, collapsed)
+        # a join keeps no order: which side is moved depends on the tables' sizes
+        return Results(top.orderBy("rank") if limit is not None else top, full, groups, collapsed)
 
     def _order(self, full: DataFrame, sortedby, reverse: bool):
         if sortedby is None:

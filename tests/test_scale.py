@@ -182,3 +182,14 @@ CODES = {
 def test_double_metaphone_of_words():
     assert {w: phonetics.double_metaphone(w) for w in CODES} == CODES
     assert phonetics.double_metaphone("vanche") == ("FNX", "FNK") and phonetics.double_metaphone("van che") == ("FNK", "")
+
+
+def test_hits_stay_in_order_where_documents_join_them(spark):
+    """Documents that are not moved come in their own order; copies tie exactly and stand by doc_id."""
+    words = "alfa bravo charlie delta echo".split()
+    rows = [(k, " ".join(words[: 1 + k // 4] + ["rest"] * 9)) for k in range(20)] + [(20, " ".join(words))]
+    index = SearchIndex.build(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id"), Schema(text=TEXT(stored=True)))
+    like = expand.more_like(Searcher(index), 20, "text").hits.collect()
+    assert [r["doc_id"] for r in like] == [16, 17, 18, 19, 12, 13, 14, 15, 8, 9] and [r["rank"] for r in like] == list(range(10))
+    found = Searcher(index).search(Q.Or((Q.Term("text", "alfa"), Q.Term("text", "echo"))), limit=5, terms=True).hits.collect()
+    assert [r["rank"] for r in found] == list(range(5)) and "text:echo" in found[0]["matched_terms"]

@@ -47,9 +47,10 @@ def _each(specs: dict[str, tuple[Field, str]]) -> list[str]:
     return ["doc_id", "tf", "weight", "dl", "positions"] + ["starts", "ends"] * asked("characters") + ["boosts"] * asked("boosts")
 
 
-def packed_schema(specs: dict[str, tuple[Field, str]]) -> str:
+def packed_schema(specs: dict[str, tuple[Field, str]] | None = None) -> str:
+    """Columns of packed rows; without ``specs`` with all that a posting may have."""
     kinds = dict(x.strip().split(" ") for x in POSTINGS.split(","))
-    return f"{_COUNTS}, held array<struct<{', '.join(f'{n}: {kinds[n]}' for n in _each(specs))}>>"
+    return f"{_COUNTS}, held array<struct<{', '.join(f'{n}: {kinds[n]}' for n in (list(kinds)[2:] if specs is None else _each(specs)))}>>"
 
 
 def packed(name: str, spec: Field, batch: pa.RecordBatch, each: list[str]) -> pa.RecordBatch:
@@ -77,13 +78,20 @@ def stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def unpacked(rows: DataFrame) -> DataFrame:
-    """The postings of packed rows."""
+def unpacked(rows: DataFrame, *beside: str) -> DataFrame:
+    """The postings of packed rows, with columns that stand beside them."""
     there = rows.schema["held"].dataType.elementType.fieldNames()
     kinds = dict(x.strip().split(" ") for x in POSTINGS.split(","))
     each = {n: F.col("__p")[n] if n in there else F.lit(None).cast(kinds[n]) for n in list(kinds)[2:]}
     each["weight"] = F.coalesce(each["weight"], each["tf"].cast("double"))
-    return rows.select("field", "term", F.explode("held").alias("__p")).select("field", "term", *[c.alias(n) for n, c in each.items()])
+    return rows.select("field", "term", *beside, F.explode("held").alias("__p")).select("field", "term", *[c.alias(n) for n, c in each.items()], *beside)
+
+
+def counts_in(rows: DataFrame, *beside: str) -> DataFrame:
+    """field, term, doc_id, tf and weight of the postings of packed rows; their positions are not read."""
+    p = F.explode(F.arrays_zip(F.col("held.doc_id"), F.col("held.tf"), F.col("held.weight")))
+    found = rows.select("field", "term", *beside, p.alias("__p"))
+    return found.select("field", "term", *beside, F.col("__p.doc_id").alias("doc_id"), F.col("__p.tf").alias("tf"), F.coalesce("__p.weight", F.col("__p.tf").cast("double")).alias("weight"))
 
 
 def _counted(name: str, spec: Field, batch: pa.RecordBatch, by_term: bool) -> tuple[pa.RecordBatch, np.ndarray]:

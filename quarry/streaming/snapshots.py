@@ -1,6 +1,6 @@
 """A streamed index of immutable segments under versioned manifests.
 
-A batch becomes one segment: documents, postings and statistics that never change. A document replaces earlier ones with its doc_id
+A batch becomes one segment: documents, packed postings with their counts, and totals of its fields, that never change. A document replaces earlier ones with its doc_id
 or with an equal value in a unique field: the commit adds tombstones (segment, doc_id) for them, and what their postings take off the
 statistics. A manifest lists the live segments and tombstones of one version, so a reader opens a version and sees whole batches and every live document once,
 whatever is written or merged meanwhile. Segments of like size are merged into one (size-tiered), which also drops their dead rows.
@@ -20,16 +20,18 @@ import uuid
 from collections.abc import Mapping
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.index import POSTED, SearchIndex, keep_last, shared_path, term_stats_of
-from quarry.operators.postings import POSTINGS, postings_of
+from quarry.operators.index import SearchIndex, keep_last, spread
+from quarry.operators.postings import STORED, counts_in, packed_of, packed_schema, unpacked
 from quarry.plans.schema import Schema, ensure_schema
 
 #: Segments of a tier that are merged together, and seconds that an unfinished manifest is waited for.
 FAN, PATIENCE = 4, 10.0
+#: Bytes of stored documents that one task analyses at most, unless they lie in less than a file.
+SPLIT = 128 << 20
 _GONE = "segment string, doc_id long"
 _TAKEN = "segment string, field string, term string, df long, cf double, total long"
 
@@ -126,10 +128,16 @@ class StreamedIndex:
         rows = self.spark.read.schema(_GONE).parquet(*paths) if paths else self.spark.createDataFrame([], _GONE)
         return rows.where(F.col("segment").isin(*found["segments"])).distinct()
 
-    def _live(self, found: dict, name: str, schema: str | None = None, segments=None) -> DataFrame:
-        """Rows of a table without those of dead documents, with their segment."""
-        rows = self._table(name, found["segments"] if segments is None else segments, schema)
+    def _packed(self, segments) -> DataFrame:
+        return self._table("postings", segments, packed_schema() + ", segment string")
+
+    def _live(self, found: dict, name: str, segments=None) -> DataFrame:
+        """Rows of documents or postings without those of dead documents, with their segment."""
+        segments = found["segments"] if segments is None else segments
+        rows = self._packed(segments) if name == "postings" else self._table(name, segments)
         rows = rows.withColumn("segment", F.col("segment").cast("string"))
+        if name == "postings":
+            rows = unpacked(rows, "segment")
         return rows.join(self._gone(found), ["segment", "doc_id"], "left_anti") if found["tombstones"] else rows
 
     def _taken(self, found: dict) -> DataFrame:
@@ -138,7 +146,7 @@ class StreamedIndex:
         return rows.where(F.col("segment").isin(*found["segments"]))
 
     def open(self, version: int | None = None) -> SearchIndex:
-        """The index as of a version, by default the latest. Statistics are summed from the segments', less what dead documents had.
+        """The index as of a version, by default the latest. Statistics are summed from the counts of packed postings, less what dead documents had.
 
         The extremes of weights and lengths cover dead documents too until their segments are merged: bounds, not values.
         """
@@ -146,36 +154,47 @@ class StreamedIndex:
         if not found["segments"]:
             raise FileNotFoundError(f"no index at {self.path}")
         docs = self._live(found, "docs").drop("segment")
-        postings = self._live(found, "postings", POSTINGS + ", segment string").drop("segment")
+        postings = self._live(found, "postings").drop("segment")
         taken = self._taken(found)
-        less = taken.where("term is not null").select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
-        stats = self._table("term_stats", found["segments"]).drop("segment").unionByName(less, allowMissingColumns=True)
+        less = taken.select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+        counts = self._packed(found["segments"]).select("field", "term", "df", "cf", "max_weight", "min_length", "max_length")
+        stats = counts.unionByName(less, allowMissingColumns=True)
         stats = stats.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_weight").alias("max_weight"), F.min("min_length").alias("min_length"), F.max("max_length").alias("max_length")).where("df > 0")
         n = sum(s["docs"] - s["gone"] for s in found["segments"].values())
-        fields = self._table("field_stats", found["segments"]).drop("segment").unionByName(taken.where("term is null").select("field", (-F.col("total")).alias("total")), allowMissingColumns=True)
+        fields = self._table("field_stats", found["segments"]).drop("segment").unionByName(taken.select("field", (-F.col("total")).alias("total")), allowMissingColumns=True)
         fields = fields.groupBy("field").agg(F.sum("total").alias("total"), F.min("min_length").alias("min_length"), F.max("max_length").alias("max_length")).withColumn("n", F.lit(n).cast("long"))
         return SearchIndex(self.schema, docs, postings, stats, fields, self.path, found["version"])
 
     # Writing
 
-    def _write(self, docs: DataFrame, postings: DataFrame | None = None) -> tuple[str, int]:
-        """A segment of ``docs``: its id and number of documents."""
+    def _store(self, docs: DataFrame, keys=(), arrival: str | None = None) -> str:
+        """A new segment's documents, one for each value of ``keys``; the segment's id.
+
+        They are written as they come and dealt by keys only where stored ones share one: texts move for that alone.
+        """
         segment = uuid.uuid4().hex[:12]
+        docs.write.parquet(f"{self.path}/docs/segment={segment}")
+        stored = self.spark.read.schema(docs.schema).parquet(f"{self.path}/docs/segment={segment}")
+        if not any(stored.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect() for k in keys):
+            return segment
+        for k in keys:
+            stored = keep_last(stored, [k], arrival)
+        return self._store(stored)
+
+    def _analysed(self, segment: str) -> DataFrame:
+        """Packed postings of a segment's stored documents."""
+        docs = self.spark.read.parquet(f"{self.path}/docs/segment={segment}")
+        return packed_of(spread(docs, SPLIT), self.schema.resolve(docs.columns))
+
+    def _write(self, segment: str, postings: DataFrame | None = None) -> tuple[str, int]:
+        """The postings of a segment whose documents are stored (by default as they are analysed): its id and number of documents."""
         at = lambda name: f"{self.path}/{name}/segment={segment}"
-        docs.write.parquet(at("docs"))
-        docs = self.spark.read.schema(docs.schema).parquet(at("docs"))
-        if postings is None:
-            raw = shared_path(self.spark, "raw")  # analysed once: ranges come from a sample, which is another pass
-            postings_of(docs, self.schema.resolve(docs.columns)).write.parquet(raw)
-            postings = self.spark.read.schema(POSTINGS).parquet(raw)
-        # with the document in the range, a frequent term is no part of its own, and parts grow in number with the segment
-        parts = max(1, -(-postings.count() // POSTED))
-        postings.repartitionByRange(parts, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.parquet(at("postings"))
-        postings = self.spark.read.schema(POSTINGS).parquet(at("postings"))
-        term_stats_of(postings).write.parquet(at("term_stats"))
-        totals = postings.groupBy("field").agg(F.sum("tf").alias("total"), F.min("dl").alias("min_length"), F.max("dl").alias("max_length"))
+        postings = self._analysed(segment) if postings is None else postings
+        postings.write.options(**STORED).parquet(at("postings"))
+        packed = self.spark.read.schema(postings.schema).parquet(at("postings"))
+        totals = packed.groupBy("field").agg(F.sum("total").alias("total"), F.min("min_length").alias("min_length"), F.max("max_length").alias("max_length"))
         totals.coalesce(1).write.parquet(at("field_stats"))
-        return segment, docs.count()
+        return segment, self._table("docs", [segment]).count()
 
     def _bury(self, found: dict, gone: DataFrame, segments=None) -> dict:
         """Adds tombstones for ``gone`` (segment, doc_id) to a manifest, with what they take off the statistics."""
@@ -185,10 +204,9 @@ class StreamedIndex:
         counts = {r["segment"]: r["n"] for r in gone.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each segment
         if not counts:
             return found
-        postings = self._table("postings", sorted(counts), POSTINGS + ", segment string").join(gone, ["segment", "doc_id"], "left_semi")
+        postings = counts_in(self._packed(sorted(counts)), "segment").join(gone, ["segment", "doc_id"], "left_semi")
         terms = postings.groupBy("segment", "field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("weight").alias("cf"), F.sum("tf").alias("total"))
-        fields = postings.groupBy("segment", "field").agg(F.sum("tf").alias("total"))
-        terms.unionByName(fields, allowMissingColumns=True).select(*(c.split()[0] for c in _TAKEN.split(", "))).write.parquet(f"{self.path}/taken/{name}")
+        terms.select(*(c.split()[0] for c in _TAKEN.split(", "))).write.parquet(f"{self.path}/taken/{name}")
         found["tombstones"].append(name)
         found["taken"].append(name)
         for segment, n in counts.items():
@@ -204,11 +222,7 @@ class StreamedIndex:
             return None
         docs = batch.withColumn("doc_id", F.col(self.id_column).cast("long"))
         keys = [k for k in self.schema.unique_fields() if k != "doc_id"]
-        order = [F.desc_nulls_last(arrival)] if arrival else []
-        once = docs.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order, F.desc("doc_id")))).where("__r = 1").drop("__r")
-        for k in keys:
-            once = keep_last(once, [k], arrival)
-        segment, n = self._write(once)
+        segment, n = self._write(self._store(docs, ["doc_id", *keys], arrival))
         new = self._table("docs", [segment])
 
         def change(found: dict) -> dict | None:
@@ -247,8 +261,9 @@ class StreamedIndex:
         if chosen is None:
             return 0
         docs = self._live(start, "docs", segments=chosen).drop("segment")
-        postings = self._live(start, "postings", POSTINGS + ", segment string", chosen).drop("segment")
-        segment, n = self._write(docs, postings)
+        # the live documents' texts cost less to analyse than all postings to take apart, sort out and pack again
+        segment = self._store(docs)
+        segment, n = self._write(segment, self._analysed(segment))
         known = self._gone(start)
 
         def change(found: dict) -> dict | None:
@@ -274,7 +289,7 @@ class StreamedIndex:
         held = [self._read(v) for v in whole[-keep:]]
         needed = {f"segment={s}" for m in held for s in m["segments"]} | {t for m in held for t in [*m["tombstones"], *m["taken"]]}
         gone = 0
-        for name in ("docs", "postings", "term_stats", "field_stats", "tombstones", "taken"):
+        for name in ("docs", "postings", "field_stats", "tombstones", "taken"):
             if self.fs.exists(self._at(name)):
                 for status in self.fs.listStatus(self._at(name)):
                     if status.getPath().getName() not in needed:

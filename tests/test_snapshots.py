@@ -129,3 +129,19 @@ def test_stream(spark, tmp_path):
     assert opened.docs.count() == 12 and len(index.manifest()["segments"]) < 4
     assert {r["text"] for r in opened.docs.where(F.col("doc_id") < 4).collect()} == {"changed all"}
     assert opened.term_stats.where("term = 'all'").first()["df"] == 12
+
+
+def test_segments_are_stored_packed_and_texts_move_for_repeated_keys_alone(spark, tmp_path):
+    """A row for a term in a stretch of documents; a batch without repeated keys is written as it lies."""
+    index = StreamedIndex(spark, f"file://{tmp_path}/i", SCHEMA)
+    index.upsert(spark.createDataFrame([(k, "all words", None) for k in range(40)], COLUMNS).coalesce(1))
+    (segment,) = index.manifest()["segments"]
+    stored = spark.read.parquet(f"{index.path}/postings/segment={segment}")
+    assert stored.count() < 40 and stored.groupBy("term").agg(F.sum("df").alias("n")).where("n = 40").count() == 2
+    assert len(list((tmp_path / "i" / "docs").iterdir())) == 1
+    twice = [(3, "old", "b"), (3, "newer", "a"), (50, "x", "same"), (51, "y", "same"), (60, None, None)]
+    index.upsert(spark.createDataFrame(twice, COLUMNS), arrival="code")
+    rows = [(k, "all words", None) for k in range(40) if k != 3] + [(3, "old", "b"), (60, None, None)]
+    got, (docs, _, terms, _) = state(index.open()), rebuilt(spark, rows)
+    same = [r for r in got[0] if r[2] == "same"]
+    assert len(same) == 1 and sorted([*docs, *same], key=str) == got[0] and set(terms) <= set(got[2])
